@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from trawl.llm import exact_dedup, sharding
+from trawl.llm import bpe, exact_dedup, quality, sharding
 
 QUERIES = {
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_quality_ftrl": quality.op7_quality_ftrl,
     "op8_histogram_shards": sharding.op8_histogram_shards,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
