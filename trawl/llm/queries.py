@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trawl.llm import bpe, exact_dedup, quality, sharding
+from trawl.llm import bpe, exact_dedup, quality, sharding, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_quality_ftrl": quality.op7_quality_ftrl,
     "op8_histogram_shards": sharding.op8_histogram_shards,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc": warc.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
