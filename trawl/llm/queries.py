@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trawl.llm import bpe, exact_dedup, pii, quality, sharding, warc
+from trawl.llm import bpe, exact_dedup, near_dedup, pii, quality, sharding, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_pii_weak": pii.op4_pii_weak,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_dart_minhash": near_dedup.op6_dart_minhash,
     "op7_quality_ftrl": quality.op7_quality_ftrl,
     "op8_histogram_shards": sharding.op8_histogram_shards,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
