@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import exact_dedup
+from trawl.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from trawl.llm.shared import materialise
 
 STAGES = [
+    ("quality_classifier", quality.stage),
     ("exact_dedup", exact_dedup.stage),
+    ("near_dedup", near_dedup.stage),
+    ("source_mixing", mixing.stage),
+    ("byte_bpe", bpe.stage),
 ]
 
 #: Classifier scores, sketches and tokens are not SQL; tests hold each stage against a brute-force version.

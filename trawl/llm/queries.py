@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from trawl.llm import bpe, exact_dedup, near_dedup, pii, quality, sharding, warc
+from trawl.llm import ann, bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding, warc
 
 QUERIES = {
+    "op10_raking": mixing.op10_raking,
+    "op2_vamana": ann.op2_vamana,
     "op3_warc": warc.op3_warc,
     "op4_pii_weak": pii.op4_pii_weak,
     "op5_byte_bpe": bpe.op5_byte_bpe,
