@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trawl.llm import ann, bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding, warc
+from trawl.llm import ann, bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
+    "op1_column_bwt": suffix_dedup.op1_column_bwt,
     "op10_raking": mixing.op10_raking,
     "op2_vamana": ann.op2_vamana,
     "op3_warc": warc.op3_warc,
