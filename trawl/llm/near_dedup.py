@@ -8,9 +8,10 @@ length, and a coordinate keeps its earliest dart; documents with an empty coordi
 (Published: Christiani, "DartMinHash: fast sketching for weighted sets", 2020.)
 
 Exact copies (equal word sequences) are one node. Per band a bucket's members are compared with one hub, picked by a hash
-that differs by band, so a large group is linked by stars over many hubs and its pairs are never listed. Then pairs of one
-bucket that are still in different components and agree in BIT_LIMIT of the sketch's bits are compared too, which
-is how a link that no hub saw is found. All comparisons are exact over whole texts. Components are the classes.
+that differs by band, so a large group is linked by stars over many hubs and its pairs are never listed. Buckets that still
+hold different components are then searched block by block for links between these, pairs whose sketches differ in over
+BIT_LIMIT bits aside, which finds the links that no hub saw; such pairs never become rows, only links do. A link is kept
+after an exact comparison over the whole texts. Components are the classes.
 
 Chance of missing a pair of similarity 0.8: (1 - 0.8^6)^32 = 0.00006, less above.
 
@@ -39,6 +40,8 @@ COORDINATES = ROWS * BANDS
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 #: Of 192 one-bit coordinates so many may differ at most in a pair that is compared; at 0.8 the mean is 19, this 4.5 sigmas off.
 BIT_LIMIT = 38
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 1024
 
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, n + 1, dtype=float)) for n in range(19)])
@@ -188,12 +191,76 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["u", "v", "similarity"])
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v, similarity) of each pair (u, v), exact over the whole texts; texts has one row (doc_id, text) an id."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    needed = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_cell_rows, "doc_id long, cells binary"), "cells")
-    left, right = needed.select(F.col("doc_id").alias("u"), F.col("cells").alias("cu")), needed.select(F.col("doc_id").alias("v"), F.col("cells").alias("cv"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "cu", "cv").mapInArrow(_compare, "u long, v long, similarity double")
+def cells_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, cells) of the texts whose id is in ids (doc_id, distinct), written to the shared folder."""
+    return materialise(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_cell_rows, "doc_id long, cells binary"), "cells")
+
+
+def compare(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(u, v, similarity) of each pair (u, v), exact over the whole texts."""
+    left, right = cells.select(F.col("doc_id").alias("u"), F.col("cells").alias("cu")), cells.select(F.col("doc_id").alias("v"), F.col("cells").alias("cv"))
+    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "cu", "cv").mapInArrow(_compare, "u long, v long, similarity double")
+
+
+def _links_between(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between different components of one bucket's block pair; rows (bucket, i, j, sub, node, part, bits, bands, cells).
+
+    A pair that shares several buckets is compared in the first band of them. Cells are 32-bit here, which can only raise
+    a similarity; what is found is compared again in full.
+    """
+    if not table.num_rows:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    bucket, i, j = (table[c][0].as_py() for c in ("bucket", "i", "j"))
+    sub, node, part = (np.asarray(table[c].combine_chunks()) for c in ("sub", "node", "part"))
+    bits = np.asarray(table["bits"].combine_chunks().flatten(), np.int64).view(np.uint64).reshape(-1, 3)
+    bands = np.asarray(table["bands"].combine_chunks().flatten(), np.int64).reshape(-1, BANDS)
+    cells = [np.frombuffer(c, np.uint32) for c in table["cells"].to_pylist()]
+    left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    us, vs = [], []
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        differ = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(axis=2)
+        near = (differ <= BIT_LIMIT) & (part[rows][:, None] != part[right][None, :])
+        x, y = np.nonzero(near)
+        x, y = rows[x], right[y]
+        if i == j:
+            x, y = x[x < y], y[x < y]
+        for start in range(0, len(x), 65536):
+            p, q = x[start : start + 65536], y[start : start + 65536]
+            first = np.argmax(bands[p] == bands[q], axis=1) == band
+            for m, n in zip(p[first], q[first], strict=True):
+                a, b = cells[m], cells[n]
+                least, most = sorted((len(a), len(b)))
+                if least >= threshold * most:
+                    both = np.concatenate([a, b])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if common >= threshold * (len(both) - common):
+                        us.append(min(node[m], node[n]))
+                        vs.append(max(node[m], node[n]))
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
+def links_left(placed: DataFrame, found: DataFrame, worded: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links within the buckets that still hold several components, block by block; pairs stay inside a task."""
+    labelled = placed.join(found.withColumnRenamed("node", "_node").hint("merge"), F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = materialise(labelled.join(mixed.hint("merge"), "bucket"), "members")
+    known = worded.select(F.col("node").alias("_node"), "bits", "bands").join(members.select(F.col("node").alias("_node")).distinct().hint("merge"), "_node", "left_semi")
+    narrow = cells.mapInArrow(_narrow, "doc_id long, cells binary").withColumnRenamed("doc_id", "_id")
+    full = members.join(known.join(narrow.hint("merge"), F.col("_node") == F.col("_id")).hint("merge"), F.col("node") == F.col("_node"))
+    sub = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = full.select("bucket", "node", "part", "bits", "bands", "cells", sub.alias("sub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = dealt.select("bucket", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "node", "part", "bits", "bands", "cells")
+    return keyed.groupBy("bucket", "i", "j").applyInArrow(lambda t: _links_between(t, threshold), "u long, v long").distinct()
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells cut to 32 bits."""
+    for batch in batches:
+        cut = [np.frombuffer(c, np.uint64).astype(np.uint32).tobytes() for c in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["doc_id", "cells"])
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -206,23 +273,16 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str
 
     buckets = worded.select(F.explode("bands").alias("bucket"), "node").withColumn("turn", F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node")))
     hubs = buckets.groupBy("bucket").agg(F.min("turn").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.col("hub.node").alias("hub"))
-    placed = materialise(buckets.select("bucket", "node").join(hubs, "bucket"), "buckets")
-    pairs = placed.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-    links = materialise(compare(materialise(pairs, "pairs"), texts).filter(F.col("similarity") >= threshold).select("u", "v").distinct(), "links")
+    placed = materialise(buckets.select("bucket", "node").join(hubs.hint("merge"), "bucket"), "buckets")
+    pairs = materialise(placed.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
+    cells = cells_of(texts, placed.select(F.col("node").alias("doc_id")).distinct())
+    links = materialise(compare(pairs, cells).filter(F.col("similarity") >= threshold).select("u", "v").distinct(), "links")
     found = materialise(components(links), "components")
 
-    # buckets that still hold several components
-    labelled = placed.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
-    members = materialise(labelled.join(mixed, "bucket", "left_semi").join(worded.select(F.col("node").alias("_node"), "bits"), F.col("node") == F.col("_node")).drop("_node"), "members")
-    left = members.select("bucket", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"))
-    right = members.select("bucket", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"))
-    differ = sum((F.bit_count(F.col("bu")[i].bitwiseXOR(F.col("bv")[i])) for i in range(3)), F.lit(0))
-    rest = left.join(right, "bucket").filter((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & (differ <= BIT_LIMIT)).select("u", "v").distinct()
-    rest = materialise(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = compare(rest, texts).filter(F.col("similarity") >= threshold).select("u", "v").distinct()
-        found = components(links.unionByName(more))
+    more = materialise(links_left(placed, found, worded, cells, threshold), "more")
+    if not more.isEmpty():
+        sure = compare(more, cells).filter(F.col("similarity") >= threshold).select("u", "v").distinct()
+        found = materialise(components(links.unionByName(sure)), "components")
 
     classes = nodes.select("digest", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     classes = materialise(classes, "classes")
