@@ -31,7 +31,7 @@ from trawl.llm.shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of a worker's memo, which is emptied when full.
-MEMO = 600_000
+MEMO = 150_000
 LONGEST_MEMO = 64
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 

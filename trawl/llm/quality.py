@@ -36,20 +36,18 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SAME = np.uint64(0x5EED)
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i up to at least n."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        if len(_POWERS) > 8:
-            _POWERS.clear()
+    """base^i and base^-i modulo 2^64 for i up to at least n; the largest tables yet are kept."""
+    if not _POWERS or len(_POWERS[0][0]) <= n:
+        size = 1 << max(16, int(n).bit_length())
         ones = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
         for x in ones:
             x[0] = 1
-        _POWERS[size] = np.cumprod(ones[0], dtype=np.uint64), np.cumprod(ones[1], dtype=np.uint64)
-    return _POWERS[size]
+        _POWERS[:] = [(np.cumprod(ones[0], dtype=np.uint64), np.cumprod(ones[1], dtype=np.uint64))]
+    return _POWERS[0]
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
