@@ -27,11 +27,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import documents
+from trawl.llm.shared import bounded_batches, documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of a worker's memo, which is emptied when full.
-MEMO = 150_000
+MEMO = 250_000
 LONGEST_MEMO = 64
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
@@ -240,6 +240,7 @@ def _ship(spark: SparkSession, path: str) -> str:
 def _apply(docs: DataFrame, work, schema: str, path: str | None, pattern: str | None, id_column: str, text_column: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(docs.sparkSession)
     file = _ship(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
     pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.components import components
 from trawl.llm.quality import _LOWER, _powers, slices
-from trawl.llm.shared import documents, materialise, mix64
+from trawl.llm.shared import bounded_batches, documents, materialise, mix64
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -265,6 +265,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, class_id) for each row of docs; class_id is the least id of the class."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sketched = materialise(texts.mapInArrow(_sketch, "doc_id long, digest binary, worded boolean, bands array<long>, bits array<long>"), "sketches")
     nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("worded").alias("worded"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))

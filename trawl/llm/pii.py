@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import documents
+from trawl.llm.shared import bounded_batches, documents
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds of spans, base first; `near_` candidates are spans that fail a base rule.
@@ -243,6 +243,7 @@ def count_patterns(texts: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
 
 def find(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, spans): all spans of each row as structs (kind, start, end, base), by kind as in KINDS, then start."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     weights = (model or train(count_patterns(texts))).weights
 

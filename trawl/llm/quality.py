@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import byte_column, documents, mix64
+from trawl.llm.shared import bounded_batches, byte_column, documents, mix64
 
 MAX_FIT = 6000
 BITS = 18
@@ -145,6 +145,7 @@ def held_out(row_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """A model from at most max_fit labelled documents that aren't held out; it is fitted in one task, of bounded size."""
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("_label")).withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(max_fit)
     chosen = chosen.select(F.col("doc_id").alias("_id"), "_label", "_order")

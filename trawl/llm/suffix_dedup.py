@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.quality import slices
-from trawl.llm.shared import documents, materialise
+from trawl.llm.shared import bounded_batches, documents, materialise
 from trawl.llm.windows import LENGTH, SPREAD, byte_sums, pieces, string_hash
 
 #: Strings of one construction; a collection (one core) is never divided.
@@ -224,6 +224,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs; kept holds the remaining bytes."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     texts = docs.select(F.xxhash64(F.col(id_column), text).alias("row"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
     spans = repeated_windows(texts).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from trawl.llm.shared import fresh_path
+from trawl.llm.shared import bounded_batches, fresh_path
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 16 << 20
@@ -303,6 +303,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    bounded_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
