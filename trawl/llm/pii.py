@@ -268,8 +268,9 @@ def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir))
     spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE],
+        *[number(kind) for kind in BASE],
         F.sha2(F.encode(spelled(base), "utf-8"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
     )
