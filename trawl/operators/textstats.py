@@ -56,7 +56,12 @@ def cluster_docs(docs: DataFrame, label: str, key: str, text: str) -> DataFrame:
 def cluster_term_counts(docs: DataFrame, label: str, text: str, longest: int = 3) -> DataFrame:
     """(label, term, tf) over n-grams of 1..longest tokens, counted per document and summed by cluster."""
     words = X.tokens(F.col(text))
-    grams = F.concat(*[F.transform(F.filter(F.transform(F.col("_w"), lambda w, i, n=n: F.slice(F.col("_w"), i + 1, n)), lambda g, n=n: F.size(g) == n), lambda g: F.array_join(g, " ")) for n in range(1, longest + 1)])
+
+    def grams_of(n: int):
+        every = F.transform(F.col("_w"), lambda w, i: F.slice(F.col("_w"), i + 1, n))
+        return F.transform(F.filter(every, lambda g: F.size(g) == n), lambda g: F.array_join(g, " "))
+
+    grams = F.concat(*[grams_of(n) for n in range(1, longest + 1)])
     exploded = docs.filter(F.col(label) != -1).select(label, words.alias("_w")).select(label, F.explode(grams).alias("term"))
     return exploded.groupBy(label, "term").agg(F.count("*").alias("tf"))
 
