@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,9 +92,6 @@ def resolve_rooted(href: Column, base: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """RFC 3986 resolution of any reference, vectorised over Arrow batches."""
-    import pandas as pd
-    from urllib.parse import urljoin
-
     @F.pandas_udf("string")
     def join(h: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else urljoin(y, x) for x, y in zip(h, b, strict=True)])

@@ -52,17 +52,17 @@ def fuzzy_hash(spark, sf):
 
 @Q("fuzzy_similar", "D8", None)
 def fuzzy_similar(spark, sf):
-    """Pairs of items with a likeness above 0. Likeness needs a common 7-gram of signatures of one block size, so pairs
+    """Pairs of documents with a likeness above 0. Likeness needs a common 7-gram of signatures of one block size, so pairs
     meet on (block size, gram); equal hashes are one class and are not expanded."""
-    hashed = table(spark, sf, "benchmark").select("item_id", fuzzy.fuzzy_hash_column(F.col("text")).alias("h"))
-    classes = hashed.groupBy("h").agg(F.min("item_id").alias("item_id"))
+    hashed = table(spark, sf, "documents").select("doc_id", fuzzy.fuzzy_hash_column(F.col("text")).alias("h"))
+    classes = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     parts = F.split("h", ":")
     block = F.get(parts, 0).cast("long")
     gram = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - fuzzy.WINDOW + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(fuzzy.WINDOW)))
     shorten = lambda s: F.regexp_replace(s, r"(.)\1{3,}", "$1$1$1")
     one, two = shorten(F.get(parts, 1)), shorten(F.get(parts, 2))
-    keyed = classes.select("item_id", "h", F.explode(F.concat(F.transform(gram(one), lambda g: F.struct(block.alias("b"), g.alias("g"))), F.transform(gram(two), lambda g: F.struct((block * 2).alias("b"), g.alias("g"))))).alias("k")).distinct()
-    a, b = keyed.select(F.col("item_id").alias("a"), F.col("h").alias("ha"), "k"), keyed.select(F.col("item_id").alias("b"), F.col("h").alias("hb"), "k")
+    keyed = classes.select("doc_id", "h", F.explode(F.concat(F.transform(gram(one), lambda g: F.struct(block.alias("b"), g.alias("g"))), F.transform(gram(two), lambda g: F.struct((block * 2).alias("b"), g.alias("g"))))).alias("k")).distinct()
+    a, b = keyed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), "k"), keyed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), "k")
     pairs = a.join(b, "k").filter("a < b").select("a", "b", "ha", "hb").distinct()
     return pairs.select("a", "b", fuzzy.hash_compare_column(F.col("ha"), F.col("hb")).alias("likeness")).filter("likeness > 0")
 
