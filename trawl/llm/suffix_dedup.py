@@ -35,6 +35,8 @@ from trawl.llm.windows import LENGTH, SPREAD, byte_sums, pieces, string_hash
 STRINGS = 100_000
 #: Texts that are cut at once.
 CHUNK = 1 << 20
+#: Tasks that share a heavy core.
+SALTS = 64
 
 
 def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +213,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(row, start, end): runs of repeated windows of texts (row, doc_id, text), as byte ranges of the row's text."""
     found = texts.select("row", "text").mapInArrow(_find_pieces, "row long, core_at int, left short, right short, core long, piece long")
-    often = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    kept = materialise(found.join(often, "core", "left_semi"), "pieces")
+    often = materialise(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cores")
+    # cores that hold a thousandth of the repeats, so a thousand at most, are dealt over SALTS tasks
+    total = often.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * 1000 >= F.lit(max(total, 1000 * 1000))
+    hot = F.broadcast(often.filter(heavy).select("core", F.lit(True).alias("hot")))
+    salted = found.join(hot, "core", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "core_at"), F.lit(SALTS))).otherwise(0).cast("int"))
+    spread = often.select("core", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    kept = materialise(salted.join(spread, ["core", "salt"], "left_semi").drop("hot", "salt"), "pieces")
     unique = kept.groupBy("core", "piece").agg(F.min(F.struct("row", "core_at", "left", "right")).alias("at"), F.count(F.lit(1)).alias("weight"))
     wanted = unique.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.core_at", "at.left", "at.right", "core", "piece", "weight")).alias("wanted"))
     strings = texts.join(wanted.hint("merge"), "row").select("row", "doc_id", "text", "wanted")
