@@ -229,3 +229,28 @@ def test_canonical_python_is_idempotent(tail):
         return
     if "?" not in once and "%" not in once:
         assert html.canonical_url(once) == once
+
+
+def test_models(spark, tmp_path):
+    from trawl.operators import models
+    from trawl.sources.cache import cached
+
+    e = models.HashedEmbedder(16).embed(["one two", "", "two one"])
+    assert (e[0] == e[2]).all() and not e[1].any()
+    assert models.OverlapReranker().score("one two", ["two x", ""]) == [0.5, 0.0]
+    assert models.model_folder("a/b") == "a_b"
+    assert models.TemplateGenerator().answer(value(spark, text.rag_prompt(F.lit("ctx"), F.lit("q")))) == "ctx"
+    rows = spark.createDataFrame([("aa bb", "aa"), ("aa bb", "zz"), (None, None)], "q string, t string")
+    assert [r[0] for r in rows.select(models.rerank_column(F.col("q"), F.col("t"), models.OverlapReranker())).collect()] == [0.5, 0.0, 0.0]
+    made = []
+    for k in (1, 1, 2):
+        got = cached(spark, str(tmp_path), "x", {"k": k}, lambda k=k: made.append(k) or spark.range(k))
+        assert got.count() == k
+    assert made == [1, 2]
+
+
+def test_append_segments_prunes_by_model(spark, tmp_path):
+    files.append_segments(spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "id int, model_id int, page_segment string"), str(tmp_path / "s"))
+    files.append_segments(spark.createDataFrame([(3, 10, "c")], "id int, model_id int, page_segment string"), str(tmp_path / "s"))
+    one = spark.read.parquet(str(tmp_path / "s")).filter("model_id = 10")
+    assert one.count() == 2 and "PartitionFilters: [isnotnull(model_id" in one._jdf.queryExecution().toString()
