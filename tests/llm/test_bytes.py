@@ -62,6 +62,13 @@ def test_repeats_of_test_data(spark, sf):
     check_repeats(suffix_dedup.remove_repeats(docs), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_split_collections_find_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = docs.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    covered = lambda limit: {(r["row"], k) for r in suffix_dedup.repeated_windows(texts, limit).collect() for k in range(r["start"], r["end"])}
+    assert covered(0) == covered(10**9) != set()
+
+
 def test_construction_order_and_prefixes():
     rng = random.Random(5)
     spread = 9

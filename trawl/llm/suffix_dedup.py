@@ -35,6 +35,9 @@ from trawl.llm.windows import LENGTH, SPREAD, byte_sums, pieces, string_hash
 STRINGS = 100_000
 #: Texts that are cut at once.
 CHUNK = 1 << 20
+#: Distinct strings of one core from which the collection is split, and distances of a split. SPREAD is a multiple.
+COLLECTION_LIMIT = 300_000
+NARROW = 5
 #: Tasks that share a heavy core.
 SALTS = 64
 
@@ -150,14 +153,14 @@ class Collection:
         return exists & (out | (weight > 1)[:, None])
 
 
-def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _construct(batches: Iterator[pa.RecordBatch], spread: int = SPREAD) -> Iterator[pa.RecordBatch]:
     """Rows (core, check, piece, weight, left, right) sorted by core -> (core, piece, runs): repeated window starts, as
     pairs of first and last distance before the core."""
 
     def built(rows: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
         core = np.stack([np.asarray(rows["core"]), np.asarray(rows["check"])], axis=1)
         group = np.unique(core, axis=0, return_inverse=True)[1].ravel()
-        found = Collection(group, rows["left"].to_pylist(), rows["right"].to_pylist()).repeated(np.asarray(rows["weight"]))
+        found = Collection(group, rows["left"].to_pylist(), rows["right"].to_pylist(), spread).repeated(np.asarray(rows["weight"]))
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         own, first = np.nonzero(edge == 1)
         last = np.nonzero(edge == -1)[1] - 1
@@ -210,7 +213,36 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
+RUNS = "core long, piece long, near short, far short"
+
+
+def constructed(strings: DataFrame, spread: int = SPREAD) -> DataFrame:
+    return strings.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(lambda batches: _construct(batches, spread), RUNS)
+
+
+def constructed_narrow(strings: DataFrame, narrow: int = NARROW) -> DataFrame:
+    """As constructed, for collections that are too large for one task: each is split by ranges of `narrow` distances.
+
+    The windows of a range share more than the core, LENGTH - narrow + 1 bytes; strings that differ there cannot have a
+    window in common, so these bytes are the split's cores. Equal strings of a split enter once, with their weights' sum.
+    """
+    ranges = strings.select("*", F.explode(F.sequence(F.lit(0), F.lit((SPREAD - 1) // narrow))).alias("k")).withColumns({"a": F.col("k") * narrow, "b": F.greatest(F.lit(0), SPREAD - (F.col("k") + 1) * narrow)})
+    ranges = ranges.filter("length(left) >= a AND length(right) >= b")
+    inner_left, inner_right = F.expr("substr(left, length(left) - a + 1, a)"), F.expr("substr(right, 1, b)")
+    outer_left = F.expr(f"substr(left, greatest(1, length(left) - a - {narrow - 2}), least({narrow - 1}, length(left) - a))")
+    outer_right = F.expr(f"substr(right, b + 1, {narrow - 1})")
+    cut = ranges.select(
+        F.col("core").alias("_core"), F.col("piece").alias("_piece"), "k", "weight", F.xxhash64("core", "k", inner_left, inner_right).alias("core"),
+        F.xxhash64(inner_right, inner_left, "k", "check").alias("check"), outer_left.alias("left"), outer_right.alias("right"),
+    ).withColumn("piece", F.xxhash64("core", "left", "right"))
+    own = cut.groupBy("core", "check", "piece").agg(F.sum("weight").alias("weight"), F.first("left").alias("left"), F.first("right").alias("right"))
+    found = constructed(own.select("core", "check", "piece", "weight", "left", "right"), narrow)
+    back = cut.join(found, ["core", "piece"])
+    shift = F.col("k") * narrow
+    return back.select(F.col("_core").alias("core"), F.col("_piece").alias("piece"), (F.col("near") + shift).cast("short").alias("near"), (F.col("far") + shift).cast("short").alias("far"))
+
+
+def repeated_windows(texts: DataFrame, collection_limit: int = COLLECTION_LIMIT) -> DataFrame:
     """(row, start, end): runs of repeated windows of texts (row, doc_id, text), as byte ranges of the row's text."""
     found = texts.select("row", "text").mapInArrow(_find_pieces, "row long, core_at int, left short, right short, core long, piece long")
     often = materialise(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cores")
@@ -225,7 +257,12 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     wanted = unique.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.core_at", "at.left", "at.right", "core", "piece", "weight")).alias("wanted"))
     strings = texts.join(wanted.hint("merge"), "row").select("row", "doc_id", "text", "wanted")
     strings = strings.mapInArrow(_cut_strings, "core long, check long, piece long, weight long, left binary, right binary")
-    runs = strings.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(_construct, "core long, piece long, near short, far short")
+    large = materialise(unique.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > collection_limit).select("core"), "large")
+    if large.isEmpty():
+        runs = constructed(strings)
+    else:
+        strings = materialise(strings, "strings")
+        runs = constructed(strings.join(large, "core", "left_anti")).unionByName(constructed_narrow(strings.join(large, "core", "left_semi")))
     hit = kept.join(runs, ["core", "piece"])
     return hit.select("row", (F.col("core_at") - F.col("far")).alias("start"), (F.col("core_at") - F.col("near") + LENGTH).alias("end"))
 
