@@ -250,3 +250,17 @@ def test_pipeline_stages(spark, sf):
     assert ids[3] == {i for i, c in classes.items() if i == c}
     final = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in final.collect()} == ids[4]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, sf, make, edges, stage):
+    work = dict(corpus_pipeline.STAGES)[stage]
+    docs = make(edges)
+    blank = docs.select("doc_id", "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns[2:]])
+    for frame in (docs, blank):
+        out = work(spark, frame, sf)
+        assert out.count() <= len(edges)
+        if stage != "byte_bpe":
+            assert out.columns == docs.columns
+            assert out.count() == 0 or {r["doc_id"] for r in out.collect()} <= {i for i, _ in edges}
+    assert work(spark, make([]), sf).count() == 0

@@ -78,7 +78,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that stay, with their own columns."""
+    """Pipeline stage: the documents that stay, with their own columns; of rows that repeat an id all stay if one does."""
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     kept = dedup(docs, index).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -296,6 +296,9 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with the least id of their class, with their own columns."""
+    """Pipeline stage: the documents with the least id of their class, with their own columns.
+
+    Rows that repeat an id go together, if one of them goes; a row without id stays.
+    """
     gone = near_classes(docs).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
