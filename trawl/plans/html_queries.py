@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from trawl.functions import fuzzy, html as H
@@ -52,10 +55,18 @@ def fuzzy_hash(spark, sf):
 
 @Q("fuzzy_similar", "D8", None)
 def fuzzy_similar(spark, sf):
-    """Pairs of documents with a likeness above 0. Likeness needs a common 7-gram of signatures of one block size, so pairs
-    meet on (block size, gram); equal hashes are one class and are not expanded."""
-    hashed = table(spark, sf, "documents").select("doc_id", fuzzy.fuzzy_hash_column(F.col("text")).alias("h"))
-    classes = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    """Likeness of all documents: (a, b, likeness, same_hash). Documents with equal hashes are one class, named by its least
+    doc_id. A row with same_hash says that document b is of class a, and how alike any two of the class are; each document has
+    one (a and likeness are null without a text). A row without it is a pair of classes with a likeness above 0, which holds
+    for each pair of their documents. Likeness needs a common 7-gram of signatures of one block size, so classes meet on
+    (block size, gram)."""
+    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/fuzzy-{uuid.uuid4().hex}"
+    # hashed once; classes, pairs and members all read it
+    table(spark, sf, "documents").select("doc_id", fuzzy.fuzzy_hash_column(F.col("text")).alias("h")).write.parquet(path)
+    hashed = spark.read.parquet(path)
+    classes = hashed.filter(F.col("h").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    own = classes.select(F.col("doc_id").alias("a"), F.col("h").alias("_h"), fuzzy.hash_compare_column(F.col("h"), F.col("h")).alias("likeness"))
+    members = hashed.join(own, F.col("h") == F.col("_h"), "left").select("a", F.col("doc_id").alias("b"), "likeness", F.lit(True).alias("same_hash"))
     parts = F.split("h", ":")
     block = F.get(parts, 0).cast("long")
     gram = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - fuzzy.WINDOW + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(fuzzy.WINDOW)))
@@ -64,7 +75,8 @@ def fuzzy_similar(spark, sf):
     keyed = classes.select("doc_id", "h", F.explode(F.concat(F.transform(gram(one), lambda g: F.struct(block.alias("b"), g.alias("g"))), F.transform(gram(two), lambda g: F.struct((block * 2).alias("b"), g.alias("g"))))).alias("k")).distinct()
     a, b = keyed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), "k"), keyed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), "k")
     pairs = a.join(b, "k").filter("a < b").select("a", "b", "ha", "hb").distinct()
-    return pairs.select("a", "b", fuzzy.hash_compare_column(F.col("ha"), F.col("hb")).alias("likeness")).filter("likeness > 0")
+    alike = pairs.select("a", "b", fuzzy.hash_compare_column(F.col("ha"), F.col("hb")).alias("likeness"), F.lit(False).alias("same_hash")).filter("likeness > 0")
+    return members.unionByName(alike)
 
 
 @Q("template_extract", "F29 F30 F31", None)
