@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections import Counter
 
-from pyspark.sql import functions as F  # noqa: F401
+import pytest
 
 from trawl.catalog import load
 from trawl.functions import fuzzy
@@ -26,3 +28,25 @@ def test_fuzzy_similar_covers_every_document(spark, tmp_path):
     want = {(i, j): fuzzy.compare(s, t) for (i, s), (j, t) in itertools.combinations(docs, 2) if s is not None and t is not None}
     assert want == {(i, j): likeness.get((min(kind[i], kind[j]), max(kind[i], kind[j])), 0) for i, j in want}
     assert kind[12] is None and len({kind[i] for i in (0, 1, 2, 3, 13)}) == 1
+
+
+def test_bm25_scores_every_item(spark, tmp_path):
+    docs = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(5 + i % 9))) for i in range(40)] + [(40, ""), (41, "?"), (42, None), (43, "w1 w2 W1"), (44, "w1 w2 W1")]
+    items = [(i, " ".join(f"w{(i * 5 + j) % 29}" for j in range(4))) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    counts = {i: Counter(t.lower().split()) for i, t in docs if t and t != "?"}
+    average = sum(c.total() for c in counts.values()) / len(counts)
+    want = {}
+    for (q, text), (d, c) in itertools.product(items, counts.items()):
+        score = 0.0
+        for t in set(text.split()) & set(c):
+            df = sum(t in x for x in counts.values())
+            score += math.log(1 + (len(counts) - df + 0.5) / (df + 0.5)) * c[t] / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / average))
+        if score:
+            want[q, d] = score
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_scores_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5) and max(q for q, _ in got) == 8
+    ranks = {(q, d): 1 + sum(round(x, 9) > round(s, 9) for (p, _), x in want.items() if p == q) for (q, d), s in want.items()}
+    top = {(r["item_id"], r["doc_id"]): r["score_rank"] for r in QUERIES["bm25_top10_all"](spark, str(tmp_path)).collect()}
+    assert top == {k: r for k, r in ranks.items() if r <= 10}

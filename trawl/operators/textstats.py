@@ -44,6 +44,72 @@ def bm25(counts: DataFrame, queries: DataFrame, key: str, query_key: str, k1: fl
     return hits.groupBy(query_key, key).agg(F.sum(idf * tf).alias("score"))
 
 
+def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, path: str, best: int | None = None, k1: float = K1, b: float = B, width: int = 512) -> DataFrame:
+    """(query_key, key, score) for any number of queries (query_key, term), distinct, as bm25 has it: all documents with a term
+    of the query, or of each batch the `best` highest by rounded score with all ties, which hold the best of the whole.
+
+    Documents are reduced to the queries' terms once and written to path; then each batch of them is scored by sparse sums
+    over blocks of `width` queries. Keys are long, and unique in docs; only the queries are held by the tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    asked = queries.select(query_key, "term").collect()
+    vocabulary = pa.array(sorted({r["term"] for r in asked}), pa.string())
+    where = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+    names = sorted({r[query_key] for r in asked})
+    row = {q: i for i, q in enumerate(names)}
+    at = np.array([(where[r["term"]], row[r[query_key]]) for r in asked], np.int64).reshape(-1, 2)
+
+    def reduced(batches):
+        for batch in batches:
+            words = batch.column(1)
+            flat, parent = words.flatten(), pc.list_parent_indices(words).to_numpy()
+            found = pc.index_in(flat.cast(pa.string()), value_set=vocabulary).fill_null(-1).to_numpy()
+            lengths = np.bincount(parent, minlength=batch.num_rows).astype(np.int64)
+            pairs, tf = np.unique(parent[found >= 0].astype(np.int64) * max(len(vocabulary), 1) + found[found >= 0], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(batch.num_rows + 1, dtype=np.int64) * max(len(vocabulary), 1)).astype(np.int32)
+            terms, counts = pa.array((pairs % max(len(vocabulary), 1)).astype(np.int32)), pa.array(tf.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), counts)], ["doc", "len", "terms", "tf"])
+
+    words = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))
+    words.mapInArrow(reduced, "doc long, len long, terms array<int>, tf array<int>").filter("len > 0").write.parquet(path)
+    small = docs.sparkSession.read.schema("doc long, len long, terms array<int>, tf array<int>").parquet(path)
+    size = small.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
+    idf = np.zeros(len(vocabulary))
+    for r in small.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+        idf[r["t"]] = np.log(1.0 + (size["n"] - r["count"] + 0.5) / (r["count"] + 0.5))
+    average = float(size["a"] or 1.0)
+
+    def scored(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                terms, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(float)
+                parent = pc.list_parent_indices(batch.column(2)).to_numpy()
+                if not len(terms):
+                    continue
+                doc, length = batch.column(0).to_numpy(), batch.column(1).to_numpy()[parent]
+                weight = idf[terms] * tf / (tf + k1 * (1.0 - b + b * length / average))
+                firsts = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+                for low in range(0, len(names), width):
+                    n = min(width, len(names) - low)
+                    has = np.zeros((len(vocabulary), n))
+                    mine = at[(at[:, 1] >= low) & (at[:, 1] < low + n)]
+                    has[mine[:, 0], mine[:, 1] - low] = 1.0
+                    score = np.empty((len(firsts), n))
+                    for i, (x, y) in enumerate(zip(firsts, np.r_[firsts[1:], len(terms)], strict=True)):
+                        score[i] = weight[x:y] @ has[terms[x:y]]
+                    kept = score > 0
+                    if best is not None and len(firsts) > best:
+                        kept &= score >= np.partition(score, len(firsts) - best, axis=0)[len(firsts) - best] - 2e-9
+                    i, j = np.nonzero(kept)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[low + q] for q in j], pa.int64()), pa.array(doc[parent[firsts[i]]]), pa.array(score[i, j])], [query_key, key, "score"])
+
+    return small.mapInArrow(scored, f"{query_key} long, {key} long, score double")
+
+
 def cluster_docs(docs: DataFrame, label: str, key: str, text: str) -> DataFrame:
     """One text a cluster, its documents' texts in order of the key; noise (-1) is left out.
 

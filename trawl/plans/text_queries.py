@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -170,6 +173,25 @@ def bm25_top10(spark, sf):
     return _bm25(spark, sf).withColumn("score_rank", F.rank().over(best).cast("long")).filter("score_rank <= 10").select("item_id", "doc_id", "score_rank")
 
 
+def _bm25_all(spark, sf, best=None):
+    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/bm25-{uuid.uuid4().hex}"
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    return S.bm25_for_all(table(spark, sf, "documents"), asked, "doc_id", "text", "item_id", path, best)
+
+
+@Q("bm25_scores_all", "V13", None)
+def bm25_scores_all(spark, sf):
+    """The scores of every item of benchmark; bm25_scores has those of the first three only, as its SQL."""
+    return _bm25_all(spark, sf).select("item_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+@Q("bm25_top10_all", "O8", None)
+def bm25_top10_all(spark, sf):
+    """The top 10 of every item of benchmark; bm25_top10 has those of the first three only, as its SQL."""
+    best = W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)))
+    return _bm25_all(spark, sf, 10).withColumn("score_rank", F.rank().over(best).cast("long")).filter("score_rank <= 10").select("item_id", "doc_id", "score_rank")
+
+
 @Q("cluster_docs", "A17", "SELECT role, md5(string_agg(text, ' ' ORDER BY conv_id * 1000 + turn)) AS digest, count(*) AS size FROM conversations GROUP BY role")
 def cluster_docs(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")).filter(F.col("text").isNotNull())
