@@ -6,10 +6,12 @@ import itertools
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from trawl.catalog import load
 from trawl.functions import fuzzy
+from trawl.operators import blocks
 
 QUERIES = load().callables()
 
@@ -50,3 +52,27 @@ def test_bm25_scores_every_item(spark, tmp_path):
     ranks = {(q, d): 1 + sum(round(x, 9) > round(s, 9) for (p, _), x in want.items() if p == q) for (q, d), s in want.items()}
     top = {(r["item_id"], r["doc_id"]): r["score_rank"] for r in QUERIES["bm25_top10_all"](spark, str(tmp_path)).collect()}
     assert top == {k: r for k, r in ranks.items() if r <= 10}
+
+
+def vectors_of(n, dims=6, seed=5, copies=30):
+    v = np.random.default_rng(seed).normal(size=(n, dims)).astype(np.float32)
+    v[:copies] = v[0]
+    return v
+
+
+def nearest(v, queries, n=10):
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    return {(q, int(i), r) for q in queries for r, i in enumerate(np.lexsort((np.arange(len(v)), np.round(1 - u @ u[q], 12)))[:10], 1)}
+
+
+def test_nearest_and_relevance_of_every_segment(spark, tmp_path):
+    v = vectors_of(130)
+    spark.createDataFrame([(i, x.tolist(), i % 4) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {tuple(r) for r in QUERIES["batch_knn_all"](spark, str(tmp_path)).collect()}
+    assert got == nearest(v, range(0, 130, 20))
+    rows = QUERIES["same_page_relevance_all"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["id"], r["rank"]) for r in rows} == nearest(v, range(130))
+    assert all(r["relevant"] == (r["query_id"] // 10 == r["id"] // 10) for r in rows)
+    table = spark.read.parquet(str(tmp_path / "embeddings.parquet")).withColumnRenamed("vec_id", "id")
+    small = blocks.nearest_for_all(table, table, 10, size=16).select("query_id", "id", "rank").collect()
+    assert {tuple(r) for r in small} == nearest(v, range(130))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.functions import vectors as V
+from trawl.operators import blocks as K
 from trawl.operators import ranking as R
 from trawl.registry import REGISTRY
 from trawl.schema import table
@@ -53,6 +54,13 @@ def batch_knn(spark, sf):
     return R.nearest_for_each(asked, rows, "cosine", 10).select("query_id", "id", "rank")
 
 
+@Q("batch_knn_all", "J8 W3", None)
+def batch_knn_all(spark, sf):
+    """The nearest 10 of all rows for every id divisible by 20, the query set of op2; batch_knn asks for five ids, as its SQL."""
+    rows = segments(spark, sf)
+    return K.nearest_for_all(rows.filter("id % 20 = 0"), rows, 10).select("query_id", "id", "rank")
+
+
 @Q("nearest_to_centroid", "V17", """
 WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT label, list(m ORDER BY i) AS qv FROM (SELECT label, i, avg(v[i]) AS m FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label)
@@ -159,6 +167,15 @@ def same_page_relevance(spark, sf):
     return joined.select("query_id", "id", F.when(F.col("page") == F.col("query_page"), 1.0).otherwise(0.0).alias("relevant"))
 
 
+@Q("same_page_relevance_all", "J9", None)
+def same_page_relevance_all(spark, sf):
+    """The nearest 10 segments of every segment, judged by membership in its page; same_page_relevance has a window of ids, as its SQL."""
+    rows = segments(spark, sf)
+    page = lambda c: F.floor(F.col(c) / 10)
+    found = K.nearest_for_all(rows, rows, 10)
+    return found.select("query_id", "id", "rank", F.when(page("id") == page("query_id"), 1.0).otherwise(0.0).alias("relevant"))
+
+
 @Q("eval_query_set", "A20 A5 A6", """
 WITH s AS (SELECT doc_id AS id, doc_id // 8 AS page_id, lang AS model, text FROM documents),
 g AS (SELECT model, page_id, min(id) AS first_id, list(id ORDER BY id) AS relevant FROM s GROUP BY 1, 2 HAVING count(*) > 3)
