@@ -11,7 +11,7 @@ import pytest
 
 from trawl.catalog import load
 from trawl.functions import fuzzy
-from trawl.operators import blocks
+from trawl.operators import blocks, clustering, textstats
 
 QUERIES = load().callables()
 
@@ -76,3 +76,26 @@ def test_nearest_and_relevance_of_every_segment(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "embeddings.parquet")).withColumnRenamed("vec_id", "id")
     small = blocks.nearest_for_all(table, table, 10, size=16).select("query_id", "id", "rank").collect()
     assert {tuple(r) for r in small} == nearest(v, range(130))
+
+
+def test_mmr_picks_from_all_rows_of_a_group(spark):
+    v = vectors_of(160, copies=120)
+    relevance = [1.0] * 120 + [0.9 - i / 100 for i in range(40)]
+    rows = [(g, i, relevance[i], [float(x) for x in v[i]]) for g, size in ((0, 160), (1, 3), (2, 1)) for i in range(size)]
+    frame = spark.createDataFrame(rows, "g int, id long, r double, v array<double>").repartition(5)
+    got = {(r["g"], r["pick"]): r["id"] for r in clustering.mmr_by_group(frame, "g", "id", "r", "v", 6).collect()}
+    want = {}
+    for g, size in ((0, 160), (1, 3), (2, 1)):
+        for n, i in enumerate(clustering.mmr(relevance[:size], [x.tolist() for x in v[:size]], 6), 1):
+            want[g, n] = i
+    assert len({got[0, n] for n in range(1, 7)} & set(range(120, 160))) >= 4
+    assert {k: i if i >= 120 else -1 for k, i in got.items()} == {k: i if i >= 120 else -1 for k, i in want.items()}
+    assert len(got) == len(set((k[0], i) for k, i in got.items())) == 10
+
+
+def test_keywords_go_on_until_enough_are_accepted(spark):
+    long = [f"{'a' * n}" for n in range(1, 90)]
+    counts = [(label, t, 1000 - len(t)) for label in (0, 1) for t in long] + [(label, t, 5) for label in (0, 1) for t in ("b", "c", "d", "e", "f", "g")]
+    frame = spark.createDataFrame(counts, "label int, term string, tf long")
+    got = textstats.cluster_keywords(frame, "label", 3, min_df=1).collect()
+    assert {(r["label"], r["keyword_rank"], r["term"]) for r in got} == {(label, n, t) for label in (0, 1) for n, t in enumerate("abcdef")}

@@ -128,18 +128,25 @@ def mmr(relevance: list[float], vectors: list[list[float]], n: int, diversity: f
     return picked
 
 
-def mmr_by_group(candidates: DataFrame, group: str, key: str, relevance: str, vector: str, n: int, diversity: float = 0.4, pool: int = 100) -> DataFrame:
-    """(group, key, pick): the n picks of each group out of its `pool` most relevant candidates."""
-    import pandas as pd
+def mmr_by_group(candidates: DataFrame, group: str, key: str, relevance: str, vector: str, n: int, diversity: float = 0.4) -> DataFrame:
+    """(group, key, pick): the n picks of each group out of all its candidates, as mmr has them with candidates in order of
+    relevance and key; keys are unique in a group.
 
-    best = W.partitionBy(group).orderBy(F.desc(relevance), key)
-    few = candidates.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= pool)
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_r", ignore_index=True)
-        chosen = mmr(frame[relevance].tolist(), frame[vector].tolist(), n, diversity)
-        out = frame.loc[chosen, [group, key]].reset_index(drop=True)
-        return out.assign(pick=range(1, len(out) + 1))
-
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    return few.select(group, key, relevance, vector, "_r").groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {key} {kinds[key]}, pick long")
+    A round scores every row that is left against its group's picks and takes the best a group, so only picks are gathered.
+    """
+    rows = candidates.select(F.col(group).alias("_g"), F.col(key).alias("_key"), F.coalesce(F.col(relevance).cast("double"), F.lit(float("-inf"))).alias("_rel"), V.normalised(F.col(vector)).alias("_u"))
+    this = F.struct(F.col("_key").alias("key"), F.col("_u").alias("unit"))
+
+    first = F.struct((-F.col("_rel")).alias("r"), F.col("_key").alias("k"))
+    picks = rows.groupBy("_g").agg(F.min_by(this, first).alias("_best")).select("_g", F.array("_best").alias("_picks"))
+    for _ in range(n - 1):
+        joined = rows.join(picks.withColumnRenamed("_g", "_pg"), F.col("_g").eqNullSafe(F.col("_pg")))
+        closest = F.array_max(F.transform("_picks", lambda p: V.dot(p["unit"], F.col("_u"))))
+        picked = F.exists("_picks", lambda p: p["key"].eqNullSafe(F.col("_key")))
+        score = F.coalesce((1 - diversity) * F.col("_rel") - diversity * closest, F.lit(float("-inf")))
+        # a picked row stays as one without a score, so that a group with nothing left keeps its picks
+        kept = joined.withColumn("_s", score).withColumn("_left", ~picked)
+        order = F.struct((-F.col("_s")).alias("s"), (-F.col("_rel")).alias("r"), F.col("_key").alias("k"))
+        best = kept.groupBy("_g").agg(F.min_by(this, F.when(F.col("_left"), order)).alias("_best"), F.first("_picks").alias("_before"))
+        picks = best.select("_g", F.when(F.col("_best").isNull(), F.col("_before")).otherwise(F.concat("_before", F.array("_best"))).alias("_picks"))
+    return picks.select(F.col("_g").alias(group), F.posexplode("_picks").alias("_i", "_p")).select(group, F.col("_p.key").alias(key), (F.col("_i") + 1).cast("long").alias("pick"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.functions import text as X
@@ -132,13 +131,15 @@ def cluster_term_counts(docs: DataFrame, label: str, text: str, longest: int = 3
     return exploded.groupBy(label, "term").agg(F.count("*").alias("tf"))
 
 
-def cluster_keywords(counts: DataFrame, label: str, clusters: int, top: int = 6, min_df: int = 2, max_df: float = 0.85, max_features: int = 15_000, pool: int = 60) -> DataFrame:
-    """(label, keyword_rank, term): best TF-IDF terms, dropping those that hold or are held by an accepted one."""
+def cluster_keywords(counts: DataFrame, label: str, clusters: int, top: int = 6, min_df: int = 2, max_df: float = 0.85, max_features: int = 15_000) -> DataFrame:
+    """(label, keyword_rank, term): best TF-IDF terms, dropping those that hold or are held by an accepted one.
+
+    A label's terms are gone through in order until `top` are accepted; there are max_features of them at most.
+    """
     df = counts.groupBy("term").agg(F.count("*").alias("_df"), F.sum("tf").alias("_cf")).filter((F.col("_df") >= min_df) & (F.col("_df") <= max_df * clusters))
     vocabulary = df.orderBy(F.desc("_cf"), "term").limit(max_features)
     scored = counts.join(vocabulary, "term").withColumn("_s", F.col("tf") * (F.log((1.0 + clusters) / (1.0 + F.col("_df"))) + 1.0))
-    best = W.partitionBy(label).orderBy(F.desc("_s"), "term")
-    few = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= pool).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda s: s["term"]).alias("_terms"))
+    ordered = scored.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("s"), "term"))), lambda s: s["term"]).alias("_terms"))
     none = F.array().cast("array<string>")
-    accepted = F.aggregate("_terms", none, lambda acc, t: F.when(F.exists(acc, lambda a: F.contains(a, t) | F.contains(t, a)), acc).otherwise(F.concat(acc, F.array(t))))
-    return few.select(label, F.posexplode(F.slice(accepted, 1, top)).alias("keyword_rank", "term"))
+    accepted = F.aggregate("_terms", none, lambda acc, t: F.when((F.size(acc) >= top) | F.exists(acc, lambda a: F.contains(a, t) | F.contains(t, a)), acc).otherwise(F.concat(acc, F.array(t))))
+    return ordered.select(label, F.posexplode(accepted).alias("keyword_rank", "term"))
