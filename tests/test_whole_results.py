@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.catalog import load
 from trawl.functions import fuzzy
@@ -99,3 +100,36 @@ def test_keywords_go_on_until_enough_are_accepted(spark):
     frame = spark.createDataFrame(counts, "label int, term string, tf long")
     got = textstats.cluster_keywords(frame, "label", 3, min_df=1).collect()
     assert {(r["label"], r["keyword_rank"], r["term"]) for r in got} == {(label, n, t) for label in (0, 1) for n, t in enumerate("abcdef")}
+
+
+def silhouettes(d, labels):
+    out = []
+    for i, c in enumerate(labels):
+        own = [d[i, j] for j in range(len(labels)) if j != i and labels[j] == c]
+        near = [np.mean(d[i, labels == x]) for x in set(labels.tolist()) - {c}]
+        a, b = np.mean(own) if own else 0.0, min(near, default=0.0)
+        out.append((b - a) / max(a, b) if own and near and max(a, b) > 0 else 0.0)
+    return np.array(out)
+
+
+def test_silhouette_has_no_limit(spark):
+    frame = spark.range(5200).select("id", (F.col("id") % 3).cast("int").alias("label"), F.array(F.cos(F.col("id") % 3 + F.rand(1)), F.sin(F.col("id") % 3 + F.rand(2))).alias("v"))
+    assert clustering.exact_silhouette(frame, "label", "v").count() == 5200
+
+
+def test_silhouettes_equal_all_pairs(spark):
+    v = vectors_of(90, copies=5).astype(float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    one, two = np.arange(90) % 4, np.where(np.arange(90) == 7, 2, np.arange(90) % 2)
+    frame = spark.createDataFrame([(i, x.tolist(), y.tolist(), int(one[i]), int(two[i])) for i, (x, y) in enumerate(zip(v, u, strict=True))], "id long, v array<double>, u array<double>, one int, two int")
+    for name, labels in (("one", one), ("two", two)):
+        got = {r["id"]: r["silhouette"] for r in clustering.exact_silhouette(frame, name, "v").collect()}
+        assert [got[i] for i in range(90)] == pytest.approx(silhouettes(1 - u @ u.T, labels), abs=1e-9)
+    euclid = np.linalg.norm(u[:, None] - u[None, :], axis=2)
+    both = frame.withColumn("labels", F.array("one", "two"))
+    got = blocks.full_silhouettes(both, "id", "u", "labels", [4, 3], size=20)
+    assert got == pytest.approx([silhouettes(euclid, x).mean() for x in (one, two)], abs=1e-6)
+
+
+def test_best_k_scans_as_the_reference(spark, sf):
+    assert sorted(r["k"] for r in QUERIES["best_k"](spark, sf).collect()) == list(range(35, 45))

@@ -74,3 +74,67 @@ def nearest_for_all(queries: DataFrame, rows: DataFrame, n: int, key: str = "id"
     best = W.partitionBy("query_id").orderBy("distance", "id")
     found = pairs.mapInArrow(work, "query_id long, id long, distance double")
     return found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= n)
+
+
+def full_silhouettes(rows: DataFrame, key: str, vector: str, labels: str, clusters: list[int], size: int = BLOCK) -> list[float]:
+    """The mean silhouette over all rows by Euclidean distances of all pairs, for each of several labellings: labels is an
+    array with one label below clusters[j] for each j. A row that is alone in its cluster counts 0."""
+    packed = blocks(rows, key, vector, labels, size)
+    starts = np.concatenate([[0], np.cumsum(clusters)]).astype(np.int64)
+    count, width = len(clusters), int(starts[-1])
+    sizes = np.zeros(width)
+    for r in rows.select(F.posexplode(labels).alias("j", "c")).groupBy("j", "c").count().collect():
+        sizes[starts[r["j"]] + r["c"]] = r["count"]
+    left = packed.select(F.col("block").alias("b"), F.col("ids").alias("aids"), F.col("flat").alias("aflat"), F.col("marks").alias("amarks"))
+    pairs = left.crossJoin(packed.select("ids", "flat", "marks"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, told = None, None, None
+
+        def out() -> pa.RecordBatch:
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), width).cast(pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array(told[0]), pa.FixedSizeListArray.from_arrays(pa.array(told[1].ravel()), count).cast(pa.list_(pa.int32())), lists], ["id", "marks", "sums"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = batch.column("b")[i].as_py()
+                if b != now:  # blocks of the right side follow each other for one of the left
+                    if total is not None:
+                        yield out()
+                    ids = _list(batch, "aids", i)
+                    x, marks = _matrix(batch, "aflat", i, len(ids)), _matrix(batch, "amarks", i, len(ids)).astype(np.int32)
+                    now, told, total, x2 = b, (ids, marks), np.zeros((len(ids), width)), (x * x).sum(axis=1)[:, None]
+                others = _list(batch, "ids", i)
+                y, hot = _matrix(batch, "flat", i, len(others)), np.zeros((len(others), width))
+                d = np.sqrt(np.maximum(x2 + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T), 0.0))
+                d[told[0][:, None] == others[None, :]] = 0.0
+                np.put_along_axis(hot, _matrix(batch, "marks", i, len(others)) + starts[:-1][None, :], 1.0, axis=1)
+                total += d @ hot
+        if total is not None:
+            yield out()
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            total = batch.column("sums").flatten().to_numpy().reshape(n, width)
+            marks = batch.column("marks").flatten().to_numpy().reshape(n, count)
+            got = np.zeros((n, count))
+            for j in range(count):
+                part, size_of, c = total[:, starts[j] : starts[j + 1]], sizes[starts[j] : starts[j + 1]], marks[:, j]
+                at = np.arange(n)
+                own = part[at, c] / np.maximum(size_of[c] - 1, 1)
+                mean = np.where(size_of > 0, part / np.maximum(size_of, 1), np.inf)
+                mean[at, c] = np.inf
+                near = mean.min(axis=1) if mean.shape[1] else np.full(n, np.inf)
+                most = np.maximum(own, near)
+                fine = (size_of[c] > 1) & np.isfinite(near) & (most > 0)
+                got[fine, j] = (near[fine] - own[fine]) / most[fine]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(count), n)), pa.array(got.ravel())], ["j", "s"])
+
+    partial = pairs.mapInArrow(sums, "id long, marks array<int>, sums array<double>")
+    added = partial.groupBy("id").agg(F.first("marks").alias("marks"), *[F.sum(F.get("sums", i)).alias(f"s{i}") for i in range(width)])
+    whole = added.select("marks", F.array(*[f"s{i}" for i in range(width)]).alias("sums"))
+    means = {r["j"]: r["m"] for r in whole.mapInArrow(values, "j long, s double").groupBy("j").agg(F.avg("s").alias("m")).collect()}
+    return [means.get(j, 0.0) for j in range(count)]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.functions import vectors as V
+from trawl.operators import blocks as K
 from trawl.operators import clustering as C
 from trawl.registry import REGISTRY
 from trawl.schema import table
 
 Q = REGISTRY.query
+#: The numbers of clusters that the reference scans.
+SCAN = range(35, 45)
 
 U_SQL = "WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS r FROM embeddings), u AS (SELECT id, label, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM e) "
 
@@ -56,12 +59,14 @@ def kmeans_labels(spark, sf):
 
 @Q("best_k", "M3", None)
 def best_k(spark, sf):
-    """Silhouette of each k of a scan, and the first best."""
+    """Mean silhouette by Euclidean distances of all pairs for each k of the reference's scan, and the first best."""
     rows = C.with_unit_vectors(vectors(spark, sf)).withColumn("unit", V.normalised(F.col("embedding"))).select("id", "features", "unit").persist()
-    scores = []
-    for k in (8, 10, 12):
-        s = C.simplified_silhouette(C.kmeans(rows, k)).agg(F.sum(F.col("silhouette") * F.col("size")) / F.sum("size")).first()[0]
-        scores.append((k, float(s or 0.0)))
+    labelled = rows
+    for k in SCAN:
+        labelled = C.kmeans(labelled, k).withColumnRenamed("cluster", f"c{k}")
+    labelled = labelled.select("id", "unit", F.array(*[f"c{k}" for k in SCAN]).alias("labels")).persist()
+    scores = list(zip(SCAN, K.full_silhouettes(labelled, "id", "unit", "labels", list(SCAN)), strict=True))
+    labelled.unpersist()
     rows.unpersist()
     best = C.first_best(scores)
     return spark.createDataFrame([(k, s, k == best) for k, s in scores], "k int, silhouette double, best boolean")
