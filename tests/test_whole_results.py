@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import itertools
 import math
 from collections import Counter
@@ -133,3 +134,14 @@ def test_silhouettes_equal_all_pairs(spark):
 
 def test_best_k_scans_as_the_reference(spark, sf):
     assert sorted(r["k"] for r in QUERIES["best_k"](spark, sf).collect()) == list(range(35, 45))
+
+
+def test_whole_texts_and_vectors(spark, tmp_path):
+    texts = ["x" * 61 + "é☃", "", "😀 " * 200]
+    v = vectors_of(4, dims=64, copies=1)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = {r["doc_id"]: r for r in QUERIES["base64_roundtrip_all"](spark, str(tmp_path)).collect()}
+    assert all(rows[i]["decoded"] == t and rows[i]["encoded"] == base64.b64encode(t.encode()).decode() for i, t in enumerate(texts))
+    units = {r["vec_id"]: r["unit"] for r in QUERIES["normalize_vectors_all"](spark, str(tmp_path)).collect()}
+    assert all(units[i] == pytest.approx((x / np.linalg.norm(x)).tolist(), abs=2e-6) for i, x in enumerate(v.astype(float)))

@@ -118,6 +118,13 @@ def base64_roundtrip(spark, sf):
     return out.withColumn("decoded", F.decode(F.unbase64("encoded"), "utf-8"))
 
 
+@Q("base64_roundtrip_all", "K7", "SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents")
+def base64_roundtrip_all(spark, sf):
+    """Whole texts; base64_roundtrip takes their first 60 characters, as its SQL."""
+    out = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "utf-8")), "\r\n", "").alias("encoded"))
+    return out.withColumn("decoded", F.decode(F.unbase64("encoded"), "utf-8"))
+
+
 @Q("counter_sum", "K13 C6", "SELECT user_id, count(*) AS counter FROM events GROUP BY 1")
 def counter_sum(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.sum(F.lit(1).cast("long")).alias("counter"))

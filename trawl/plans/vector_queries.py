@@ -86,6 +86,13 @@ def normalize_vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
 
 
+@Q("normalize_vectors_all", "M5 V4", "SELECT vec_id, list_transform(v, lambda x: round(x / n, 6)) AS unit FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
+def normalize_vectors_all(spark, sf):
+    """Whole vectors; normalize_vectors takes their first four components, as its SQL."""
+    unit = V.normalised(F.col("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
+
+
 @Q("vector_literal_parse", "F26", "SELECT vec_id, len(embedding) AS size, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings")
 def vector_literal_parse(spark, sf):
     spelled = F.to_json(V.doubles(F.col("embedding")))
