@@ -6,7 +6,8 @@ can be repeated. Only digests and ids are shuffled, never texts.
 
 Defined cases: a null text counts as the empty text; of equal texts the row with the smallest doc_id stays; rows that
 repeat one doc_id and text share its fate, as do rows whose doc_id is null where no other id exists (keep_id is null then
-and they stay). Other columns are ignored. An empty table gives an empty result and an unchanged index.
+and they stay) in op9_exact_dedup, as its SQL has it; the pipeline's stage keeps exactly one row of each group. Other columns
+are ignored. An empty table gives an empty result and an unchanged index.
 """
 
 from __future__ import annotations
@@ -78,10 +79,23 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that stay, with their own columns; of rows that repeat an id all stay if one does."""
+    """Pipeline stage: exactly one row of each group of equal texts, with its own columns: one with the smallest doc_id.
+
+    A digest has one keep_id, so a row is kept by digest and id together. Where rows repeat both, or have no id, one of them is
+    taken by an aggregate, which only such rows go through.
+    """
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    kept = dedup(docs, index).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = dedup(docs, index).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count(F.lit(1)).alias("_copies"))
+    kept = materialise(kept, "kept")
+    own = docs.withColumn("_digest", normalised_digest(F.col("text")))
+
+    def rows_of(groups: DataFrame) -> DataFrame:
+        return own.join(groups, own["doc_id"].cast("long").eqNullSafe(groups["_kept_id"]) & (own["_digest"] == groups["_kept_digest"]), "left_semi")
+
+    repeated = kept.filter("_copies > 1")
+    if repeated.isEmpty():
+        return rows_of(kept).select(*docs.columns)
+    return rows_of(kept.filter("_copies = 1")).unionByName(rows_of(repeated).dropDuplicates(["_digest"])).select(*docs.columns)
 
 
 SQL = r"""
