@@ -7,7 +7,10 @@ and Rosone and of Durbin: a round inserts one symbol of every string that has re
 stable sort of the present one by these symbols (the column of the Burrows-Wheeler transform), and a common prefix is one
 more than the least prefix between two neighbours with equal symbols. A window is repeated if its suffix has a common
 prefix of SPREAD symbols with a neighbour, or if its piece's weight is over one. Because equal windows lie in one column,
-order is kept by column, and the columns that are done are written out as sorted runs and dropped.
+order is kept by column, and the columns that are done are dropped.
+
+In place of the sequential external files of these constructions, a collection's order and common prefixes are numpy arrays in
+the memory of one task and nothing is written between rounds; COLLECTION_LIMIT bounds the strings of one core, see below.
 
 Only edges, hashes and positions move between the stages; texts are exchanged by row to be cut and to be digested.
 
