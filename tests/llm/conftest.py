@@ -2,20 +2,27 @@ from __future__ import annotations
 
 import pytest
 
-#: Columns of documents, and one that clashes with names that operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, digest string"
+#: Names that the operators use inside; documents carry a column of each.
+CLASHES = ("row", "score", "digest", "document", "id", "size", "crc32", "key", "piece", "shard", "slot", "shard_key", "shard_no", "_piece", "_key", "tokens", "topic", "probability", "kept", "_probability", "_topic", "_source", "_tokens", "node", "class_id", "_gone", "kept_id", "kept_digest", "copies", "keep_id", "bucket", "core", "spans", "n")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")
 def make(spark):
-    """A documents table with extra columns; rows are (doc_id, text)."""
+    """A documents table with extra columns that clash with inner names; rows are (doc_id, text)."""
 
     def build(rows):
-        return spark.createDataFrame([(i, t, "en", "src0", len(t or ""), "r", 0.5, "d") for i, t in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, "en", "src0", len(t or ""), *CLASHES) for i, t in rows], SCHEMA)
 
     return build
 
 
+@pytest.fixture(scope="session")
+def clashes():
+    """The extra columns of `make`; each holds its own name in every row."""
+    return CLASHES
+
+
 @pytest.fixture(scope="session")
 def edges():
     """Null, empty, repeated, very long and ordinary texts; a null id, ties and a repeated row."""

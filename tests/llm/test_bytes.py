@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
+import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -176,7 +179,7 @@ def test_warc_empty(spark, tmp_path):
 
 
 def test_exact_dedup_edges(spark, make, edges):
-    index = exact_dedup.DigestIndex(spark, "index_edges", 4)
+    index = exact_dedup.DigestIndex(spark, f"index_{uuid.uuid4().hex}", 4)
     got = exact_dedup.dedup(make(edges), index).collect()
     assert len(got) == len(edges)
     keep = {}
@@ -188,16 +191,33 @@ def test_exact_dedup_edges(spark, make, edges):
     want = Counter((i, min((x for x in ids if x is not None), default=None), len(ids)) for ids in keep.values() for i in ids)
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == want
     assert index.rows().count() == len(keep)
+    index.drop()
 
 
 def test_exact_dedup_persists(spark, make):
-    index = exact_dedup.DigestIndex(spark, "index_batches", 4)
+    name = f"index_{uuid.uuid4().hex}"
+    index = exact_dedup.DigestIndex(spark, name, 4)
     exact_dedup.dedup(make([(5, "a b"), (6, "c")]), index)
-    again = exact_dedup.dedup(make([(1, "a  b"), (2, "d"), (3, "d")]), exact_dedup.DigestIndex(spark, "index_batches", 4))
+    again = exact_dedup.dedup(make([(1, "a  b"), (2, "d"), (3, "d")]), exact_dedup.DigestIndex(spark, name, 4))
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.collect()} == {1: (5, False), 2: (2, True), 3: (2, False)}
     exact_dedup.dedup(make([(1, "a  b"), (2, "d")]), index)
     assert index.rows().count() == 3
     assert exact_dedup.dedup(make([]), index).count() == 0
+    index.drop()
+
+
+def test_exact_dedup_index_is_compacted(spark, make, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COMPACT_AFTER", 3)
+    name = f"index_{uuid.uuid4().hex}"
+    index = exact_dedup.DigestIndex(spark, name, 2)
+    for k in range(7):
+        exact_dedup.dedup(make([(10 * k, f"text {k}"), (10 * k + 1, "common"), (10 * k + 2, f"text {k - 1}")]), index)
+    assert {r["keep_id"] for r in index.rows().collect()} == {0, 1, 2, 10, 20, 30, 40, 50, 60}
+    assert len(spark.table(name).inputFiles()) <= 2 * 2
+    plan = index.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index.drop()
+    assert not spark.catalog.tableExists(name)
 
 
 # shards
@@ -207,20 +227,69 @@ def test_exact_dedup_persists(spark, make):
 def test_shards_are_even(make, hot):
     rng = random.Random(7)
     rows = [(i, "same text " * 20 if hot and i % 3 == 0 else "".join(rng.choice("abc ") for _ in range(rng.randint(0, 300)))) for i in range(3000)]
-    got = sharding.shard(make(rows), shards=10).collect()
+    got = sharding.shard(make(rows), shards=10).select("document.*", *[F.col(c).alias(f"own_{c}") for c in ("size", "shard", "slot", "crc32")]).collect()
     assert len(got) == len(rows)
     sizes, slots = Counter(), {}
     for r in got:
-        assert r["shard_size"] == len((r["text"] or "").encode()) + 16
-        sizes[r["shard_no"]] += r["shard_size"]
-        slots.setdefault(r["shard_no"], []).append(r["shard_slot"])
+        assert r["own_size"] == len((r["text"] or "").encode()) + 16
+        assert r["own_crc32"] == zlib.crc32((r["text"] or "").encode())
+        sizes[r["own_shard"]] += r["own_size"]
+        slots.setdefault(r["own_shard"], []).append(r["own_slot"])
     assert set(sizes) == set(range(10))
     assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 10 + 700
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_shards_edges(make, edges):
+def sharded_by_force(rows, shards, cuts, tolerance):
+    """Sort all keys, and take for each splitter the boundary that the rounds of probing must end with."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keyed = []
+    for i, t in rows:
+        high = (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 25) << 24
+        low = (42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) & ((1 << 24) - 1)
+        keyed.append((high | low, -(1 << 63) if i is None else i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())))
+    assert all(signed(k[0]) >= 0 for k in keyed)
+    total, edges = sum(k[2] for k in keyed), []
+    allowed = tolerance * total / sharding.SHARDS
+    for n in range(1, shards * cuts):
+        target, prefix, shift = total * n // (shards * cuts), 0, 63
+        below, inside = 0, total
+        while shift and inside > allowed:
+            step = min(shift, 13 if shift == 63 else 5)
+            children = Counter()
+            for k in keyed:
+                if k[0] >> shift == prefix:
+                    children[k[0] >> (shift - step)] += k[2]
+            shift -= step
+            for child in sorted(children):
+                prefix, inside = child, children[child]
+                if below + inside >= target:
+                    break
+                below += inside
+        edges.append((prefix + (2 * (target - below) > inside)) << shift)
+    edges.sort()
+    out = Counter()
+    place: dict[int, int] = {}
+    for key, i, size, crc in sorted(keyed):
+        no = bisect.bisect_right(edges, key) // cuts
+        out[None if i == -(1 << 63) else i, size, crc, no, place.get(no, 0)] += 1
+        place[no] = place.get(no, 0) + 1
+    return out
+
+
+def test_shards_equal_brute_force(make, edges):
+    rng = random.Random(17)
+    rows = edges + [(20 + i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 90)))) for i in range(400)]
+    got = Counter((r["i"], r["size"], r["crc32"], r["shard"], r["slot"]) for r in sharding.shard(make(rows), shards=7, cuts=3).select(F.col("document.doc_id").alias("i"), "size", "crc32", "shard", "slot").collect())
+    assert got == sharded_by_force(rows, 7, 3, sharding.TOLERANCE)
+
+
+def test_shards_edges(make, edges, clashes):
     got = sharding.shard(make(edges), shards=4)
     assert got.count() == len(edges)
-    assert {"row", "score", "digest"} <= set(got.columns)
+    assert all(r[c] == c for r in got.select("document.*").collect() for c in clashes)
     assert sharding.shard(make([])).count() == 0

@@ -202,7 +202,7 @@ def test_held_out_rule(spark):
 def test_raking_meets_targets():
     rng = random.Random(9)
     cells = [(s, l, t, float(rng.randint(500, 5000))) for s in "abcd" for l in ("x", "y", "z") for t in "pq"]
-    p = mixing.rake(cells, {"_source": dict.fromkeys("abcd", 1.0), "_lang": {"x": 2.0, "y": 1.0, "z": 1.0}, "_topic": {"p": 1.0, "q": 1.0}}, keep=0.2, rounds=200)
+    p = mixing.rake(cells, {"source": dict.fromkeys("abcd", 1.0), "lang": {"x": 2.0, "y": 1.0, "z": 1.0}, "topic": {"p": 1.0, "q": 1.0}}, keep=0.2, rounds=200)
     kept = p * np.array([c[3] for c in cells])
     assert kept.sum() == pytest.approx(0.2 * sum(c[3] for c in cells))
     for k, share in ((0, {"a": 0.25, "d": 0.25}), (1, {"x": 0.5, "y": 0.25}), (2, {"p": 0.5})):
@@ -212,21 +212,77 @@ def test_raking_meets_targets():
 
 
 def test_table_and_driver_fits_agree(spark, sf):
-    rows = mixing.described(spark.read.parquet(f"{sf}/documents.parquet")).select(*mixing.MARGINS, "_tokens")
-    cells = rows.groupBy(*mixing.MARGINS).agg(F.sum("_tokens").cast("double").alias("_have"))
-    local = sorted((*[r[m] for m in mixing.MARGINS], r["_have"]) for r in cells.collect())
+    rows = mixing.described(spark.read.parquet(f"{sf}/documents.parquet")).select(*mixing.MARGINS, "tokens")
+    cells = rows.groupBy(*mixing.MARGINS).agg(F.sum("tokens").cast("double").alias("have"))
+    local = sorted((*[r[m] for m in mixing.MARGINS], r["have"]) for r in cells.collect())
     want = dict(zip([c[:3] for c in local], mixing.rake(local, rounds=3), strict=True))
-    got = {tuple(r[m] for m in mixing.MARGINS): r["_probability"] for r in mixing.rake_table(cells, rounds=3).collect()}
+    got = {tuple(r[m] for m in mixing.MARGINS): r["probability"] for r in mixing.rake_table(cells, rounds=3).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
-def test_mixing_edges(spark, make, edges):
+def test_mixing_equals_brute_force(spark):
+    """Words, topics, a scalar fit and the draw of each document, all anew."""
+    import struct
+
+    import xxhash
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+    def topic(t):
+        if "icense" in t or "rights reserved" in t:
+            return "legal"
+        if " | " in t:
+            return "tabular"
+        if "@" in t or "+1 (" in t:
+            return "contact"
+        return "long" if len(t) >= 2000 else "short"
+
+    words = {r["doc_id"]: len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w]) for r in docs}
+    cell = {r["doc_id"]: (r["source"], r["lang"], topic(r["text"] or "")) for r in docs}
+    have = Counter()
+    for i, c in cell.items():
+        have[c] += words[i]
+    total = sum(have.values())
+    want = []
+    for k in range(3):
+        margin = Counter()
+        for c, n in have.items():
+            margin[c[k]] += n
+        power = {name: n**mixing.TEMPERATURE for name, n in margin.items()}
+        want.append({name: v / sum(power.values()) * mixing.KEEP * total for name, v in power.items()})
+    x = {c: mixing.KEEP * n for c, n in have.items()}
+    for _ in range(mixing.ROUNDS):
+        for k in range(3):
+            now = Counter()
+            for c, v in x.items():
+                now[c[k]] += v
+            x = {c: min(have[c], v * want[k][c[k]] / now[c[k]]) for c, v in x.items()}
+    p = {c: x[c] / n if n else 1.0 for c, n in have.items()}
+
+    def drawn(i):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+        return (h >> 11) * 2.0**-53
+
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_raking"](spark, sf).collect()}
+    assert set(got) == set(cell)
+    for i, r in got.items():
+        assert (r["source"], r["lang"], r["topic"], r["n_tokens"]) == (*cell[i], words[i])
+        assert r["probability"] == pytest.approx(p[cell[i]])
+        assert r["kept"] == (drawn(i) < r["probability"])
+    assert 0 < sum(r["kept"] for r in got.values()) < len(got)
+
+
+def test_mixing_edges(spark, make, edges, clashes):
     docs = make(edges).withColumn("lang", F.when(F.col("doc_id") > 4, F.col("lang"))).withColumn("source", F.lit(None).cast("string"))
-    got = mixing.mix(docs).collect()
-    assert len(got) == len(edges)
-    assert all(0 <= r["_probability"] <= 1 for r in got)
-    assert mixing.mix(make([])).count() == 0
-    assert [r["_tokens"] for r in mixing.mix(make([(6, "  spaced   out\n\n text\t")])).collect()] == [3]
+    for most in (mixing.MAX_CELLS, 0):
+        got = mixing.mix(docs, max_cells=most).collect()
+        assert len(got) == len(edges)
+        assert all(0 <= r["probability"] <= 1 for r in got)
+        assert all(r["document"][c] == c for r in got for c in clashes)
+        assert mixing.mix(make([]), max_cells=most).count() == 0
+    assert [r["tokens"] for r in mixing.mix(make([(6, "  spaced   out\n\n text\t")])).collect()] == [3]
+    assert {r["topic"] for r in mixing.mix(docs, topic=F.lower).collect()} == {(t or "").lower() for _, t in edges}
 
 
 # pipeline
@@ -253,7 +309,7 @@ def test_pipeline_stages(spark, sf):
 
 
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
-def test_stage_edges(spark, sf, make, edges, stage):
+def test_stage_edges(spark, sf, make, edges, clashes, stage):
     work = dict(corpus_pipeline.STAGES)[stage]
     docs = make(edges)
     blank = docs.select("doc_id", "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns[2:]])
@@ -262,5 +318,6 @@ def test_stage_edges(spark, sf, make, edges, stage):
         assert out.count() <= len(edges)
         if stage != "byte_bpe":
             assert out.columns == docs.columns
+            assert frame is blank or all(r[c] == c for r in out.collect() for c in clashes)
             assert out.count() == 0 or {r["doc_id"] for r in out.collect()} <= {i for i, _ in edges}
     assert work(spark, make([]), sf).count() == 0

@@ -17,10 +17,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import documents, materialise
+from trawl.llm.shared import Scratch, documents, materialise
 
 #: Digests with at least total / HEAVY_PARTS copies are resolved by a broadcast; there are HEAVY_PARTS of them at most.
 HEAVY_PARTS = 1000
+#: Appends after which the index is rewritten.
+COMPACT_AFTER = 16
+APPENDS = "trawl.appends"
+INDEX_SCHEMA = "digest binary, keep_id long, batch long"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -30,40 +34,74 @@ def normalised_digest(text) -> F.Column:
 
 
 class DigestIndex:
-    """The table (digest binary, keep_id long), bucketed and sorted by digest, in the session's warehouse."""
+    """The table (digest binary, keep_id long, batch long), bucketed and sorted by digest, in the session's warehouse.
+
+    Batches are numbered by appends; where two jobs that ran at once both appended a digest, `rows` takes the earlier batch,
+    then the smaller id. After COMPACT_AFTER appends the table is rewritten with one sorted file a bucket; nothing else may
+    use the index meanwhile.
+    """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None) -> None:
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(table):
-            self._append(spark.createDataFrame([], "digest binary, keep_id long"))
+            self._append(spark.createDataFrame([], INDEX_SCHEMA))
 
     def _append(self, rows: DataFrame) -> None:
-        dealt = rows.select("digest", "keep_id").repartition(self.buckets, "digest")
-        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        self._write(rows, self.table, "append")
+
+    def _write(self, rows: DataFrame, table: str, mode: str) -> None:
+        dealt = rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest")
+        dealt.write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
+
+    def _appends(self) -> int:
+        found = self.spark.sql(f"SHOW TBLPROPERTIES {self.table}").filter(f"key = '{APPENDS}'").first()
+        return int(found["value"]) if found else 0
+
+    def _count(self, appends: int) -> None:
+        self.spark.sql(f"ALTER TABLE {self.table} SET TBLPROPERTIES ('{APPENDS}' = '{appends}')")
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """(digest, keep_id), one row a digest; buckets are read in place, without an exchange."""
+        first = F.min(F.struct("batch", "keep_id"))
+        return self.spark.table(self.table).groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.keep_id").alias("keep_id"))
 
     def add(self, groups: DataFrame) -> None:
         """Append the digests of groups (digest, keep_id) that the index does not hold yet."""
-        self._append(groups.hint("merge").join(self.rows().hint("merge"), "digest", "left_anti"))
+        known, appends = self.spark.table(self.table), self._appends()
+        batch = F.lit(appends).cast("long").alias("batch")
+        self._append(groups.hint("merge").join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id", batch))
+        self._count(appends + 1)
+        if (appends + 1) % COMPACT_AFTER == 0:
+            self.compact()
+
+    def compact(self) -> None:
+        """Rewrite the table with one sorted file a bucket, under a new name that then takes the old one's place."""
+        appends, fresh = self._appends(), f"{self.table}_{uuid.uuid4().hex}"
+        self._write(self.rows().withColumn("batch", F.lit(0).cast("long")), fresh, "error")
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.table}")
+        self._count(appends)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def dedup(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, digest, keep_id, group_size, kept) for each row of docs; new digests go to the index.
 
     keep_id is the document that the index holds for the digest: of an earlier batch if there is one, else the smallest id
-    of this batch. group_size counts the rows of this batch.
+    of this batch. group_size counts the rows of this batch. The result does not read the index any more.
     """
     hashed = materialise(docs.select(F.col(id_column).cast("long").alias("doc_id"), normalised_digest(F.col(text_column)).alias("digest")), "digests")
-    groups = hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = materialise(groups, "groups")
-    index.add(groups)
-    resolved = groups.drop("keep_id").hint("merge").join(index.rows().hint("merge"), "digest")
-
-    total = hashed.count()
-    heavy = resolved.filter(F.col("group_size") * HEAVY_PARTS >= F.greatest(F.lit(total), F.lit(100 * HEAVY_PARTS)))
+    with Scratch(docs.sparkSession) as scratch:
+        groups = hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = scratch.write(groups, "groups")
+        index.add(groups)
+        resolved = materialise(groups.drop("keep_id").hint("merge").join(index.rows().hint("merge"), "digest"), "resolved")
+
+    total = resolved.agg(F.sum("group_size")).first()[0] or 0
+    heavy = resolved.filter(F.col("group_size") * HEAVY_PARTS >= max(total, 100 * HEAVY_PARTS))
     marked = hashed.join(F.broadcast(heavy.select("digest", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))), "digest", "left")
     hot = marked.filter(F.col("_size").isNotNull()).select("doc_id", "digest", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"))
     rest = marked.filter(F.col("_size").isNull()).select("doc_id", "digest").hint("merge").join(resolved, "digest")
@@ -71,11 +109,18 @@ def dedup(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_c
     return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
+def _against_nothing(docs: DataFrame) -> DataFrame:
+    """dedup against an index of its own that starts empty and goes again."""
+    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    try:
+        return dedup(docs, index)
+    finally:
+        index.drop()
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest columns for all documents, against an index that starts empty."""
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = dedup(documents(spark, sf_dir), index)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return _against_nothing(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,18 +129,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A digest has one keep_id, so a row is kept by digest and id together. Where rows repeat both, or have no id, one of them is
     taken by an aggregate, which only such rows go through.
     """
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    kept = dedup(docs, index).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count(F.lit(1)).alias("_copies"))
+    kept = _against_nothing(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).agg(F.count(F.lit(1)).alias("copies"))
     kept = materialise(kept, "kept")
-    own = docs.withColumn("_digest", normalised_digest(F.col("text")))
+    own = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("id"), normalised_digest(F.col("text")).alias("digest"))
 
     def rows_of(groups: DataFrame) -> DataFrame:
-        return own.join(groups, own["doc_id"].cast("long").eqNullSafe(groups["_kept_id"]) & (own["_digest"] == groups["_kept_digest"]), "left_semi")
+        return own.join(groups, own["id"].eqNullSafe(groups["kept_id"]) & (own["digest"] == groups["kept_digest"]), "left_semi")
 
-    repeated = kept.filter("_copies > 1")
+    repeated = kept.filter("copies > 1")
     if repeated.isEmpty():
-        return rows_of(kept).select(*docs.columns)
-    return rows_of(kept.filter("_copies = 1")).unionByName(rows_of(repeated).dropDuplicates(["_digest"])).select(*docs.columns)
+        return rows_of(kept).select("document.*")
+    once = rows_of(repeated).groupBy("digest").agg(F.first("document").alias("document"))
+    return rows_of(kept.filter("copies = 1")).select("document.*").unionByName(once.select("document.*"))
 
 
 SQL = r"""

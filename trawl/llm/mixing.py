@@ -8,14 +8,20 @@ Targets are shares by margin; without given ones a margin's shares are its token
 lifts small sources and holds down a dominant one. KEEP is the share of all tokens to aim at. Cells are pre-aggregated; up
 to MAX_CELLS of them (some megabytes, counted first) are raked on the driver and broadcast, more are raked as a table.
 
+The topic is any string column over the text that the caller names; topic_of, the default, tells surfaces apart, since the
+documents carry no topic.
+
 Defined cases: null source, language or topic is a category of its own; a null or empty text has no tokens and the
 probability of its cell; a cell without tokens gets probability 1; a null id hashes as a constant; repeated ids share
 their fate within a cell; a target for an absent category is ignored; where bounds make the targets unreachable the
-fit is the last iterate, which still obeys the bounds; other columns are kept by `mix`; an empty table gives an empty result.
+fit is the last iterate, which still obeys the bounds; `mix` returns each row of the input as one column `document`, so no
+column of it can clash with its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +33,7 @@ KEEP = 0.7
 ROUNDS = 60
 MAX_CELLS = 100_000
 SEED = 20240
-MARGINS = ("_source", "_lang", "_topic")
+MARGINS = ("source", "lang", "topic")
 ABSENT = "\0"
 
 
@@ -42,15 +48,17 @@ def topic_of(text) -> F.Column:
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens."""
+def described(docs: DataFrame, topic: Callable[[F.Column], F.Column] = topic_of) -> DataFrame:
+    """(document, id, source, lang, topic, tokens): document is the row of docs, topic(text) its topic."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({
-        "_source": F.coalesce(F.col("source").cast("string"), F.lit(ABSENT)),
-        "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(ABSENT)),
-        "_topic": topic_of(text),
-        "_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
-    })
+    return docs.select(
+        F.struct(*docs.columns).alias("document"),
+        F.col("doc_id").alias("id"),
+        F.coalesce(F.col("source").cast("string"), F.lit(ABSENT)).alias("source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit(ABSENT)).alias("lang"),
+        F.coalesce(topic(text), F.lit(ABSENT)).alias("topic"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
+    )
 
 
 def shares(totals: np.ndarray, names: list[str], given: dict[str, float] | None, temperature: float) -> np.ndarray:
@@ -84,32 +92,32 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None = N
     """The same fit for any number of cells, as joins and sums; a margin's totals are read from a written table."""
     spark, wanted = cells.sparkSession, {}
     for margin in MARGINS:
-        totals = cells.groupBy(margin).agg(F.sum("_have").alias("t"))
+        totals = cells.groupBy(margin).agg(F.sum("have").alias("t"))
         given = (targets or {}).get(margin)
         if given:
             chosen = spark.createDataFrame(list(given.items()), f"{margin} string, raw double")
             raw = totals.join(chosen, margin, "left").select(margin, F.when(F.col("t") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0).alias("raw"))
         else:
             raw = totals.select(margin, F.when(F.col("t") > 0, F.pow("t", F.lit(temperature))).otherwise(0.0).alias("raw"))
-        total, tokens = raw.agg(F.sum("raw")).first()[0] or 1.0, cells.agg(F.sum("_have")).first()[0] or 0.0
-        wanted[margin] = materialise(raw.select(margin, (F.col("raw") / total * keep * tokens).alias("_want")), "targets")
-    now = cells.withColumn("_x", F.col("_have") * keep)
+        total, tokens = raw.agg(F.sum("raw")).first()[0] or 1.0, cells.agg(F.sum("have")).first()[0] or 0.0
+        wanted[margin] = materialise(raw.select(margin, (F.col("raw") / total * keep * tokens).alias("want")), "targets")
+    now = cells.withColumn("x", F.col("have") * keep)
     for k in range(rounds):
         for margin in MARGINS:
-            factor = now.groupBy(margin).agg(F.sum("_x").alias("_now")).join(wanted[margin], margin).select(margin, F.when(F.col("_now") > 0, F.col("_want") / F.col("_now")).otherwise(1.0).alias("_f"))
-            now = now.join(factor, margin).withColumn("_x", F.least("_have", F.col("_x") * F.col("_f"))).drop("_f")
+            factor = now.groupBy(margin).agg(F.sum("x").alias("now")).join(wanted[margin], margin).select(margin, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(1.0).alias("f"))
+            now = now.join(factor, margin).withColumn("x", F.least("have", F.col("x") * F.col("f"))).drop("f")
         now = materialise(now, f"raked-{k}")
-    return now.select(*MARGINS, F.when(F.col("_have") > 0, F.col("_x") / F.col("_have")).otherwise(1.0).alias("_probability"))
+    return now.select(*MARGINS, F.when(F.col("have") > 0, F.col("x") / F.col("have")).otherwise(1.0).alias("probability"))
 
 
 def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
-    """(cells with _probability, whether they are few enough to be broadcast); rows as of `described`."""
-    cells = materialise(rows.groupBy(*MARGINS).agg(F.sum("_tokens").cast("double").alias("_have")), "cells")
+    """(cells with probability, whether they are few enough to be broadcast); rows as of `described`."""
+    cells = materialise(rows.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("have")), "cells")
     if cells.count() > max_cells:
         return rake_table(cells, targets, keep), False
-    found = sorted((r["_source"], r["_lang"], r["_topic"], r["_have"]) for r in cells.collect())
+    found = sorted((r["source"], r["lang"], r["topic"], r["have"]) for r in cells.collect())
     fitted = rake(found, targets, keep) if found else []
-    return rows.sparkSession.createDataFrame([(*c[:3], float(p)) for c, p in zip(found, fitted, strict=True)], "_source string, _lang string, _topic string, _probability double"), True
+    return rows.sparkSession.createDataFrame([(*c[:3], float(p)) for c, p in zip(found, fitted, strict=True)], "source string, lang string, topic string, probability double"), True
 
 
 def draw(row_id) -> F.Column:
@@ -117,20 +125,20 @@ def draw(row_id) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(row_id, F.lit(SEED)), 11) * F.lit(2.0**-53)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _probability and _kept."""
-    rows = described(docs)
-    fitted, small = probabilities(described(docs).select(*MARGINS, "_tokens"), targets, keep)
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, max_cells: int = MAX_CELLS, topic: Callable[[F.Column], F.Column] = topic_of) -> DataFrame:
+    """(document, source, lang, topic, tokens, probability, kept): document is the row of docs, null categories are ABSENT."""
+    rows = described(docs, topic)
+    fitted, small = probabilities(rows.select(*MARGINS, "tokens"), targets, keep, max_cells)
     joined = rows.join(F.broadcast(fitted) if small else fitted, list(MARGINS))
-    return joined.withColumn("_kept", draw(F.col("doc_id")) < F.col("_probability"))
+    return joined.select("document", *MARGINS, "tokens", "probability", (draw(F.col("id")) < F.col("probability")).alias("kept"))
 
 
 def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, kept) for all documents."""
     out = mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+    return out.select("document.doc_id", "document.source", "document.lang", "topic", F.col("tokens").alias("n_tokens"), "probability", "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the sampled documents, with their own columns."""
-    return mix(docs).filter("_kept").select(*[F.col(c) for c in docs.columns])
+    return mix(docs).filter("kept").select("document.*")

@@ -11,7 +11,7 @@ The law is `bytes`: shard sizes differ from total / shards by the tolerance (0.1
 
 Defined cases: a null text has no bytes (size 16) and the checksum of the empty text; a null id hashes as a constant; rows
 that tie in key and id follow size and checksum; more shards than rows leave shards empty; an empty table gives an empty
-result. All columns of the input are kept by `shard`; its own columns are prefixed by `shard_`.
+result. `shard` returns each row of the input as one column `document`, so that no column of it can clash with its own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import documents, materialise
+from trawl.llm.shared import Scratch, documents
 
 SHARDS = 40
 CUTS = 8
@@ -78,33 +78,31 @@ def piece_of(key, edges: list[int]) -> F.Column:
 
 
 def shard(df: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", text_column: str = "text", cuts: int = CUTS, tolerance: float = TOLERANCE) -> DataFrame:
-    """df with shard_size, shard_key, shard_no and shard_slot; the rows of a shard are numbered from 0 in key order."""
-    text = F.encode(F.coalesce(F.col(text_column), F.lit("")), "utf-8")
-    sized = df.withColumns({
-        "shard_size": (F.length(text) + ROW_BYTES).cast("long"),
-        "shard_key": sort_key(F.coalesce(F.col(text_column), F.lit("")), F.col(id_column)),
-        "shard_crc32": F.crc32(text),
-    })
-    keys = materialise(sized.select(F.col("shard_key").alias("_key"), F.col("shard_size").alias("_size")), "shard-keys")
-    edges = splitters(keys, shards * cuts, tolerance)
-    rows = {r["piece"]: r["n"] for r in keys.groupBy(piece_of(F.col("_key"), edges).alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """(document, size, crc32, key, shard, slot): document is the row of df; the rows of a shard are numbered in key order."""
+    text, row_id = F.coalesce(F.col(text_column), F.lit("")), F.col(id_column)
+    raw = F.encode(text, "utf-8")
+    sized = df.select(F.struct(*df.columns).alias("document"), row_id.alias("id"), (F.length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("crc32"), sort_key(text, row_id).alias("key"))
+    with Scratch(df.sparkSession) as scratch:
+        keys = scratch.write(sized.select(F.col("key").alias("_key"), F.col("size").alias("_size")), "shard-keys")
+        edges = splitters(keys, shards * cuts, tolerance)
+        rows = {r["piece"]: r["n"] for r in keys.groupBy(piece_of(F.col("_key"), edges).alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, ahead = [], 0
     for piece in range(shards * cuts):
         ahead = 0 if piece % cuts == 0 else ahead
         before.append(ahead)
         ahead += rows.get(piece, 0)
-    order = W.partitionBy("_piece").orderBy("shard_key", F.col(id_column), "shard_size", "shard_crc32")
-    dealt = sized.withColumn("_piece", piece_of(F.col("shard_key"), edges))
-    dealt = dealt.withColumn("shard_slot", F.row_number().over(order) - 1 + F.element_at(F.array(*[F.lit(int(b)) for b in before]).cast("array<bigint>"), F.col("_piece") + 1))
-    return dealt.withColumn("shard_no", F.floor(F.col("_piece") / cuts).cast("int")).drop("_piece")
+    order = W.partitionBy("piece").orderBy("key", "id", "size", "crc32")
+    dealt = sized.withColumn("piece", piece_of(F.col("key"), edges))
+    slot = F.row_number().over(order) - 1 + F.element_at(F.array(*[F.lit(int(b)) for b in before]).cast("array<bigint>"), F.col("piece") + 1)
+    return dealt.select("document", "size", "crc32", "key", F.floor(F.col("piece") / cuts).cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for all documents in 40 shards, under the law `bytes`."""
     out = shard(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
-        "doc_id", F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
-        F.col("shard_no").alias("shard"), F.col("shard_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("document.doc_id").alias("doc_id"), "size", F.col("crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

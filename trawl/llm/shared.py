@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without it (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="trawl-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
@@ -27,12 +29,94 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trawl-{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours by Spark's own file system, wherever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Folders that results read which were handed out; `release` deletes them.
+_HANDED_OUT: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Delete the tables behind all results handed out so far; at the end of the program it is called anyway."""
+    while _HANDED_OUT:
+        spark, path = _HANDED_OUT.pop()
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended, and its folder is the caller's to clear
+            return
+
+
+atexit.register(release)
+
+
+def hand_out(spark: SparkSession, path: str) -> str:
+    _HANDED_OUT.append((spark, path))
+    return path
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, hand_out(df.sparkSession, fresh_path(df.sparkSession, name)))
+
+
+class Scratch:
+    """Tables in the shared folder that are only read until the end of a with block, which deletes them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def folder(self, name: str) -> str:
+        self.paths.append(fresh_path(self.spark, name))
+        return self.paths[-1]
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, self.folder(name))
+
+    def replace(self, old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+        """Write new, which may read old, then delete old, which must be the table written last before."""
+        path = self.paths[-1]
+        out = self.write(new, name)
+        remove(self.spark, path)
+        self.paths.remove(path)
+        return out
+
+
+#: A key with more than a thousandth of all rows, and more than LEAST_HOT rows, is dealt over SALTS tasks.
+HOT_PARTS, LEAST_HOT, SALTS = 1000, 20_000, 32
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined by sort-merge with one (at most a row a key) on key, where a key may hold a large part of many.
+
+    counts (key, n) are many's rows by key; without it they are counted, so many should be a written table. The rows of one
+    that belong to hot keys, HOT_PARTS at most, are copied SALTS times and many's are dealt over the copies by a hash of the row, which a repeated task finds again.
+    """
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") > max(total / HOT_PARTS, LEAST_HOT)).select(F.col(key).alias("_hot_key"))
+    found = [r[0] for r in hot.limit(HOT_PARTS).collect()]
+    if not found:
+        return many.join(one.hint("merge"), key, how)
+    known = F.broadcast(many.sparkSession.createDataFrame([(k,) for k in found], hot.schema))
+    dealt = many.join(known, many[key] == known["_hot_key"], "left").withColumn("_salt", F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot_key")
+    copied = one.join(known, one[key] == known["_hot_key"], "left")
+    copied = copied.withColumn("_salt", F.explode(F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot_key")
+    return dealt.join(copied.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
