@@ -78,10 +78,96 @@ def test_signatures_estimate_similarity():
     keys, bounds, _ = near_dedup.cells(*byte_column(pa.array(texts)))
     found = near_dedup.signatures(keys, bounds)
     for i in range(1, 5):
-        exact = near_dedup.similarity(np.sort(keys[bounds[0] : bounds[1]]).tobytes(), np.sort(keys[bounds[i] : bounds[i + 1]]).tobytes())
+        exact = near_dedup.similarity(keys[bounds[0] : bounds[1]], keys[bounds[i] : bounds[i + 1]])
         assert abs((found[0] == found[i]).mean() - exact) < 0.15
 
 
+def test_signatures_of_real_weights():
+    """Elements 0 to 299 in two texts with weights of their own, as unit cells of which the last may be a part."""
+    rng = np.random.default_rng(8)
+    first = rng.uniform(0.2, 3, 300)
+    second = np.where(rng.random(300) < 0.3, rng.uniform(0.2, 3, 300), first)
+    keys, parts, bounds = [], [], [0]
+    for weights in (first, second):
+        for element, w in enumerate(weights):
+            whole = int(np.ceil(w))
+            keys += [element * 1000 + c for c in range(whole)]
+            parts += [1.0] * (whole - 1) + [w - (whole - 1)]
+        bounds.append(len(keys))
+    keys = near_dedup.mix64(np.array(keys, np.uint64))
+    found = near_dedup.signatures(keys, np.array(bounds), 2048, 2048 * np.log(2048) + 4096, np.array(parts))
+    exact = np.minimum(first, second).sum() / np.maximum(first, second).sum()
+    assert abs((found[0] == found[1]).mean() - exact) < 0.04
+    assert (near_dedup.signatures(keys, np.array(bounds)) == near_dedup.signatures(keys, np.array(bounds), parts=np.ones(len(keys)))).all()
+
+
+def test_no_possible_pair_is_left_out():
+    """All pairs of random multisets with similarities around the threshold, sizes from one cell to thousands."""
+    rng = np.random.default_rng(3)
+    cells = []
+    for size in (1, 2, 5, 9, 40, 300, 3000):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for _ in range(12):
+            own = base.copy()
+            changed = rng.random(size) < rng.uniform(0, 0.25)
+            own[changed] = rng.integers(0, 2**63, int(changed.sum())).astype(np.uint64)
+            cells.append(own[: max(1, int(size * rng.uniform(0.85, 1)))])
+    n = len(cells)
+    want = {(p, q) for p in range(n) for q in range(n) if near_dedup.similarity(cells[p], cells[q]) >= 0.8}
+    got = {(int(p), int(q)) for ps, qs in near_dedup.possible_pairs(cells, np.arange(n), np.arange(n), 0.8) for p, q in zip(ps, qs, strict=True)}
+    assert want <= got and len(want) > 2 * n and len(got) < 1.6 * len(want)
+
+
+def test_links_between_components_of_a_bucket(spark):
+    """Members of one bucket, in blocks of 8, against brute force over all pairs, with sketches as far apart as they may be."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    rows, cells = [], {}
+    for node in range(70):
+        own = base.copy()
+        change = rng.choice(100, rng.integers(4, 14), replace=False)
+        own[change] = rng.integers(0, 2**63, len(change)).astype(np.uint64)
+        cells[node] = own
+        rows.append((node, [77, 88] + [1000 * node + b for b in range(near_dedup.BANDS - 2)], bytearray(own.tobytes())))
+    part = {k: 0 if k % 3 == 0 else k for k in cells}
+    known = spark.createDataFrame(rows, "node long, bands array<long>, cells binary")
+    labelled = spark.createDataFrame([(b, k, part[k]) for b in (77, 88) for k in cells], "bucket long, node long, part long")
+    old, near_dedup.BLOCK = near_dedup.BLOCK, 8
+    try:
+        got = {(r["u"], r["v"]) for r in near_dedup.links_left(labelled, labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), known, 0.8).collect()}
+    finally:
+        near_dedup.BLOCK = old
+    want = {tuple(sorted((part[a], part[b]))) for a in cells for b in range(a) if part[a] != part[b] and near_dedup.similarity(cells[a], cells[b]) >= 0.8}
+    assert got == want and 20 < len(want)
+    assert near_dedup._links_between(pa.table({"bucket": pa.array([], pa.int64())}), 0.8).num_rows == 0
+
+
+def test_near_classes_of_repeated_ids(make):
+    """Rows that repeat an id are classed by their own texts, and the stage keeps one row of each class."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b + " more"), (None, a + " end"), (None, c), (None, c), (8, c + " end"), (9, "x"), (9, "x")]
+    got = Counter((r["doc_id"], r["class_id"], r["first"]) for r in near_dedup.near_classes(make(rows)).collect())
+    assert got == Counter([(5, 5, True), (5, 3, False), (3, 3, True), (None, 5, False), (None, 8, False), (None, 8, False), (8, 8, True), (9, 9, True), (9, 9, True)])
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.stage(None, make(rows), "").collect())
+    assert kept == Counter([(5, a), (3, b + " more"), (8, c + " end"), (9, "x")])
+
+
+def test_salted_join(spark):
+    from trawl.llm import shared
+
+    many = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id")).alias("k"), "id")
+    one = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionByName(spark.createDataFrame([(1, 7)], "k long, w long"))
+    old, shared.LEAST_HOT = shared.LEAST_HOT, 100
+    try:
+        for how in ("inner", "left"):
+            want = Counter(map(tuple, many.join(one, "k", how).collect()))
+            assert Counter(map(tuple, shared.salted_join(many, one, "k", how).collect())) == want
+    finally:
+        shared.LEAST_HOT = old
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import materialise
+from trawl.llm.shared import Scratch, materialise, salted_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang each node's larger (or, for a small star, its smaller) neighbours on the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    joined = salted_join(both, least.select("u", "m"), "u", counts=least.select("u", "n"))
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -22,14 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (u, v): the least node that can be reached. Ends as no edge changes."""
-    now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    mark = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-        if not seen["n"]:
-            break
-        now = materialise(_star(_star(now, True), False), "stars")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        mark = None
+        while True:
+            seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
+            if tuple(seen) == mark or not seen["n"]:
+                break
+            mark = tuple(seen)
+            now = scratch.replace(now, _star(_star(now, True), False), "stars")
+        return materialise(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "components")

@@ -9,15 +9,18 @@ length, and a coordinate keeps its earliest dart; documents with an empty coordi
 
 Exact copies (equal word sequences) are one node. Per band a bucket's members are compared with one hub, picked by a hash
 that differs by band, so a large group is linked by stars over many hubs and its pairs are never listed. Buckets that still
-hold different components are then searched block by block for links between these, pairs whose sketches differ in over
-BIT_LIMIT bits aside, which finds the links that no hub saw; such pairs never become rows, only links do. A link is kept
-after an exact comparison over the whole texts. Components are the classes.
-
-Chance of missing a pair of similarity 0.8: (1 - 0.8^6)^32 = 0.00006, less above.
-
-Defined cases: a text of fewer than five words is one shingle; texts without words are copies of each other; a row whose
-id is null follows its exact copies, else it has a null class and stays; repeated ids fall into the class of the least;
-other columns are ignored; an empty table gives an empty result.
+hold several components are then searched for links that no hub saw: the members outside the bucket's largest component
+meet all others, block by block. Inside a block a pair is left out only where it cannot reach the threshold: by the numbers
+of cells, or since the bitmaps of both (parities of hashed cells) differ in more bits than so many cells could. Pairs never
+become rows; of the links between two components a block returns one. All comparisons are exact and over whole texts.
+Components are the classes.
+
+Chance of missing a pair of similarity 0.8: (1 - 0.8^6)^32 = 0.00006, less above; nothing else can lose a link.
+
+Defined cases: a text of fewer than five words is one shingle; texts without words are copies of each other; rows whose id is
+null are compared as all others, and where a class has no other its id is null; rows that repeat an id are told apart by their
+texts, so each has the class of its own text; rows that repeat id and text have one class; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,18 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.quality import _LOWER, _powers, slices
-from trawl.llm.shared import bounded_batches, documents, materialise, mix64
+from trawl.llm.shared import LOWER, Scratch, bounded_batches, documents, materialise, mix64, powers, salted_join, slices
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 32
 COORDINATES = ROWS * BANDS
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
-#: Of 192 one-bit coordinates so many may differ at most in a pair that is compared; at 0.8 the mean is 19, this 4.5 sigmas off.
-BIT_LIMIT = 38
 #: Members of a bucket that are compared with as many others at once.
-BLOCK = 1024
+BLOCK = 512
+#: Bits of a bitmap: twice the cells of the larger text, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 17
 
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, n + 1, dtype=float)) for n in range(19)])
@@ -64,9 +66,9 @@ def cells(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np
         tails = offsets[1:][offsets[1:] > 0] - 1
         last[tails] = True
         ends = np.flatnonzero(last & ~space) + 1
-        power, inverse = _powers(n)
+        power, inverse = powers(n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LOWER[data] * power[:n], out=sums[1:])
+        np.cumsum(LOWER[data] * power[:n], out=sums[1:])
         word = mix64((sums[ends] - sums[starts]) * inverse[starts])
         bounds = np.searchsorted(starts, offsets)
     else:
@@ -98,28 +100,35 @@ def cells(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np
     return keys, bounds, digests
 
 
-def signatures(keys: np.ndarray, bounds: np.ndarray, k: int = COORDINATES, darts: float = DARTS) -> np.ndarray:
-    """The earliest dart (rank in the high 40 bits, identity below) of each coordinate; all ones where a text has no cell."""
+def signatures(keys: np.ndarray, bounds: np.ndarray, k: int = COORDINATES, darts: float = DARTS, parts: np.ndarray | None = None) -> np.ndarray:
+    """The earliest dart (rank in the high 40 bits, identity below) of each coordinate; all ones where a text has no cell.
+
+    An element's region is made of cells of weight 1; the last one of an element whose weight isn't whole has a part in
+    (0, 1) and holds the darts whose place in the cell lies below it. Without parts all cells are whole.
+    """
     docs = len(bounds) - 1
     out = np.full((docs, k), _NONE, np.uint64)
-    weight = np.diff(bounds)
-    todo, reach = np.flatnonzero(weight), float(darts)
+    number_of = np.diff(bounds)
+    weight = number_of.astype(float) if parts is None else np.diff(np.concatenate([[0.0], np.cumsum(parts)])[bounds])
+    todo, reach = np.flatnonzero(number_of), float(darts)
     while len(todo):
         depth = np.ceil(reach / weight[todo]).astype(np.int64)
-        for at in _portions(weight[todo] * depth):
+        for at in _portions(number_of[todo] * depth):
             own, deep = todo[at], depth[at]
-            size = weight[own] * deep
+            size = number_of[own] * deep
             row = np.repeat(np.arange(len(own)), size)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            key = keys[bounds[own][row] + nth // deep[row]]
+            cell = bounds[own][row] + nth // deep[row]
             level = (nth % deep[row]).astype(np.uint64)
-            seed = mix64(key + (level + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+            seed = mix64(keys[cell] + (level + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
             number = np.searchsorted(_POISSON, (seed >> np.uint64(11)) * 2.0**-53, "right")
-            dart_row, dart_level, dart_seed = (np.repeat(x, number) for x in (row, level, seed))
+            dart_row, dart_level, dart_seed, dart_cell = (np.repeat(x, number) for x in (row, level, seed, cell))
             turn = np.arange(len(dart_row)) - np.repeat(np.cumsum(number) - number, number)
             dart = mix64(dart_seed + (turn.astype(np.uint64) + np.uint64(1)) * _STEP)
             rank = dart_level.astype(float) + (dart >> np.uint64(32)) * 2.0**-32
             near = rank <= reach / weight[own][dart_row]
+            if parts is not None:
+                near &= (mix64(dart + _STEP) >> np.uint64(11)) * 2.0**-53 < parts[dart_cell]
             dart, rank, dart_row = dart[near], rank[near], dart_row[near]
             other = mix64(dart ^ np.uint64(0x94D049BB133111EB))
             slot = (other >> np.uint64(40)) % np.uint64(k)
@@ -150,20 +159,14 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix64(out + np.arange(BANDS, dtype=np.uint64) * _STEP)
 
 
-def sketch_bits(signature: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate, packed into three 64-bit words."""
-    return np.packbits((mix64(signature) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, to, data, offsets in slices(batch.column(1)):
+        for at, to, data, offsets in slices(batch.column(2)):
             keys, bounds, digests = cells(data, offsets)
             signature = signatures(keys, bounds)
             bands = pa.ListArray.from_arrays(np.arange(0, (to - at) * BANDS + 1, BANDS, dtype=np.int32), pa.array(band_keys(signature).view(np.int64).ravel()))
-            bits = pa.ListArray.from_arrays(np.arange(0, (to - at) * 3 + 1, 3, dtype=np.int32), pa.array(sketch_bits(signature).view(np.int64).ravel()))
             own = pa.array([d.tobytes() for d in digests], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), own, pa.array(np.diff(bounds) > 0), bands, bits], ["doc_id", "digest", "worded", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), own, pa.array(np.diff(bounds) > 0), bands], ["doc_id", "mark", "digest", "worded", "bands"])
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,134 +174,174 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to, data, offsets in slices(batch.column(1)):
             keys, bounds, _ = cells(data, offsets)
             own = [np.sort(keys[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(own, pa.binary())], ["doc_id", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(own, pa.binary())], ["node", "cells"])
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard coefficient of two sorted lists of cells."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard coefficient of two lists of cells."""
     if not len(x) and not len(y):
         return 1.0
     both = np.concatenate([x, y])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return common / (len(x) + len(y) - common)
+    return common / (len(both) - common)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [similarity(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+        values = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["u", "v", "similarity"])
 
 
-def cells_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, cells) of the texts whose id is in ids (doc_id, distinct), written to the shared folder."""
-    return materialise(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_cell_rows, "doc_id long, cells binary"), "cells")
+def compare(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(u, v, similarity) of each pair (u, v) of a written table, exact over the whole texts; a hub may be in many pairs."""
+    left, right = cells.select(F.col("node").alias("u"), F.col("cells").alias("cu")), cells.select(F.col("node").alias("v"), F.col("cells").alias("cv"))
+    half = salted_join(pairs, left, "u")
+    both = salted_join(half, right, "v", counts=pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    return both.select("u", "v", "cu", "cv").mapInArrow(_compare, "u long, v long, similarity double")
+
+
+def bitmaps(cells: list[np.ndarray], bits: int) -> np.ndarray:
+    """For each list of cells the parities of the numbers of its cells with a hash in each of `bits` places, as words."""
+    out = np.zeros((len(cells), bits >> 6), np.uint64)
+    at = np.concatenate(cells) & np.uint64(bits - 1)
+    row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    np.bitwise_xor.at(out, (row, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return out
 
 
-def compare(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """(u, v, similarity) of each pair (u, v), exact over the whole texts."""
-    left, right = cells.select(F.col("doc_id").alias("u"), F.col("cells").alias("cu")), cells.select(F.col("doc_id").alias("v"), F.col("cells").alias("cv"))
-    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "cu", "cv").mapInArrow(_compare, "u long, v long, similarity double")
+def possible_pairs(cells: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (p of left, q of right) without those that cannot reach the threshold.
+
+    With a similarity of t or more, sizes a <= b obey a >= t b, and at most (1 - t) / (1 + t) (a + b) cells are in only one of
+    the two, each of which changes one bit of the parities.
+    """
+    size = np.array([len(c) for c in cells])
+    slack = (1 - threshold) / (1 + threshold)
+    classes = np.ceil(np.log2(np.maximum(size[left], 1))).astype(int)
+    for c in np.unique(classes):
+        own = left[classes == c]
+        near = right[(size[right] >= threshold * size[own].min() - 1e-9) & (size[right] * threshold <= size[own].max() + 1e-9)]
+        if not len(near):
+            continue
+        bits = int(np.clip(2 << c, LEAST_BITS, MOST_BITS))
+        ours, theirs = bitmaps([cells[k] for k in own], bits), bitmaps([cells[k] for k in near], bits)
+        step = max(1, (1 << 22) // theirs.size)
+        for at in range(0, len(own), step):
+            p = own[at : at + step]
+            differ = np.bitwise_count(ours[at : at + step, None, :] ^ theirs[None, :, :]).sum(axis=2, dtype=np.int64)
+            a, b = size[p][:, None], size[near][None, :]
+            x, y = np.nonzero((differ <= slack * (a + b) + 1e-9) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9))
+            yield p[x], near[y]
 
 
 def _links_between(table: pa.Table, threshold: float) -> pa.Table:
-    """Links between different components of one bucket's block pair; rows (bucket, i, j, sub, node, part, bits, bands, cells).
+    """A link (u, v) for each two components that are linked within one block pair; rows (bucket, i, j, sub, part, bands, cells).
 
-    A pair that shares several buckets is compared in the first band of them. Cells are 32-bit here, which can only raise
-    a similarity; what is found is compared again in full.
+    A pair that shares several buckets is compared in the first band of them.
     """
-    if not table.num_rows:
-        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-    bucket, i, j = (table[c][0].as_py() for c in ("bucket", "i", "j"))
-    sub, node, part = (np.asarray(table[c].combine_chunks()) for c in ("sub", "node", "part"))
-    bits = np.asarray(table["bits"].combine_chunks().flatten(), np.int64).view(np.uint64).reshape(-1, 3)
-    bands = np.asarray(table["bands"].combine_chunks().flatten(), np.int64).reshape(-1, BANDS)
-    cells = [np.frombuffer(c, np.uint32) for c in table["cells"].to_pylist()]
-    left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
-    band = int(np.flatnonzero(bands[0] == bucket)[0])
     us, vs = [], []
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        differ = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(axis=2)
-        near = (differ <= BIT_LIMIT) & (part[rows][:, None] != part[right][None, :])
-        x, y = np.nonzero(near)
-        x, y = rows[x], right[y]
-        if i == j:
-            x, y = x[x < y], y[x < y]
-        for start in range(0, len(x), 65536):
-            p, q = x[start : start + 65536], y[start : start + 65536]
+    if table.num_rows:
+        bucket, i, j = (table[c][0].as_py() for c in ("bucket", "i", "j"))
+        sub, part = (np.asarray(table[c].combine_chunks()) for c in ("sub", "part"))
+        bands = np.asarray(table["bands"].combine_chunks().flatten(), np.int64).reshape(-1, BANDS)
+        cells = [np.frombuffer(c, np.uint64) for c in table["cells"].to_pylist()]
+        band, known = int(np.flatnonzero(bands[0] == bucket)[0]), set()
+        for p, q in possible_pairs(cells, np.flatnonzero(sub == i), np.flatnonzero(sub == j), threshold):
+            fine = part[p] != part[q]
+            if i == j:
+                fine &= p < q
+            p, q = p[fine], q[fine]
             first = np.argmax(bands[p] == bands[q], axis=1) == band
-            for m, n in zip(p[first], q[first], strict=True):
-                a, b = cells[m], cells[n]
-                least, most = sorted((len(a), len(b)))
-                if least >= threshold * most:
-                    both = np.concatenate([a, b])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    if common >= threshold * (len(both) - common):
-                        us.append(min(node[m], node[n]))
-                        vs.append(max(node[m], node[n]))
+            for m, n in zip(p[first].tolist(), q[first].tolist(), strict=True):
+                link = (min(part[m], part[n]), max(part[m], part[n]))
+                if link not in known and similarity(cells[m], cells[n]) >= threshold:
+                    known.add(link)
+                    us.append(link[0])
+                    vs.append(link[1])
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def links_left(placed: DataFrame, found: DataFrame, worded: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): links within the buckets that still hold several components, block by block; pairs stay inside a task."""
-    labelled = placed.join(found.withColumnRenamed("node", "_node").hint("merge"), F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = materialise(labelled.join(mixed.hint("merge"), "bucket"), "members")
-    known = worded.select(F.col("node").alias("_node"), "bits", "bands").join(members.select(F.col("node").alias("_node")).distinct().hint("merge"), "_node", "left_semi")
-    narrow = cells.mapInArrow(_narrow, "doc_id long, cells binary").withColumnRenamed("doc_id", "_id")
-    full = members.join(known.join(narrow.hint("merge"), F.col("_node") == F.col("_id")).hint("merge"), F.col("node") == F.col("_node"))
-    sub = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = full.select("bucket", "node", "part", "bits", "bands", "cells", sub.alias("sub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = dealt.select("bucket", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "node", "part", "bits", "bands", "cells")
-    return keyed.groupBy("bucket", "i", "j").applyInArrow(lambda t: _links_between(t, threshold), "u long, v long").distinct()
-
+def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between the components of a bucket, for buckets that hold several; pairs stay inside a task.
 
-def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells cut to 32 bits."""
-    for batch in batches:
-        cut = [np.frombuffer(c, np.uint64).astype(np.uint32).tobytes() for c in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["doc_id", "cells"])
+    labelled is a written table (bucket, node, part), counts has the members n of each bucket, known (node, bands, cells).
+    The members of a bucket's largest part are cut into blocks that meet only the blocks of the others.
+    """
+    parts = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
+    largest = F.max(F.struct("m", "part"))
+    mixed = parts.groupBy("bucket").agg(largest.alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n")).filter("parts > 1")
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("top.part").alias("main"), blocks(F.col("n") - F.col("top.m")).alias("minor"), blocks(F.col("top.m")).alias("major"))
+    members = salted_join(labelled, mixed, "bucket", counts=counts)
+    own = F.col("part") == F.col("main")
+    dealt = F.pmod(F.xxhash64("node"), F.when(own, F.col("major")).otherwise(F.col("minor"))).cast("int") + F.when(own, F.col("minor")).otherwise(0)
+    others = F.sequence(F.lit(0), F.col("minor") - 1 + F.when(own, 0).otherwise(F.col("major")))
+    full = members.select("bucket", "node", "part", dealt.alias("sub"), others.alias("others")).join(known.hint("merge"), "node")
+    keyed = full.select("bucket", "part", "sub", "bands", "cells", F.explode("others").alias("other"))
+    keyed = keyed.select("bucket", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "part", "bands", "cells")
+    return keyed.groupBy("bucket", "i", "j").applyInArrow(lambda t: _links_between(t, threshold), "u long, v long").distinct()
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, class_id) for each row of docs; class_id is the least id of the class."""
+    """(doc_id, mark, class_id, first) for each row of docs: mark is a hash of the text, class_id the least id of the class,
+    first is true for the row with this id (of several, with the least mark)."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    sketched = materialise(texts.mapInArrow(_sketch, "doc_id long, digest binary, worded boolean, bands array<long>, bits array<long>"), "sketches")
-    nodes = sketched.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("worded").alias("worded"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    nodes = materialise(nodes, "nodes")
-    worded = nodes.filter("worded AND node IS NOT NULL")
-
-    buckets = worded.select(F.explode("bands").alias("bucket"), "node").withColumn("turn", F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node")))
-    hubs = buckets.groupBy("bucket").agg(F.min("turn").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.col("hub.node").alias("hub"))
-    placed = materialise(buckets.select("bucket", "node").join(hubs.hint("merge"), "bucket"), "buckets")
-    pairs = materialise(placed.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
-    cells = cells_of(texts, placed.select(F.col("node").alias("doc_id")).distinct())
-    links = materialise(compare(pairs, cells).filter(F.col("similarity") >= threshold).select("u", "v").distinct(), "links")
-    found = materialise(components(links), "components")
-
-    more = materialise(links_left(placed, found, worded, cells, threshold), "more")
-    if not more.isEmpty():
-        sure = compare(more, cells).filter(F.col("similarity") >= threshold).select("u", "v").distinct()
-        found = materialise(components(links.unionByName(sure)), "components")
-
-    classes = nodes.select("digest", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    classes = materialise(classes, "classes")
-    return sketched.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    sketched = materialise(texts.mapInArrow(_sketch, "doc_id long, mark long, digest binary, worded boolean, bands array<long>"), "sketches")
+    with Scratch(docs.sparkSession) as scratch:
+        row = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
+        nodes = sketched.groupBy("digest").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"), F.first("worded").alias("worded"), F.first("bands").alias("bands"))
+        # numbers of the nodes, fixed as the table is written
+        nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        worded = nodes.filter("worded")
+
+        buckets = worded.select(F.explode("bands").alias("bucket"), "node")
+        turn = F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"))
+        hubs = scratch.write(buckets.groupBy("bucket").agg(F.min(turn).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.col("hub.node").alias("hub"), "n"), "hubs")
+        counts = hubs.select("bucket", "n")
+        placed = scratch.write(salted_join(buckets, hubs.drop("n"), "bucket", counts=counts), "buckets")
+        pairs = scratch.write(placed.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
+        known = worded.select("node", "bands", "least").join(placed.select("node").distinct().hint("merge"), "node", "left_semi")
+        wanted = known.select("node", "least.doc_id", "least.mark")
+        same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"])
+        cells = texts.join(wanted.hint("merge"), same).select("node", "text").mapInArrow(_cell_rows, "node long, cells binary")
+        cells = scratch.write(cells.groupBy("node").agg(F.first("cells").alias("cells")), "cells")
+        links = scratch.write(compare(pairs, cells).filter(F.col("similarity") >= threshold).select("u", "v"), "links")
+        found = components(links)
+
+        labelled = placed.select("bucket", "node").join(found.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        labelled = scratch.write(labelled, "labelled")
+        more = scratch.write(links_left(labelled, counts, known.select("node", "bands").join(cells.hint("merge"), "node"), threshold), "more")
+        parts = nodes.select("digest", "node", "least").join(found.hint("merge"), "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
+        merged = components(more).select(F.col("node").alias("part"), "component")
+        parts = salted_join(scratch.write(parts, "parts"), merged, "part", "left").select("digest", "least", F.coalesce("component", "part").alias("part"))
+        parts = scratch.write(parts, "merged")
+        tops = parts.groupBy("part").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("n"))
+        classes = materialise(salted_join(parts.select("digest", "part"), tops.select("part", "top"), "part", counts=tops.select("part", "n")).select("digest", "top"), "classes")
+        rows = salted_join(sketched.select("doc_id", "mark", "digest"), classes, "digest", counts=nodes.select("digest", "n"))
+    first = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("mark") == F.col("top.mark"))
+    return rows.select("doc_id", "mark", F.col("top.doc_id").alias("class_id"), first.alias("first"))
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, class_id, kept) for all documents; one of each class is kept, that with the least id."""
-    return near_classes(documents(spark, sf_dir)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", F.col("first").alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with the least id of their class, with their own columns.
+    """Pipeline stage: exactly one row of each class, that with the least id, with its own columns.
 
-    Rows that repeat an id go together, if one of them goes; a row without id stays.
+    A row is known by id and text; only rows that repeat both and are to stay go through an aggregate.
     """
-    gone = near_classes(docs).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = near_classes(docs)
+    gone = rows.filter("NOT first").select("doc_id", "mark").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_mark"))
+    same = lambda other: own["id"].eqNullSafe(other["doc_id"]) & (own["own_mark"] == other["mark"])
+    left = own.join(gone, same(gone), "left_anti")
+    again = materialise(rows.filter("first").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    if again.isEmpty():
+        return left.select("document.*")
+    once = own.join(again, same(again), "left_semi").groupBy("id", "own_mark").agg(F.first("document").alias("document"))
+    return left.join(again, same(again), "left_anti").select("document.*").unionByName(once.select("document.*"))

@@ -21,33 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import bounded_batches, byte_column, documents, mix64
+from trawl.llm.shared import LOWER, bounded_batches, documents, mix64, powers, slices
 
 MAX_FIT = 6000
 BITS = 18
 EPOCHS = 4
 SCALE = 8.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0
-#: Bytes of text that are turned into features at once.
-CHUNK = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SAME = np.uint64(0x5EED)
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i up to at least n; the largest tables yet are kept."""
-    if not _POWERS or len(_POWERS[0][0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        ones = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        for x in ones:
-            x[0] = 1
-        _POWERS[:] = [(np.cumprod(ones[0], dtype=np.uint64), np.cumprod(ones[1], dtype=np.uint64))]
-    return _POWERS[0]
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +46,9 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     ends = np.append(starts[1:], n)
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[data] * power[:n], out=sums[1:])
+    np.cumsum(LOWER[data] * power[:n], out=sums[1:])
     hashes = mix64((sums[ends] - sums[starts]) * inverse[starts])
     return hashes, np.searchsorted(starts, offsets)
 
@@ -84,16 +67,6 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return single, pair, bounds
 
 
-def slices(column, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The rows of an Arrow text column, some megabytes at a time: first and last row, bytes, offsets."""
-    data, offsets = byte_column(column)
-    at, n = 0, len(column)
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
-
-
 class Model:
     """Weights of 2^bits features and a bias."""
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -155,3 +156,33 @@ def byte_column(column) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     first = offsets[0] if len(offsets) else 0
     return data[first : offsets[-1]] if len(offsets) else data[:0], offsets - first
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+#: A byte's value in hashes of words: ASCII capitals count as small letters.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
+#: Bytes of text that are worked on at once.
+CHUNK = 1 << 20
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i up to at least n; the largest tables yet are kept."""
+    if not _POWERS or len(_POWERS[0][0]) <= n:
+        size = 1 << max(16, int(n).bit_length())
+        ones = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+        for x in ones:
+            x[0] = 1
+        _POWERS[:] = [(np.cumprod(ones[0], dtype=np.uint64), np.cumprod(ones[1], dtype=np.uint64))]
+    return _POWERS[0]
+
+
+def slices(column, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The rows of an Arrow text column, some megabytes at a time: first and last row, bytes, offsets."""
+    data, offsets = byte_column(column)
+    at, n = 0, len(column)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to

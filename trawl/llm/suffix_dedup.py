@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.quality import slices
-from trawl.llm.shared import bounded_batches, documents, materialise
+from trawl.llm.shared import bounded_batches, documents, materialise, slices
 from trawl.llm.windows import LENGTH, SPREAD, byte_sums, pieces, string_hash
 
 #: Strings of one construction; a collection (one core) is never divided.

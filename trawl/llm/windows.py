@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from trawl.llm.quality import _powers
-from trawl.llm.shared import mix64
+from trawl.llm.shared import mix64, powers
 
 LENGTH = 200
 ANCHOR = 32
@@ -23,12 +22,12 @@ def byte_sums(data: np.ndarray, salt: int = 1) -> np.ndarray:
     """Prefix sums of a polynomial in the bytes, from which the hash of any string of data follows."""
     sums = np.zeros(len(data) + 1, np.uint64)
     values = data.astype(np.uint64) + np.uint64(1) if salt == 1 else mix64(data.astype(np.uint64) + np.uint64(salt))
-    np.cumsum(values * _powers(len(data))[0][: len(data)], out=sums[1:])
+    np.cumsum(values * powers(len(data))[0][: len(data)], out=sums[1:])
     return sums
 
 
 def string_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix64((sums[end] - sums[start]) * _powers(len(sums) - 1)[1][start])
+    return mix64((sums[end] - sums[start]) * powers(len(sums) - 1)[1][start])
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
