@@ -265,7 +265,7 @@ def _links_between(table: pa.Table, threshold: float) -> pa.Table:
 def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """(u, v): links between the components of a bucket, for buckets that hold several; pairs stay inside a task.
 
-    labelled is a written table (bucket, node, part), counts has the members n of each bucket, known (node, bands, cells).
+    labelled is a written table (bucket, node, part), counts has at least the members n of each bucket, known (node, bands, cells).
     The members of a bucket's largest part are cut into blocks that meet only the blocks of the others.
     """
     parts = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
@@ -311,9 +311,14 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str
         links = scratch.write(compare(pairs, cells).filter(F.col("similarity") >= threshold).select("u", "v"), "links")
         found = components(links)
 
-        labelled = placed.select("bucket", "node").join(found.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        # what a hub was compared with needs no second look, so buckets of two are done
+        rest = placed.filter("node <> hub").select("bucket", "node")
+        labelled = rest.join(found.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
         labelled = scratch.write(labelled, "labelled")
-        more = scratch.write(links_left(labelled, counts, known.select("node", "bands").join(cells.hint("merge"), "node"), threshold), "more")
+        known = scratch.write(known.select("node", "bands").join(cells.hint("merge"), "node"), "known")
+        for done in (placed, pairs, links, cells):
+            scratch.drop(done)
+        more = scratch.write(links_left(labelled, counts, known, threshold), "more")
         parts = nodes.select("digest", "node", "least").join(found.hint("merge"), "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
         merged = components(more).select(F.col("node").alias("part"), "component")
         parts = salted_join(scratch.write(parts, "parts"), merged, "part", "left").select("digest", "least", F.coalesce("component", "part").alias("part"))

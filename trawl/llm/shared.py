@@ -36,6 +36,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def open_fs(path: str):
+    """(file system, path) for a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 #: Folders that results read which were handed out; `release` deletes them.
 _HANDED_OUT: list[tuple[SparkSession, str]] = []
 
@@ -72,7 +79,7 @@ class Scratch:
     """Tables in the shared folder that are only read until the end of a with block, which deletes them."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.of = spark, [], {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -86,19 +93,26 @@ class Scratch:
         return self.paths[-1]
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        return _written(df, self.folder(name))
+        path = self.folder(name)
+        out = _written(df, path)
+        self.of[id(out)] = (out, path)
+        return out
 
-    def replace(self, old: DataFrame, new: DataFrame, name: str) -> DataFrame:
-        """Write new, which may read old, then delete old, which must be the table written last before."""
-        path = self.paths[-1]
-        out = self.write(new, name)
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that `write` returned and nothing will read again."""
+        _, path = self.of.pop(id(table))
         remove(self.spark, path)
         self.paths.remove(path)
+
+    def replace(self, old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+        """Write new, which may read old, then delete old."""
+        out = self.write(new, name)
+        self.drop(old)
         return out
 
 
 #: A key with more than a thousandth of all rows, and more than LEAST_HOT rows, is dealt over SALTS tasks.
-HOT_PARTS, LEAST_HOT, SALTS = 1000, 20_000, 32
+HOT_PARTS, LEAST_HOT, SALTS = 1000, 1000, 32
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:

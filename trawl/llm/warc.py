@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from trawl.llm.shared import bounded_batches, fresh_path
+from trawl.llm.shared import bounded_batches, fresh_path, open_fs
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 16 << 20
@@ -42,13 +42,6 @@ _ARROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("tar
 _PUSHED = ("page_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to")
 
 
-def open_fs(path: str):
-    """(file system, path) for a URI or a local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def record_uri(page_id: int) -> str:
     return f"<urn:uuid:{uuid.UUID(int=ID_SPACE | page_id & (1 << 64) - 1)}>"
 
