@@ -1,10 +1,13 @@
 """Operator 4, personal data by weak supervision.
 
 Candidates are spans of fixed shapes: the four base kinds of the contract, shapes that nearly are one of them, national
-numbers, secrets and names. Labelers (regular expressions on shape, gazetteers, context words before the span) vote 1,
-0 or abstain on each. A first pass counts the distinct (kind, votes) tuples: as many as there are kinds times 3^labelers
-at most, whatever the input. Expectation-maximisation on these counts estimates each labeler's sensitivity and
-specificity and each kind's rate; a logistic span classifier is then trained on the posteriors. A second pass applies it.
+numbers, secrets and names. Labelers vote 1 (personal), 0 (not) or abstain on each; they look at different things (form,
+validity, gazetteers, words before, words after, neighbouring characters, variety, company of other spans), each with
+errors of its own. A first pass writes a row a candidate. Expectation-maximisation over the counts of all distinct (kind,
+votes), of which there are at most kinds times 3^labelers whatever the input, estimates each labeler's sensitivity and
+specificity by kind, shrunk towards its mean over kinds, and each kind's rate. The final span classifier, a logistic
+regression on hashed features of the span's own characters and its surroundings (not the votes), is trained on the
+posteriors of a bounded sample: about MAX_FIT candidates a kind, by a hash of document and place. A second pass applies it.
 Base spans always stay; other candidates are added where the classifier gives THRESHOLD or more and no base span overlaps.
 
 Defined cases: a null text is the empty text; texts of any length are scanned in linear time and without windows;
@@ -14,9 +17,11 @@ ignored; an empty table gives an empty result and a model that adds nothing.
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left, insort
+import zlib
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import bounded_batches, documents
+from trawl.llm.shared import Scratch, bounded_batches, documents
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds of spans, base first; `near_` candidates are spans that fail a base rule.
 KINDS = (*BASE, "near_card", "near_phone", "national_id", "secret", "name")
 THRESHOLD = 0.5
-EM_ROUNDS = 50
-MAX_PATTERNS = len(KINDS) * 3**6
-
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_EMAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+EM_ROUNDS = 60
+#: Candidates a kind from which the classifier is fitted, and bits of its feature hash.
+MAX_FIT = 2000
+FEATURE_BITS = 14
+#: Characters on either side of a span that labelers and features look at.
+REACH = 40
+#: Characters within which another span is company.
+NEIGHBOURHOOD = 200
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -45,24 +55,29 @@ _SECRET = re.compile(r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))[ ]?[:
 _THREE = re.compile(r"[0-9]{3}")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Sr", "Sra", "Mme")
 _NAME = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ([A-Z][a-z]+(?: [A-Z][a-z]+)?)")
+_WORD = re.compile(r"[^\W\d_]+")
 
-#: Common given names and mail domains' last labels of the gazetteers.
+#: Common given names, last labels of mail domains, country calling codes, and issuers' first digits.
 GIVEN_NAMES = frozenset("anna john mary peter paul maria james robert linda david susan hans klaus petra jean pierre marie claire jose carmen luis ana juan laura michael thomas sarah emma lucas marc".split())
 DOMAIN_ENDS = frozenset("com org net edu gov info io de fr es eu uk us ch at".split())
+CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "86", "91", "351", "353", "358", "385", "386", "420", "421")
+ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36")
+#: Words near a span that speak for its kind, and words near a number that speak against any.
 _CONTEXT = {
-    "email": "email e-mail mail contact write",
-    "ip": "ip host server address from login",
+    "email": "email e-mail mail contact write correo courriel",
+    "ip": "ip host server address from login client",
     "card": "card visa mastercard credit payment karte carte tarjeta",
     "phone": "phone tel call fax mobile contact telefon",
-    "near_card": "card visa mastercard credit payment",
+    "near_card": "card visa mastercard credit payment karte carte tarjeta",
     "near_phone": "phone tel call fax mobile telefon",
-    "national_id": "ssn social security id passport",
-    "secret": "token password secret key api",
+    "national_id": "ssn social security passport",
+    "secret": "token password secret key api login",
     "name": "name dear contact regards from",
 }
 CONTEXT = {kind: frozenset(words.split()) for kind, words in _CONTEXT.items()}
-_WORD = re.compile(r"[A-Za-z-]+")
-LABELERS = ("shape", "separators", "checksum", "gazetteer", "context", "variety")
+AGAINST = frozenset("version order invoice total isbn issn page section figure table line number sum item row example sample dummy".split())
+LABELERS = ("form", "validity", "gazetteer", "before", "after", "neighbours", "variety", "company")
+MAX_PATTERNS = len(KINDS) * 3 ** len(LABELERS)
 
 
 def luhn(digits: str) -> bool:
@@ -78,17 +93,18 @@ def digits_of(s: str) -> str:
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
-    """Leftmost non-overlapping matches; each lies within a run of the pattern's own characters around an @."""
+    """Leftmost non-overlapping matches. Each @ has one possible local part, the run to its left, and one domain to its right,
+    so every character is looked at a bounded number of times."""
     at, done = text.find("@"), 0
     while at >= 0:
         left = at
-        while left > done and text[left - 1] in _EMAIL_LEFT:
+        while left > done and text[left - 1] in _LOCAL:
             left -= 1
-        right = _EMAIL_RIGHT.match(text, at).end()
-        for m in _EMAIL.finditer(text, left, right):
-            yield m.span()
-        done = right
-        at = text.find("@", right)
+        domain = _DOMAIN.match(text, at + 1) if left < at else None
+        if domain:
+            done = domain.end()
+            yield left, done
+        at = text.find("@", max(done, at + 1))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -110,142 +126,265 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, other candidates); the latter overlap neither a base span nor each other."""
     base = base_spans(text)
-    found: list[tuple[str, int, int]] = []
-    for m in _CARD.finditer(text):
-        if 13 <= m.end() - m.start() and 13 <= len(digits_of(m.group())) <= 19:
-            found.append(("near_card", *m.span()))
+    found: dict[str, list[tuple[int, int]]] = {"near_card": [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(digits_of(m.group())) <= 19]}
     if _THREE.search(text):
-        found += [("near_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-        found += [("national_id", *m.span()) for m in _NATIONAL.finditer(text)]
+        found["near_phone"] = [m.span() for m in _LOCAL_PHONE.finditer(text)]
+        found["national_id"] = [m.span() for m in _NATIONAL.finditer(text)]
     if "=" in text or ":" in text:
-        found += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
+        found["secret"] = [m.span(1) for m in _SECRET.finditer(text)]
     if any(t + " " in text or t + ". " in text for t in TITLES):
-        found += [("name", *m.span(1)) for m in _NAME.finditer(text)]
-    if not found:
-        return base, []
-    taken = sorted((a, b) for _, a, b in base)
-    extra = []
-
-
-    for kind, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])):
-        at = bisect_left(taken, (a, b))
-        if (at < len(taken) and taken[at][0] < b) or (at and taken[at - 1][1] > a):
-            continue
-        insort(taken, (a, b))
-        extra.append((kind, a, b))
+        found["name"] = [m.span(1) for m in _NAME.finditer(text)]
+    extra: list[tuple[str, int, int]] = []
+    if any(found.values()):
+        taken = sorted((a, b) for _, a, b in base)
+        for kind in KINDS:
+            free, k = [], 0
+            for a, b in found.get(kind, ()):
+                while k < len(taken) and taken[k][1] <= a:
+                    k += 1
+                if k == len(taken) or taken[k][0] >= b:
+                    free.append((a, b))
+            extra += [(kind, *span) for span in free]
+            taken = sorted(taken + free)
     return base, extra
 
 
-def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
-    """What each labeler says of a span: 1 personal, 0 not, -1 abstains."""
-    span = text[start:end]
-    digits = digits_of(span)
-    before = {w.lower() for w in _WORD.findall(text[max(0, start - 30) : start])[-4:]}
-    shape = {"email": 1, "ip": 1, "card": 1 if len(digits) == 16 else 0, "phone": 1 if 10 <= len(digits) <= 13 else 0, "near_card": 1 if len(digits) == 16 else 0, "near_phone": 1, "national_id": 1, "secret": 1 if len(span) >= 20 else -1, "name": 1 if " " in span else -1}[kind]
-    separators = -1 if kind in ("email", "ip", "secret", "name") else int(any(c in span for c in " -()"))
-    checksum = int(luhn(digits)) if kind in ("card", "near_card") else (int(not digits.startswith(("000", "666", "9"))) if kind == "national_id" else -1)
-    gazetteer = -1
-    if kind == "email":
-        gazetteer = int(span.rsplit(".", 1)[-1].lower() in DOMAIN_ENDS)
-    elif kind == "name":
-        gazetteer = int(span.split(" ")[0].lower() in GIVEN_NAMES)
-    context = 1 if before & CONTEXT[kind] else -1
-    variety = -1
-    if kind == "secret":
-        variety = int(any(c.isdigit() for c in span) and any(c.isalpha() for c in span))
-    elif digits:
-        variety = int(len(set(digits)) > 2)
-    return shape, separators, checksum, gazetteer, context, variety
+def entropy(s: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+class Seen:
+    """A candidate as labelers and features see it."""
+
+    def __init__(self, text: str, kind: str, start: int, end: int, near: int) -> None:
+        self.kind, self.span, self.near = kind, text[start:end], near
+        self.digits = digits_of(self.span)
+        self.left, self.right = text[max(0, start - REACH) : start], text[end : end + REACH]
+        self.before = [w.lower() for w in _WORD.findall(self.left)[-4:]]
+        self.after = [w.lower() for w in _WORD.findall(self.right)[:4]]
+
+
+def seen(text: str, spans: list[tuple[str, int, int]]) -> list[Seen]:
+    """Each span with the number of others in its NEIGHBOURHOOD; spans in any order."""
+    starts = np.sort(np.array([a for _, a, _ in spans], np.int64))
+    low = np.searchsorted(starts, np.array([a - NEIGHBOURHOOD for _, a, _ in spans], np.int64))
+    high = np.searchsorted(starts, np.array([b + NEIGHBOURHOOD for _, _, b in spans], np.int64))
+    return [Seen(text, *span, int(n) - 1) for span, n in zip(spans, high - low, strict=True)]
+
+
+def _form(s: Seen) -> int:
+    """The strict form of the kind."""
+    n = len(s.digits)
+    if s.kind == "email":
+        local, _, domain = s.span.partition("@")
+        return int(local[0].isalnum() and local[-1].isalnum() and ".." not in local and domain.rsplit(".", 1)[-1].isalpha())
+    if s.kind == "ip":
+        return int(all(len(p) == 1 or p[0] != "0" for p in s.span.split(".")))
+    if s.kind in ("card", "near_card"):
+        return int(n == 16 and (s.span.isdigit() or [len(g) for g in re.split("[ -]", s.span)] == [4, 4, 4, 4]))
+    if s.kind in ("phone", "near_phone"):
+        return int(10 <= n <= 13 and s.span.count("(") == s.span.count(")"))
+    if s.kind == "secret":
+        return int(len(s.span) >= 20)
+    return 1 if s.kind == "national_id" or " " in s.span else -1
+
+
+def _validity(s: Seen) -> int:
+    """Checksums, ranges and entropy."""
+    if s.kind in ("card", "near_card"):
+        return int(luhn(s.digits))
+    if s.kind == "ip":
+        first, *_, last = (int(p) for p in s.span.split("."))
+        return int(0 < first < 224 and 0 < last < 255)
+    if s.kind == "national_id":
+        return int(not s.digits.startswith(("000", "666", "9")) and s.digits[3:5] != "00" and s.digits[5:] != "0000")
+    if s.kind in ("phone", "near_phone"):
+        return int(s.digits[-10:-9] not in ("0", "1"))
+    if s.kind == "secret":
+        return int(entropy(s.span) >= 2.8)
+    return -1
+
+
+def _gazetteer(s: Seen) -> int:
+    if s.kind == "email":
+        return int(s.span.rsplit(".", 1)[-1].lower() in DOMAIN_ENDS)
+    if s.kind == "name":
+        return int(s.span.split(" ")[0].lower() in GIVEN_NAMES)
+    if s.kind == "phone":
+        return int(s.digits.startswith(CALLING_CODES))
+    if s.kind in ("card", "near_card"):
+        return int(s.digits.startswith(ISSUERS))
+    if s.kind == "ip":
+        return 0 if s.span.startswith(("10.", "127.", "192.168.", "0.")) else -1
+    return -1
+
+
+def _words(kind: str, words: list[str]) -> int:
+    """1 where a word of the kind's context is near, 0 where one is that speaks against numbers."""
+    if not CONTEXT[kind].isdisjoint(words):
+        return 1
+    return 0 if kind not in ("email", "name") and not AGAINST.isdisjoint(words) else -1
+
+
+def _neighbours(s: Seen) -> int:
+    """0 in a table's cell, glued to a longer token or among other numbers; 1 between words; else no vote."""
+    before, after = s.left[-1:], s.right[:1]
+    if before.isalnum() or after.isalnum() or before in ("/", "=", ".", "_", "#") and before or after in ("/", "_", "%", "\u20ac", "$") and after:
+        return 0
+    if "|" in s.left[-4:] or "|" in s.right[:4] or "\t" in (before, after):
+        return 0
+    if len(digits_of(s.left[-12:] + s.right[:12])) >= 6:
+        return 0
+    return 1 if s.before and s.after else -1
+
+
+def _variety(s: Seen) -> int:
+    """0 for made-up characters: few different ones, or a run of consecutive digits."""
+    if s.kind == "secret":
+        return int(any(c.isdigit() for c in s.span) and any(c.isalpha() for c in s.span) and len(set(s.span)) > 6)
+    if s.kind in ("email", "name"):
+        return int(len(set(s.span.split("@")[0])) > 1)
+    return int(len(set(s.digits)) > 2 and s.digits[:8] not in "01234567890123456789" and s.digits[:8] not in "98765432109876543210")
+
+
+def votes(s: Seen) -> tuple[int, ...]:
+    """What each labeler says: 1 personal, 0 not, -1 abstains."""
+    return _form(s), _validity(s), _gazetteer(s), _words(s.kind, s.before), _words(s.kind, s.after), _neighbours(s), _variety(s), 1 if s.near else -1
+
+
+def _outline(s: str) -> str:
+    """The span's characters by class: digits 9, capitals A, small letters a, others as they are; runs as one."""
+    out = ["9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s[:64]]
+    return "".join(c for k, c in enumerate(out) if not k or out[k - 1] != c)
+
+
+def span_features(s: Seen) -> list[int]:
+    """Hashed features of the span's characters and its surroundings, each together with the kind."""
+    names = ["bias", f"outline {_outline(s.span)}", f"length {min(len(s.span), 40) // 3}", f"digits {len(s.digits)}", f"head {s.span[:2]}", f"tail {s.span[-2:]}"]
+    names += [f"different {min(12, len(set(s.span)))}", f"luhn {luhn(s.digits) if s.digits else ''}", f"entropy {int(2 * entropy(s.span))}"]
+    names += [f"before {w}" for w in s.before[-2:]] + [f"after {w}" for w in s.after[:2]]
+    names += [f"left {_outline(s.left[-3:])}", f"right {_outline(s.right[:3])}", f"table {'|' in s.left[-4:] + s.right[:4]}", f"numbers {min(3, len(digits_of(s.left + s.right)) // 4)}", f"near {min(3, s.near)}"]
+    return sorted({zlib.crc32(f"{s.kind} {n}".encode()) & ((1 << FEATURE_BITS) - 1) for n in names})
 
 
 class Model:
-    """Logistic span classifier over kind and votes."""
+    """Logistic span classifier over hashed features."""
 
-    def __init__(self, weights: dict[str, float]) -> None:
+    def __init__(self, weights: np.ndarray | None = None) -> None:
         self.weights = weights
 
-    def probability(self, kind: str, said: tuple[int, ...]) -> float:
-        z = sum(self.weights.get(f, 0.0) for f in span_features(kind, said))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    def probability(self, features: list[int]) -> float:
+        return 0.0 if self.weights is None else float(1 / (1 + np.exp(-np.clip(self.weights[features].sum(), -40, 40))))
 
 
-def span_features(kind: str, said: tuple[int, ...]) -> list[str]:
-    return ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, said, strict=True) if v >= 0)]
+def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, float]]:
+    """(posterior of each pattern, by kind [sensitivity, specificity] of each labeler, rate of each kind).
 
-
-def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
-    """(posterior of each pattern, [sensitivity, specificity] of each labeler, rate of each kind), Dawid and Skene's model."""
+    Dawid and Skene's model with a labeler's reliability by kind. The prior of a reliability counts as PRIOR spans with the
+    labeler's mean over kinds, which itself begins as if it had been right 8 times of 10; that keeps the two classes from
+    changing places and a kind of few spans from being read into.
+    """
     said = np.array([p[1] for p in patterns])
     count = np.array([p[2] for p in patterns], float)
     kinds = sorted({p[0] for p in patterns})
     kind = np.array([kinds.index(p[0]) for p in patterns])
-    trust = np.full((said.shape[1], 2), 0.8)
+    labelers = said.shape[1]
+    trust = np.full((len(kinds), labelers, 2), 0.8)
     rate = np.array([0.9 if k in BASE else 0.5 for k in kinds])
+    yes, no = said == 1, said == 0
     for _ in range(rounds):
+        own = trust[kind]
         log = np.stack([np.log(1 - rate[kind]), np.log(rate[kind])])
-        for j, (sensitivity, specificity) in enumerate(trust):
-            yes, no = said[:, j] == 1, said[:, j] == 0
-            log[1] += yes * np.log(sensitivity) + no * np.log(1 - sensitivity)
-            log[0] += yes * np.log(1 - specificity) + no * np.log(specificity)
+        log[1] += (yes * np.log(own[:, :, 0]) + no * np.log(1 - own[:, :, 0])).sum(axis=1)
+        log[0] += (yes * np.log(1 - own[:, :, 1]) + no * np.log(own[:, :, 1])).sum(axis=1)
         posterior = 1 / (1 + np.exp(np.clip(log[0] - log[1], -40, 40)))
-        for j in range(len(trust)):
-            yes, no = (said[:, j] == 1) * count, (said[:, j] == 0) * count
-            # priors as if each labeler had been right 8 times of 10, which keeps the two classes from changing places
-            trust[j, 0] = ((yes * posterior).sum() + 8) / (((yes + no) * posterior).sum() + 10)
-            trust[j, 1] = ((no * (1 - posterior)).sum() + 8) / (((yes + no) * (1 - posterior)).sum() + 10)
-        for k in range(len(kinds)):
-            own = (kind == k) * count
-            rate[k] = ((own * posterior).sum() + (9 if kinds[k] in BASE else 1)) / (own.sum() + (10 if kinds[k] in BASE else 2))
-    return posterior, trust, dict(zip(kinds, rate, strict=True))
-
-
-def train(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 400) -> Model:
-    """The classifier, by gradient ascent on the expected log-likelihood under the posteriors."""
-    if not patterns:
-        return Model({"bias": -10.0})
-    posterior, _, _ = expectation_maximisation(patterns)
-    names = sorted({f for kind, said, _ in patterns for f in span_features(kind, said)})
-    x = np.zeros((len(patterns), len(names)))
-    for i, (kind, said, _) in enumerate(patterns):
-        for f in span_features(kind, said):
-            x[i, names.index(f)] = 1
-    weight = np.array([float(c) for _, _, c in patterns])
-    weight /= weight.sum()
-    # each kind counts alike, so that the many spans of one kind don't drown another
-    for kind in {p[0] for p in patterns}:
-        own = np.array([p[0] == kind for p in patterns])
-        weight[own] /= weight[own].sum()
-    w = np.zeros(len(names))
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w += 0.5 * (x.T @ (weight * (posterior - p)) - 0.001 * w)
-    return Model(dict(zip(names, w.tolist(), strict=True)))
-
-
-def count_patterns(texts: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """Distinct (kind, votes) with their numbers over all texts; texts has doc_id and text."""
+        right, all_ = np.zeros((len(kinds), labelers, 2)), np.zeros((len(kinds), labelers, 2))
+        for side, (hit, share) in enumerate(((yes, posterior), (no, 1 - posterior))):
+            np.add.at(right[:, :, side], kind, hit * (count * share)[:, None])
+            np.add.at(all_[:, :, side], kind, (yes | no) * (count * share)[:, None])
+        # kinds count alike in the mean, as much as PRIOR spans at most
+        scale = np.minimum(1, PRIOR / np.maximum(all_, 1e-9))
+        mean = ((right * scale).sum(axis=0) + 0.8 * PRIOR) / ((all_ * scale).sum(axis=0) + PRIOR)
+        trust = np.clip((right + PRIOR * mean) / (all_ + PRIOR), 0.02, 0.98)
+        for k, name in enumerate(kinds):
+            mine = (kind == k) * count
+            rate[k] = ((mine * posterior).sum() + (9 if name in BASE else 1)) / (mine.sum() + (10 if name in BASE else 2))
+    return posterior, {name: trust[k] for k, name in enumerate(kinds)}, dict(zip(kinds, rate.tolist(), strict=True))
+
+
+#: Spans that a reliability's prior counts as.
+PRIOR = 10.0
+
+
+def fit(rows: list[tuple[str, list[int], float]], epochs: int = 25, rate: float = 0.5, l2: float = 1e-4) -> Model:
+    """The classifier from (kind, features, posterior), by AdaGrad on the expected log-likelihood; kinds count alike."""
+    if not rows:
+        return Model()
+    many = Counter(r[0] for r in rows)
+    sizes = np.array([len(r[1]) for r in rows])
+    flat, ends = np.concatenate([r[1] for r in rows]).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    target = np.array([r[2] for r in rows])
+    worth = np.array([min(4.0, len(rows) / len(many) / many[r[0]]) for r in rows])
+    w, square = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-6)
+    rng = np.random.default_rng(11)
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), 64):
+            part = order[at : at + 64]
+            index = np.concatenate([flat[ends[i] : ends[i + 1]] for i in part])
+            owner = np.repeat(np.arange(len(part)), sizes[part])
+            z = np.bincount(owner, w[index], minlength=len(part))
+            error = (target[part] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) * worth[part]
+            step = np.bincount(index, error[owner], minlength=len(w)) - l2 * w
+            square += step * step
+            w += rate * step / np.sqrt(square)
+    return Model(w)
+
+
+def candidate_rows(texts: DataFrame) -> DataFrame:
+    """(kind, said, place, features) of every candidate of texts (doc_id, text); place is a hash of text and start."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = {}
+        kinds = (pa.string(), pa.list_(pa.int8()), pa.int64(), pa.list_(pa.int32()))
         for batch in batches:
+            out: list[list] = [[], [], [], []]
             for text in batch.column(0):
                 t = text.as_py()
                 base, extra = candidates(t)
-                for kind, a, b in base + extra:
-                    key = (kind, *votes(t, kind, a, b))
-                    seen[key] = seen.get(key, 0) + 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([list(k[1:]) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["kind", "said", "n"])
-
-    counted = texts.select("text").mapInArrow(work, "kind string, said array<int>, n long").groupBy("kind", "said").agg(F.sum("n").alias("n"))
-    return sorted((r["kind"], tuple(r["said"]), r["n"]) for r in counted.limit(MAX_PATTERNS).collect())
+                if base or extra:
+                    own = zlib.crc32(t.encode())
+                    for (kind, start, _), s in zip(base + extra, seen(t, base + extra), strict=True):
+                        for column, v in zip(out, (kind, votes(s), (own << 20 ^ zlib.crc32(f"{kind}{start}".encode())) & ((1 << 32) - 1), span_features(s)), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["kind", "said", "place", "features"])
+
+    return texts.select("text").mapInArrow(work, "kind string, said array<tinyint>, place long, features array<int>")
+
+
+def train(texts: DataFrame, max_fit: int = MAX_FIT) -> Model:
+    """EM over the votes on all candidates of texts, then the classifier from a sample of about max_fit of each kind."""
+    with Scratch(texts.sparkSession) as scratch:
+        rows = scratch.write(candidate_rows(texts), "candidates")
+        counted = rows.groupBy("kind", "said").agg(F.count(F.lit(1)).alias("n"))
+        patterns = sorted((r["kind"], tuple(r["said"]), r["n"]) for r in counted.limit(MAX_PATTERNS).collect())
+        if not patterns:
+            return Model()
+        posterior = {p[:2]: float(x) for p, x in zip(patterns, expectation_maximisation(patterns)[0], strict=True)}
+        total: Counter = Counter()
+        for kind, _, n in patterns:
+            total[kind] += n
+        share = F.create_map(*[x for k, n in total.items() for x in (F.lit(k), F.lit(min(1.0, max_fit / n)))])
+        chosen = rows.filter(F.col("place") < share[F.col("kind")] * F.lit(float(1 << 32))).select("kind", "said", "place", "features")
+        sample = sorted((r["kind"], r["place"], tuple(r["said"]), r["features"]) for r in chosen.limit(2 * max_fit * len(KINDS)).collect())
+    return fit([(kind, features, posterior[kind, said]) for kind, _, said, features in sample])
 
 
 def find(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, spans): all spans of each row as structs (kind, start, end, base), by kind as in KINDS, then start."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    weights = (model or train(count_patterns(texts))).weights
+    weights = (model or train(texts)).weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights)
@@ -256,7 +395,9 @@ def find(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id",
                 t = text.as_py()
                 base, extra = candidates(t)
                 spans = [{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base]
-                spans += [{"kind": k, "start": a, "end": b, "base": False} for k, a, b in extra if own.probability(k, votes(t, k, a, b)) >= THRESHOLD]
+                if extra:
+                    looks = seen(t, base + extra)[len(base) :]
+                    spans += [{"kind": k, "start": a, "end": b, "base": False} for (k, a, b), s in zip(extra, looks, strict=True) if own.probability(span_features(s)) >= THRESHOLD]
                 rows.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
@@ -273,4 +414,5 @@ def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[number(kind) for kind in BASE],
         F.sha2(F.encode(spelled(base), "utf-8"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
