@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
-from trawl.llm import bpe, exact_dedup, queries, sharding, suffix_dedup, warc, windows
+from trawl.llm import bpe, columns, exact_dedup, queries, sharding, suffix_dedup, warc, windows
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -66,19 +66,59 @@ def test_repeats_of_test_data(spark, sf):
 
 
 def test_split_collections_find_the_same(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = docs.select(F.col("doc_id").alias("row"), "doc_id", "text")
-    covered = lambda limit: {(r["row"], k) for r in suffix_dedup.repeated_windows(texts, limit).collect() for k in range(r["start"], r["end"])}
-    assert covered(0) == covered(10**9) != set()
-
-
-def test_construction_order_and_prefixes():
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    check_repeats(suffix_dedup.remove_repeats(docs, collection_limit=0), [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_one_repeated_byte(make, monkeypatch):
+    """20 MB of one byte, and texts that are taken in parts, are a few runs and not a piece a byte."""
+    data = np.frombuffer(b"z" * 50_000 + b"ab" * 5_000 + b"stutter " * 3_000, np.uint8)
+    found = windows.pieces(data, np.array([0, 50_000, 60_000, len(data)]))
+    assert len(found["text"]) < 30 and found["times"].sum() > 50_000
+    long = "z" * 20_000_000
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(make([(0, long), (1, "only once " * 3)])).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert got == {0: (20_000_000, 20_000_000, 1), 1: (30, 0, 0)}
+
+
+def test_texts_taken_in_parts():
+    """The windows of the pieces of a text are the same ones whether it is cut whole or in parts."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcd ") for _ in range(9000)) + "q" * 700 + "ab" * 300
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["id", "mark", "text"])
+
+    def starts(size):
+        old, suffix_dedup.CHUNK = suffix_dedup.CHUNK, size
+        try:
+            out = set()
+            for b in suffix_dedup._find_pieces(iter([batch])):
+                for r in b.to_pylist():
+                    step = r["reach"] // (r["times"] - 1) if r["times"] > 1 else 1
+                    for k in range(r["times"]):
+                        core = r["core_at"] + k * step
+                        out |= {(s, core) for s in range(core - r["left"], core + r["right"] - windows.SPREAD + 2)}
+            return out
+        finally:
+            suffix_dedup.CHUNK = old
+
+    assert starts(1000) == starts(1 << 20)
+    assert {s for s, _ in starts(1000)} == set(range(len(text) - windows.LENGTH + 1))
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_construction_order_and_prefixes(tmp_path, monkeypatch, block):
+    """Every column's order and prefixes against sorted suffixes, read in blocks; the files go again."""
+    monkeypatch.setattr(columns, "BLOCK", block)
     rng = random.Random(5)
     spread = 9
     left = ["".join(rng.choice("ab") for _ in range(rng.randint(0, spread - 1))).encode() for _ in range(60)]
     right = ["".join(rng.choice("ab") for _ in range(rng.randint(0, spread - 1))).encode() for _ in range(60)]
     core = np.array([rng.randrange(3) for _ in range(60)])
-    for distance, order, prefix in suffix_dedup.Collection(core, left, right, spread).columns():
+    made = columns.Collection(core, left, right, spread, f"file://{tmp_path}")
+    for distance, blocks in made.columns():
+        parts = list(blocks)
+        order, prefix = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else ([], [])
         key = lambda i, d=distance: (list(left[i][len(left[i]) - d :]), int(core[i]), list(right[i]))
         keys = [key(i) for i in order]
         assert keys == sorted(keys)
@@ -87,6 +127,17 @@ def test_construction_order_and_prefixes():
             a, b = ([*k[0], 1000 + k[1], *k[2]] for k in (keys[n - 1], keys[n]))
             common = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
             assert prefix[n] == common
+    made.close()
+    assert not list(tmp_path.iterdir())
+    weight = np.array([rng.choice([1, 1, 1, 2]) for _ in range(60)])
+    again = columns.Collection(core, left, right, spread, f"file://{tmp_path}")
+    got = {(int(s), d) for s, near, far in zip(*again.repeated(weight), strict=True) for d in range(near, far + 1)}
+    seen = Counter()
+    window = lambda i, d: (left[i][len(left[i]) - d :], int(core[i]), right[i][: spread - 1 - d])
+    exists = [(i, d) for i in range(60) for d in range(spread) if d <= len(left[i]) and spread - 1 - d <= len(right[i])]
+    for i, d in exists:
+        seen[d, window(i, d)] += int(weight[i])
+    assert got == {(i, d) for i, d in exists if seen[d, window(i, d)] > 1} != set()
 
 
 # byte-level BPE

@@ -2,21 +2,19 @@
 
 Texts are cut into pieces (see windows.py) and pieces whose core occurs once drop out. The others, equal ones as one with
 a weight, form collections of aligned strings, left edge + core + right edge, where the core is one symbol. Each
-collection's order and common prefixes are built column by column from the right, as in the constructions of Bauer, Cox
-and Rosone and of Durbin: a round inserts one symbol of every string that has reached the column; the next order is the
-stable sort of the present one by these symbols (the column of the Burrows-Wheeler transform), and a common prefix is one
-more than the least prefix between two neighbours with equal symbols. A window is repeated if its suffix has a common
-prefix of SPREAD symbols with a neighbour, or if its piece's weight is over one. Because equal windows lie in one column,
-order is kept by column, and the columns that are done are dropped.
+collection's order and common prefixes are built column by column, a symbol of every string a round, in sequential files
+below the shared folder (see columns.py). A window is repeated if its suffix has a common prefix of SPREAD symbols with a
+neighbour, or if its piece's weight is over one.
 
-In place of the sequential external files of these constructions, a collection's order and common prefixes are numpy arrays in
-the memory of one task and nothing is written between rounds; COLLECTION_LIMIT bounds the strings of one core, see below.
+Why pieces: over whole texts such a construction takes as many rounds as the longest text has bytes, each a pass over the
+whole transform, which README puts into figures.
 
-Only edges, hashes and positions move between the stages; texts are exchanged by row to be cut and to be digested.
+Only edges, hashes and positions move between the stages; texts are exchanged by row to be cut and to be digested. Cores are
+compared by a 128-bit digest of their bytes, pieces of one core by two independent 64-bit hashes of all their bytes.
 
 Defined cases: a null text is the empty text; matches do not cross rows; rows that repeat (id and text) count as separate
-rows and remove each other; texts shorter than LENGTH bytes stay whole; texts of any length are taken whole; an id may be
-null; other columns are ignored; an empty table gives an empty result.
+rows and remove each other; texts shorter than LENGTH bytes stay whole; texts of any length are taken whole, a part at a
+time; an id may be null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,144 +28,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import bounded_batches, documents, materialise, slices
-from trawl.llm.windows import LENGTH, SPREAD, byte_sums, pieces, string_hash
+from trawl.llm.columns import Collection
+from trawl.llm.shared import Scratch, bounded_batches, documents, materialise, salted_join, slices
+from trawl.llm.windows import LENGTH, SPREAD, pieces
 
-#: Strings of one construction; a collection (one core) is never divided.
+#: Strings of one construction, if its cores are small; a core is never divided.
 STRINGS = 100_000
-#: Texts that are cut at once.
+#: Bytes of text that are cut at once; a longer text is taken in parts that overlap by a window.
 CHUNK = 1 << 20
-#: Distinct strings of one core from which the collection is split, and distances of a split. SPREAD is a multiple.
+#: Distinct strings of one core from which the collection is split, and distances of a split.
 COLLECTION_LIMIT = 300_000
 NARROW = 5
 #: Tasks that share a heavy core.
 SALTS = 64
+#: A text's key: its id, and a hash that tells apart the texts of one id.
+ROW = ("id", "mark")
+PIECE = ("core", "piece", "twin")
 
 
 def _find_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> its pieces, with places counted from the text's start."""
+    """(id, mark, text) -> its pieces, with places counted from the text's start."""
     for batch in batches:
-        for at, _, data, offsets in slices(batch.column(1), CHUNK):
-            found = pieces(data, offsets)
-            row = batch.column(0).take(pa.array(found["text"] + at))
-            place = (found["core_at"] - offsets[found["text"]]).astype(np.int32)
-            sides = [pa.array(found[k].astype(np.int16)) for k in ("left", "right")]
-            hashes = [pa.array(found[k].view(np.int64)) for k in ("core", "piece")]
-            yield pa.RecordBatch.from_arrays([row, pa.array(place), *sides, *hashes], ["row", "core_at", "left", "right", "core", "piece"])
+        for at, _, whole, bounds in slices(batch.column(2), CHUNK):
+            size = len(whole)
+            # only a slice of one text can be longer than 2 * CHUNK
+            steps = range(0, max(1, size - LENGTH + 1), CHUNK) if size > 2 * CHUNK else (0,)
+            for begin in steps:
+                data = whole[begin : begin + CHUNK + LENGTH - 1] if size > 2 * CHUNK else whole
+                offsets = np.array([0, len(data)]) if size > 2 * CHUNK else bounds
+                found = pieces(data, offsets)
+                rows = pa.array(found["text"] + at)
+                place = (found["core_at"] - offsets[found["text"]] + begin).astype(np.int32)
+                sides = [pa.array(found[k].astype(np.int16)) for k in ("left", "right")]
+                hashes = [pa.array(found[k].view(np.int64)) for k in PIECE]
+                runs = [pa.array(found[k].astype(np.int32)) for k in ("times", "reach")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), *sides, *hashes, *runs], [*ROW, "core_at", "left", "right", *PIECE, "times", "reach"])
+
+
+FOUND = "id long, mark long, core_at int, left short, right short, core long, piece long, twin long, times int, reach int"
 
 
 def _cut_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text, list of pieces) -> (core, check, piece, weight, edges): check is a second hash of the core."""
+    """(text, list of pieces) -> (core, check, piece, twin, weight, edges): check is a digest of the core's bytes."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for text, wanted in zip(batch.column(2), batch.column(3), strict=True):
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             raw = text.as_py().encode("utf-8")
-            data = np.frombuffer(raw, np.uint8)
             fields = wanted.values
-            place, left, right = (np.asarray(fields.field(k), np.int64) for k in ("core_at", "left", "right"))
-            end = place + LENGTH - SPREAD + 1
-            out[0].append(np.asarray(fields.field("core")))
-            out[1].append(string_hash(byte_sums(data, 77), place, end).view(np.int64))
-            out[2].append(np.asarray(fields.field("piece")))
-            out[3].append(np.asarray(fields.field("weight")))
-            out[4] += [raw[p - a : p] for p, a in zip(place.tolist(), left.tolist(), strict=True)]
-            out[5] += [raw[e : e + b] for e, b in zip(end.tolist(), right.tolist(), strict=True)]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())], ["core", "check", "piece", "weight", "left", "right"])
-
-
-def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(values[low : high + 1]) for pairs low <= high, by tables of minima over powers of two."""
-    level = np.frexp((high - low + 1).astype(float))[1] - 1
-    out = np.empty(len(low), values.dtype)
-    table, width = values, 1
-    for k in range(int(level.max(initial=0)) + 1):
-        own = np.flatnonzero(level == k)
-        if len(own):
-            out[own] = np.minimum(table[low[own]], table[high[own] - width + 1])
-        if 2 * width <= len(values):
-            table = np.minimum(table[:-width], table[width:])
-            width *= 2
-    return out
-
-
-class Collection:
-    """Strings over bytes, aligned at a core symbol, built column by column from the right."""
-
-    def __init__(self, core: np.ndarray, left: list[bytes], right: list[bytes], spread: int = SPREAD) -> None:
-        self.core, self.spread, self.n = core, spread, len(core)
-        self.left_size = np.array([len(x) for x in left], np.int64)
-        self.right_size = np.array([len(x) for x in right], np.int64)
-        width = spread - 1
-        # columns hold the symbol + 1, or 0 where a string has none; left edges end at the core, right edges begin there
-        self.left = np.zeros((width, self.n), np.uint16)
-        self.right = np.zeros((width, self.n), np.uint16)
-        for edges, sizes, table, from_end in ((left, self.left_size, self.left, True), (right, self.right_size, self.right, False)):
-            flat = np.frombuffer(b"".join(edges), np.uint8)
-            owner = np.repeat(np.arange(self.n), sizes)
-            nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            table[width - sizes[owner] + nth if from_end else nth, owner] = flat.astype(np.uint16) + 1
-
-    def columns(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(distance before the core, order, common prefixes) of each column from the core leftwards; order holds the strings
-        that have reached the column, sorted by their suffix there; a prefix counts symbols shared with the one before."""
-        order = np.arange(self.n)
-        prefix = np.zeros(self.n, np.uint8)
-        for column in range(self.spread - 2, -1, -1):
-            order, prefix = self._insert(order, prefix, self.right[column])
-        symbols = np.unique(self.core, return_inverse=True)[1].astype(np.int64)
-        order, prefix = self._insert(order, prefix, symbols + 1)
-        yield 0, order, prefix
-        for distance in range(1, self.spread):
-            symbol = self.left[self.spread - 1 - distance]
-            here = symbol[order] > 0
-            if not here.all():
-                # strings that end here leave; the prefix of a neighbour is the least that it spans
-                keep = np.flatnonzero(here)
-                if not len(keep):
-                    return
-                spanned = np.concatenate([[prefix[keep[0]]], _range_minimum(prefix, keep[:-1] + 1, keep[1:])]).astype(np.uint8)
-                order, prefix = order[keep], spanned
-            order, prefix = self._insert(order, prefix, symbol)
-            yield distance, order, prefix
-
-    def _insert(self, order: np.ndarray, prefix: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One round: sort by the symbols put before the suffixes; strings without one (0) stay empty and share nothing."""
-        put = symbol[order]
-        by = np.argsort(put, kind="stable")
-        sorted_ = put[by]
-        out = np.zeros(len(order), np.uint8)
-        same = np.flatnonzero((sorted_[1:] == sorted_[:-1]) & (sorted_[1:] > 0)) + 1
-        if len(same):
-            out[same] = np.minimum(254, _range_minimum(prefix, by[same - 1] + 1, by[same])) + 1
-        return order[by], out
-
-    def repeated(self, weight: np.ndarray) -> np.ndarray:
-        """[string, distance] is true where the window that starts so far before the core is repeated."""
-        out = np.zeros((self.n, self.spread), bool)
-        for distance, order, prefix in self.columns():
-            near = prefix >= self.spread
-            hit = near.copy()
-            hit[:-1] |= near[1:]
-            out[order[hit], distance] = True
-        distance = np.arange(self.spread)
-        exists = (distance <= self.left_size[:, None]) & (distance >= self.spread - 1 - self.right_size[:, None])
-        return exists & (out | (weight > 1)[:, None])
-
-
-def _construct(batches: Iterator[pa.RecordBatch], spread: int = SPREAD) -> Iterator[pa.RecordBatch]:
-    """Rows (core, check, piece, weight, left, right) sorted by core -> (core, piece, runs): repeated window starts, as
-    pairs of first and last distance before the core."""
-
-    def built(rows: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        core = np.stack([np.asarray(rows["core"]), np.asarray(rows["check"])], axis=1)
-        group = np.unique(core, axis=0, return_inverse=True)[1].ravel()
-        found = Collection(group, rows["left"].to_pylist(), rows["right"].to_pylist(), spread).repeated(np.asarray(rows["weight"]))
-        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        own, first = np.nonzero(edge == 1)
-        last = np.nonzero(edge == -1)[1] - 1
-        kinds = pa.int16()
-        return pa.RecordBatch.from_arrays([rows["core"].combine_chunks().take(pa.array(own)), rows["piece"].combine_chunks().take(pa.array(own)), pa.array(first, kinds), pa.array(last, kinds)], ["core", "piece", "near", "far"])
+            place, left, right = (fields.field(k).to_pylist() for k in ("core_at", "left", "right"))
+            width = LENGTH - SPREAD + 1
+            check = pa.array([hashlib.blake2b(raw[p : p + width], digest_size=16).digest() for p in place], pa.binary())
+            edges = [pa.array([raw[p - a : p] for p, a in zip(place, left, strict=True)], pa.binary()), pa.array([raw[p + width : p + width + b] for p, b in zip(place, right, strict=True)], pa.binary())]
+            core, piece, twin, weight = (fields.field(k) for k in (*PIECE, "weight"))
+            yield pa.RecordBatch.from_arrays([core, check, piece, twin, weight, *edges], ["core", "check", "piece", "twin", "weight", "left", "right"])
+
+
+STRINGS_SCHEMA = "core long, check binary, piece long, twin long, weight long, left binary, right binary"
+RUNS = "core long, piece long, twin long, near short, far short"
+
+
+def _construct(batches: Iterator[pa.RecordBatch], spread: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Rows of STRINGS_SCHEMA sorted by core -> RUNS: repeated window starts, as first and last distance before the core."""
+
+    def built(rows: pa.Table) -> pa.RecordBatch:
+        digests = np.frombuffer(b"".join(rows["check"].to_pylist()), np.uint64).reshape(-1, 2)
+        core = np.unique(np.column_stack([np.asarray(rows["core"]).view(np.uint64), digests]), axis=0, return_inverse=True)[1].ravel()
+        collection = Collection(core, rows["left"].to_pylist(), rows["right"].to_pylist(), spread, folder)
+        try:
+            own, near, far = collection.repeated(np.asarray(rows["weight"]))
+        finally:
+            collection.close()
+        keys = [rows[k].combine_chunks().take(pa.array(own)) for k in PIECE]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(near, pa.int16()), pa.array(far, pa.int16())], [*PIECE, "near", "far"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -185,44 +116,35 @@ def _construct(batches: Iterator[pa.RecordBatch], spread: int = SPREAD) -> Itera
             yield built(table.slice(0, cut))
             rest = table.slice(cut)
             held, size = rest.to_batches(), rest.num_rows
-            if size < STRINGS:
-                break
     if size:
         yield built(pa.Table.from_batches(held))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text, starts, ends of repeated windows) -> the contract's columns and the remaining text."""
+    """(doc_id, text, starts, ends of repeated windows) -> the contract's columns and the remaining text."""
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        for text, spans in zip(batch.column(2), batch.column(3), strict=True):
+        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
             raw = text.as_py().encode("utf-8")
-            merged: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in spans.as_py() or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
-            kept, at = [], 0
-            for a, b in merged:
-                kept.append(raw[at:a])
-                at = b
-            kept.append(raw[at:])
-            left = b"".join(kept)
-            for c, v in zip(out, (len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left), strict=True):
+            first = last = np.zeros(0, np.int64)
+            if spans.is_valid and len(spans):
+                start, end = (np.asarray(spans.values.field(k), np.int64) for k in ("start", "end"))
+                by = np.argsort(start, kind="stable")
+                start, reach = start[by], np.maximum.accumulate(end[by])
+                head = np.concatenate([[True], start[1:] > reach[:-1]])
+                first, last = start[head], reach[np.append(np.flatnonzero(head)[1:], len(start)) - 1]
+            left = b"".join(raw[a:b] for a, b in zip([0, *last.tolist()], [*first.tolist(), len(raw)], strict=True))
+            for c, v in zip(out, (len(raw), len(raw) - len(left), len(first), hashlib.sha256(left).hexdigest(), left), strict=True):
                 c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-RUNS = "core long, piece long, near short, far short"
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def constructed(strings: DataFrame, spread: int = SPREAD) -> DataFrame:
-    return strings.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(lambda batches: _construct(batches, spread), RUNS)
+def constructed(strings: DataFrame, folder: str, spread: int = SPREAD) -> DataFrame:
+    return strings.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(lambda batches: _construct(batches, spread, folder), RUNS)
 
 
-def constructed_narrow(strings: DataFrame, narrow: int = NARROW) -> DataFrame:
+def constructed_narrow(strings: DataFrame, folder: str, narrow: int = NARROW) -> DataFrame:
     """As constructed, for collections that are too large for one task: each is split by ranges of `narrow` distances.
 
     The windows of a range share more than the core, LENGTH - narrow + 1 bytes; strings that differ there cannot have a
@@ -234,48 +156,56 @@ def constructed_narrow(strings: DataFrame, narrow: int = NARROW) -> DataFrame:
     outer_left = F.expr(f"substr(left, greatest(1, length(left) - a - {narrow - 2}), least({narrow - 1}, length(left) - a))")
     outer_right = F.expr(f"substr(right, b + 1, {narrow - 1})")
     cut = ranges.select(
-        F.col("core").alias("_core"), F.col("piece").alias("_piece"), "k", "weight", F.xxhash64("core", "k", inner_left, inner_right).alias("core"),
-        F.xxhash64(inner_right, inner_left, "k", "check").alias("check"), outer_left.alias("left"), outer_right.alias("right"),
-    ).withColumn("piece", F.xxhash64("core", "left", "right"))
-    own = cut.groupBy("core", "check", "piece").agg(F.sum("weight").alias("weight"), F.first("left").alias("left"), F.first("right").alias("right"))
-    found = constructed(own.select("core", "check", "piece", "weight", "left", "right"), narrow)
-    back = cut.join(found, ["core", "piece"])
+        F.col("core").alias("_core"), F.col("piece").alias("_piece"), F.col("twin").alias("_twin"), "k", "weight", F.xxhash64("core", "k", inner_left, inner_right).alias("core"),
+        F.unhex(F.md5(F.concat(F.col("check"), F.encode(F.col("k").cast("string"), "utf-8"), F.lit(b":"), F.encode(F.length(inner_left).cast("string"), "utf-8"), F.lit(b":"), inner_left, inner_right))).alias("check"),
+        outer_left.alias("left"), outer_right.alias("right"),
+    ).withColumns({"piece": F.xxhash64("core", "left", "right"), "twin": F.xxhash64("right", "check", "left")})
+    own = cut.groupBy("core", "check", "piece", "twin").agg(F.sum("weight").alias("weight"), F.first("left").alias("left"), F.first("right").alias("right"))
+    found = constructed(own.select("core", "check", "piece", "twin", "weight", "left", "right"), folder, narrow)
+    back = cut.join(found, list(PIECE))
     shift = F.col("k") * narrow
-    return back.select(F.col("_core").alias("core"), F.col("_piece").alias("piece"), (F.col("near") + shift).cast("short").alias("near"), (F.col("far") + shift).cast("short").alias("far"))
+    return back.select(F.col("_core").alias("core"), F.col("_piece").alias("piece"), F.col("_twin").alias("twin"), (F.col("near") + shift).cast("short").alias("near"), (F.col("far") + shift).cast("short").alias("far"))
 
 
-def repeated_windows(texts: DataFrame, collection_limit: int = COLLECTION_LIMIT) -> DataFrame:
-    """(row, start, end): runs of repeated windows of texts (row, doc_id, text), as byte ranges of the row's text."""
-    found = texts.select("row", "text").mapInArrow(_find_pieces, "row long, core_at int, left short, right short, core long, piece long")
-    often = materialise(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cores")
+def repeated_windows(texts: DataFrame, scratch: Scratch, collection_limit: int = COLLECTION_LIMIT) -> DataFrame:
+    """(id, mark, start, end): runs of repeated windows of texts (id, mark, text), as byte ranges of the row's text."""
+    folder = scratch.folder("columns")
+    found = texts.select(*ROW, "text").mapInArrow(_find_pieces, FOUND)
+    often = scratch.write(found.groupBy("core").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("runs")).filter("n > 1"), "cores")
     # cores that hold a thousandth of the repeats, so a thousand at most, are dealt over SALTS tasks
-    total = often.agg(F.sum("n")).first()[0] or 0
-    heavy = F.col("n") * 1000 >= F.lit(max(total, 1000 * 1000))
+    total = often.agg(F.sum("runs")).first()[0] or 0
+    heavy = F.col("runs") * 1000 >= F.lit(max(total, 1000 * 1000))
     hot = F.broadcast(often.filter(heavy).select("core", F.lit(True).alias("hot")))
-    salted = found.join(hot, "core", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "core_at"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salted = found.join(hot, "core", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("mark", "core_at"), F.lit(SALTS))).otherwise(0).cast("int"))
     spread = often.select("core", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    kept = materialise(salted.join(spread, ["core", "salt"], "left_semi").drop("hot", "salt"), "pieces")
-    unique = kept.groupBy("core", "piece").agg(F.min(F.struct("row", "core_at", "left", "right")).alias("at"), F.count(F.lit(1)).alias("weight"))
-    wanted = unique.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.core_at", "at.left", "at.right", "core", "piece", "weight")).alias("wanted"))
-    strings = texts.join(wanted.hint("merge"), "row").select("row", "doc_id", "text", "wanted")
-    strings = strings.mapInArrow(_cut_strings, "core long, check long, piece long, weight long, left binary, right binary")
-    large = materialise(unique.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > collection_limit).select("core"), "large")
+    kept = scratch.write(salted.join(spread, ["core", "salt"], "left_semi").drop("hot", "salt"), "pieces")
+    unique = scratch.write(kept.groupBy(*PIECE).agg(F.min(F.struct(*ROW, "core_at", "left", "right")).alias("at"), F.sum("times").alias("weight"), F.count(F.lit(1)).alias("runs")), "unique")
+    wanted = unique.groupBy(F.col("at.id").alias("id"), F.col("at.mark").alias("mark")).agg(F.collect_list(F.struct("at.core_at", "at.left", "at.right", *PIECE, "weight")).alias("wanted"))
+    same = lambda other: texts["id"].eqNullSafe(other["id"]) & (texts["mark"] == other["mark"])
+    one = wanted.hint("merge")
+    strings = texts.join(one, same(one)).select("text", "wanted").mapInArrow(_cut_strings, STRINGS_SCHEMA)
+    large = scratch.write(unique.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > collection_limit).select("core"), "large")
     if large.isEmpty():
-        runs = constructed(strings)
+        runs = constructed(strings, folder)
     else:
-        strings = materialise(strings, "strings")
-        runs = constructed(strings.join(large, "core", "left_anti")).unionByName(constructed_narrow(strings.join(large, "core", "left_semi")))
-    hit = kept.join(runs, ["core", "piece"])
-    return hit.select("row", (F.col("core_at") - F.col("far")).alias("start"), (F.col("core_at") - F.col("near") + LENGTH).alias("end"))
+        strings = scratch.write(strings, "strings")
+        runs = constructed(strings.join(large, "core", "left_anti"), folder).unionByName(constructed_narrow(strings.join(large, "core", "left_semi"), folder))
+    runs = scratch.write(runs.groupBy(*PIECE).agg(F.collect_list(F.struct("near", "far")).alias("hits")).withColumn("key", F.struct(*PIECE)).select("key", "hits"), "runs")
+    keyed = kept.select(F.struct(*PIECE).alias("key"), *ROW, "core_at", "reach")
+    hit = salted_join(keyed, runs, "key", counts=unique.select(F.struct(*PIECE).alias("key"), F.col("runs").alias("n"))).select(*ROW, "core_at", "reach", F.explode("hits").alias("hit"))
+    return hit.select(*ROW, (F.col("core_at") - F.col("hit.far")).alias("start"), (F.col("core_at") + F.col("reach") - F.col("hit.near") + LENGTH).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", collection_limit: int = COLLECTION_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs; kept holds the remaining bytes."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    texts = docs.select(F.xxhash64(F.col(id_column), text).alias("row"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-    spans = repeated_windows(texts).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(spans.hint("merge"), "row", "left").select("row", "doc_id", "text", "spans")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        spans = repeated_windows(texts, scratch, collection_limit).distinct().groupBy(*ROW).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans = materialise(spans, "spans")
+    there = spans.hint("merge")
+    joined = texts.join(there, texts["id"].eqNullSafe(there["id"]) & (texts["mark"] == there["mark"]), "left").select(texts["id"], "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
