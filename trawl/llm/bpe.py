@@ -22,6 +22,7 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -229,6 +230,23 @@ def digest_batches(batches: Iterator[pa.RecordBatch], file: str, pattern: str) -
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(bytes_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def _stage_batches(batches: Iterator[pa.RecordBatch], file: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, source, text) -> (doc_id, lang, source, n_tokens, ids) after decoding the ids has given the text again."""
+    own = codec(file, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            ids = []
+            for text in part.column(3).to_pylist():
+                ids.append(own.encode(text))
+                if own.decode(ids[-1]) != text.encode("utf-8"):
+                    raise ValueError("token ids do not decode to their text")
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+            lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(ends)), lists], ["doc_id", "lang", "source", "n_tokens", "ids"])
+
+
 def _ship(spark: SparkSession, path: str) -> str:
     """Send the vocabulary to all executors; the name by which they find it."""
     import os
@@ -237,16 +255,20 @@ def _ship(spark: SparkSession, path: str) -> str:
     return os.path.basename(path)
 
 
-def _apply(docs: DataFrame, work, schema: str, path: str | None, pattern: str | None, id_column: str, text_column: str) -> DataFrame:
+def _mapped(rows: DataFrame, work, schema: str, path: str | None, pattern: str | None) -> DataFrame:
     import public_tokenizers
 
-    bounded_batches(docs.sparkSession)
-    file = _ship(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
+    bounded_batches(rows.sparkSession)
+    file = _ship(rows.sparkSession, path or public_tokenizers.path(VOCABULARY))
     pattern = pattern or public_tokenizers.PATTERN
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return rows.mapInArrow(lambda batches: work(batches, file, pattern), schema)
 
 
+def _apply(docs: DataFrame, work, schema: str, path: str | None, pattern: str | None, id_column: str, text_column: str) -> DataFrame:
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return _mapped(rows, work, schema, path, pattern)
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids, decoded): token ids as little-endian uint32 and the bytes that they decode to."""
     return _apply(docs, encode_batches, "doc_id long, ids binary, decoded binary", path, pattern, id_column, text_column)
@@ -263,5 +285,6 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the contract's columns for each document that is left."""
-    return token_digests(docs)
+    """Pipeline stage: (doc_id, lang, source, n_tokens, ids) of each document that is left, ids as an array of token ids."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    return _mapped(rows, _stage_batches, "doc_id long, lang string, source string, n_tokens long, ids array<int>", None, None)

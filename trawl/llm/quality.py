@@ -5,7 +5,9 @@ hashes of runs and of pairs of neighbours (lower case), and a back-reference in
 before it; each counts as its share of the runs. FTRL keeps per-coordinate sums and sets weights to zero below the L1
 threshold. The model is a vector of 2^bits weights and a bias, which is the only thing that is broadcast (2 MB at 18 bits).
 
-Fitting uses a bounded sample, MAX_FIT labelled documents in the order of a hash of their id; scoring covers all rows.
+Fitting uses a bounded sample, MAX_FIT labelled documents in the order of a hash of their id; scoring covers all rows. Texts
+become sparse vectors where they lie; one task then learns from these, as a stream that is sorted by epoch and order, so it
+holds the weights and FIT_ROWS vectors (of at most 2^bits numbers each), however long the texts are.
 
 Defined cases: a null or empty text has no features and scores the bias; ids without label only get a score; a document
 with several labels counts with the lowest; null labels are ignored; without any label the score is 0.5 (predicted 1);
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import LOWER, bounded_batches, documents, mix64, powers, slices
+from trawl.llm.shared import LOWER, arrow_rows, bounded_batches, documents, mix64, powers, slices
 
 MAX_FIT = 6000
 BITS = 18
 EPOCHS = 4
+#: Vectors that the learning task holds at once.
+FIT_ROWS = 200
 SCALE = 8.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0
 
@@ -85,53 +89,83 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -40, 40)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
-    """FTRL-proximal over the texts in the given order, each a sparse vector (index, share of runs)."""
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, _, data, offsets in slices(texts):
+class Ftrl:
+    """FTRL-proximal over 2^bits features and a bias (the last number)."""
+
+    def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> None:
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+
+    def weights(self, at) -> np.ndarray:
+        z, n = self.z[at], self.n[at]
+        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+
+    def learn(self, index: np.ndarray, value: np.ndarray, label: float) -> None:
+        w = self.weights(index)
+        g = (1 / (1 + np.exp(-np.clip(w @ value, -40, 40))) - label) * value
+        n = self.n[index]
+        self.z[index] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[index] += g * g
+
+    def model(self) -> Model:
+        w = self.weights(slice(None))
+        return Model(w[:-1].copy(), float(w[-1]))
+
+
+def examples(column, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sparse vector of each text: feature numbers and their shares of the runs, times SCALE; last the bias."""
+    for _, _, data, offsets in slices(column):
         single, pair, bounds = features(data, offsets, bits)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             own = np.concatenate([single[a:b], pair[a:b][pair[a:b] >= 0]])
             index, count = np.unique(own, return_counts=True)
-            rows.append((np.append(index, 1 << bits), np.append(SCALE * count / max(1, b - a), 1.0)))
-    size = (1 << bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
+            yield np.append(index, 1 << bits), np.append(SCALE * count / max(1, b - a), 1.0)
 
-    def weights(at):
-        zs, ns = z[at], n[at]
-        return np.where(np.abs(zs) <= l1, 0.0, (np.sign(zs) * l1 - zs) / ((beta + np.sqrt(ns)) / alpha + l2))
 
+def fit(texts: pa.Array, labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, **rates: float) -> Model:
+    """FTRL-proximal over texts in memory, in the given order."""
+    rows, learner = list(examples(texts, bits)), Ftrl(bits, **rates)
     for _ in range(epochs):
         for (index, value), label in zip(rows, labels, strict=True):
-            w = weights(index)
-            p = 1 / (1 + np.exp(-np.clip(w @ value, -40, 40)))
-            g = (p - label) * value
-            z[index] += g - (np.sqrt(n[index] + g * g) - np.sqrt(n[index])) / alpha * w
-            n[index] += g * g
-    w = weights(slice(None))
-    return Model(w[:-1].copy(), float(w[-1]))
+            learner.learn(index, value, label)
+    return learner.model()
 
 
 def held_out(row_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(row_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, order, text) -> (id, label, order, features, shares)."""
+    for batch in batches:
+        for k, (index, value) in enumerate(examples(batch.column(3))):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), pa.array([index.astype(np.int32)]), pa.array([value])], ["id", "label", "order", "features", "shares"])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors in the order of learning -> one row: bias, and numbers and weights of the features that have one."""
+    learner = Ftrl()
+    for batch in batches:
+        for label, index, value in zip(batch.column("label").to_pylist(), batch.column("features"), batch.column("shares"), strict=True):
+            learner.learn(np.asarray(index.values), np.asarray(value.values), label)
+    model = learner.model()
+    used = np.flatnonzero(model.weights)
+    yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([used]), pa.array([model.weights[used]])], ["bias", "at", "worth"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """A model from at most max_fit labelled documents that aren't held out; it is fitted in one task, of bounded size."""
     bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("_label")).withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(max_fit)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), "_label", "_order")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    sample = rows.groupBy("_id", "_label", "_order").agg(F.min(F.coalesce("text", F.lit(""))).alias("_text")).orderBy("_order", "_id").limit(max_fit)
-
-    def fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("_label", pa.int32()), ("_text", pa.string())]))
-        model = fit(table["_text"].combine_chunks(), table["_label"].to_numpy()) if table.num_rows else Model(np.zeros(1 << BITS), 0.0)
-        used = np.flatnonzero(model.weights)
-        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([used]), pa.array([model.weights[used]])], ["bias", "at", "worth"])
-
-    found = sample.select(F.col("_label").cast("int").alias("_label"), "_text").repartition(1).mapInArrow(fit_task, "bias double, at array<long>, worth array<double>").first()
+    chosen = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_fit)
+    chosen = chosen.select(F.col("doc_id").alias("id"), "label", "order")
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.coalesce("text", F.lit("")).alias("own_text"))
+    rows = texts.join(F.broadcast(chosen), F.col("own_id") == F.col("id"))
+    sample = rows.groupBy("id", "label", "order").agg(F.min("own_text").alias("text"))
+    vectors = sample.mapInArrow(_vectors, "id long, label int, order long, features array<int>, shares array<double>")
+    stream = vectors.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))).repartition(1).sortWithinPartitions("epoch", "order", "id")
+    with arrow_rows(docs.sparkSession, FIT_ROWS):
+        found = stream.mapInArrow(_learn, "bias double, at array<long>, worth array<double>").first()
     weights = np.zeros(1 << BITS)
     if found is None:
         return Model(weights, 0.0)

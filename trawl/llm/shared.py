@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -143,13 +144,28 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a worker's memory does not grow with the rows of its partition."""
+    """Keep Arrow batches small, so that a worker's memory does not grow with the rows of its partition.
+
+    Results are evaluated after a call has returned, so the session's setting, if it is larger, stays lowered.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that are run inside hand Python workers at most so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 (public domain), vectorised over uint64."""
     x = x ^ (x >> np.uint64(30))
