@@ -49,11 +49,14 @@ def test_bm25_scores_every_item(spark, tmp_path):
             score += math.log(1 + (len(counts) - df + 0.5) / (df + 0.5)) * c[t] / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / average))
         if score:
             want[q, d] = score
-    got = {(r["item_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_scores_all"](spark, str(tmp_path)).collect()}
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_scores"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-5) and max(q for q, _ in got) == 8
     ranks = {(q, d): 1 + sum(round(x, 9) > round(s, 9) for (p, _), x in want.items() if p == q) for (q, d), s in want.items()}
-    top = {(r["item_id"], r["doc_id"]): r["score_rank"] for r in QUERIES["bm25_top10_all"](spark, str(tmp_path)).collect()}
+    top = {(r["item_id"], r["doc_id"]): r["score_rank"] for r in QUERIES["bm25_top10"](spark, str(tmp_path)).collect()}
     assert top == {k: r for k, r in ranks.items() if r <= 10}
+    asked = spark.createDataFrame([(q, t) for q, text in items for t in set(text.split())], "item_id long, term string")
+    joined = textstats.bm25_by_join(spark.read.parquet(str(tmp_path / "documents.parquet")), asked, "doc_id", "text", "item_id").collect()
+    assert {(r["item_id"], r["doc_id"]): r["score"] for r in joined} == pytest.approx(want)
 
 
 def vectors_of(n, dims=6, seed=5, copies=30):
@@ -70,10 +73,10 @@ def nearest(v, queries, n=10):
 def test_nearest_and_relevance_of_every_segment(spark, tmp_path):
     v = vectors_of(130)
     spark.createDataFrame([(i, x.tolist(), i % 4) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {tuple(r) for r in QUERIES["batch_knn_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["batch_knn"](spark, str(tmp_path)).collect()}
     assert got == nearest(v, range(0, 130, 20))
-    rows = QUERIES["same_page_relevance_all"](spark, str(tmp_path)).collect()
-    assert {(r["query_id"], r["id"], r["rank"]) for r in rows} == nearest(v, range(130))
+    rows = QUERIES["same_page_relevance"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["id"], r["rank"]) for r in rows} == nearest(v, range(0, 130, 20))
     assert all(r["relevant"] == (r["query_id"] // 10 == r["id"] // 10) for r in rows)
     table = spark.read.parquet(str(tmp_path / "embeddings.parquet")).withColumnRenamed("vec_id", "id")
     small = blocks.nearest_for_all(table, table, 10, size=16).select("query_id", "id", "rank").collect()
@@ -141,7 +144,7 @@ def test_whole_texts_and_vectors(spark, tmp_path):
     v = vectors_of(4, dims=64, copies=1)
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    rows = {r["doc_id"]: r for r in QUERIES["base64_roundtrip_all"](spark, str(tmp_path)).collect()}
+    rows = {r["doc_id"]: r for r in QUERIES["base64_roundtrip"](spark, str(tmp_path)).collect()}
     assert all(rows[i]["decoded"] == t and rows[i]["encoded"] == base64.b64encode(t.encode()).decode() for i, t in enumerate(texts))
-    units = {r["vec_id"]: r["unit"] for r in QUERIES["normalize_vectors_all"](spark, str(tmp_path)).collect()}
+    units = {r["vec_id"]: r["unit"] for r in QUERIES["normalize_vectors"](spark, str(tmp_path)).collect()}
     assert all(units[i] == pytest.approx((x / np.linalg.norm(x)).tolist(), abs=2e-6) for i, x in enumerate(v.astype(float)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -10,30 +11,34 @@ from pyspark.sql import functions as F
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, SMALLEST, LENGTH = 7, 3, 64
 PRIME, START = 0x01000193, 0x28021967
-_M = 0xFFFFFFFF
-
-
-def triggers(data: bytes) -> list[int]:
-    """The rolling hash after each byte."""
-    ring, h1, h2, h3, out = [0] * WINDOW, 0, 0, 0, []
-    for n, c in enumerate(data):
-        h2 = (h2 - h1 + WINDOW * c) & _M
-        h1 = (h1 + c - ring[n % WINDOW]) & _M
-        ring[n % WINDOW] = c
-        h3 = (h3 << 5 & _M) ^ c
-        out.append((h1 + h2 + h3) & _M)
-    return out
-
-
-def signature(data: bytes, rolled: list[int], block: int, limit: int) -> str:
-    piece, out = START, []
-    for c, r in zip(data, rolled, strict=True):
-        piece = (piece * PRIME & _M) ^ c
-        if r % block == block - 1 and len(out) < limit - 1:
-            out.append(ALPHABET[piece & 63])
-            piece = START
-    if rolled and rolled[-1]:
-        out.append(ALPHABET[piece & 63])
+
+
+#: The piece hash keeps six bits, on which only six bits of the state and of the byte bear: next state by state and byte.
+_NEXT = [bytes(((state * PRIME) ^ c) & 63 for c in range(256)) for state in range(64)]
+
+
+def triggers(data: bytes) -> np.ndarray:
+    """The rolling hash after each byte: sums over the last seven bytes, plain and weighted, and their shifted parity."""
+    c = np.frombuffer(bytes(WINDOW - 1) + data, np.uint8).astype(np.uint32)
+    n, out, mixed = len(data), np.zeros(len(data), np.uint32), np.zeros(len(data), np.uint32)
+    for k in range(WINDOW):
+        back = c[WINDOW - 1 - k : WINDOW - 1 - k + n]
+        out += back * np.uint32(1 + WINDOW - k)
+        mixed ^= back << np.uint32(5 * k)
+    return out + mixed
+
+
+def signature(data: bytes, rolled: np.ndarray, block: int, limit: int) -> str:
+    """A character a piece; pieces end where the rolling hash is block - 1 modulo block, limit - 1 times at most."""
+    ends = (np.flatnonzero(rolled % np.uint32(block) == block - 1)[: limit - 1] + 1).tolist()
+    out, at = [], 0
+    last = [len(data)] if len(rolled) and rolled[-1] else []
+    for end in ends + last:
+        piece = START & 63
+        for c in data[at:end]:
+            piece = _NEXT[piece][c]
+        out.append(ALPHABET[piece])
+        at = end
     return "".join(out)
 
 
@@ -43,12 +48,13 @@ def fuzzy_hash(text: str | bytes) -> str:
     rolled, block = triggers(data), SMALLEST
     while block * LENGTH < len(data):
         block *= 2
-    while True:
-        one = signature(data, rolled, block, LENGTH)
-        if block > SMALLEST and len(one) < LENGTH // 2:
-            block //= 2
-            continue
-        return f"{block}:{one}:{signature(data, rolled, 2 * block, LENGTH // 2)}"
+    # the signature of a block size has as many characters as pieces, which are counted before it is made
+    while block > SMALLEST:
+        pieces = min(LENGTH - 1, int((rolled % np.uint32(block) == block - 1).sum())) + bool(len(rolled) and rolled[-1])
+        if pieces >= LENGTH // 2:
+            break
+        block //= 2
+    return f"{block}:{signature(data, rolled, block, LENGTH)}:{signature(data, rolled, 2 * block, LENGTH // 2)}"
 
 
 def _shorten(s: str) -> str:
@@ -61,13 +67,17 @@ def _shorten(s: str) -> str:
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Insertions and deletions cost 1, replacements 2."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (0 if x == y else 2))
-    return row[-1]
+    """Insertions and deletions cost 1, replacements 2, so it is the lengths less twice the longest common subsequence, whose
+    rows are the bits of one number (after Hyyrö, 2004)."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for y in b:
+        hit = row & where.get(y, 0)
+        row = (row + hit | row - hit) & every
+    return len(a) + len(b) - 2 * (len(a) - row.bit_count())
 
 
 def _score(a: str, b: str, block: int) -> int:

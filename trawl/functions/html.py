@@ -11,20 +11,19 @@ from pyspark.sql import functions as F
 
 from trawl.functions.dom import Element, parse, squeeze
 from trawl.functions.text import BOILERPLATE
-from trawl.functions.urls import ALLOWED_PARAMETERS, TWO_LABEL_SUFFIXES
+from trawl.functions.suffixes import load
+from trawl.functions.urls import ALLOWED_PARAMETERS, ONCLICK_PATTERNS
 
 #: File types that are stored as attachments, and image types.
 BINARY_TYPES = ("PDF", "DOC", "DOCX", "PPT", "PPTX")
-IMAGE_TYPES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg")
+IMAGE_TYPES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".svg")
 LEAST_PARAGRAPH = 40
 
 
 def canonical_url(url: str, allowed: tuple[str, ...] = ALLOWED_PARAMETERS) -> str:
     """The same canonical form as urls.canonical, for use inside a Python worker."""
     u = urlsplit(url)
-    labels = (u.hostname or "").split(".")
-    n = 3 if ".".join(labels[-2:]) in TWO_LABEL_SUFFIXES else 2
-    domain = ".".join(labels[-n:]) if len(labels) > 1 else labels[0] + "."
+    domain = load().registered(u.hostname or "")
     parts: list[str] = []
     for p in u.path.split("/"):
         if p == "..":
@@ -191,13 +190,7 @@ def anchors(html: str | None, url: str) -> list[dict]:
     return out
 
 
-_ONCLICK = [re.compile(p) for p in (
-    r"""(?:location\.href|document\.location|window\.location)\s*=\s*['"]([^'"]+)['"]""",
-    r"""(?:location\.assign|window\.open)\(\s*['"]([^'"]+)['"]""",
-    r"""Url\s*:\s*["']([^"']+)["']""",
-    r"""PlaybackUrl\s*:\s*["']([^"']+)["']""",
-    r"""["']([^"']+\.html)["']""",
-)]
+_ONCLICK = [re.compile(p) for p in ONCLICK_PATTERNS]
 
 
 def onclick_targets(code: str | None) -> list[str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,8 +76,8 @@ def keyword_class(text: Column, classes: tuple[tuple[str, ...], ...] = KEYWORD_C
 
 
 def fixed_chunks(text: Column, size: int = 50) -> Column:
-    n = F.ceil(F.length(text) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """Consecutive runs of `size` characters, the last one shorter, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
@@ -82,25 +85,41 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+", re.ASCII)
+_SPACED = re.compile(r"\S+", re.ASCII)
+
+
+def chunked(text: str | None, max_words: int, compat: bool) -> list[str] | None:
+    """The chunks of one text, in one pass."""
+    if text is None:
+        return None
+    done: list[str] = []
+    now: list[str] = []
+    size = 0
+    for s in _SENTENCE_END.split(text.strip(" ")):
+        if not s:
+            continue
+        n = sum(1 for _ in _SPACED.finditer(s))
+        if size + n > max_words:
+            if compat or now:
+                done.append(" ".join(now))
+            now, size = [], 0
+        now.append(s)
+        size += n
+    return [*done, " ".join(now)] if now else done
+
+
 def sentence_chunks(text: Column, max_words: int = 128, compat: bool = False) -> Column:
     """Sentences gathered greedily up to max_words; a longer sentence is a chunk of its own.
 
-    With compat an over-long first sentence leaves an empty chunk before it.
+    With compat an over-long first sentence leaves an empty chunk before it. The fold over sentences is a pandas UDF: as an
+    expression it copies the growing list at every sentence.
     """
-    words = lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
-
-    def step(acc: Column, s: Column) -> Column:
-        over = acc["n"] + words(s) > max_words
-        close = over if compat else over & (F.size(acc["now"]) > 0)
-        return F.struct(
-            F.when(close, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(over, F.array(s)).otherwise(F.concat(acc["now"], F.array(s))).alias("now"),
-            F.when(over, words(s)).otherwise(acc["n"] + words(s)).alias("n"),
-        )
+    @F.pandas_udf("array<string>")
+    def work(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunked(t, max_words, compat) for t in texts], dtype=object)
 
-    end = lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"])
-    return F.aggregate(sentences(text), start, step, end)
+    return work(text)
 
 
 def tfidf_text(title: Column, summary: Column, body: Column, intended: bool = False) -> Column:
@@ -110,12 +129,14 @@ def tfidf_text(title: Column, summary: Column, body: Column, intended: bool = Fa
     return F.when(summary.isNotNull(), F.concat(title, F.lit(" "), summary)).otherwise(F.concat(F.lit(" "), body))
 
 
-def metadata_sentence(titles: Column, summaries: Column, keywords: Column) -> Column:
-    """Labelled lists of distinct values in sorted order; empty where all lists are."""
-    clean = lambda values, fix: F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(fix(x))), lambda x: x.isNotNull() & (x != ""))))
-    t = clean(titles, lambda x: F.replace(x, F.lit("_"), F.lit(" ")))
-    s = clean(summaries, lambda x: F.replace(x, F.lit("..."), F.lit("")))
-    k = clean(keywords, lambda x: F.replace(x, F.lit("-"), F.lit(" ")))
+def metadata_sentence(titles: Column, summaries: Column, keywords: Column, labels: Column | None = None) -> Column:
+    """Labelled lists of distinct values in sorted order; empty where all lists are. Labels join the keywords as they are."""
+    strip = lambda values, fix: F.filter(F.transform(values, lambda x: F.trim(fix(x))), lambda x: x.isNotNull() & (x != ""))
+    clean = lambda values: F.array_sort(F.array_distinct(values))
+    t = clean(strip(titles, lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
+    s = clean(strip(summaries, lambda x: F.replace(x, F.lit("..."), F.lit(""))))
+    k = strip(keywords, lambda x: F.replace(x, F.lit("-"), F.lit(" ")))
+    k = clean(k if labels is None else F.concat(k, strip(labels, lambda x: x)))
     part = lambda label, values, between: F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(values, between), F.lit(".")))
     return F.concat_ws(" ", part("Naslovi", t, ". "), part("Povzetki", s, ". "), part("Ključne besede", k, ", "))
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
+
+from trawl.functions.suffixes import Suffixes, load
 
-#: Public suffixes of two labels that are known offline; all others count as one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.nz", "co.jp", "com.br", "co.za", "com.mx", "co.in")
 ALLOWED_PARAMETERS = ("e",)
 
 
@@ -25,13 +27,36 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
-def registered_domain(url: Column) -> Column:
-    """Last label before the public suffix, and the suffix; a host without suffix keeps a trailing dot."""
-    suffixes = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
+def among(value: Column, names: list[str]) -> Column:
+    """value is one of names; thousands of them cross to the JVM as one string and become a hash set in the plan."""
+    if not names:
+        return F.lit(False)
+    if not hasattr(value, "_jc"):
+        return value.isin(*names)
+    jvm = SparkContext._active_spark_context._jvm
+    listed = jvm.java.util.regex.Pattern.compile(",").splitAsStream(",".join(names)).toList()
+    return ClassicColumn(value._jc.isInCollection(listed))
+
+
+def registered_domain(url: Column, rules: Suffixes | None = None) -> Column:
+    """Last label before the public suffix, a dot and the suffix; a host without suffix keeps its last label and the dot.
+
+    The longest rule holds; an exception is one label longer than the suffix that it leaves.
+    """
+    rules = rules or load()
     h = host(url)
-    known = F.regexp_extract(h, rf"([^.]+\.(?:{suffixes}))$", 1)
-    plain = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
-    return F.when(known != "", known).when(plain != "", plain).otherwise(F.concat(h, F.lit(".")))
+    tail = lambda n: F.substring_index(h, ".", -n)
+    of = lambda names, labels: sorted(x for x in names if x.count(".") == labels - 1)
+    many = F.size(F.split(h, "[.]"))
+    out = F.concat(tail(1), F.lit("."))
+    for n in range(1, max(s.count(".") for s in rules.plain) + 2):
+        suffix = among(tail(n), of(rules.plain, n))
+        if parents := of(rules.wild, n - 1):
+            suffix |= among(tail(n - 1), parents) & (many >= n)
+        out = F.when(suffix & (many >= n), F.when(many > n, tail(n + 1)).otherwise(F.concat(F.lit("."), tail(n)))).otherwise(out)
+    for n in sorted({e.count(".") + 1 for e in rules.exceptions}):
+        out = F.when(among(tail(n), of(rules.exceptions, n)), tail(n)).otherwise(out)
+    return out
 
 
 def site_domain(url: Column) -> Column:
@@ -125,14 +150,17 @@ def wanted_href(href: Column) -> Column:
     return ~F.trim(href).rlike(r"^(javascript:|mailto:|tel:|#)")
 
 
+#: Where the code of an onclick names a url, in the order in which matches are listed.
+ONCLICK_PATTERNS = (
+    r"""(?:location\.href|document\.location|window\.location)\s*=\s*['"]([^'"]+)['"]""",
+    r"""(?:location\.assign|window\.open)\(\s*['"]([^'"]+)['"]""",
+    r"""Url\s*:\s*["']([^"']+)["']""",
+    r"""PlaybackUrl\s*:\s*["']([^"']+)["']""",
+    r"""["']([^"']+\.html)["']""",
+)
+
+
 def onclick_candidates(code: Column) -> Column:
-    """All matches of five patterns in turn, repeats kept; null or empty code has none."""
-    patterns = (
-        r"""(?:location\.href|document\.location|window\.location)\s*=\s*['"]([^'"]+)['"]""",
-        r"""(?:location\.assign|window\.open)\(\s*['"]([^'"]+)['"]""",
-        r"""Url\s*:\s*["']([^"']+)["']""",
-        r"""PlaybackUrl\s*:\s*["']([^"']+)["']""",
-        r"""["']([^"']+\.html)["']""",
-    )
-    found = F.concat(*[F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in patterns])
+    """All matches of ONCLICK_PATTERNS in turn, repeats kept; null or empty code has none."""
+    found = F.concat(*[F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in ONCLICK_PATTERNS])
     return F.coalesce(found, F.array().cast("array<string>"))

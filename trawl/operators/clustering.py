@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,18 +74,23 @@ def first_best(scores: list[tuple[int, float]]) -> int:
 
 
 def explained_variance(rows: DataFrame, vector: str, k: int) -> float:
-    """Share of the column variances that the first k left-singular components hold, without centring."""
-    vectors = rows.select(vector).rdd.map(lambda r: OldVectors.dense(r[0]))
-    matrix = RowMatrix(vectors.cache())
-    svd = matrix.computeSVD(k, computeU=True)
-    from pyspark.mllib.stat import Statistics
+    """Share of the column variances that the first k left-singular components hold, without centring.
 
-    total = float(Statistics.colStats(vectors).variance().sum())
-    scaled = svd.s.toArray()
-    kept = svd.U.rows.map(lambda u: OldVectors.dense(u.toArray() * scaled))
-    share = float(Statistics.colStats(kept).variance().sum()) / total if total else 0.0
-    vectors.unpersist()
-    return share
+    From the matrix of inner products of columns, which the JVM sums over the rows, and the columns' means: component v has
+    the sum of squares of its eigenvalue and the mean of the columns' means along v.
+    """
+    given = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    means = given.agg(Summarizer.metrics("mean", "count").summary(F.col("_v")).alias("s")).select("s.mean", "s.count").first()
+    n = means["count"]
+    if n < 2:
+        return 0.0
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(given, "_v")).computeGramianMatrix().toArray()
+    mean = means["mean"].toArray()
+    total = float(gram.trace() - n * mean @ mean) / (n - 1)
+    values, components = np.linalg.eigh(gram)
+    first = np.argsort(-values)[:k]
+    held = (values[first] - n * (mean @ components[:, first]) ** 2) / (n - 1)
+    return float(held.sum()) / total if total > 0 else 0.0
 
 
 def project(rows: DataFrame, k: int = 2) -> DataFrame:
@@ -124,8 +131,6 @@ def coordinate_outliers(rows: DataFrame, columns: list[str], t: float = 2.2) ->
 
 def mmr(relevance: list[float], vectors: list[list[float]], n: int, diversity: float = 0.4) -> list[int]:
     """Maximal marginal relevance (Carbonell and Goldstein, 1998): indices in the order picked."""
-    import numpy as np
-
     v = np.asarray(vectors, float)
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     left, picked = list(range(len(relevance))), []

@@ -5,11 +5,14 @@ from __future__ import annotations
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.functions import urls as U
+from trawl.functions.text import metadata_sentence
+from trawl.operators.models import Embedder, similarity_column
+from trawl.scratch import Scratch, materialise
 
 DEFAULT_DELAY = 1.0
 
@@ -24,10 +27,23 @@ def frontier_next(frontier: DataFrame, n: int = 1) -> DataFrame:
     return live.orderBy("priority", "url", "version", "from_page", "frontier_page").limit(n)
 
 
-def delay_schedule(requests: DataFrame, domain: str, order: str, delay: str) -> DataFrame:
-    """requests with `start`: seconds from the first slot of its domain, each a delay after the one before."""
-    own = W.partitionBy(domain).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return requests.withColumn("start", F.coalesce(F.sum(delay).over(own), F.lit(0.0)))
+def delay_schedule(requests: DataFrame, domain: str, order: str, delay: str, bucket: Column | None = None) -> DataFrame:
+    """requests with `start`: seconds from the first slot of its domain, each a delay after the one before.
+
+    bucket, if given, does not fall as order rises: a domain is then summed bucket by bucket in as many tasks as it has
+    buckets, and only the buckets' sums are run through in one.
+    """
+    if bucket is None:
+        own = W.partitionBy(domain).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return requests.withColumn("start", F.coalesce(F.sum(delay).over(own), F.lit(0.0)))
+    rows = requests.withColumn("_b", bucket)
+    sums = rows.groupBy(F.col(domain).alias("_d"), F.col("_b").alias("_k")).agg(F.sum(delay).alias("_s"))
+    before = W.partitionBy("_d").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("_d", "_k", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_before"))
+    inside = W.partitionBy(domain, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("_in", F.coalesce(F.sum(delay).over(inside), F.lit(0.0)))
+    joined = placed.join(starts, F.col(domain).eqNullSafe(F.col("_d")) & F.col("_b").eqNullSafe(F.col("_k")))
+    return joined.withColumn("start", F.col("_before") + F.col("_in")).select(*requests.columns, "start")
 
 
 def rules(text: str) -> RobotFileParser:
@@ -56,29 +72,63 @@ def robots_allowed(rows: DataFrame, url: str, robots: str, agent: str) -> DataFr
     return rows.withColumn("_j", judge(url, robots)).select(*rows.columns, "_j.allowed", "_j.crawl_delay")
 
 
-def crawl_rounds(pages: DataFrame, seed: str, rounds: int, batch: int, keyword: str = "") -> DataFrame:
-    """(round, url): a crawl over a page source (url canonical, links) from a seed, `batch` pages a round, best first.
+def crawl_rounds(pages: DataFrame, links: DataFrame, seed: str, rounds: int, batch: int, keyword: str = "") -> DataFrame:
+    """(round, url): a crawl over a page source (pages: url; links: source, target) from a seed, `batch` pages a round, best first.
 
-    Priority is 0 where the url has the keyword, else 1. The source is scanned by join each round; frontier and visited
-    urls are tables in the session's shared folder, so a round can be repeated after a loss.
+    Priority is 0 where the url has the keyword, else 1. The links are scanned by join each round; frontier and visited urls
+    are tables in the shared folder that a round writes anew, so a round can be repeated after a loss. A round pops `batch`
+    urls, a set size, which are all that the driver and the broadcast hold.
     """
     spark = pages.sparkSession
-    visited = spark.createDataFrame([], "round int, url string")
-    frontier = spark.createDataFrame([(seed,)], "url string")
-    for n in range(rounds):
-        live = frontier.join(visited.select("url"), "url", "left_anti").join(pages.select("url"), "url", "left_semi")
-        popped = live.select("url", F.when(F.contains("url", F.lit(keyword)), 0).otherwise(1).alias("p")).distinct().orderBy("p", "url").limit(batch).select("url")
-        # a round pops a batch of a set size; it is the only thing that the driver holds
-        urls = [r["url"] for r in popped.collect()]
-        if not urls:
-            break
-        now = spark.createDataFrame([(n, u) for u in urls], "round int, url string")
-        found = pages.join(F.broadcast(now.select("url")), "url", "left_semi").select(F.explode("links").alias("url")).distinct()
-        visited, frontier = visited.unionByName(now), frontier.unionByName(found).distinct()
-    return visited
-
-
-def page_source(pages: DataFrame) -> DataFrame:
-    """(url, links) of a table (url, html), canonical, one row a url."""
-    links = F.array_distinct(F.transform(U.hrefs(F.col("html")), lambda h: U.canonical(U.resolve_rooted(h, F.col("url")))))
-    return pages.select(U.canonical(F.col("url")).alias("url"), links.alias("links")).groupBy("url").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    with Scratch(spark) as scratch:
+        visited = scratch.write(spark.createDataFrame([], "round int, url string"), "visited")
+        frontier = scratch.write(spark.createDataFrame([(seed,)], "url string"), "frontier")
+        for n in range(rounds):
+            live = frontier.join(visited.select("url"), "url", "left_anti").join(pages.select("url"), "url", "left_semi")
+            order = F.when(F.contains("url", F.lit(keyword)), 0).otherwise(1)
+            urls = [r["url"] for r in live.select("url", order.alias("p")).orderBy("p", "url").limit(batch).collect()]
+            if not urls:
+                break
+            now = spark.createDataFrame([(n, u) for u in urls], "round int, url string")
+            found = links.join(F.broadcast(now.select(F.col("url").alias("source"))), "source", "left_semi").select(F.col("target").alias("url"))
+            frontier = scratch.replace(frontier, frontier.unionByName(found).distinct(), "frontier")
+            visited = scratch.replace(visited, visited.unionByName(now), "visited")
+        return materialise(visited, "crawled")
+
+
+def page_source(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, links) of a table (url, html), canonical: distinct urls, and distinct pairs of source and target."""
+    url = U.canonical(F.col("url"))
+    found = pages.select(url.alias("source"), "url", F.explode(U.hrefs(F.col("html"))).alias("href"))
+    links = found.select("source", U.canonical(U.resolve_rooted(F.col("href"), F.col("url"))).alias("target"))
+    return pages.select(url.alias("url")).distinct(), links.filter("target IS NOT NULL").distinct()
+
+
+def gathered(anchors: DataFrame) -> DataFrame:
+    """(url, seen, titles, summaries, keywords, labels): what is known of each link of anchors (page_id, url, section, topic,
+    link_title, summary, label, keywords); seen is the number of pages that it is on."""
+    spaced = lambda c: F.trim(F.replace(F.col(c), F.lit("-"), F.lit(" ")))
+    own = anchors.select("page_id", "url", F.array("link_title").alias("t"), F.array("summary").alias("s"), F.concat(F.array(spaced("topic"), spaced("section")), F.coalesce("keywords", F.array().cast("array<string>"))).alias("k"), F.array("label").alias("l"))
+    return own.groupBy("url").agg(
+        F.count_distinct("page_id").alias("seen"),
+        *[F.array_distinct(F.flatten(F.collect_set(c))).alias(n) for c, n in (("t", "titles"), ("s", "summaries"), ("k", "keywords"), ("l", "labels"))],
+    )
+
+
+def prioritised(known: DataFrame, query: str, model: Embedder) -> DataFrame:
+    """known (as of gathered) with `priority`: minus the cosine of the query's vector and that of the link's metadata."""
+    text = metadata_sentence(F.col("titles"), F.col("summaries"), F.col("keywords"), F.col("labels"))
+    return known.withColumn("priority", -similarity_column(text, query, model))
+
+
+def rescored(known: DataFrame, found: DataFrame, query: str, model: Embedder) -> DataFrame:
+    """known with what a later batch of pages has found of its links: metadata is added up, the links that were found are
+    scored again with all of it, and each page that has a link raises its count; the others stay as they are."""
+    lists = ("titles", "summaries", "keywords", "labels")
+    old = known.select(F.col("url").alias("_u"), F.col("seen").alias("_seen"), *[F.col(c).alias(f"_{c}") for c in lists])
+    none = F.array().cast("array<string>")
+    both = found.join(old, F.col("url") == F.col("_u"), "left").select(
+        "url", (F.col("seen") + F.coalesce("_seen", F.lit(0))).alias("seen"), *[F.array_distinct(F.concat(F.coalesce(f"_{c}", none), F.col(c))).alias(c) for c in lists]
+    )
+    untouched = known.join(found.select("url"), "url", "left_anti")
+    return untouched.unionByName(prioritised(both, query, model))

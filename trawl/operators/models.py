@@ -5,8 +5,8 @@ The stand-ins are lexical; they make pipelines run and repeat, and are no measur
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from typing import Protocol
 
 import numpy as np
@@ -55,7 +55,7 @@ class HashedEmbedder:
         out = np.zeros((len(texts), self.size))
         for row, t in zip(out, texts, strict=True):
             for w in words(t):
-                h = zlib.crc32(w.encode())
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 row[(h >> 1) % self.size] += 1 - 2 * (h & 1)
             n = np.linalg.norm(row)
             if n:
@@ -93,6 +93,20 @@ def embed_column(text: Column, model: Embedder) -> Column:
     return apply(text)
 
 
+def similarity_column(text: Column, query: str, model: Embedder) -> Column:
+    """Cosine of the query's vector and that of each text; 0 where a text or the query has none."""
+    asked = np.asarray(model.embed([query])[0], float)
+    asked = asked / (np.linalg.norm(asked) or 1.0)
+
+    @F.pandas_udf("double")
+    def apply(s: pd.Series) -> pd.Series:
+        v = np.asarray(model.embed(s.fillna("").tolist()), float).reshape(len(s), -1)
+        norm = np.linalg.norm(v, axis=1)
+        return pd.Series((v @ asked if len(s) else norm) / np.where(norm > 0, norm, 1.0))
+
+    return apply(text)
+
+
 def rerank_column(query: Column, text: Column, model: Reranker) -> Column:
     @F.pandas_udf("double")
     def apply(q: pd.Series, t: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import text as X
+from trawl.scratch import materialise
 
 K1, B = 1.5, 0.75
 
@@ -28,26 +29,41 @@ def tfidf(counts: DataFrame, key: str, n_docs: int, max_features: int) -> DataFr
     return raw.join(norms, F.col(key) == F.col("_k")).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def bm25(counts: DataFrame, queries: DataFrame, key: str, query_key: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_key, key, score) where a query's term occurs; queries is (query_key, term), distinct.
+#: (query, term) rows up to which bm25 hands the queries to every task.
+MOST_ASKED = 2_000_000
 
-    Only the queries' terms leave the corpus table; lengths are one row a document.
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, best: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_key, key, score) where a query's term occurs in a document; queries is (query_key, term), distinct.
+
+    With `best` at least the best of each query are among the rows. Up to MOST_ASKED rows of queries, counted first, go to the
+    tasks; more are joined.
     """
-    lengths = counts.groupBy(key).agg(F.sum("tf").alias("_len"))
-    size = lengths.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    wanted = counts.join(queries.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("_df"))
-    hits = wanted.join(df, "term").join(queries, "term").join(lengths, key).join(F.broadcast(size), F.lit(True))
+    if queries.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        return bm25_for_all(docs, queries, key, text, query_key, best, k1, b)
+    return bm25_by_join(docs, queries, key, text, query_key, k1, b)
+
+
+def bm25_by_join(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, k1: float = K1, b: float = B) -> DataFrame:
+    """As bm25, for any number of queries. A document's length is the size of its list of tokens, and tokens that no query asks
+    for are dropped before anything is counted, so only hits are summed by document and term."""
+    words = docs.select(F.col(key).cast("long").alias(key), X.tokens(F.col(text)).alias("_w")).filter(F.size("_w") > 0).withColumn("_len", F.size("_w"))
+    size = words.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
+    asked = queries.select("term").distinct()
+    hits = words.select(key, "_len", F.explode("_w").alias("term")).join(asked, "term", "left_semi").groupBy(key, "_len", "term").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("_df"))
+    # one row of two numbers
+    rows = hits.join(df, "term").join(queries, "term").join(F.broadcast(size), F.lit(True))
     idf = F.log(1.0 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("_len") / F.col("_avg")))
-    return hits.groupBy(query_key, key).agg(F.sum(idf * tf).alias("score"))
+    return rows.groupBy(query_key, key).agg(F.sum(idf * tf).alias("score"))
 
 
-def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, path: str, best: int | None = None, k1: float = K1, b: float = B, width: int = 512) -> DataFrame:
-    """(query_key, key, score) for any number of queries (query_key, term), distinct, as bm25 has it: all documents with a term
-    of the query, or of each batch the `best` highest by rounded score with all ties, which hold the best of the whole.
+def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, best: int | None = None, k1: float = K1, b: float = B, width: int = 512) -> DataFrame:
+    """As bm25: all documents with a term of the query, or of each batch the `best` highest by rounded score with all ties, which
+    hold the best of the whole.
 
-    Documents are reduced to the queries' terms once and written to path; then each batch of them is scored by sparse sums
+    Documents are reduced to the queries' terms once, as a written table; then each batch of them is scored by sparse sums
     over blocks of `width` queries. Keys are long, and unique in docs; only the queries are held by the tasks.
     """
     import numpy as np
@@ -73,8 +89,7 @@ def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), counts)], ["doc", "len", "terms", "tf"])
 
     words = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))
-    words.mapInArrow(reduced, "doc long, len long, terms array<int>, tf array<int>").filter("len > 0").write.parquet(path)
-    small = docs.sparkSession.read.schema("doc long, len long, terms array<int>, tf array<int>").parquet(path)
+    small = materialise(words.mapInArrow(reduced, "doc long, len long, terms array<int>, tf array<int>").filter("len > 0"), "bm25")
     size = small.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
     idf = np.zeros(len(vocabulary))
     for r in small.select(F.explode("terms").alias("t")).groupBy("t").count().collect():

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from trawl.operators import crawl as C
+from trawl.functions import html as H
 from trawl.functions import urls as U
-from trawl.plans.url_queries import CANON_SQL, links
-from trawl.plans.crawl_stats import LINKS_SQL
+from trawl.operators import crawl as C
+from trawl.operators import models as M
+from trawl.plans.crawl_stats import LINKS_SQL, PAGE_SQL
+from trawl.plans.url_queries import CANON_SQL
 from trawl.registry import REGISTRY
-from trawl.schema import table
+from trawl.schema import surrogate, table
+from trawl.scratch import fresh_path, hand_out, materialise
 from trawl.streaming import frontier as S
 
 Q = REGISTRY.query
@@ -32,12 +32,51 @@ def frontier_next(spark, sf):
 @Q("crawl_delay_schedule", "C3", "SELECT event_id, CAST(2.0 * (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) AS DOUBLE) AS start FROM events")
 def crawl_delay_schedule(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type").withColumn("delay", F.lit(2.0))
-    return C.delay_schedule(rows, "event_type", "event_id", "delay").select("event_id", "start")
+    return C.delay_schedule(rows, "event_type", "event_id", "delay", F.floor(F.col("event_id") / 4096)).select("event_id", "start")
+
+
+QUESTION = "the para nicht and for une the"
+MODEL = M.HashedEmbedder(64)
+#: The embedder in SQL: signed counts of words by the first eight hex digits of their digest.
+PRIORITY_SQL = LINKS_SQL + r"""
+, k AS (SELECT page_id, """ + CANON_SQL.replace("url", "target") + r""" AS url FROM links),
+m AS (SELECT url, count(DISTINCT page_id) AS seen, replace(split_part(regexp_extract(any_value(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', 2), '-', ' ') AS section FROM k GROUP BY url),
+w AS (SELECT url, unnest(regexp_extract_all(lower(CASE WHEN trim(section) = '' THEN '' ELSE 'Ključne besede: ' || trim(section) || '.' END), '[\p{L}\p{N}_]{2,}')) AS word FROM m
+      UNION ALL SELECT NULL, unnest(regexp_extract_all(lower('""" + QUESTION + r"""'), '[\p{L}\p{N}_]{2,}'))),
+hashed AS (SELECT url, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM w),
+v AS (SELECT url, (h // 2) % 64 AS i, sum(1 - 2 * (h % 2)) AS x FROM hashed GROUP BY url, i),
+n AS (SELECT url, sqrt(sum(x * x)) AS norm FROM v GROUP BY url),
+d AS (SELECT a.url, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.i = b.i AND b.url IS NULL WHERE a.url IS NOT NULL GROUP BY a.url)
+SELECT m.url, seen - 1 AS version, round(-coalesce(dot / nullif(norm * (SELECT norm FROM n WHERE url IS NULL), 0), 0), 6) + 0.0 AS priority
+FROM m LEFT JOIN n ON n.url = m.url LEFT JOIN d ON d.url = m.url
+"""
+
+
+def anchors(spark, sf):
+    """(page_id, url, section, topic, link_title, summary, label, keywords) of each link of each page, canonical."""
+    found = table(spark, sf, "pages").select("page_id", F.explode(H.anchors_column(F.col("html"), F.col("url"))).alias("a"))
+    url = F.col("a.url")
+    return found.select("page_id", url.alias("url"), U.section(url).alias("section"), U.topic(url).alias("topic"), U.link_title(url).alias("link_title"), "a.summary", "a.label", "a.keywords")
+
 
+def scored(known):
+    return known.select("url", (F.col("seen") - 1).alias("version"), (F.round("priority", 6) + 0.0).alias("priority"))
 
-@Q("link_priority", "V7 C5", LINKS_SQL + "SELECT target, count(*) AS seen, CAST(-max(CASE WHEN contains(href, 'the') THEN 1 ELSE 0 END) AS INTEGER) AS priority FROM links GROUP BY target")
+
+@Q("link_priority", "V7", PRIORITY_SQL)
 def link_priority(spark, sf):
-    return links(spark, sf).groupBy("target").agg(F.count("*").alias("seen"), (-F.max(F.when(F.contains("href", F.lit("the")), 1).otherwise(0))).alias("priority"))
+    return scored(C.prioritised(C.gathered(anchors(spark, sf)), QUESTION, MODEL))
+
+
+@Q("frontier_rescore", "C5 V7 W7", PRIORITY_SQL)
+def frontier_rescore(spark, sf):
+    """The pages come in three batches; after each, the links that it had are scored again with all that is known of them."""
+    pages = anchors(spark, sf)
+    batches = [C.gathered(pages.filter(F.pmod("page_id", F.lit(3)) == k)) for k in range(3)]
+    known = materialise(C.prioritised(batches[0], QUESTION, MODEL), "frontier")
+    for found in batches[1:]:
+        known = materialise(C.rescored(known, materialise(found, "found"), QUESTION, MODEL), "frontier")
+    return scored(known)
 
 
 ROBOTS = "User-agent: *\nDisallow: /en\nCrawl-delay: 3\n\nUser-agent: trawl\nDisallow: /fr\n"
@@ -49,32 +88,44 @@ def robots_filter(spark, sf):
     return C.robots_allowed(rows, "url", "robots", "other").select("page_id", "allowed", "crawl_delay")
 
 
-@Q("crawl_rounds", "C1 C2 C7", f"""
-SELECT CAST(0 AS INTEGER) AS round, min({CANON_SQL}) AS url FROM pages
-""")
+ROUNDS, BATCH, KEYWORD = 4, 40, "7"
+
+
+def _crawl_sql() -> str:
+    """The rounds one after another: what a round pops, and the frontier that it leaves."""
+    parts = [f"page AS ({PAGE_SQL})", "edges AS MATERIALIZED (SELECT DISTINCT a.url AS source, b.url AS target FROM lineitem JOIN page a ON a.id = l_orderkey JOIN page b ON b.id = l_partkey)", "f0 AS (SELECT min(url) AS url FROM page)"]
+    for n in range(ROUNDS):
+        seen = " UNION ALL ".join(f"SELECT url FROM p{k}" for k in range(n)) or "SELECT NULL WHERE false"
+        parts.append(f"p{n} AS MATERIALIZED (SELECT url FROM f{n} WHERE url NOT IN ({seen}) ORDER BY CASE WHEN contains(url, '{KEYWORD}') THEN 0 ELSE 1 END, url LIMIT {BATCH})")
+        parts.append(f"f{n + 1} AS MATERIALIZED (SELECT url FROM f{n} UNION SELECT target FROM edges WHERE source IN (SELECT url FROM p{n}))")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS round, url FROM p{n}" for n in range(ROUNDS))
+
+
+@Q("crawl_rounds", "C1 C2 C7", _crawl_sql())
 def crawl_rounds(spark, sf):
-    """From the first canonical url; no link of the test pages leads to another page of theirs, so one round is run."""
-    source = C.page_source(table(spark, sf, "pages"))
-    seed = table(spark, sf, "pages").agg(F.min(U.canonical(F.col("url")))).first()[0] or ""
-    return C.crawl_rounds(source, seed, 5, 10)
+    """A crawl of the store's pages along its links, from the first url, best first, with a budget of pages a round."""
+    store = surrogate(spark, sf)
+    pages = store["page"].select("id", "url")
+    ends = lambda name, key: pages.select(F.col("id").alias(key), F.col("url").alias(name))
+    links = store["link"].join(ends("source", "from_page"), "from_page").join(ends("target", "to_page"), "to_page").select("source", "target").distinct()
+    seed = pages.agg(F.min("url")).first()[0] or ""
+    return C.crawl_rounds(pages, materialise(links, "links"), seed, ROUNDS, BATCH, KEYWORD)
 
 
 @Q("event_stream_counts", "C5", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def event_stream_counts(spark, sf):
-    """The stream of the events file, drained once; a shared folder holds the checkpoint."""
+    """The stream of the events file, drained once in any order; the counts of changed windows are written batch by batch."""
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"counts_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    query = S.event_counts(source).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    root = hand_out(spark, fresh_path(spark, "counts"))
+    S.run_counts(S.event_counts(source, late=None), f"{root}/checkpoint", f"{root}/table")
+    return S.latest_counts(spark, f"{root}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @Q("crawl_rounds_stream", "C1 C5 D3", "SELECT event_type || '/' || CAST(user_id AS VARCHAR) AS url, round(min(value), 4) AS priority, count(*) AS seen FROM events GROUP BY 1")
 def crawl_rounds_stream(spark, sf):
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
     offers = source.select(F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("url"), F.round("value", 4).alias("priority"))
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/frontier-{uuid.uuid4().hex}"
-    S.run_upserts(spark, offers, f"{root}/checkpoint", f"{root}/table")
-    return S.latest_batch(spark, f"{root}/table", 1)
+    root = hand_out(spark, fresh_path(spark, "frontier"))
+    S.run_upserts(offers, f"{root}/checkpoint", f"{root}/table")
+    return S.state(spark, f"{root}/table")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from trawl.functions import fuzzy, html as H
@@ -13,6 +10,7 @@ from trawl.operators import wrapper
 from trawl.plans.url_queries import CANON_SQL
 from trawl.registry import REGISTRY
 from trawl.schema import table
+from trawl.scratch import materialise
 
 Q = REGISTRY.query
 
@@ -60,10 +58,8 @@ def fuzzy_similar(spark, sf):
     one (a and likeness are null without a text). A row without it is a pair of classes with a likeness above 0, which holds
     for each pair of their documents. Likeness needs a common 7-gram of signatures of one block size, so classes meet on
     (block size, gram)."""
-    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/fuzzy-{uuid.uuid4().hex}"
     # hashed once; classes, pairs and members all read it
-    table(spark, sf, "documents").select("doc_id", fuzzy.fuzzy_hash_column(F.col("text")).alias("h")).write.parquet(path)
-    hashed = spark.read.parquet(path)
+    hashed = materialise(table(spark, sf, "documents").select("doc_id", fuzzy.fuzzy_hash_column(F.col("text")).alias("h")), "fuzzy")
     classes = hashed.filter(F.col("h").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     own = classes.select(F.col("doc_id").alias("a"), F.col("h").alias("_h"), fuzzy.hash_compare_column(F.col("h"), F.col("h")).alias("likeness"))
     members = hashed.join(own, F.col("h") == F.col("_h"), "left").select("a", F.col("doc_id").alias("b"), "likeness", F.lit(True).alias("same_hash"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from trawl.functions import html as H
 from trawl.functions import text as X
 from trawl.functions import vectors as V
+from trawl.operators import blocks as K
 from trawl.operators import models as M
 from trawl.operators import ranking as R
 from trawl.registry import REGISTRY
 from trawl.schema import table
+from trawl.scratch import materialise
 
 Q = REGISTRY.query
 MODEL = M.HashedEmbedder(384)
@@ -25,12 +27,20 @@ def segments(spark, sf):
     return identified.withColumn("embedding", M.embed_column(F.col("page_segment"), MODEL))
 
 
-def retrieve(spark, sf, query: str, candidates: int = 100, n: int = 10):
-    """The n best segments for a query: nearest by cosine, then reranked and scaled."""
-    V.check_size(vector := MODEL.embed([query])[0].tolist())
-    near = R.nearest(segments(spark, sf), V.literal(vector), "cosine", "id", candidates)
-    scored = near.withColumn("query", F.lit(query)).withColumn("cross", M.rerank_column(F.lit(query), F.col("page_segment"), M.OverlapReranker()))
-    return R.rerank(scored, "cross", "distance", n)
+def questions(spark, sf):
+    """(id, query, embedding): every item of benchmark asks with its whole text."""
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("query"))
+    return rows.withColumn("embedding", M.embed_column(F.col("query"), MODEL))
+
+
+def retrieve(spark, sf, candidates: int = 100, n: int = 10):
+    """The n best segments for each question: its nearest by cosine, then reranked."""
+    V.check_size([0.0] * MODEL.size)
+    rows, asked = materialise(segments(spark, sf), "segments"), materialise(questions(spark, sf), "questions")
+    near = K.nearest_for_all(asked, rows, candidates)
+    told = near.join(rows.select("id", "page_id", "page_segment"), "id").join(asked.select(F.col("id").alias("query_id"), "query"), "query_id")
+    scored = told.withColumn("cross", M.rerank_column(F.col("query"), F.col("page_segment"), M.OverlapReranker()))
+    return R.rerank(scored, "cross", "rank", n, by="query_id")
 
 
 @Q("index_segments", "V3 V4 K4 F19", None)
@@ -38,23 +48,18 @@ def index_segments(spark, sf):
     return segments(spark, sf).select("page_id", "segment_no", "page_segment", F.size("embedding").alias("size"), F.round(V.norm(F.col("embedding")), 5).alias("norm"))
 
 
-def _query(spark, sf) -> str:
-    row = table(spark, sf, "benchmark").orderBy("item_id").select(F.left("text", F.lit(128)).alias("q")).first()
-    return row["q"] if row else ""
-
-
 @Q("retrieve_reranked", "V2 V6 W5 O3", None)
 def retrieve_reranked(spark, sf):
-    return retrieve(spark, sf, _query(spark, sf)).select("id", "page_id", "page_segment", F.round("distance", 6).alias("distance"), F.round("cross", 6).alias("cross"))
+    return retrieve(spark, sf).select("query_id", "new_rank", "id", "page_id", "page_segment", F.round("distance", 6).alias("distance"), F.round("cross", 6).alias("cross"))
 
 
 @Q("graded_retrieval", "V16 V14", None)
 def graded_retrieval(spark, sf):
-    graded = retrieve(spark, sf, _query(spark, sf)).withColumn("grade", M.grade_column(F.col("query"), F.col("page_segment"), M.OverlapGrader()))
-    return R.ndcg(graded.withColumn("gain", F.pow(F.lit(2.0), F.col("grade")) - 1), "query", "cross", "gain", 10)
+    graded = retrieve(spark, sf).withColumn("grade", M.grade_column(F.col("query"), F.col("page_segment"), M.OverlapGrader()))
+    return R.ndcg(graded.withColumn("gain", F.pow(F.lit(2.0), F.col("grade")) - 1), "query_id", "cross", "gain", 10)
 
 
 @Q("rag_answer", "V16 F25", None)
 def rag_answer(spark, sf):
-    best = retrieve(spark, sf, _query(spark, sf), n=3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("distance", "page_segment"))), lambda s: s["page_segment"]), "\n").alias("context"))
-    return best.select(M.answer_column(X.rag_prompt(F.col("context"), F.lit(_query(spark, sf))), M.TemplateGenerator()).alias("answer"))
+    best = retrieve(spark, sf, n=3).groupBy("query_id", "query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("new_rank", "page_segment"))), lambda s: s["page_segment"]), "\n").alias("context"))
+    return best.select("query_id", M.answer_column(X.rag_prompt(F.col("context"), F.col("query")), M.TemplateGenerator()).alias("answer"))

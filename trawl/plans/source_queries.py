@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from trawl.registry import REGISTRY
 from trawl.schema import table
+from trawl.scratch import fresh_path, hand_out
 from trawl.sources import files
 
 Q = REGISTRY.query
 
 
 def _root(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/files-{uuid.uuid4().hex}"
+    return hand_out(spark, fresh_path(spark, "files"))
 
 
 @Q("csv_log_roundtrip", "S7 K8", "SELECT l_orderkey AS page_id, CAST(l_linenumber AS BIGINT) AS link_count, l_quantity AS fetch_time FROM lineitem")

@@ -111,16 +111,8 @@ def seed_codes(spark, sf):
     return store.seed_codes(frame.filter("kind = 'page'"), frame, "code")
 
 
-@Q("base64_roundtrip", "K7", "SELECT doc_id, base64(encode(left(text, 60))) AS encoded, left(text, 60) AS decoded FROM documents")
+@Q("base64_roundtrip", "K7", "SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents")
 def base64_roundtrip(spark, sf):
-    start = F.left("text", F.lit(60))
-    out = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode(start, "utf-8")), "\r\n", "").alias("encoded"))
-    return out.withColumn("decoded", F.decode(F.unbase64("encoded"), "utf-8"))
-
-
-@Q("base64_roundtrip_all", "K7", "SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents")
-def base64_roundtrip_all(spark, sf):
-    """Whole texts; base64_roundtrip takes their first 60 characters, as its SQL."""
     out = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "utf-8")), "\r\n", "").alias("encoded"))
     return out.withColumn("decoded", F.decode(F.unbase64("encoded"), "utf-8"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -151,15 +148,15 @@ def tfidf_terms(spark, sf):
 BM25_SQL = f"""
 WITH w AS (SELECT doc_id, unnest({TOKEN_SQL}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
 l AS (SELECT doc_id, sum(tf) AS len FROM c GROUP BY 1), s AS (SELECT count(*) AS n, avg(len) AS a FROM l),
-q AS (SELECT DISTINCT item_id, unnest({TOKEN_SQL}) AS term FROM benchmark WHERE item_id < 3), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest({TOKEN_SQL}) AS term FROM benchmark), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
 b AS (SELECT q.item_id, c.doc_id, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1.0 - 0.75 + 0.75 * len / a))) AS score
   FROM q JOIN c ON c.term = q.term JOIN d ON d.term = q.term JOIN l ON l.doc_id = c.doc_id CROSS JOIN s GROUP BY 1, 2)
 """
 
 
-def _bm25(spark, sf):
-    asked = table(spark, sf, "benchmark").filter("item_id < 3").select("item_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return S.bm25(S.term_counts(table(spark, sf, "documents"), "doc_id", "text"), asked, "doc_id", "item_id")
+def _bm25(spark, sf, best=None):
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    return S.bm25(table(spark, sf, "documents"), asked, "doc_id", "text", "item_id", best)
 
 
 @Q("bm25_scores", "V13", BM25_SQL + "SELECT item_id, doc_id, round(score, 5) AS score FROM b")
@@ -170,26 +167,7 @@ def bm25_scores(spark, sf):
 @Q("bm25_top10", "O8", BM25_SQL + "SELECT item_id, doc_id, score_rank FROM (SELECT item_id, doc_id, rank() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC) AS score_rank FROM b) WHERE score_rank <= 10")
 def bm25_top10(spark, sf):
     best = W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)))
-    return _bm25(spark, sf).withColumn("score_rank", F.rank().over(best).cast("long")).filter("score_rank <= 10").select("item_id", "doc_id", "score_rank")
-
-
-def _bm25_all(spark, sf, best=None):
-    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/bm25-{uuid.uuid4().hex}"
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return S.bm25_for_all(table(spark, sf, "documents"), asked, "doc_id", "text", "item_id", path, best)
-
-
-@Q("bm25_scores_all", "V13", None)
-def bm25_scores_all(spark, sf):
-    """The scores of every item of benchmark; bm25_scores has those of the first three only, as its SQL."""
-    return _bm25_all(spark, sf).select("item_id", "doc_id", F.round("score", 5).alias("score"))
-
-
-@Q("bm25_top10_all", "O8", None)
-def bm25_top10_all(spark, sf):
-    """The top 10 of every item of benchmark; bm25_top10 has those of the first three only, as its SQL."""
-    best = W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)))
-    return _bm25_all(spark, sf, 10).withColumn("score_rank", F.rank().over(best).cast("long")).filter("score_rank <= 10").select("item_id", "doc_id", "score_rank")
+    return _bm25(spark, sf, 10).withColumn("score_rank", F.rank().over(best).cast("long")).filter("score_rank <= 10").select("item_id", "doc_id", "score_rank")
 
 
 @Q("cluster_docs", "A17", "SELECT role, md5(string_agg(text, ' ' ORDER BY conv_id * 1000 + turn)) AS digest, count(*) AS size FROM conversations GROUP BY role")

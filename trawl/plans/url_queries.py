@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trawl.functions import html as H
 from trawl.functions import urls as U
 from trawl.plans.crawl_stats import LINKS_SQL
 from trawl.registry import REGISTRY
@@ -74,12 +75,24 @@ def link_metadata(spark, sf):
     )
 
 
-@Q("link_metadata_merge", "D7", LINKS_SQL + """
-SELECT target, page_id, count(*) AS seen, min(href) AS first_href FROM links GROUP BY target, page_id
+@Q("link_metadata_merge", "D7", LINKS_SQL + f"""
+, k AS (SELECT page_id, {CANON_SQL.replace("url", "target")} AS url FROM links)
+SELECT page_id, url, count(*) AS seen, 0 AS containers, CAST(NULL AS VARCHAR) AS summary FROM k GROUP BY page_id, url
 """)
 def link_metadata_merge(spark, sf):
-    found = links(spark, sf).groupBy("target", "page_id").agg(F.flatten(F.collect_list(F.array("href"))).alias("container_id"), F.min("href").alias("first_href"))
-    return found.select("target", "page_id", F.size("container_id").cast("long").alias("seen"), "first_href")
+    """One row a link and page: metadata of its first anchor, containers of all; containers and summaries are tested on made-up pages."""
+    found = table(spark, sf, "pages").select("page_id", F.posexplode(H.anchors_column(F.col("html"), F.col("url"))).alias("at", "a"))
+    merged = merge_anchors(found)
+    return merged.select("page_id", "url", "seen", F.size("containers").alias("containers"), "summary")
+
+
+def merge_anchors(found):
+    """(page_id, url, seen, summary, label, keywords, containers) of anchors (page_id, at, a): on a repeated key within a page
+    only the containers are added up, in the order of the anchors."""
+    first = F.min_by(F.struct("a.summary", "a.label", "a.keywords"), F.col("at"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("a.containers").alias("c"))))
+    merged = found.groupBy("page_id", F.col("a.url").alias("url")).agg(F.count("*").alias("seen"), first.alias("f"), listed.alias("l"))
+    return merged.select("page_id", "url", "seen", "f.*", F.flatten(F.transform("l", lambda x: x["c"])).alias("containers"))
 
 
 @Q("link_filter", "P6", LINKS_SQL + r"""
@@ -90,35 +103,43 @@ def link_filter(spark, sf, site: str = "example.com"):
     return links(spark, sf).filter((F.size(p) >= 2) & (F.get(p, 1) != "s") & F.contains("target", F.lit(site))).select("page_id", "target")
 
 
-HREFS = ("/a", "#top", "mailto:x@example.org", " javascript:void(0)", "tel:+1", "https://example.org/b", "//cdn.example.org/c", "relative/d", "/e?javascript:", "")
+#: In turn each link of the pages is taken as it is and in the other spellings that the rules tell apart.
+SPELLINGS = ("{}", "#{}", "mailto:x@example.org{}", " javascript:{}", "tel:{}", "https://example.org{}", "//cdn.example.org{}", "relative{}", "{}?javascript:", "")
+SPELLED_SQL = LINKS_SQL + ", t AS (SELECT DISTINCT page_id, href FROM links), s AS (SELECT page_id, href AS link, CASE (page_id + length(href)) % 10 " + " ".join(f"WHEN {k} THEN replace('{x}', '{{}}', href)" for k, x in enumerate(SPELLINGS)) + " END AS href FROM t)"
 
 
-def literals(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+def in_turn(key, spellings, value):
+    """value put into the spelling that the key picks."""
+    return F.replace(F.element_at(F.array(*[F.lit(x) for x in spellings]), F.pmod(key, F.lit(len(spellings))).cast("int") + 1), F.lit("{}"), value)
 
 
-_HREF_ROWS = ", ".join(f"({i}, '{h}')" for i, h in enumerate(HREFS))
+def spelled_links(spark, sf):
+    own = links(spark, sf).select("page_id", "href").distinct()
+    return own.select("page_id", F.col("href").alias("link"), in_turn(F.col("page_id") + F.length("href"), SPELLINGS, F.col("href")).alias("href"))
 
 
-@Q("href_filter", "P7", f"SELECT i, href FROM (VALUES {_HREF_ROWS}) v(i, href) WHERE NOT regexp_matches(trim(href), '^(javascript:|mailto:|tel:|#)')")
+@Q("href_filter", "P7", SPELLED_SQL + " SELECT page_id, link, href FROM s WHERE NOT regexp_matches(trim(href), '^(javascript:|mailto:|tel:|#)')")
 def href_filter(spark, sf):
-    return literals(spark, list(enumerate(HREFS)), "i int, href string").filter(U.wanted_href(F.col("href")))
+    return spelled_links(spark, sf).filter(U.wanted_href(F.col("href")))
 
 
-@Q("simple_links", "F33", f"""
-SELECT i, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN 'https://example.org' || href END AS link
-FROM (VALUES {_HREF_ROWS}) v(i, href)
+@Q("simple_links", "F33", SPELLED_SQL + """
+SELECT page_id, link, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN 'https://example.org' || href END AS target FROM s
 """)
 def simple_links(spark, sf):
-    return literals(spark, list(enumerate(HREFS)), "i int, href string").select("i", U.simple_link(F.col("href"), F.lit("https://example.org")).alias("link"))
+    return spelled_links(spark, sf).select("page_id", "link", U.simple_link(F.col("href"), F.lit("https://example.org")).alias("target"))
 
 
-CODES = ("location.href='/a.html'", "window.open( \"/b\" )", "{Url: '/c', PlaybackUrl: '/d.html'}", "go('x.html'); go(\"y.html\")", "", "nothing")
+CODES = ("location.href='{}.html'", "window.open( \"{}\" )", "{Url: '{}', PlaybackUrl: '{}.html'}", "go('x{}.html'); go(\"y.html\")", "", "nothing {}")
+_SQL_PATTERNS = " || ".join("regexp_extract_all(c, '" + p.replace("'", "''") + "', 1)" for p in U.ONCLICK_PATTERNS)
+CODES_SQL = LINKS_SQL + ", t AS (SELECT DISTINCT page_id, href FROM links), s AS (SELECT page_id, href, CASE (page_id + length(href)) % 6 " + " ".join("WHEN {} THEN replace('{}', '{}', href)".format(k, x.replace("'", "''"), "{}") for k, x in enumerate(CODES)) + " END AS c FROM t)"
 
 
-@Q("onclick_candidates", "F7", "SELECT i, regexp_extract_all(c, '(?:location\\.href|document\\.location|window\\.location)\\s*=\\s*[''\"]([^''\"]+)[''\"]', 1) || regexp_extract_all(c, '(?:location\\.assign|window\\.open)\\(\\s*[''\"]([^''\"]+)[''\"]', 1) || regexp_extract_all(c, 'Url\\s*:\\s*[\"'']([^\"'']+)[\"'']', 1) || regexp_extract_all(c, 'PlaybackUrl\\s*:\\s*[\"'']([^\"'']+)[\"'']', 1) || regexp_extract_all(c, '[\"'']([^\"'']+\\.html)[\"'']', 1) AS candidates FROM (VALUES " + ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, c in enumerate(CODES)) + ") v(i, c)")
+@Q("onclick_candidates", "F7", CODES_SQL + f" SELECT page_id, href, {_SQL_PATTERNS} AS candidates FROM s")
 def onclick_candidates(spark, sf):
-    return literals(spark, list(enumerate(CODES)), "i int, c string").select("i", U.onclick_candidates(F.col("c")).alias("candidates"))
+    own = links(spark, sf).select("page_id", "href").distinct()
+    code = in_turn(F.col("page_id") + F.length("href"), CODES, F.col("href"))
+    return own.select("page_id", "href", U.onclick_candidates(code).alias("candidates"))
 
 
 @Q("unvisited_links", "J4", LINKS_SQL + "SELECT DISTINCT target FROM links WHERE target NOT IN (SELECT target FROM links WHERE page_id % 2 = 0)")
@@ -131,7 +152,7 @@ def unvisited_links(spark, sf):
 @Q("allowed_links", "J5", LINKS_SQL + r"SELECT page_id, target FROM links WHERE regexp_extract(regexp_extract(target, '^[a-z]+://([^/?#]*)', 1), '([^.]+\.[^.]+)$', 1) IN ('example.com', 'example.net')")
 def allowed_links(spark, sf):
     # the list of allowed sites is a parameter of the crawl: a handful of names
-    allowed = F.broadcast(literals(spark, [("example.com",), ("example.net",)], "_site string"))
+    allowed = F.broadcast(spark.createDataFrame([("example.com",), ("example.net",)], "_site string"))
     found = links(spark, sf)
     return found.join(allowed, U.registered_domain(F.col("target")) == F.col("_site"), "left_semi").select("page_id", "target")
 

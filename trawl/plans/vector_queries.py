@@ -47,18 +47,18 @@ def ann_postfilter(spark, sf):
     return found.select("id", F.round("distance", 6).alias("distance"))
 
 
-@Q("batch_knn", "J8 W3", E_SQL.replace(", q AS (SELECT v AS qv FROM e WHERE id = 0)", ", q AS (SELECT id AS query_id, v AS qv FROM e WHERE id < 5)") + f"SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {DIST_SQL['cosine']}, id) AS rank FROM e, q) WHERE rank <= 10")
-def batch_knn(spark, sf):
-    rows = segments(spark, sf)
-    asked = rows.filter("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return R.nearest_for_each(asked, rows, "cosine", 10).select("query_id", "id", "rank")
+NEAREST_SQL = E_SQL.replace(", q AS (SELECT v AS qv FROM e WHERE id = 0)", ", q AS (SELECT id AS query_id, v AS qv FROM e WHERE id % 20 = 0)") + f", n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round({DIST_SQL['cosine']}, 12), id) AS rank FROM e, q) "
 
 
-@Q("batch_knn_all", "J8 W3", None)
-def batch_knn_all(spark, sf):
-    """The nearest 10 of all rows for every id divisible by 20, the query set of op2; batch_knn asks for five ids, as its SQL."""
+def nearest_segments(spark, sf):
+    """(query_id, id, rank): the nearest 10 of all rows for every id divisible by 20, the stated query set of a search."""
     rows = segments(spark, sf)
-    return K.nearest_for_all(rows.filter("id % 20 = 0"), rows, 10).select("query_id", "id", "rank")
+    return K.nearest_for_all(rows.filter("id % 20 = 0"), rows, 10)
+
+
+@Q("batch_knn", "J8 W3", NEAREST_SQL + "SELECT query_id, id, rank FROM n WHERE rank <= 10")
+def batch_knn(spark, sf):
+    return nearest_segments(spark, sf).select("query_id", "id", "rank")
 
 
 @Q("nearest_to_centroid", "V17", """
@@ -80,15 +80,8 @@ def pad_vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.size(v).cast("long").alias("size"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@Q("normalize_vectors", "M5 V4", "SELECT vec_id, list_transform(v, lambda x: round(x / n, 6)) AS unit FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS v FROM embeddings))")
+@Q("normalize_vectors", "M5 V4", "SELECT vec_id, list_transform(v, lambda x: round(x / n, 6)) AS unit FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
 def normalize_vectors(spark, sf):
-    unit = V.normalised(F.slice("embedding", 1, 4))
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
-
-
-@Q("normalize_vectors_all", "M5 V4", "SELECT vec_id, list_transform(v, lambda x: round(x / n, 6)) AS unit FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
-def normalize_vectors_all(spark, sf):
-    """Whole vectors; normalize_vectors takes their first four components, as its SQL."""
     unit = V.normalised(F.col("embedding"))
     return table(spark, sf, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
 
@@ -166,21 +159,11 @@ def score_truncation(spark, sf):
     return lists.select("conv_id", F.greatest(F.size(a), F.size(b)).cast("long").alias("size"))
 
 
-@Q("same_page_relevance", "J9", "WITH e AS (SELECT vec_id AS id, vec_id // 10 AS page FROM embeddings) SELECT a.id AS query_id, b.id, CASE WHEN a.page = b.page THEN 1.0 ELSE 0.0 END AS relevant FROM e a JOIN e b ON b.id BETWEEN a.id AND a.id + 3 WHERE a.id % 50 = 8")
+@Q("same_page_relevance", "J9", NEAREST_SQL + "SELECT query_id, id, rank, CASE WHEN id // 10 = query_id // 10 THEN 1.0 ELSE 0.0 END AS relevant FROM n WHERE rank <= 10")
 def same_page_relevance(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("page"))
-    asked = e.filter("id % 50 = 8").select(F.col("id").alias("query_id"), F.col("page").alias("query_page"), F.explode(F.sequence("id", F.col("id") + 3)).alias("_near"))
-    joined = asked.join(e, F.col("_near") == F.col("id"))
-    return joined.select("query_id", "id", F.when(F.col("page") == F.col("query_page"), 1.0).otherwise(0.0).alias("relevant"))
-
-
-@Q("same_page_relevance_all", "J9", None)
-def same_page_relevance_all(spark, sf):
-    """The nearest 10 segments of every segment, judged by membership in its page; same_page_relevance has a window of ids, as its SQL."""
-    rows = segments(spark, sf)
+    """The nearest 10 segments of each query, judged by membership in the query's page."""
     page = lambda c: F.floor(F.col(c) / 10)
-    found = K.nearest_for_all(rows, rows, 10)
-    return found.select("query_id", "id", "rank", F.when(page("id") == page("query_id"), 1.0).otherwise(0.0).alias("relevant"))
+    return nearest_segments(spark, sf).select("query_id", "id", "rank", F.when(page("id") == page("query_id"), 1.0).otherwise(0.0).alias("relevant"))
 
 
 @Q("eval_query_set", "A20 A5 A6", """
