@@ -145,6 +145,20 @@ def test_links_between_components_of_a_bucket(spark):
     assert near_dedup._links_between(pa.table({"bucket": pa.array([], pa.int64())}), 0.8).num_rows == 0
 
 
+def test_near_classes_with_salted_joins(make, monkeypatch):
+    """Groups of exact and of near copies, with every key of more than a few rows dealt over salts."""
+    from trawl.llm import shared
+
+    monkeypatch.setattr(shared, "LEAST_HOT", 3)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(i, " ".join(base) if i % 3 else edited(base, rng, 1)) for i in range(60)] + [(100 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(20))) for i in range(9)]
+    got = near_dedup.near_classes(make(rows))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == classes_by_force(rows)
+    assert sum(r["first"] for r in got.collect()) == len(set(classes_by_force(rows).values()))
+    assert near_dedup.stage(None, make(rows), "").count() == len(set(classes_by_force(rows).values()))
+
+
 def test_near_classes_of_repeated_ids(make):
     """Rows that repeat an id are classed by their own texts, and the stage keeps one row of each class."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
@@ -199,6 +213,31 @@ def test_recall(spark, sf):
     assert len(got) == 25 and hits / total >= 0.9
 
 
+def test_recall_of_full_shards(spark):
+    """20,000 clustered vectors, in three shards of up to 8,192 that are searched with the production beam."""
+    rng = np.random.default_rng(31)
+    centres = rng.normal(size=(250, 48))
+    data = (centres[rng.integers(0, 250, 20_000)] + 0.7 * rng.normal(size=(20_000, 48))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "vec_id long, embedding array<float>")
+    usable = ann.usable(rows)
+    index = ann.build(usable)
+    assert index.count() >= 2
+    queries = usable.filter("vec_id % 20 = 0")
+    got = defaultdict(set)
+    for r in ann.search(index, queries).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    asked = np.arange(0, 20_000, 20)
+    score = data[asked].astype(float) @ data.astype(float).T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    recall = sum(len(got[int(q)] & set(w.tolist())) for q, w in zip(asked, want, strict=True)) / want.size
+    print(f"recall {recall:.4f}")
+    assert set(got) == set(asked.tolist()) and recall >= 0.95
+    # a group for each shard gives the same neighbours
+    apart = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(index, queries.filter("vec_id < 2000"), group_bytes=1).collect()}
+    assert {(q, v) for q, _, v in apart} == {(q, v) for q in got if q < 2000 for v in got[q]}
+
+
 def test_neighbours_edges(spark):
     same = [1.0, 0.0]
     rows = [(i, same) for i in range(0, 60)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [1.0, None]), (104, [1.0]), (None, same), (105, [0.5, 0.5]), (5, same)]
@@ -322,6 +361,91 @@ def test_held_out_accuracy(spark):
     assert sum(held) / len(held) >= 0.95
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def naive_features(text, bits):
+    """Runs of letters, digits and non-ASCII bytes, or of other non-space bytes; their hashes and those of neighbours."""
+    kind = lambda b: 0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or chr(b).isalnum() else 2
+    runs, raw = [], text.encode()
+    for k, b in enumerate(raw):
+        if k and kind(raw[k - 1]) == kind(b):
+            runs[-1].append(b)
+        else:
+            runs.append([b])
+    hashes = [mixed(sum((b + 33 if 65 <= b <= 90 else b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(r)) & MASK) for r in runs if kind(r[0])]
+    out = Counter()
+    for k, h in enumerate(hashes):
+        same = 0x5EED if k and hashes[k - 1] == h else h
+        out[mixed(same) & ((1 << bits) - 1)] += 1
+        if k:
+            out[mixed((hashes[k - 1] * 3 + same) & MASK) & ((1 << bits) - 1)] += 1
+    return out, len(hashes)
+
+
+def scalar_ftrl(rows, bits, epochs):
+    """One coordinate at a time; rows are (text, label)."""
+    import math
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for text, label in rows:
+            found, runs = naive_features(text, bits)
+            x = {i: quality.SCALE * c / max(1, runs) for i, c in found.items()} | {-1: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                w = weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_a_scalar_loop(spark, make):
+    import math
+
+    rng = random.Random(12)
+    words = ["The", "cat", "cat", "ÉTÉ", "x1", "!!", "a-b", "<p>", "\n", "  "]
+    rows = [(" ".join(rng.choice(words[: 6 + 4 * label]) for _ in range(rng.randint(0, 25))), label) for label in (0, 1) * 40]
+    rng.shuffle(rows)
+    import pyarrow as pa
+
+    model = quality.fit(pa.array([t for t, _ in rows]), np.array([y for _, y in rows]), bits=10, epochs=3)
+    want = scalar_ftrl(rows, 10, 3)
+    assert model.bias == pytest.approx(want.pop(-1))
+    assert {i: w for i, w in enumerate(model.weights) if w} == {i: pytest.approx(w) for i, w in want.items() if w}
+    scores = model.scores(pa.array([t for t, _ in rows]))
+    for (text, _), score in zip(rows, scores, strict=True):
+        found, runs = naive_features(text, 10)
+        assert score == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(quality.SCALE * c / max(1, runs) * model.weights[i] for i, c in found.items())))))
+    # the distributed fit learns from the same vectors in the order of the ids' hashes
+    labels = spark.createDataFrame([(i, y, 0) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(range(len(rows)), key=lambda i: signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)))
+    import zlib
+
+    used = [rows[i] for i in order if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = quality.train(make([(i, t) for i, (t, _) in enumerate(rows)]), labels)
+    same = quality.fit(pa.array([t for t, _ in used]), np.array([y for _, y in used]))
+    assert got.bias == pytest.approx(same.bias) and np.allclose(got.weights, same.weights)
+
+
 def test_classifier_edges(spark, make, edges):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.train(make(edges), none)
@@ -446,8 +570,18 @@ def test_pipeline_stages(spark, sf):
     assert ids[2] == {min(v) for v in squeezed.values()}
     classes = classes_by_force([(i, texts[i]) for i in ids[2]])
     assert ids[3] == {i for i, c in classes.items() if i == c}
-    final = corpus_pipeline.run(spark, sf)
-    assert {r["doc_id"] for r in final.collect()} == ids[4]
+    import public_tokenizers
+    import tiktoken
+
+    from trawl.llm import bpe
+
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    about = {r["doc_id"]: (r["lang"], r["source"]) for r in docs.collect()}
+    final = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in final} == ids[4]
+    for r in final:
+        assert (r["lang"], r["source"]) == about[r["doc_id"]]
+        assert r["ids"] == theirs.encode_ordinary(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
 
 
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])

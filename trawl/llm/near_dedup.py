@@ -324,10 +324,10 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str
         parts = salted_join(scratch.write(parts, "parts"), merged, "part", "left").select("digest", "least", F.coalesce("component", "part").alias("part"))
         parts = scratch.write(parts, "merged")
         tops = parts.groupBy("part").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("n"))
-        classes = materialise(salted_join(parts.select("digest", "part"), tops.select("part", "top"), "part", counts=tops.select("part", "n")).select("digest", "top"), "classes")
+        classes = materialise(salted_join(parts.select("digest", "part"), tops.select("part", "top"), "part", counts=tops.select("part", "n")).select("digest", F.col("top.doc_id").alias("class_id"), F.col("top.mark").alias("top_mark")), "classes")
         rows = salted_join(sketched.select("doc_id", "mark", "digest"), classes, "digest", counts=nodes.select("digest", "n"))
-    first = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("mark") == F.col("top.mark"))
-    return rows.select("doc_id", "mark", F.col("top.doc_id").alias("class_id"), first.alias("first"))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("top_mark"))
+    return rows.select("doc_id", "mark", "class_id", first.alias("first"))
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

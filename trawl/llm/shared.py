@@ -130,8 +130,9 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", c
         return many.join(one.hint("merge"), key, how)
     known = F.broadcast(many.sparkSession.createDataFrame([(k,) for k in found], hot.schema))
     dealt = many.join(known, many[key] == known["_hot_key"], "left").withColumn("_salt", F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot_key")
-    copied = one.join(known, one[key] == known["_hot_key"], "left")
-    copied = copied.withColumn("_salt", F.explode(F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot_key")
+    # a row a hot key and salt, so that the copies are made by the join
+    salts = F.broadcast(known.select(F.col("_hot_key").alias("_copied_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_copy")))
+    copied = one.join(salts, one[key] == salts["_copied_key"], "left").withColumn("_salt", F.coalesce("_copy", F.lit(0))).drop("_copied_key", "_copy")
     return dealt.join(copied.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
