@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trawl.functions import fuzzy, html, suffixes, text, urls, vectors
-from trawl.operators import clustering, crawl, ranking, store, wrapper
+from trawl.operators import clustering, crawl, focus, ranking, segment_index, site_files, store, wrapper
 from trawl.plans import url_queries
 from trawl.sources import files
 from trawl.streaming import frontier
@@ -407,3 +407,69 @@ def test_append_segments_prunes_by_model(spark, tmp_path):
     files.append_segments(spark.createDataFrame([(3, 10, "c")], "id int, model_id int, page_segment string"), str(tmp_path / "s"))
     one = spark.read.parquet(str(tmp_path / "s")).filter("model_id = 10")
     assert one.count() == 2 and "PartitionFilters: [isnotnull(model_id" in one._jdf.queryExecution().toString()
+
+
+def test_numbering_in_buckets(spark):
+    rows = spark.range(300).select("id", F.when(F.col("id") % 4 > 0, F.lit("hot")).otherwise(F.when(F.col("id") % 8 > 0, F.lit("x"))).alias("g"))
+    got = {r["id"]: (r["n"], r["group_size"]) for r in ranking.numbered(rows, "g", "id", F.floor(F.col("id") / 16), "n").collect()}
+    groups = {}
+    for i in range(300):
+        groups.setdefault("hot" if i % 4 else "x" if i % 8 else None, []).append(i)
+    assert got == {i: (n, len(v)) for v in groups.values() for n, i in enumerate(v)}
+
+
+def test_segment_index(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24))
+    data = centres[rng.integers(0, 40, 6000)] + 0.6 * rng.normal(size=(6000, 24))
+    data[:50] = data[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(9001, None), (9002, [0.0] * 24)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    table, index = f"file://{tmp_path}/t", f"file://{tmp_path}/i"
+    segment_index.load(frame.filter("id < 3000"), table, index)
+    segment_index.load(frame.filter("id >= 3000"), table, index)
+    found = {}
+    for r in segment_index.search(spark, index, frame.filter("id % 20 = 0 AND id < 9000"), 10, size=256).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    hits = sum(len(found[q] & set(np.lexsort((np.arange(6000), np.round(1 - unit @ unit[q], 12)))[:10].tolist())) for q in range(0, 6000, 20))
+    assert set(found) == set(range(0, 6000, 20)) and hits / 3000 >= 0.9
+    assert spark.read.parquet(f"{index}/cells").count() == 6000
+    segment_index.drop(spark, index)
+    segment_index.drop(spark, index)
+    assert not (tmp_path / "i").exists()
+
+
+def test_site_files(spark):
+    fetched = [
+        ("a/robots.txt", "User-agent: *\nCrawl-delay: 4\n\nUser-agent: me\nCrawl-delay: 9\nSITEMAP: a/s.xml\nSitemap: a/t.xml"), ("a/s.xml", "<urlset><url><loc> a/1 </loc></url><url><loc>a/2</loc></url></urlset>"),
+        ("b/robots.txt", "User-agent: *\nDisallow: /x"), ("c/robots.txt", "Sitemap: c/gone.xml\nUser-agent: *\nCrawl-delay: 5"), ("c/gone.xml", None), ("e/robots.txt", "User-agent: *\nCrawl-delay: 3"),
+    ]
+    domains = spark.createDataFrame([(d,) for d in "abcde"], "domain string")
+    table = spark.createDataFrame(fetched, "url string, content string")
+    got = {r["domain"]: (r["robots_content"], r["sitemap_content"], r["delay"]) for r in site_files.site_rows(domains, table, "me").collect()}
+    assert got == {"a": (fetched[0][1], fetched[1][1], 9.0), "b": (fetched[2][1], None, 1.0), "c": ("", "", 1.0), "d": ("", "", 1.0), "e": (fetched[5][1], None, 3.0)}
+    assert value(spark, site_files.sitemap_urls(F.lit(fetched[1][1]))) == ["a/1", "a/2"]
+
+    def get(url):
+        if url == "bad":
+            raise OSError
+        return url.upper()
+
+    urls_ = spark.createDataFrame([("x",), ("bad",), ("x",)], "url string")
+    assert {tuple(r) for r in site_files.fetched_by(urls_, get).collect()} == {("x", "X"), ("bad", None)}
+
+
+def test_focus(spark):
+    docs = spark.createDataFrame([("s", "ball goal goal"), ("s", "goal team"), ("p", "vote party"), (None, "vote")], "c string, t string")
+    model = focus.train(docs, "c", "t")
+    pages = spark.createDataFrame([(1, "goal goal"), (2, "vote vote"), (3, "other"), (4, None)], "k int, t string")
+    got = {r["k"]: (r["relevance"], r["in_focus"]) for r in focus.relevance(pages, "k", "t", model, ("s",)).collect()}
+    # five terms: 5 words of s and 2 of p; goal has 3 and 0 of them
+    s, p = 2 / 3 * (4 / 10) ** 2, 1 / 3 * (1 / 7) ** 2
+    assert got[1] == (pytest.approx(s / (s + p)), True)
+    s, p = 2 / 3 * (1 / 10) ** 2, 1 / 3 * (2 / 7) ** 2
+    assert got[2] == (pytest.approx(s / (s + p)), False)
+    assert got[3] == got[4] == (pytest.approx(2 / 3), True)

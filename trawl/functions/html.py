@@ -250,3 +250,11 @@ def anchors_column(html: Column, url: Column) -> Column:
         return pd.Series([anchors(x, y) for x, y in zip(h, u, strict=True)])
 
     return apply(html, url)
+
+
+def element_text_column(html: Column, tag: str | None = None, name: str | None = None) -> Column:
+    @F.pandas_udf("array<string>")
+    def apply(s: pd.Series) -> pd.Series:
+        return pd.Series([element_text(h, tag, name) for h in s], dtype=object)
+
+    return apply(html)

@@ -58,10 +58,8 @@ def least(d: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return row[kept], column[kept], distance[kept]
 
 
-def nearest_for_all(queries: DataFrame, rows: DataFrame, n: int, key: str = "id", vector: str = "embedding", size: int = BLOCK) -> DataFrame:
-    """(query_id, id, distance, rank): the n rows nearest by cosine to each of any number of queries, every row a candidate."""
-    asked = blocks(queries, key, vector, size=size).select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
-    pairs = asked.crossJoin(blocks(rows, key, vector, size=size).select("ids", "flat"))
+def _nearest_in(pairs: DataFrame, n: int) -> DataFrame:
+    """The n nearest of all pairs of blocks (qids, qflat, ids, flat); a pair of blocks gives n a query at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,6 +74,25 @@ def nearest_for_all(queries: DataFrame, rows: DataFrame, n: int, key: str = "id"
     return found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= n)
 
 
+def nearest_for_all(queries: DataFrame, rows: DataFrame, n: int, key: str = "id", vector: str = "embedding", size: int = BLOCK) -> DataFrame:
+    """(query_id, id, distance, rank): the n rows nearest by cosine to each of any number of queries, every row a candidate."""
+    asked = blocks(queries, key, vector, size=size).select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
+    return _nearest_in(asked.crossJoin(blocks(rows, key, vector, size=size).select("ids", "flat")), n)
+
+
+def nearest_within(queries: DataFrame, rows: DataFrame, group: str, n: int, key: str = "id", vector: str = "embedding", size: int = BLOCK) -> DataFrame:
+    """As nearest_for_all, but a query meets only the rows of its groups; a large group is cut into several blocks."""
+
+    def packed(frame: DataFrame) -> DataFrame:
+        few = frame.filter(F.col(vector).isNotNull()).select(F.col(group).alias("group"), F.col(key).cast("long").alias("_id"), V.doubles(F.col(vector)).alias("_v"))
+        many = few.groupBy("group").agg(F.ceil(F.count("*") / size).alias("_n"))
+        dealt = few.join(many, "group").withColumn("block", F.pmod(F.xxhash64("_id"), F.col("_n")))
+        return dealt.groupBy("group", "block").agg(F.collect_list(F.struct("_id", "_v")).alias("_l")).select("group", F.col("_l._id").alias("ids"), F.flatten("_l._v").alias("flat"))
+
+    asked = packed(queries).select("group", F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
+    return _nearest_in(asked.join(packed(rows), "group").drop("group"), n)
+
+
 def full_silhouettes(rows: DataFrame, key: str, vector: str, labels: str, clusters: list[int], size: int = BLOCK) -> list[float]:
     """The mean silhouette over all rows by Euclidean distances of all pairs, for each of several labellings: labels is an
     array with one label below clusters[j] for each j. A row that is alone in its cluster counts 0."""

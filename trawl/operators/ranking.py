@@ -79,3 +79,15 @@ def equal_length(a: Column, b: Column) -> tuple[Column, Column]:
     """Both lists cut to the shorter one."""
     n = F.least(F.size(a), F.size(b))
     return F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
+
+
+def numbered(rows: DataFrame, by: str, order: str, bucket: Column, name: str = "number") -> DataFrame:
+    """rows with their number from 0 by order within `by`, and `group_size`. bucket does not fall as order rises, so that rows
+    of a large group are numbered in as many tasks as it has buckets, whose counts alone are summed up in one."""
+    placed = rows.withColumn("_b", bucket)
+    sizes = placed.groupBy(F.col(by).alias("_g"), F.col("_b").alias("_k")).agg(F.count("*").alias("_n"))
+    own = W.partitionBy("_g")
+    starts = sizes.select("_g", "_k", (F.sum("_n").over(own.orderBy("_k")) - F.col("_n")).alias("_start"), F.sum("_n").over(own).alias("group_size"))
+    local = placed.withColumn("_local", F.row_number().over(W.partitionBy(by, "_b").orderBy(order)) - 1)
+    joined = local.join(starts, F.col(by).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_k")))
+    return joined.withColumn(name, F.col("_start") + F.col("_local")).select(*rows.columns, name, "group_size")

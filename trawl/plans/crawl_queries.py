@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from trawl.functions import html as H
 from trawl.functions import urls as U
 from trawl.operators import crawl as C
+from trawl.operators import focus as FO
 from trawl.operators import models as M
+from trawl.operators import site_files as SF
 from trawl.plans.crawl_stats import LINKS_SQL, PAGE_SQL
 from trawl.plans.url_queries import CANON_SQL
 from trawl.registry import REGISTRY
@@ -129,3 +131,36 @@ def crawl_rounds_stream(spark, sf):
     root = hand_out(spark, fresh_path(spark, "frontier"))
     S.run_upserts(offers, f"{root}/checkpoint", f"{root}/table")
     return S.state(spark, f"{root}/table")
+
+
+@Q("focused_relevance", "V18", r"""
+WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2),
+v AS (SELECT term FROM c GROUP BY term ORDER BY sum(n) DESC, term LIMIT 2000), k AS (SELECT c.* FROM c JOIN v ON v.term = c.term), t AS (SELECT lang, sum(n) + (SELECT count(*) FROM v) AS total FROM k GROUP BY 1),
+p AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM documents)) AS prior FROM documents GROUP BY 1),
+q AS (SELECT item_id, b.term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark) b JOIN v ON v.term = b.term GROUP BY 1, 2),
+s AS (SELECT i.item_id, p.lang, p.prior + coalesce(sum(q.tf * ln((coalesce(k.n, 0) + 1.0) / t.total)), 0) AS l FROM benchmark i CROSS JOIN p JOIN t ON t.lang = p.lang LEFT JOIN q ON q.item_id = i.item_id LEFT JOIN k ON k.lang = p.lang AND k.term = q.term GROUP BY i.item_id, p.lang, p.prior),
+e AS (SELECT item_id, lang, l, exp(l - max(l) OVER (PARTITION BY item_id)) AS e FROM s)
+SELECT item_id, round(sum(CASE WHEN lang IN ('de', 'es') THEN e ELSE 0 END) / sum(e), 6) AS relevance, arg_max(lang, l) IN ('de', 'es') AS in_focus FROM e GROUP BY item_id
+""")
+def focused_relevance(spark, sf):
+    """Items of benchmark by the classes of documents, the languages; German and Spanish are in focus."""
+    model = FO.train(table(spark, sf, "documents"), "lang", "text", 2000)
+    found = FO.relevance(table(spark, sf, "benchmark"), "item_id", "text", model, ("de", "es"))
+    return found.select("item_id", F.round("relevance", 6).alias("relevance"), "in_focus")
+
+
+@Q("site_files", "S11 C4", r"""
+WITH d AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS domain FROM pages), n AS (SELECT domain, length(domain) % 4 AS n FROM d)
+SELECT domain, CASE n WHEN 1 THEN 'User-agent: *' || chr(10) || 'Crawl-delay: 2' WHEN 2 THEN 'User-agent: *' || chr(10) || 'Crawl-delay: 7' || chr(10) || 'Sitemap: ' || domain || '/map.xml' ELSE '' END AS robots_content,
+       CASE n WHEN 1 THEN NULL WHEN 2 THEN '<loc>' || domain || '/a</loc>' ELSE '' END AS sitemap_content, CASE n WHEN 1 THEN 2.0 WHEN 2 THEN 7.0 ELSE 1.0 END AS delay
+FROM n
+""")
+def site_files(spark, sf):
+    """Rules and first sitemaps of the sites of all pages: by the length of its name a site has none, rules alone, both, or
+    rules with a sitemap that is not to be had."""
+    domains = table(spark, sf, "pages").select(F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1).alias("domain")).distinct()
+    kind = F.length("domain") % 4
+    ruled = F.when(kind == 1, F.lit("User-agent: *\nCrawl-delay: 2")).when(kind >= 2, F.concat(F.lit("User-agent: *\nCrawl-delay: 7\nSitemap: "), "domain", F.lit("/map.xml")))
+    mapped = F.when(kind == 2, F.concat(F.lit("<loc>"), "domain", F.lit("/a</loc>")))
+    fetched = domains.select(F.concat("domain", F.lit("/robots.txt")).alias("url"), ruled.alias("content")).unionByName(domains.select(F.concat("domain", F.lit("/map.xml")).alias("url"), mapped.alias("content")))
+    return SF.site_rows(domains, fetched, "trawl")

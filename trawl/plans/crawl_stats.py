@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.functions import urls as U
+from trawl.operators.ranking import numbered
 from trawl.registry import REGISTRY
 from trawl.schema import surrogate, table
 
@@ -100,8 +101,8 @@ FROM (SELECT page_id, CASE WHEN a LIKE '%.html%' THEN 'other' ELSE a END AS sect
 def section_pages(spark, sf):
     section = F.coalesce(U.section(F.col("url")), F.lit(""))
     named = table(spark, sf, "pages").select("page_id", F.when(F.contains(section, F.lit(".html")), "other").otherwise(section).alias("section"))
-    own = W.partitionBy("section")
-    return named.select("page_id", "section", F.count("*").over(own).alias("section_size"), (F.row_number().over(own.orderBy("page_id")) - 1).cast("long").alias("section_index"))
+    found = numbered(named, "section", "page_id", F.floor(F.col("page_id") / 4096), "section_index")
+    return found.select("page_id", "section", F.col("group_size").alias("section_size"), "section_index")
 
 
 SLOT = 30

@@ -15,24 +15,48 @@ from trawl.scratch import materialise
 Q = REGISTRY.query
 
 
-@Q("article_extract", "F12 F27 F35", r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, '' AS article_content FROM pages
+#: What the pages of the test tables lack, put in at the start of each body: an article, images, an attachment, marked elements.
+PARTS = (
+    '<body><div id="article-body">Story <b>', '</b> <script>s()</script> gone <i>end</i></div><img src="/i', '.bmp"><img src="/n.txt"><img src="/I',
+    '.JPG?w=1"><a href="/files/d', '.pdf">f</a><div class="section-data">Part <b>', '</b></div><h2 class="panel-header">Head ', "</h2>",
+)
+FULL_SQL = "replace(html, '<body>', " + " || CAST(page_id AS VARCHAR) || ".join(f"'{x}'" for x in PARTS) + ")"
+HAS_SQL = "contains(html, '<body>')"
+
+
+def full_pages(spark, sf):
+    """The pages with PARTS in their bodies."""
+    number = F.col("page_id").cast("string")
+    block = F.concat(*[x for part in PARTS for x in (F.lit(part), number)][:-1])
+    return table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("<body>"), block))
+
+
+@Q("article_extract", "F12", rf"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+       CASE WHEN {HAS_SQL} THEN 'Story ' || CAST(page_id AS VARCHAR) || ' end' ELSE '' END AS article_content FROM pages
 """)
 def article_extract(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", H.article_column(F.col("html")).alias("a"))
+    found = full_pages(spark, sf).select("page_id", H.article_column(F.col("html")).alias("a"))
     return found.select("page_id", "a.title", "a.article_content")
 
 
+@Q("element_texts", "F27 F35", f"SELECT page_id, CASE WHEN {HAS_SQL} THEN ['Part' || chr(10) || CAST(page_id AS VARCHAR)] ELSE [] END AS section_data, CASE WHEN {HAS_SQL} THEN ['Head ' || CAST(page_id AS VARCHAR)] ELSE [] END AS panel_header FROM pages")
+def element_texts(spark, sf):
+    texts = lambda tag, name: H.element_text_column(F.col("html"), tag, name).alias(name.replace("-", "_"))
+    return full_pages(spark, sf).select("page_id", texts("div", "section-data"), texts(None, "panel-header"))
+
+
 @Q("article_clean", "F13", None)
 def article_clean(spark, sf):
     found = table(spark, sf, "pages").select("page_id", H.cleaned_column(F.col("html")).alias("a"))
     return found.select("page_id", "a.title", "a.summary", "a.body")
 
 
-@Q("page_objects", "F9", f"SELECT page_id, {CANON_SQL} AS url, 'HTML' AS page_type_code, len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS link_count, 0 AS image_count, 0 AS data_count FROM pages")
+@Q("page_objects", "F9", f"SELECT page_id, {CANON_SQL} AS url, 'HTML' AS page_type_code, len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS link_count, CASE WHEN {HAS_SQL} THEN ['bmp', 'jpg'] ELSE [] END AS images, CASE WHEN {HAS_SQL} THEN ['/files/d' || CAST(page_id AS VARCHAR) || '.pdf PDF'] ELSE [] END AS data FROM pages")
 def page_objects(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", H.page_object_column(F.col("html"), F.col("url")).alias("p"))
-    return found.select("page_id", "p.url", "p.page_type_code", F.size("p.links").cast("long").alias("link_count"), F.size("p.images").alias("image_count"), F.size("p.page_data").alias("data_count"))
+    found = full_pages(spark, sf).select("page_id", H.page_object_column(F.col("html"), F.col("url")).alias("p"))
+    data = F.transform("p.page_data", lambda d: F.concat(F.regexp_extract(d["url"], r"^https://[^/]*(.*)$", 1), F.lit(" "), d["data_type_code"]))
+    return found.select("page_id", "p.url", "p.page_type_code", F.size("p.links").cast("long").alias("link_count"), F.transform("p.images", lambda i: i["content_type"]).alias("images"), data.alias("data"))
 
 
 @Q("anchor_metadata", "F8", None)

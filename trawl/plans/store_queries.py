@@ -205,3 +205,22 @@ def name_map_join(spark, sf):
 def random_sample(spark, sf):
     """A seeded sample without replacement, of exactly 100 rows or all."""
     return table(spark, sf, "events").select("event_id", "user_id").orderBy(F.xxhash64("event_id", F.lit(42)), "event_id").limit(100)
+
+
+@Q("zipped_lists", "J6", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, turn, role FROM conversations")
+def zipped_lists(spark, sf):
+    """Parallel lists by position; where rows have a key, as here before they were gathered, a join by it needs no lists."""
+    own = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(own, lambda x: x["turn"]).alias("turns"), F.transform(own, lambda x: x["role"]).alias("roles"))
+    placed = lists.select("conv_id", F.posexplode(F.arrays_zip("turns", "roles")).alias("place", "z"))
+    return placed.select("conv_id", F.col("place").cast("long").alias("place"), F.col("z.turns").alias("turn"), F.col("z.roles").alias("role"))
+
+
+@Q("schema_reflection", "S5", "SELECT column_name AS name, CASE data_type WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS type FROM information_schema.columns WHERE table_name = 'documents'")
+def schema_reflection(spark, sf):
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in table(spark, sf, "documents").schema], "name string, type string")
+
+
+@Q("model_folders", "F28", "SELECT page_id, replace(url, '/', '_') AS folder FROM pages")
+def model_folders(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.replace("url", F.lit("/"), F.lit("_")).alias("folder"))

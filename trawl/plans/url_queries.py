@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trawl.functions import html as H
 from trawl.functions import urls as U
 from trawl.plans.crawl_stats import LINKS_SQL
+from trawl.operators.ranking import numbered
 from trawl.registry import REGISTRY
 from trawl.schema import table
 
@@ -171,11 +172,9 @@ def validity_filter(spark, sf):
 
 @Q("frontier_versions", "W7", LINKS_SQL + "SELECT target, page_id, href, row_number() OVER (PARTITION BY target ORDER BY page_id) - 1 AS version, page_id = max(page_id) OVER (PARTITION BY target) AS current FROM (SELECT DISTINCT page_id, href, target FROM links)")
 def frontier_versions(spark, sf):
-    from pyspark.sql import Window as W
-
     found = links(spark, sf).select("page_id", "href", "target").distinct()
-    own = W.partitionBy("target")
-    return found.select("target", "page_id", "href", (F.row_number().over(own.orderBy("page_id")) - 1).cast("long").alias("version"), (F.col("page_id") == F.max("page_id").over(own)).alias("current"))
+    versioned = numbered(found, "target", "page_id", F.floor(F.col("page_id") / 4096), "version")
+    return versioned.select("target", "page_id", "href", "version", (F.col("version") + 1 == F.col("group_size")).alias("current"))
 
 
 @Q("unresolved_joins", "F4", None)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from trawl.functions import vectors as V
 from trawl.operators import blocks as K
 from trawl.operators import ranking as R
+from trawl.operators import segment_index as SI
 from trawl.registry import REGISTRY
 from trawl.schema import table
+from trawl.scratch import fresh_path, hand_out
 
 Q = REGISTRY.query
 
@@ -198,3 +200,12 @@ def pages_over_n_segments(spark, sf):
 @Q("segments_by_id", "P3", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (5, 17, 99) ORDER BY vec_id")
 def segments_by_id(spark, sf):
     return table(spark, sf, "embeddings").filter(F.col("vec_id").isin(5, 17, 99)).select("vec_id", "label").orderBy("vec_id")
+
+
+@Q("segment_index", "K11 V2", None)
+def segment_index(spark, sf):
+    """The nearest 10 of every id divisible by 20 by way of a vector index that was made after the load; recall is tested."""
+    rows = segments(spark, sf)
+    path = hand_out(spark, fresh_path(spark, "index"))
+    SI.create(rows, path)
+    return SI.search(spark, path, rows.filter("id % 20 = 0"), 10).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
