@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import Scratch, bounded_batches, materialise
+from trawl.llm.shared import bounded_batches
+from trawl.scratch import Scratch, materialise
 
 TOP = 20
 QUERY_EVERY = 20

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import Scratch, materialise, salted_join
+from trawl.llm.shared import salted_join
+from trawl.scratch import Scratch, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

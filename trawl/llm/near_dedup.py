@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import LOWER, Scratch, bounded_batches, documents, materialise, mix64, powers, salted_join, slices
+from trawl.llm.shared import LOWER, bounded_batches, documents, mix64, powers, salted_join, slices
+from trawl.scratch import Scratch, materialise
 
 WORDS = 5
 SIMILARITY = 0.8

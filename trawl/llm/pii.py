@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import Scratch, bounded_batches, documents
+from trawl.llm.shared import bounded_batches, documents
+from trawl.scratch import Scratch
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds of spans, base first; `near_` candidates are spans that fail a base rule.

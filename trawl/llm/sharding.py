@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import Scratch, documents
+from trawl.llm.shared import documents
+from trawl.scratch import Scratch
 
 SHARDS = 40
 CUTS = 8

@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.columns import Collection
-from trawl.llm.shared import Scratch, bounded_batches, documents, materialise, salted_join, slices
+from trawl.llm.shared import bounded_batches, documents, salted_join, slices
 from trawl.llm.windows import LENGTH, SPREAD, pieces
+from trawl.scratch import Scratch, materialise
 
 #: Strings of one construction, if its cores are small; a core is never divided.
 STRINGS = 100_000

@@ -8,7 +8,7 @@ payload of a record that fails them, or that nobody asked for (option payload=fa
 without being inflated. Archives of other writers (plain .warc, or gzip without `sl`) are read too, a file a partition.
 
 Records with equal payloads: `with_revisits` makes the one with the largest page_id the response and the others of at
-least MIN_REVISIT bytes revisits of it. Groups are pre-aggregated by digest; the join back is left to AQE's skew split.
+least MIN_REVISIT bytes revisits of it. Groups are pre-aggregated by digest and joined back with salts for hot ones.
 
 Defined cases: a null html is the empty payload; a null url is written as no target; records whose page_id is null are
 responses of their own; rows that repeat page_id and payload of the largest id are all responses; other columns are
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from trawl.llm.shared import bounded_batches, fresh_path, open_fs
+from trawl.llm.shared import bounded_batches, open_fs, salted_join
+from trawl.scratch import fresh_path, hand_out, materialise
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 16 << 20
@@ -306,10 +307,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), body.alias("payload"))
     rows = rows.select("page_id", "target_uri", F.sha1("payload").alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"), "payload")
-    large = rows.filter(F.col("payload_bytes") >= min_bytes)
-    groups = large.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    groups = groups.filter(F.col("_n") > 1).drop("_n")
-    joined = rows.join(groups, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    large = rows.filter(F.col("payload_bytes") >= min_bytes).withColumn("_key", F.struct("payload_digest", "payload_bytes"))
+    # only copies meet: small payloads are responses as they are, and a payload with very many copies is dealt over tasks
+    groups = materialise(large.groupBy("_key").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "payloads")
+    joined = salted_join(large, groups.drop("n"), "_key", "left", counts=groups.select("_key", "n")).drop("_key")
+    joined = joined.unionByName(rows.filter(F.col("payload_bytes") < min_bytes).withColumn("_first", F.lit(None).cast("long")))
     again = F.coalesce(F.col("page_id") < F.col("_first"), F.lit(False))
     return joined.select(
         "page_id", F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest", "payload_bytes",
@@ -331,7 +333,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read the archives back; of responses length and digest are taken from the payload as read."""
-    path = fresh_path(spark, "warc")
+    path = hand_out(spark, fresh_path(spark, "warc"))
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     back = read(spark, path)
     own = F.col("payload").isNotNull()
