@@ -283,6 +283,12 @@ def planted(rng, n):
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(rng.randint(2, 9)))
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     prose = lambda: " ".join(word() for _ in range(rng.randint(15, 40)))
+
+    def wrong_card():
+        while pii.luhn(number := digits(16)):
+            pass
+        return number
+
     personal = {
         "secret": lambda: (f'{rng.choice(["token", "password", "api_key"])} = "', "".join(rng.choice("0123456789abcdef") for _ in range(32)), '"'),
         "national_id": lambda: (rng.choice(["my ssn is ", "social security ", ""]), f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", ""),
@@ -293,7 +299,7 @@ def planted(rng, n):
         "secret": lambda: ("secret: ", word()[:5] + "word", ""),
         "national_id": lambda: ("order number ", f"{rng.choice(['000', '666', '900'])}-00-{digits(4)}", " | 12345678"),
         "near_phone": lambda: ("item | ", f"111-111 {digits(0)}1111"[:11].replace("111-111 ", "111 111 "), " | 99887766 |"),
-        "near_card": lambda: ("| 445566 | ", digits(13) + "7", " | 778899 |"),
+        "near_card": lambda: rng.choice([("| 445566 | ", wrong_card(), " | 778899 |"), ("", wrong_card(), "")]),
     }
     texts, yes, no = [], set(), set()
     for i in range(n):
