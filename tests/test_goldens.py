@@ -473,3 +473,15 @@ def test_focus(spark):
     s, p = 2 / 3 * (1 / 10) ** 2, 1 / 3 * (2 / 7) ** 2
     assert got[2] == (pytest.approx(s / (s + p)), False)
     assert got[3] == got[4] == (pytest.approx(2 / 3), True)
+
+
+def test_lemmas(spark):
+    from trawl.operators import models
+
+    class Table:
+        def analyse(self, text):
+            return [{"ran": ("run", "VERB"), "the": ("the", "DET"), "dogs": ("dog", "NOUN"), "in": ("in", "NOUN")}[w] for w in text.split()]
+
+    rows = spark.createDataFrame([("the dogs ran in",), (None,)], "t string")
+    assert [r[0] for r in rows.select(models.lemma_column(F.col("t"), Table(), text.STOP_WORDS)).collect()] == ["dog run", ""]
+    assert models.SurfaceAnalyser().analyse("Ana je 12 velika, ž") == [("ana", "PROPN"), ("je", "NOUN"), ("12", "NUM"), ("velika", "NOUN"), (",", "PUNCT"), ("ž", "PART")]

@@ -36,6 +36,10 @@ class Generator(Protocol):
     def answer(self, prompt: str) -> str: ...
 
 
+class Analyser(Protocol):
+    def analyse(self, text: str) -> list[tuple[str, str]]: ...
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -63,6 +67,39 @@ class HashedEmbedder:
         return out
 
 
+#: The universal parts of speech that the lemma pipeline keeps.
+CONTENT_POS = ("NOUN", "VERB", "ADJ", "ADV")
+
+
+class SurfaceAnalyser:
+    """(lemma, part of speech) of each token by its surface: numbers, punctuation, words of one letter as particles, capitalised
+    words as proper names, all other words as nouns; the lemma is the token in small letters."""
+
+    _token = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]", re.UNICODE)
+
+    def analyse(self, text: str) -> list[tuple[str, str]]:
+        out = []
+        for token in self._token.findall(text):
+            if token[0] in "0123456789":
+                kind = "NUM"
+            elif not token[0].isalpha():
+                kind = "PUNCT"
+            else:
+                kind = "PART" if len(token) == 1 else "PROPN" if token[0].isupper() else "NOUN"
+            out.append((token.lower(), kind))
+        return out
+
+
+def lemma_column(text: Column, model: Analyser, stop: tuple[str, ...], keep: tuple[str, ...] = CONTENT_POS) -> Column:
+    """The lemmas of a text whose part of speech is kept and which are no stop words, between spaces; null is the empty text."""
+
+    @F.pandas_udf("string")
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: " ".join(lemma for lemma, kind in model.analyse(t or "") if lemma and kind in keep and lemma not in stop))
+
+    return apply(text)
+
+
 class OverlapReranker:
     """Share of the query's distinct words that a text has."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.functions import text as X
+from trawl.operators import models as M
 from trawl.operators import textstats as S
 from trawl.registry import REGISTRY
 from trawl.schema import table
@@ -56,6 +57,12 @@ def stop_word_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.content_words(F.col("text")), " ").alias("words"))
 
 
+@Q("lemma_words", "F17", "SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+|\\p{L}+|[^\\p{L}\\p{N}_\\s]'), lambda w: regexp_matches(w, '^\\p{L}{2,}$') AND lower(left(w, 1)) = left(w, 1)), lambda w: lower(w)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")), ' ') AS words FROM documents")
+def lemma_words(spark, sf):
+    """The lemma pipeline with its stand-in analyser: parts of speech, lemmas, stop words."""
+    return table(spark, sf, "documents").select("doc_id", M.lemma_column(F.col("text"), M.SurfaceAnalyser(), X.STOP_WORDS).alias("words"))
+
+
 @Q("lemma_blacklist", "F34", "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' AND w NOT IN ('prvi niz', 'drugi niz', 'tretji niz', 'as', 'blok')), ' ') AS words FROM benchmark")
 def lemma_blacklist(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", X.drop_lemmas(F.col("text")).alias("words"))
