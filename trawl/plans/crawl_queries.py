@@ -84,7 +84,7 @@ def frontier_rescore(spark, sf):
 ROBOTS = "User-agent: *\nDisallow: /en\nCrawl-delay: 3\n\nUser-agent: trawl\nDisallow: /fr\n"
 
 
-@Q("robots_filter", "C4 S11", None)
+@Q("robots_filter", "C4", "SELECT page_id, page_id % 5 <> 0 AND NOT starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '/en') AS allowed, CASE WHEN page_id % 5 = 0 THEN 1.0 ELSE 3.0 END AS crawl_delay FROM pages")
 def robots_filter(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", "url").withColumn("robots", F.when(F.col("page_id") % 5 != 0, F.lit(ROBOTS)))
     return C.robots_allowed(rows, "url", "robots", "other").select("page_id", "allowed", "crawl_delay")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trawl.functions import fuzzy, html as H
 from trawl.functions import urls as U
 from trawl.operators import wrapper
+from trawl.plans.crawl_stats import LINKS_SQL
 from trawl.plans.url_queries import CANON_SQL
 from trawl.registry import REGISTRY
 from trawl.schema import table
@@ -59,13 +60,22 @@ def page_objects(spark, sf):
     return found.select("page_id", "p.url", "p.page_type_code", F.size("p.links").cast("long").alias("link_count"), F.transform("p.images", lambda i: i["content_type"]).alias("images"), data.alias("data"))
 
 
-@Q("anchor_metadata", "F8", None)
+@Q("anchor_metadata", "F8", LINKS_SQL + f"""
+, k AS (SELECT page_id, {CANON_SQL.replace("url", "target")} AS url FROM links), p AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS path FROM k)
+SELECT page_id, url, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS keywords, CAST([] AS VARCHAR[]) AS containers, split_part(path, '/', 2) AS section,
+       CASE WHEN contains(url, '.html') THEN left(replace(split_part(path, '/', -1), '-', ' '), greatest(length(split_part(path, '/', -1)) - 5, 0)) ELSE '' END AS link_title FROM p
+""")
 def anchor_metadata(spark, sf):
     found = table(spark, sf, "pages").select("page_id", F.explode(H.anchors_column(F.col("html"), F.col("url"))).alias("a"))
     return found.select("page_id", "a.*", U.section(F.col("a.url")).alias("section"), U.link_title(F.col("a.url")).alias("link_title"))
 
 
-@Q("content_signature", "F10", None)
+@Q("content_signature", "F10", r"""
+WITH a AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?is)<article[^>]*>(.*?)(</article>|$)', 1) AS t FROM pages),
+n AS (SELECT page_id, string_split(regexp_replace(t, '<[^>]*>', chr(1), 'g'), chr(1)) AS l FROM a),
+j AS (SELECT page_id, array_to_string(list_filter(list_transform(l, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ') AS s FROM n)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(s, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS signature_text FROM j
+""")
 def content_signature(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.signature_column(F.col("html")).alias("signature_text"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from trawl.registry import REGISTRY
 from trawl.schema import table
 from trawl.scratch import fresh_path, hand_out
 from trawl.sources import files
+from trawl.sources.cache import cached
 
 Q = REGISTRY.query
 
@@ -54,3 +58,35 @@ def id_list_source(spark, sf):
     path = _root(spark)
     table(spark, sf, "benchmark").select(F.concat(F.lit("  "), F.col("item_id").cast("string"), F.lit(" ")).alias("value")).write.text(path)
     return files.read_ids(spark, path)
+
+
+@Q("settings", "S14", "SELECT * FROM (VALUES ('schema', ''), ('page_table', 'pages'), ('chunk_words', '64'), ('batch_size', '32'), ('metric', 'l2'), ('return_n', '100'), ('rerank_n', '10'), ('rerank', 'True')) v(name, value)")
+def settings(spark, sf):
+    """Settings from a mapping such as the environment, with defaults for the rest."""
+    found = asdict(files.Settings.of({"PAGE_TABLE": "pages", "CHUNK_WORDS": "64", "METRIC": "l2", "RERANK": "TRUE"}))
+    return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "name string, value string")
+
+
+@Q("cached_counts", "K9", "SELECT event_type, count(*) AS events FROM events GROUP BY 1")
+def cached_counts(spark, sf):
+    """A result kept by its parameters: made once, read the second time."""
+    root, made = _root(spark), []
+
+    def make():
+        made.append(1)
+        return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events"))
+
+    for _ in range(2):
+        kept = cached(spark, root, "counts", {"by": "event_type"}, make)
+    if len(made) != 1:
+        raise AssertionError("a kept result was made again")
+    return kept
+
+
+@Q("migrated_tables", "S13", "SELECT page_id, length(url) AS url_length FROM pages")
+def migrated_tables(spark, sf):
+    """A script of statements, split at its semicolons and run in order; the last one's view is read."""
+    path = f"{sf}/pages.parquet"
+    first, second = (f"migrated_{k}_{uuid.uuid4().hex}" for k in "ab")
+    files.migrate(spark, f"CREATE TEMP VIEW {first} AS SELECT page_id, url FROM parquet.`{path}`; CREATE TEMP VIEW {second} AS SELECT page_id, CAST(length(url) AS BIGINT) AS url_length FROM {first};")
+    return spark.table(second)

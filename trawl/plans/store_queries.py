@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.functions import urls as U
@@ -201,10 +200,11 @@ def name_map_join(spark, sf):
     return table(spark, sf, "events").join(names, F.col("event_type") == F.col("_k"), "left").select("event_id", F.coalesce("label", "event_type").alias("label"))
 
 
-@Q("random_sample", "O4", None)
+@Q("random_sample", "O4", "SELECT event_id, user_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || '/42'), event_id LIMIT 100")
 def random_sample(spark, sf):
     """A seeded sample without replacement, of exactly 100 rows or all."""
-    return table(spark, sf, "events").select("event_id", "user_id").orderBy(F.xxhash64("event_id", F.lit(42)), "event_id").limit(100)
+    order = F.md5(F.concat(F.col("event_id").cast("string"), F.lit("/42")))
+    return table(spark, sf, "events").select("event_id", "user_id").orderBy(order, "event_id").limit(100)
 
 
 @Q("zipped_lists", "J6", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, turn, role FROM conversations")

@@ -21,7 +21,18 @@ def fixed_chunks(spark, sf):
     return chunks.withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@Q("sentence_chunks", "F19", None)
+#: Sentences one after another: each opens a chunk or joins the last one, by the words so far.
+CHUNKS_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS sentence FROM t),
+w AS MATERIALIZED (SELECT doc_id, i, sentence, len(regexp_extract_all(sentence, '[^ \t\n\x0B\f\r]+')) AS n FROM s),
+r AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS chunk_no, n FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.i, CASE WHEN r.n + w.n > 128 THEN r.chunk_no + 1 ELSE r.chunk_no END, CASE WHEN r.n + w.n > 128 THEN w.n ELSE r.n + w.n END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1)
+SELECT r.doc_id, r.chunk_no, string_agg(w.sentence, ' ' ORDER BY r.i) AS chunk FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i GROUP BY 1, 2
+"""
+
+
+@Q("sentence_chunks", "F19", CHUNKS_SQL)
 def sentence_chunks(spark, sf):
     chunks = table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk"))
     return chunks.withColumn("chunk_no", F.col("chunk_no").cast("long"))

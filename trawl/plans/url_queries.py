@@ -177,7 +177,9 @@ def frontier_versions(spark, sf):
     return versioned.select("target", "page_id", "href", "version", (F.col("version") + 1 == F.col("group_size")).alias("current"))
 
 
-@Q("unresolved_joins", "F4", None)
+@Q("unresolved_joins", "F4", LINKS_SQL + r"""
+SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*/[^/]*$', '') || substr(href, 2) AS target FROM links
+""")
 def unresolved_joins(spark, sf):
     """Resolution of relative references too, which needs the full RFC algorithm."""
     found = links(spark, sf).select("page_id", "url", "href")
