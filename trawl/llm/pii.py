@@ -3,12 +3,14 @@
 Candidates are spans of fixed shapes: the four base kinds of the contract, shapes that nearly are one of them, national
 numbers, secrets and names. Labelers vote 1 (personal), 0 (not) or abstain on each; they look at different things (form,
 validity, gazetteers, words before, words after, neighbouring characters, variety, company of other spans), each with
-errors of its own. A first pass writes a row a candidate. Expectation-maximisation over the counts of all distinct (kind,
-votes), of which there are at most kinds times 3^labelers whatever the input, estimates each labeler's sensitivity and
-specificity by kind, shrunk towards its mean over kinds, and each kind's rate. The final span classifier, a logistic
-regression on hashed features of the span's own characters and its surroundings (not the votes), is trained on the
-posteriors of a bounded sample: about MAX_FIT candidates a kind, by a hash of document and place. A second pass applies it.
-Base spans always stay; other candidates are added where the classifier gives THRESHOLD or more and no base span overlaps.
+errors of its own. One pass over the texts writes the candidates of each row with their votes and features.
+
+Expectation-maximisation over the counts of all distinct (kind, votes), of which there are at most kinds times 3^labelers
+whatever the input, estimates each labeler's sensitivity and specificity by kind, shrunk towards its mean over kinds, and
+each kind's rate. The final span classifier, a logistic regression on hashed features of the span's own characters and its
+surroundings (not the votes), is trained on the posteriors of a bounded sample: about MAX_FIT candidates a kind, by a hash of
+text and place. It is applied to the written candidates: base spans always stay; others are added where it gives THRESHOLD
+or more; these overlap no base span.
 
 Defined cases: a null text is the empty text; texts of any length are scanned in linear time and without windows;
 candidates that overlap are taken in the order of KINDS, then from the left; rows repeat as they are; other columns are
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.shared import bounded_batches, documents
-from trawl.scratch import Scratch
+from trawl.scratch import materialise
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds of spans, base first; `near_` candidates are spans that fail a base rule.
@@ -346,66 +348,70 @@ def fit(rows: list[tuple[str, list[int], float]], epochs: int = 25, rate: float
     return Model(w)
 
 
-def candidate_rows(texts: DataFrame) -> DataFrame:
-    """(kind, said, place, features) of every candidate of texts (doc_id, text); place is a hash of text and start."""
+#: A candidate: the span, whether a base rule made it, its votes, a hash of text and place, and its features.
+CANDIDATE = "struct<kind: string, start: int, end: int, base: boolean, said: array<tinyint>, place: bigint, features: array<int>>"
+_CANDIDATE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("said", pa.list_(pa.int8())), ("place", pa.int64()), ("features", pa.list_(pa.int32()))])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.list_(pa.int8()), pa.int64(), pa.list_(pa.int32()))
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(0):
-                t = text.as_py()
-                base, extra = candidates(t)
-                if base or extra:
-                    own = zlib.crc32(t.encode())
-                    for (kind, start, _), s in zip(base + extra, seen(t, base + extra), strict=True):
-                        for column, v in zip(out, (kind, votes(s), (own << 20 ^ zlib.crc32(f"{kind}{start}".encode())) & ((1 << 32) - 1), span_features(s)), strict=True):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["kind", "said", "place", "features"])
-
-    return texts.select("text").mapInArrow(work, "kind string, said array<tinyint>, place long, features array<int>")
-
-
-def train(texts: DataFrame, max_fit: int = MAX_FIT) -> Model:
-    """EM over the votes on all candidates of texts, then the classifier from a sample of about max_fit of each kind."""
-    with Scratch(texts.sparkSession) as scratch:
-        rows = scratch.write(candidate_rows(texts), "candidates")
-        counted = rows.groupBy("kind", "said").agg(F.count(F.lit(1)).alias("n"))
-        patterns = sorted((r["kind"], tuple(r["said"]), r["n"]) for r in counted.limit(MAX_PATTERNS).collect())
-        if not patterns:
-            return Model()
-        posterior = {p[:2]: float(x) for p, x in zip(patterns, expectation_maximisation(patterns)[0], strict=True)}
-        total: Counter = Counter()
-        for kind, _, n in patterns:
-            total[kind] += n
-        share = F.create_map(*[x for k, n in total.items() for x in (F.lit(k), F.lit(min(1.0, max_fit / n)))])
-        chosen = rows.filter(F.col("place") < share[F.col("kind")] * F.lit(float(1 << 32))).select("kind", "said", "place", "features")
-        sample = sorted((r["kind"], r["place"], tuple(r["said"]), r["features"]) for r in chosen.limit(2 * max_fit * len(KINDS)).collect())
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, candidates): base ones by kind as listed, then start, then the others alike."""
+    for batch in batches:
+        rows = []
+        for text in batch.column(1):
+            t = text.as_py()
+            base, extra = candidates(t)
+            found = []
+            if base or extra:
+                own = zlib.crc32(t.encode())
+                for k, ((kind, start, end), s) in enumerate(zip(base + extra, seen(t, base + extra), strict=True)):
+                    place = (own << 20 ^ zlib.crc32(f"{kind}{start}".encode())) & ((1 << 32) - 1)
+                    found.append({"kind": kind, "start": start, "end": end, "base": k < len(base), "said": votes(s), "place": place, "features": span_features(s)})
+            rows.append(found)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_CANDIDATE))], ["doc_id", "candidates"])
+
+
+def scanned(texts: DataFrame) -> DataFrame:
+    """(doc_id, candidates) of each row of texts (doc_id, text)."""
+    return texts.select("doc_id", "text").mapInArrow(_scan, f"doc_id long, candidates array<{CANDIDATE}>")
+
+
+def train(rows: DataFrame, max_fit: int = MAX_FIT) -> Model:
+    """EM over the votes on all candidates of rows (as of scanned), then the classifier from about max_fit of each kind."""
+    spans = rows.select(F.explode("candidates").alias("c")).select("c.kind", "c.said", "c.place", "c.features")
+    counted = spans.groupBy("kind", "said").agg(F.count(F.lit(1)).alias("n"))
+    patterns = sorted((r["kind"], tuple(r["said"]), r["n"]) for r in counted.limit(MAX_PATTERNS).collect())
+    if not patterns:
+        return Model()
+    posterior = {p[:2]: float(x) for p, x in zip(patterns, expectation_maximisation(patterns)[0], strict=True)}
+    total: Counter = Counter()
+    for kind, _, n in patterns:
+        total[kind] += n
+    share = F.create_map(*[x for k, n in total.items() for x in (F.lit(k), F.lit(min(1.0, max_fit / n)))])
+    chosen = spans.filter(F.col("place") < share[F.col("kind")] * F.lit(float(1 << 32)))
+    sample = sorted((r["kind"], r["place"], tuple(r["said"]), r["features"]) for r in chosen.limit(2 * max_fit * len(KINDS)).collect())
     return fit([(kind, features, posterior[kind, said]) for kind, _, said, features in sample])
 
 
 def find(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, spans): all spans of each row as structs (kind, start, end, base), by kind as in KINDS, then start."""
+    """(doc_id, spans): all spans of each row as structs (kind, start, end, base), by kind as in KINDS, then start.
+
+    Texts are scanned once; their candidates are a written table, from which the model is made and which it is applied to.
+    """
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    weights = (model or train(texts)).weights
+    rows = scanned(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")))
+    if model is None:
+        rows = materialise(rows, "candidates")
+        model = train(rows)
+    weights = model.weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                t = text.as_py()
-                base, extra = candidates(t)
-                spans = [{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base]
-                if extra:
-                    looks = seen(t, base + extra)[len(base) :]
-                    spans += [{"kind": k, "start": a, "end": b, "base": False} for (k, a, b), s in zip(extra, looks, strict=True) if own.probability(span_features(s)) >= THRESHOLD]
-                rows.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
-
-    return texts.mapInArrow(work, "doc_id long, spans array<struct<kind: string, start: int, end: int, base: boolean>>")
+            kept = [[{k: c[k] for k in ("kind", "start", "end", "base")} for c in found if c["base"] or own.probability(c["features"]) >= THRESHOLD] for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, kind)], ["doc_id", "spans"])
+
+    return rows.mapInArrow(work, "doc_id long, spans array<struct<kind: string, start: int, end: int, base: boolean>>")
 
 
 def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
