@@ -49,11 +49,11 @@ def topic_of(text) -> F.Column:
     )
 
 
-def described(docs: DataFrame, topic: Callable[[F.Column], F.Column] = topic_of) -> DataFrame:
-    """(document, id, source, lang, topic, tokens): document is the row of docs, topic(text) its topic."""
+def described(docs: DataFrame, topic: Callable[[F.Column], F.Column] = topic_of, columns: list[str] | None = None) -> DataFrame:
+    """(document, id, source, lang, topic, tokens): document is the row of docs or these columns of it, topic(text) its topic."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        F.struct(*docs.columns).alias("document"),
+        F.struct(*(docs.columns if columns is None else columns)).alias("document"),
         F.col("doc_id").alias("id"),
         F.coalesce(F.col("source").cast("string"), F.lit(ABSENT)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(ABSENT)).alias("lang"),
@@ -126,9 +126,14 @@ def draw(row_id) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(row_id, F.lit(SEED)), 11) * F.lit(2.0**-53)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, max_cells: int = MAX_CELLS, topic: Callable[[F.Column], F.Column] = topic_of) -> DataFrame:
-    """(document, source, lang, topic, tokens, probability, kept): document is the row of docs, null categories are ABSENT."""
-    rows = described(docs, topic)
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, max_cells: int = MAX_CELLS, topic: Callable[[F.Column], F.Column] = topic_of, columns: list[str] | None = None) -> DataFrame:
+    """(document, source, lang, topic, tokens, probability, kept): document is the row of docs, null categories are ABSENT.
+
+    Where only some columns are asked for, and not the text, the rows are written so that texts are read once.
+    """
+    rows = described(docs, topic, columns)
+    if columns is not None and "text" not in columns:
+        rows = materialise(rows, "described")
     fitted, small = probabilities(rows.select(*MARGINS, "tokens"), targets, keep, max_cells)
     joined = rows.join(F.broadcast(fitted) if small else fitted, list(MARGINS))
     return joined.select("document", *MARGINS, "tokens", "probability", (draw(F.col("id")) < F.col("probability")).alias("kept"))
@@ -136,7 +141,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
 
 def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, kept) for all documents."""
-    out = mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
+    out = mix(documents(spark, sf_dir), columns=["doc_id", "source", "lang"])
     return out.select("document.doc_id", "document.source", "document.lang", "topic", F.col("tokens").alias("n_tokens"), "probability", "kept")
 
 
