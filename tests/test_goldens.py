@@ -485,3 +485,33 @@ def test_lemmas(spark):
     rows = spark.createDataFrame([("the dogs ran in",), (None,)], "t string")
     assert [r[0] for r in rows.select(models.lemma_column(F.col("t"), Table(), text.STOP_WORDS)).collect()] == ["dog run", ""]
     assert models.SurfaceAnalyser().analyse("Ana je 12 velika, ž") == [("ana", "PROPN"), ("je", "NOUN"), ("12", "NUM"), ("velika", "NOUN"), (",", "PUNCT"), ("ž", "PART")]
+
+
+def test_only_local_sessions_go_without_a_shared_folder():
+    from types import SimpleNamespace
+
+    from trawl import scratch
+
+    lonely = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.shared_dir(lonely)
+    shared = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "hdfs://host/shared/"), sparkContext=lonely.sparkContext)
+    assert scratch.shared_dir(shared) == "hdfs://host/shared"
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from trawl import scratch
+
+    with scratch.Scratch(spark) as own:
+        first = own.write(spark.range(5), "first")
+        second = own.replace(first, first.filter("id > 2"), "second")
+        at = [Path(p.removeprefix("file://")) for p in own.paths]
+        assert second.count() == 2 and len(at) == 1 and at[0].exists()
+    assert not at[0].exists()
+    kept = scratch.materialise(spark.range(3), "kept")
+    assert kept.count() == 3
+    place = Path(scratch._HANDED_OUT[-1][1].removeprefix("file://"))
+    scratch.release()
+    assert not place.exists() and not scratch._HANDED_OUT

@@ -52,10 +52,10 @@ def blacklist_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.contains_any(F.col("text"), ("license", "password")).alias("bad"))
 
 
-@Q("tfidf_text", "F15", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || ' ' || source ELSE ' ' || left(text, 40) END AS corpus_text FROM documents")
+@Q("tfidf_text", "F15", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || ' ' || source ELSE ' ' || text END AS corpus_text FROM documents")
 def tfidf_text(spark, sf):
     summary = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
-    return table(spark, sf, "documents").select("doc_id", X.tfidf_text(F.col("lang"), summary, F.left("text", F.lit(40))).alias("corpus_text"))
+    return table(spark, sf, "documents").select("doc_id", X.tfidf_text(F.col("lang"), summary, F.col("text")).alias("corpus_text"))
 
 
 @Q("clean_words", "F20 F17", "SELECT doc_id, regexp_replace(lower(text), '[!\"#$%&''()*+,./:;<=>?@\\[\\\\\\]^_`{|}~-]', '', 'g') AS plain FROM documents")
@@ -85,9 +85,9 @@ def grading_prompt(spark, sf):
     return lists.select("conv_id", X.numbered_passages(F.transform("l", lambda s: s["text"])).alias("passages"))
 
 
-@Q("rag_prompt", "F25", "SELECT item_id, 'Answer the following question using context.' || chr(10) || 'Context: ' || text || chr(10) || 'Question: ' || left(text, 20) AS prompt FROM benchmark")
+@Q("rag_prompt", "F25", "SELECT item_id, 'Answer the following question using context.' || chr(10) || 'Context: ' || text || chr(10) || 'Question: ' || text AS prompt FROM benchmark")
 def rag_prompt(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", X.rag_prompt(F.col("text"), F.left("text", F.lit(20))).alias("prompt"))
+    return table(spark, sf, "benchmark").select("item_id", X.rag_prompt(F.col("text"), F.col("text")).alias("prompt"))
 
 
 @Q("preview_text", "F22 F23", "SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS preview, translate(left(text, 60), ' /\\', '___') AS folder FROM documents")
