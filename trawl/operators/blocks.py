@@ -14,6 +14,8 @@ from trawl.functions import vectors as V
 
 #: Rows of a block.
 BLOCK = 2048
+#: Queries of a block that are looked at at once.
+PART = 128
 #: Digits to which distances are compared, so that equal vectors tie.
 DIGITS = 12
 
@@ -66,8 +68,10 @@ def _nearest_in(pairs: DataFrame, n: int) -> DataFrame:
             for i in range(batch.num_rows):
                 qids, ids = _list(batch, "qids", i), _list(batch, "ids", i)
                 a, b = _unit(_matrix(batch, "qflat", i, len(qids))), _unit(_matrix(batch, "flat", i, len(ids)))
-                row, column, distance = least(1.0 - a @ b.T, ids, n)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[column]), pa.array(distance)], ["query_id", "id", "distance"])
+                # equal vectors tie, and all that tie are looked at, so a part of the queries is taken at a time
+                for at in range(0, len(qids), PART):
+                    row, column, distance = least(1.0 - a[at : at + PART] @ b.T, ids, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[row + at]), pa.array(ids[column]), pa.array(distance)], ["query_id", "id", "distance"])
 
     best = W.partitionBy("query_id").orderBy("distance", "id")
     found = pairs.mapInArrow(work, "query_id long, id long, distance double")
