@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.catalog import load
 from trawl.functions import fuzzy
-from trawl.operators import blocks, clustering, textstats
+from trawl.operators import blocks, clustering, likeness, textstats
 
 QUERIES = load().callables()
 
@@ -24,14 +24,48 @@ def test_fuzzy_similar_covers_every_document(spark, tmp_path):
     texts = [base] * 4 + [" ".join([*words[:200], "changed", *words[201:]])] * 3 + [other, other, "short", "short", "", None, base]
     docs = list(enumerate(texts))
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = QUERIES["fuzzy_similar"](spark, str(tmp_path)).collect()
-    members = [r for r in rows if r["same_hash"]]
-    assert sorted(r["b"] for r in members) == [i for i, _ in docs]
-    kind = {r["b"]: r["a"] for r in members}
-    likeness = {(r["a"], r["a"]): r["likeness"] for r in members} | {(r["a"], r["b"]): r["likeness"] for r in rows if not r["same_hash"]}
-    want = {(i, j): fuzzy.compare(s, t) for (i, s), (j, t) in itertools.combinations(docs, 2) if s is not None and t is not None}
-    assert want == {(i, j): likeness.get((min(kind[i], kind[j]), max(kind[i], kind[j])), 0) for i, j in want}
-    assert kind[12] is None and len({kind[i] for i in (0, 1, 2, 3, 13)}) == 1
+    rows = {r["doc_id"]: r for r in QUERIES["fuzzy_similar"](spark, str(tmp_path)).collect()}
+    check_likeness(rows, docs)
+    assert rows[12]["class_id"] is None and len({rows[i]["class_id"] for i in (0, 1, 2, 3, 13)}) == 1
+
+
+def check_likeness(rows, docs):
+    """Classes, links and best partners against all pairs."""
+    assert sorted(rows) == [i for i, _ in docs]
+    hashes: dict[str, list[int]] = {}
+    for i, t in docs:
+        if t is not None:
+            hashes.setdefault(fuzzy.fuzzy_hash(t), []).append(i)
+    alike: dict[int, list[tuple[int, int]]] = {}
+    for (h, a), (g, b) in itertools.combinations(hashes.items(), 2):
+        if (n := fuzzy.hash_compare(h, g)) > 0:
+            alike.setdefault(min(a), []).append((-n, min(b)))
+            alike.setdefault(min(b), []).append((-n, min(a)))
+    for h, members in hashes.items():
+        own = alike.get(min(members), [])
+        for i in members:
+            best = min(own, default=(None, None))
+            r = rows[i]
+            assert (r["class_id"], r["own_likeness"], r["links"]) == (min(members), fuzzy.hash_compare(h, h), len(own))
+            assert (r["best"], r["likeness"]) == (best[1], -best[0] if own else None)
+
+
+def test_fuzzy_links_of_a_large_group(spark, tmp_path, monkeypatch):
+    """Near copies that share most of their grams, in blocks of 16, and documents that are alike to none."""
+    monkeypatch.setattr(likeness, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    words = [f"word{i * 7919 % 613}" for i in range(300)]
+    texts = []
+    for k in range(70):
+        own = words.copy()
+        own[rng.integers(0, 300)] = f"new{k}"
+        texts.append(" ".join(own[: 300 - k % 3]))
+    texts += [" ".join(f"w{rng.integers(0, 10**6)}" for _ in range(200)) for _ in range(10)]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in QUERIES["fuzzy_similar"](spark, str(tmp_path)).collect()}
+    check_likeness(rows, docs)
+    assert max(r["links"] for r in rows.values()) > 30
 
 
 def test_bm25_scores_every_item(spark, tmp_path):

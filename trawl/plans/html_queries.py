@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import fuzzy, html as H
 from trawl.functions import urls as U
-from trawl.operators import wrapper
+from trawl.operators import likeness, wrapper
 from trawl.plans.crawl_stats import LINKS_SQL
 from trawl.plans.url_queries import CANON_SQL
 from trawl.registry import REGISTRY
@@ -87,26 +87,16 @@ def fuzzy_hash(spark, sf):
 
 @Q("fuzzy_similar", "D8", None)
 def fuzzy_similar(spark, sf):
-    """Likeness of all documents: (a, b, likeness, same_hash). Documents with equal hashes are one class, named by its least
-    doc_id. A row with same_hash says that document b is of class a, and how alike any two of the class are; each document has
-    one (a and likeness are null without a text). A row without it is a pair of classes with a likeness above 0, which holds
-    for each pair of their documents. Likeness needs a common 7-gram of signatures of one block size, so classes meet on
-    (block size, gram)."""
-    # hashed once; classes, pairs and members all read it
+    """(doc_id, class_id, own_likeness, links, best, likeness) of each document. Documents with equal hashes are one class, named
+    by its least doc_id; own_likeness says how alike any two of it are. links counts the other classes that the class is alike to
+    (likeness above 0), best is the likest of them, the smaller on ties. A null text has no class; it is alike to none."""
+    # hashed once; classes, links and members all read it
     hashed = materialise(table(spark, sf, "documents").select("doc_id", fuzzy.fuzzy_hash_column(F.col("text")).alias("h")), "fuzzy")
-    classes = hashed.filter(F.col("h").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    own = classes.select(F.col("doc_id").alias("a"), F.col("h").alias("_h"), fuzzy.hash_compare_column(F.col("h"), F.col("h")).alias("likeness"))
-    members = hashed.join(own, F.col("h") == F.col("_h"), "left").select("a", F.col("doc_id").alias("b"), "likeness", F.lit(True).alias("same_hash"))
-    parts = F.split("h", ":")
-    block = F.get(parts, 0).cast("long")
-    gram = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - fuzzy.WINDOW + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(fuzzy.WINDOW)))
-    shorten = lambda s: F.regexp_replace(s, r"(.)\1{3,}", "$1$1$1")
-    one, two = shorten(F.get(parts, 1)), shorten(F.get(parts, 2))
-    keyed = classes.select("doc_id", "h", F.explode(F.concat(F.transform(gram(one), lambda g: F.struct(block.alias("b"), g.alias("g"))), F.transform(gram(two), lambda g: F.struct((block * 2).alias("b"), g.alias("g"))))).alias("k")).distinct()
-    a, b = keyed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), "k"), keyed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), "k")
-    pairs = a.join(b, "k").filter("a < b").select("a", "b", "ha", "hb").distinct()
-    alike = pairs.select("a", "b", fuzzy.hash_compare_column(F.col("ha"), F.col("hb")).alias("likeness"), F.lit(False).alias("same_hash")).filter("likeness > 0")
-    return members.unionByName(alike)
+    classes = materialise(hashed.filter(F.col("h").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("id")), "classes")
+    own = classes.withColumn("own_likeness", fuzzy.hash_compare_column(F.col("h"), F.col("h")))
+    told = own.join(likeness.links(classes), "id", "left").select(F.col("h").alias("_h"), F.col("id").alias("class_id"), "own_likeness", F.coalesce("links", F.lit(0)).alias("links"), F.col("other").alias("best"), "likeness")
+    members = hashed.join(told, F.col("h") == F.col("_h"), "left")
+    return members.select("doc_id", "class_id", "own_likeness", F.coalesce("links", F.lit(0)).alias("links"), "best", "likeness")
 
 
 @Q("template_extract", "F29 F30 F31", None)
