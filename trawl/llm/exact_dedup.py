@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import documents
+from trawl.llm.shared import documents, first_rows, salted_join
 from trawl.scratch import Scratch, materialise
 
-#: Digests with at least total / HEAVY_PARTS copies are resolved by a broadcast; there are HEAVY_PARTS of them at most.
-HEAVY_PARTS = 1000
 #: Appends after which the index is rewritten.
 COMPACT_AFTER = 16
 APPENDS = "trawl.appends"
@@ -88,60 +88,64 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, mark, digest) of each row, written; mark is a hash of the text as it stands, which tells rows of one id apart."""
+    text = F.col(text_column)
+    return materialise(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), normalised_digest(text).alias("digest")), "digests")
+
+
+def _resolved(hashed: DataFrame, index: DigestIndex) -> DataFrame:
+    """(digest, keep_id, group_size, least_id, least_mark) of each digest, written, after the index has taken the new ones:
+    least_id and least_mark are of the batch's row with the smallest id, then mark."""
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    with Scratch(hashed.sparkSession) as scratch:
+        groups = hashed.groupBy("digest").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("group_size"))
+        groups = scratch.write(groups.select("digest", F.col("least.id").alias("least_id"), F.col("least.mark").alias("least_mark"), "group_size"), "groups")
+        index.add(groups.select("digest", F.col("least_id").alias("keep_id")))
+        return materialise(groups.hint("merge").join(index.rows().hint("merge"), "digest"), "resolved")
+
+
 def dedup(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, digest, keep_id, group_size, kept) for each row of docs; new digests go to the index.
 
     keep_id is the document that the index holds for the digest: of an earlier batch if there is one, else the smallest id
     of this batch. group_size counts the rows of this batch. The result does not read the index any more.
     """
-    hashed = materialise(docs.select(F.col(id_column).cast("long").alias("doc_id"), normalised_digest(F.col(text_column)).alias("digest")), "digests")
-    with Scratch(docs.sparkSession) as scratch:
-        groups = hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        groups = scratch.write(groups, "groups")
-        index.add(groups)
-        resolved = materialise(groups.drop("keep_id").hint("merge").join(index.rows().hint("merge"), "digest"), "resolved")
-
-    total = resolved.agg(F.sum("group_size")).first()[0] or 0
-    heavy = resolved.filter(F.col("group_size") * HEAVY_PARTS >= max(total, 100 * HEAVY_PARTS))
-    marked = hashed.join(F.broadcast(heavy.select("digest", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))), "digest", "left")
-    hot = marked.filter(F.col("_size").isNotNull()).select("doc_id", "digest", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"))
-    rest = marked.filter(F.col("_size").isNull()).select("doc_id", "digest").hint("merge").join(resolved, "digest")
-    both = hot.unionByName(rest.select("doc_id", "digest", "keep_id", "group_size"))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-
-
-def _against_nothing(docs: DataFrame) -> DataFrame:
-    """dedup against an index of its own that starts empty and goes again."""
-    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    hashed = _hashed(docs, id_column, text_column)
+    resolved = _resolved(hashed, index).select("digest", "keep_id", "group_size")
+    rows = salted_join(hashed.select("doc_id", "digest"), resolved, "digest", counts=resolved.select("digest", F.col("group_size").alias("n")))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def unique_rows(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs that the index has no equal text for, exactly one of each group of equal texts: one with the smallest id."""
+    hashed = _hashed(docs, id_column, text_column)
+    resolved = _resolved(hashed, index)
+    # most texts are alone and new, and stay without a look
+    moved = resolved.filter("group_size > 1 OR NOT keep_id <=> least_id")
+    rows = salted_join(hashed, moved, "digest", counts=moved.select("digest", F.col("group_size").alias("n")))
+    first = F.col("keep_id").eqNullSafe(F.col("least_id")) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("least_mark"))
+    return first_rows(docs, rows.select("doc_id", "mark", first.alias("first")), id_column, text_column)
+
+
+def _own_index(spark: SparkSession, work: Callable[[DigestIndex], DataFrame]) -> DataFrame:
+    """The result of work with an index of its own that starts empty and goes again."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     try:
-        return dedup(docs, index)
+        return work(index)
     finally:
         index.drop()
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest columns for all documents, against an index that starts empty."""
-    return _against_nothing(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    out = _own_index(spark, lambda index: dedup(documents(spark, sf_dir), index))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: exactly one row of each group of equal texts, with its own columns: one with the smallest doc_id.
-
-    A digest has one keep_id, so a row is kept by digest and id together. Where rows repeat both, or have no id, one of them is
-    taken by an aggregate, which only such rows go through.
-    """
-    kept = _against_nothing(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).agg(F.count(F.lit(1)).alias("copies"))
-    kept = materialise(kept, "kept")
-    own = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("id"), normalised_digest(F.col("text")).alias("digest"))
-
-    def rows_of(groups: DataFrame) -> DataFrame:
-        return own.join(groups, own["id"].eqNullSafe(groups["kept_id"]) & (own["digest"] == groups["kept_digest"]), "left_semi")
-
-    repeated = kept.filter("copies > 1")
-    if repeated.isEmpty():
-        return rows_of(kept).select("document.*")
-    once = rows_of(repeated).groupBy("digest").agg(F.first("document").alias("document"))
-    return rows_of(kept.filter("copies = 1")).select("document.*").unionByName(once.select("document.*"))
+    """Pipeline stage: exactly one row of each group of equal texts, with its own columns: one with the smallest doc_id."""
+    return _own_index(spark, lambda index: unique_rows(docs, index))
 
 
 SQL = r"""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import LOWER, bounded_batches, documents, mix64, powers, salted_join, slices
+from trawl.llm.shared import LOWER, bounded_batches, documents, first_rows, mix64, powers, salted_join, slices, trimmed
 from trawl.scratch import Scratch, materialise
 
 WORDS = 5
@@ -161,21 +161,23 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, to, data, offsets in slices(batch.column(2)):
-            keys, bounds, digests = cells(data, offsets)
-            signature = signatures(keys, bounds)
-            bands = pa.ListArray.from_arrays(np.arange(0, (to - at) * BANDS + 1, BANDS, dtype=np.int32), pa.array(band_keys(signature).view(np.int64).ravel()))
-            own = pa.array([d.tobytes() for d in digests], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), own, pa.array(np.diff(bounds) > 0), bands], ["doc_id", "mark", "digest", "worded", "bands"])
+    with trimmed():
+        for batch in batches:
+            for at, to, data, offsets in slices(batch.column(2)):
+                keys, bounds, digests = cells(data, offsets)
+                signature = signatures(keys, bounds)
+                bands = pa.ListArray.from_arrays(np.arange(0, (to - at) * BANDS + 1, BANDS, dtype=np.int32), pa.array(band_keys(signature).view(np.int64).ravel()))
+                own = pa.array([d.tobytes() for d in digests], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), own, pa.array(np.diff(bounds) > 0), bands], ["doc_id", "mark", "digest", "worded", "bands"])
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, to, data, offsets in slices(batch.column(1)):
-            keys, bounds, _ = cells(data, offsets)
-            own = [np.sort(keys[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(own, pa.binary())], ["node", "cells"])
+    with trimmed():
+        for batch in batches:
+            for at, to, data, offsets in slices(batch.column(1)):
+                keys, bounds, _ = cells(data, offsets)
+                own = [np.sort(keys[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(own, pa.binary())], ["node", "cells"])
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -189,9 +191,10 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["u", "v", "similarity"])
+    with trimmed():
+        for batch in batches:
+            values = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["u", "v", "similarity"])
 
 
 def compare(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -305,10 +308,14 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str
         placed = scratch.write(salted_join(buckets, hubs.drop("n"), "bucket", counts=counts), "buckets")
         pairs = scratch.write(placed.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
         known = worded.select("node", "bands", "least").join(placed.select("node").distinct().hint("merge"), "node", "left_semi")
-        wanted = known.select("node", "least.doc_id", "least.mark")
+        # written, so that its size is known: a few wanted texts are picked by a broadcast, many by a sort-merge join
+        wanted = scratch.write(known.select("node", "least.doc_id", "least.mark"), "wanted")
         same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"])
-        cells = texts.join(wanted.hint("merge"), same).select("node", "text").mapInArrow(_cell_rows, "node long, cells binary")
-        cells = scratch.write(cells.groupBy("node").agg(F.first("cells").alias("cells")), "cells")
+        cells = texts.join(wanted, same).select("node", "text").mapInArrow(_cell_rows, "node long, cells binary")
+        if not sketched.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            # rows that repeat id and text give a node its cells more than once
+            cells = cells.groupBy("node").agg(F.first("cells").alias("cells"))
+        cells = scratch.write(cells, "cells")
         links = scratch.write(compare(pairs, cells).filter(F.col("similarity") >= threshold).select("u", "v"), "links")
         found = components(links)
 
@@ -337,17 +344,5 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: exactly one row of each class, that with the least id, with its own columns.
-
-    A row is known by id and text; only rows that repeat both and are to stay go through an aggregate.
-    """
-    rows = near_classes(docs)
-    gone = rows.filter("NOT first").select("doc_id", "mark").distinct()
-    own = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_mark"))
-    same = lambda other: own["id"].eqNullSafe(other["doc_id"]) & (own["own_mark"] == other["mark"])
-    left = own.join(gone, same(gone), "left_anti")
-    again = materialise(rows.filter("first").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
-    if again.isEmpty():
-        return left.select("document.*")
-    once = own.join(again, same(again), "left_semi").groupBy("id", "own_mark").agg(F.first("document").alias("document"))
-    return left.join(again, same(again), "left_anti").select("document.*").unionByName(once.select("document.*"))
+    """Pipeline stage: exactly one row of each class, that with the least id, with its own columns."""
+    return first_rows(docs, near_classes(docs).select("doc_id", "mark", "first"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import LOWER, arrow_rows, bounded_batches, documents, mix64, powers, slices
+from trawl.llm.shared import LOWER, arrow_rows, bounded_batches, documents, mix64, powers, slices, trimmed
 
 MAX_FIT = 6000
 BITS = 18
@@ -201,7 +201,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
-        for batch in batches:
-            yield batch.filter(pa.array(own.scores(batch.column(at).fill_null("")) >= 0.5))
+        with trimmed():
+            for batch in batches:
+                yield batch.filter(pa.array(own.scores(batch.column(at).fill_null("")) >= 0.5))
 
     return docs.mapInArrow(work, docs.schema)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.scratch import materialise
+
 
 def open_fs(path: str):
     """(file system, path) for a URI or a local path."""
@@ -41,6 +43,30 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", c
     return dealt.join(copied.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
+def whole_row(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The row of docs, or these columns of it, as one column `document`; names may hold any character."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in (docs.columns if columns is None else columns)]
+    return F.struct(*[F.col(c) for c in quoted]).alias("document")
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without the rows that rows (doc_id, mark, first) marks as not first, mark being the xxhash64 of the text (null:
+    empty); rows need not have every row of docs. Of rows that repeat id and text and are first, one is left.
+
+    What goes is anti-joined by id and mark, so few copies move no text; only repeated rows go through an aggregate.
+    """
+    rows = materialise(rows, "rows")
+    gone = rows.filter("NOT first").select("doc_id", "mark").distinct()
+    own = docs.select(whole_row(docs), F.col(id_column).cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("own_mark"))
+    same = lambda other: own["own_id"].eqNullSafe(other["doc_id"]) & (own["own_mark"] == other["mark"])
+    left = own.join(gone, same(gone), "left_anti")
+    again = materialise(rows.filter("first").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    if again.isEmpty():
+        return left.select("document.*")
+    once = own.join(again, same(again), "left_semi").groupBy("own_id", "own_mark").agg(F.first("document").alias("document"))
+    return left.join(again, same(again), "left_anti").select("document.*").unionByName(once.select("document.*"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -60,6 +86,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def trimmed(end: Callable[[], None] | None = None) -> Iterator[None]:
+    """A Python worker's work on a partition: at its end `end` is called and memory that is free goes back to the system, as
+    workers live on and stages that follow may need it."""
+    try:
+        yield
+    finally:
+        if end is not None:
+            end()
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library, which gives memory back by itself
+            pass
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that are run inside hand Python workers at most so many rows at once."""
@@ -100,7 +146,7 @@ _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 #: A byte's value in hashes of words: ASCII capitals count as small letters.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
