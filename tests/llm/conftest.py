@@ -3,8 +3,8 @@ from __future__ import annotations
 import pytest
 
 #: Names that the operators use inside; documents carry a column of each.
-CLASHES = ("row", "score", "digest", "document", "id", "size", "crc32", "key", "piece", "shard", "slot", "shard_key", "shard_no", "_piece", "_key", "tokens", "topic", "probability", "kept", "_probability", "_topic", "_source", "_tokens", "node", "class_id", "_gone", "kept_id", "kept_digest", "copies", "keep_id", "bucket", "core", "spans", "n")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+CLASHES = ("row", "score", "digest", "document", "id", "size", "crc32", "key", "piece", "shard", "slot", "shard_key", "shard_no", "_piece", "_key", "tokens", "topic", "probability", "kept", "_probability", "_topic", "_source", "_tokens", "node", "class_id", "_gone", "kept_id", "kept_digest", "copies", "keep_id", "bucket", "core", "spans", "n", "two words")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")

@@ -597,7 +597,7 @@ def test_pipeline_stages(spark, sf):
 def test_stage_edges(spark, sf, make, edges, clashes, stage):
     work = dict(corpus_pipeline.STAGES)[stage]
     docs = make(edges)
-    blank = docs.select("doc_id", "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns[2:]])
+    blank = docs.select("doc_id", "text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields[2:]])
     for frame in (docs, blank):
         out = work(spark, frame, sf)
         assert out.count() <= len(edges)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import documents
+from trawl.llm.shared import documents, whole_row
 from trawl.scratch import materialise
 
 TEMPERATURE = 0.5
@@ -53,7 +53,7 @@ def described(docs: DataFrame, topic: Callable[[F.Column], F.Column] = topic_of,
     """(document, id, source, lang, topic, tokens): document is the row of docs or these columns of it, topic(text) its topic."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        F.struct(*(docs.columns if columns is None else columns)).alias("document"),
+        whole_row(docs, columns),
         F.col("doc_id").alias("id"),
         F.coalesce(F.col("source").cast("string"), F.lit(ABSENT)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(ABSENT)).alias("lang"),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import documents
+from trawl.llm.shared import documents, whole_row
 from trawl.scratch import Scratch
 
 SHARDS = 40
@@ -82,7 +82,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", text_c
     """(document, size, crc32, key, shard, slot): document is the row of df; the rows of a shard are numbered in key order."""
     text, row_id = F.coalesce(F.col(text_column), F.lit("")), F.col(id_column)
     raw = F.encode(text, "utf-8")
-    sized = df.select(F.struct(*df.columns).alias("document"), row_id.alias("id"), (F.length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("crc32"), sort_key(text, row_id).alias("key"))
+    sized = df.select(whole_row(df), row_id.alias("id"), (F.length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("crc32"), sort_key(text, row_id).alias("key"))
     with Scratch(df.sparkSession) as scratch:
         keys = scratch.write(sized.select(F.col("key").alias("_key"), F.col("size").alias("_size")), "shard-keys")
         edges = splitters(keys, shards * cuts, tolerance)
