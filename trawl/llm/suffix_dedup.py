@@ -36,7 +36,7 @@ from trawl.scratch import Scratch, materialise
 #: Strings of one construction, if its cores are small; a core is never divided.
 STRINGS = 100_000
 #: Bytes of text that are cut at once; a longer text is taken in parts that overlap by a window.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Distinct strings of one core from which the collection is split, and distances of a split.
 COLLECTION_LIMIT = 300_000
 NARROW = 5
