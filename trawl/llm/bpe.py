@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import bounded_batches, documents
+from trawl.llm.shared import bounded_batches, documents, trimmed
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of a worker's memo, which is emptied when full.
@@ -161,13 +161,16 @@ class Codec:
                 rank = shorter[last]
         return out
 
+    def _fresh(self, word: str) -> bytes:
+        ids = array("I", self.encode_piece(word.encode("utf-8")))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _word(self, word: str) -> bytes:
         known = self.words.get(word)
         if known is None:
-            ids = array("I", self.encode_piece(word.encode("utf-8")))
-            if sys.byteorder == "big":
-                ids.byteswap()
-            known = ids.tobytes()
+            known = self._fresh(word)
             if len(word) <= LONGEST_MEMO:
                 if len(self.words) >= MEMO:
                     self.words.clear()
@@ -175,7 +178,14 @@ class Codec:
         return known
 
     def _pretokens(self, chunk: str) -> bytes:
-        return b"".join(map(self._word, self.split(chunk)))
+        words = self.split(chunk)
+        # a chunk of one pretoken is remembered as the chunk
+        return self._fresh(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+
+    def forget(self) -> None:
+        """Empty the memos."""
+        for memo in (self.words, self.first, self.later, self.compatible):
+            memo.clear()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -233,18 +243,20 @@ def digest_batches(batches: Iterator[pa.RecordBatch], file: str, pattern: str) -
 def _stage_batches(batches: Iterator[pa.RecordBatch], file: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, lang, source, text) -> (doc_id, lang, source, n_tokens, ids) after decoding the ids has given the text again."""
     own = codec(file, pattern)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            ids = []
-            for text in part.column(3).to_pylist():
-                ids.append(own.encode(text))
-                if own.decode(ids[-1]) != text.encode("utf-8"):
-                    raise ValueError("token ids do not decode to their text")
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-            lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(ends)), lists], ["doc_id", "lang", "source", "n_tokens", "ids"])
+    # other stages share the workers, so the memos go at the end of a partition
+    with trimmed(own.forget):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = []
+                for text in part.column(3).to_pylist():
+                    ids.append(own.encode(text))
+                    if own.decode(ids[-1]) != text.encode("utf-8"):
+                        raise ValueError("token ids do not decode to their text")
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(ends)), lists], ["doc_id", "lang", "source", "n_tokens", "ids"])
 
 
 def _ship(spark: SparkSession, path: str) -> str:
