@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trawl.llm import ann, bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
+from trawl.llm import ann, bpe, exact_dedup, filter_audit, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_column_bwt": suffix_dedup.op1_column_bwt,
     "op10_raking": mixing.op10_raking,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
     "op2_vamana": ann.op2_vamana,
     "op3_warc": warc.op3_warc,
     "op4_pii_weak": pii.op4_pii_weak,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op13_filter_audit": filter_audit.SQL,
     "op3_warc": warc.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
