@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from itertools import permutations
 
 import pytest
 
 from tests.oracle import compare, connect
-from trawl.llm import filter_audit, queries
+from trawl.llm import filter_audit, manifest, queries
 
 # filter audit
 
@@ -60,6 +62,76 @@ def test_filter_audit_of_nothing(spark, make):
     assert out.count() == 600 and out.filter("shapley > 0").select("filter_order").distinct().count() == 120
 
 
-@pytest.mark.parametrize("name", ["op13_filter_audit"])
+# manifest
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_by_hand(row, more=0):
+    values = [row["doc_id"], row["source"], row["lang"], None if row["n_chars"] is None else row["n_chars"] + more, row["text"]]
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def tree(nodes):
+    """(root, for each node its path of (sibling, is the sibling left))"""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][k : k + 2]) for k in range(0, len(levels[-1]), 2)])
+    paths = []
+    for i in range(len(nodes)):
+        path = []
+        for level in levels[:-1]:
+            path.append((level[i ^ 1] if i ^ 1 < len(level) else "", i % 2 == 1))
+            i //= 2
+        paths.append(path)
+    return levels[-1][0], paths
+
+
+def manifest_by_force(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["lang"], []).append(r)
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf_by_hand(r)))
+        trees[name] = tree([leaf_by_hand(r) for r in groups[name]])
+    root, over = tree([trees[n][0] for n in names])
+    out = []
+    for k, name in enumerate(names):
+        for i, r in enumerate(groups[name]):
+            path = trees[name][1][i] + over[k]
+            bad = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0
+            now = leaf_by_hand(r, int(bad))
+            for sibling, left in path:
+                now = h(sibling, now) if left else h(now, sibling)
+            out.append((r["doc_id"], leaf_by_hand(r), trees[name][0], root, h(*[s for s, _ in path]), now, now == root))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("height", [1, 2, 9])
+def test_manifest_by_force(spark, make, edges, height, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(manifest, "HEIGHT", height)
+    rows = [*edges, *[(i, f"text {i}") for i in range(30, 67 if height > 1 else 43)], (-4, "negative")]
+    lang = F.when(F.col("doc_id") < 3, None).when(F.col("doc_id") < 7, "").when(F.col("doc_id") == 30, "é").when(F.col("doc_id") % 5 == 0, "de").otherwise("en")
+    docs = make(rows).withColumn("lang", lang).withColumn("n_chars", F.when(F.col("doc_id") % 4 > 0, F.col("n_chars"))).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.col("source")))
+    got = manifest.manifest(docs)
+    names = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    found = sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr)
+    assert found == manifest_by_force([r.asDict() for r in docs.select("doc_id", "source", "lang", "n_chars", "text").collect()])
+    assert any(not r[-1] for r in found)
+
+
+def test_manifest_of_little(make):
+    assert manifest.manifest(make([])).count() == 0
+    (one,) = manifest.manifest(make([(1, None)])).collect()
+    assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["proof_sha256"] == h() and one["verified"]
+
+
+@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_filter_audit"])
 def test_matches_sql(spark, sf, name):
     compare(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLES[name])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trawl.llm import ann, bpe, exact_dedup, filter_audit, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
+from trawl.llm import ann, bpe, exact_dedup, filter_audit, manifest, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_column_bwt": suffix_dedup.op1_column_bwt,
     "op10_raking": mixing.op10_raking,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "op2_vamana": ann.op2_vamana,
     "op3_warc": warc.op3_warc,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op12_merkle_manifest": manifest.SQL,
     "op13_filter_audit": filter_audit.SQL,
     "op3_warc": warc.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
