@@ -52,8 +52,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def cells(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, bounds, digests): the sorted unit-weight cells (shingle, occurrence) of each text, and a hash of its words."""
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, owner, digests): all shingles of each text, sorted by owner and value, and a hash of each text's words."""
     n, docs = len(data), len(offsets) - 1
     if n:
         space = _SPACE[data]
@@ -91,7 +91,13 @@ def cells(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np
     keep = (place + words <= counts[owner]) | ((place == 0) & (counts[owner] < words))
     shingle, owner = mix64(shingle[keep]), owner[keep]
     order = np.lexsort((shingle, owner))
-    shingle, owner = shingle[order], owner[order]
+    return shingle[order], owner[order], digests
+
+
+def cells(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, bounds, digests): the unit-weight cells (shingle, occurrence) of each text, and a hash of its words."""
+    shingle, owner, digests = shingles(data, offsets, words)
+    docs = len(offsets) - 1
     fresh = np.ones(len(shingle), bool)
     fresh[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
     group = np.flatnonzero(fresh)
@@ -266,10 +272,11 @@ def _links_between(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): links between the components of a bucket, for buckets that hold several; pairs stay inside a task.
+def block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame) -> DataFrame:
+    """The members of buckets that hold several parts, once for each pair (i, j) of blocks of their bucket that they are in,
+    sub being their own block: labelled's columns but node, i, j, sub and known's columns but node.
 
-    labelled is a written table (bucket, node, part), counts has at least the members n of each bucket, known (node, bands, cells).
+    labelled is a written table (bucket, node, part), counts has at least the members n of each bucket, known is by node.
     The members of a bucket's largest part are cut into blocks that meet only the blocks of the others.
     """
     parts = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
@@ -281,9 +288,17 @@ def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, thresho
     own = F.col("part") == F.col("main")
     dealt = F.pmod(F.xxhash64("node"), F.when(own, F.col("major")).otherwise(F.col("minor"))).cast("int") + F.when(own, F.col("minor")).otherwise(0)
     others = F.sequence(F.lit(0), F.col("minor") - 1 + F.when(own, 0).otherwise(F.col("major")))
-    full = members.select("bucket", "node", "part", dealt.alias("sub"), others.alias("others")).join(known.hint("merge"), "node")
-    keyed = full.select("bucket", "part", "sub", "bands", "cells", F.explode("others").alias("other"))
-    keyed = keyed.select("bucket", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "part", "bands", "cells")
+    carried = [c for c in labelled.columns if c != "node"]
+    facts = [c for c in known.columns if c != "node"]
+    full = members.select(*carried, "node", dealt.alias("sub"), others.alias("others")).join(known.hint("merge"), "node")
+    keyed = full.select(*carried, "sub", *facts, F.explode("others").alias("other"))
+    return keyed.select(*carried, F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", *facts)
+
+
+def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between the components of a bucket, for buckets that hold several; pairs stay inside a task. Arguments
+    are those of block_pairs, with known (node, bands, cells)."""
+    keyed = block_pairs(labelled, counts, known).select("bucket", "i", "j", "sub", "part", "bands", "cells")
     return keyed.groupBy("bucket", "i", "j").applyInArrow(lambda t: _links_between(t, threshold), "u long, v long").distinct()
 
 

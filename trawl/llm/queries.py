@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trawl.llm import ann, bpe, exact_dedup, filter_audit, manifest, mixing, near_dedup, pii, quality, sharding, suffix_dedup, warc
+from trawl.llm import ann, bpe, exact_dedup, filter_audit, manifest, mixing, near_dedup, ngram_join, pii, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_column_bwt": suffix_dedup.op1_column_bwt,
     "op10_raking": mixing.op10_raking,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "op2_vamana": ann.op2_vamana,
@@ -20,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_ngram_join": ngram_join.SQL,
     "op12_merkle_manifest": manifest.SQL,
     "op13_filter_audit": filter_audit.SQL,
     "op3_warc": warc.SQL,
