@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from trawl.functions import vectors as V
 from trawl.operators import blocks as K
 from trawl.operators import clustering as C
+from trawl.operators import layout as L
+from trawl.operators import lsa as A
 from trawl.registry import REGISTRY
 from trawl.schema import table
+from trawl.scratch import materialise
 
 Q = REGISTRY.query
 #: The numbers of clusters that the reference scans.
 SCAN = range(35, 45)
+#: Terms and dimensions of the reference's decomposition, and the shape of its layout.
+TERMS, DIMENSIONS = 15_000, 40
+MIN_DIST, SPREAD = 0.8, 0.99
 
 U_SQL = "WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS r FROM embeddings), u AS (SELECT id, label, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM e) "
 
@@ -78,6 +84,35 @@ def svd_variance(spark, sf):
     return spark.createDataFrame([(10, share)], "dimensions int, explained double")
 
 
+def _decomposed(spark, sf):
+    """Sparse rows of the documents' terms, and their decomposition."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows, terms = A.term_space(docs, "doc_id", "text", TERMS)
+    rows = materialise(rows, "terms")
+    return rows, A.truncated_svd(rows, terms, DIMENSIONS, docs.count())
+
+
+@Q("lsa_spectrum", "M1", None)
+def lsa_spectrum(spark, sf):
+    """The singular values of the documents' term matrix, and the share of the variance that all of them hold."""
+    _, found = _decomposed(spark, sf)
+    return spark.createDataFrame([(i, float(v), found.explained) for i, v in enumerate(found.values)], "dimension int, singular_value double, explained double")
+
+
+@Q("lsa_clusters", "M1 M2 M5 V10", None)
+def lsa_clusters(spark, sf):
+    """The chain from terms over the decomposition to clusters: one row a document with a term of the vocabulary."""
+    rows, found = _decomposed(spark, sf)
+    flat = materialise(A.projected(rows, "doc_id", found.components), "projected")
+    return C.kmeans(C.with_unit_vectors(flat, "vector"), SCAN[0]).select("doc_id", "cluster")
+
+
+@Q("umap_layout", "M4", None)
+def umap_layout(spark, sf):
+    """The flat layout of all embeddings by their fuzzy neighbour graph."""
+    return L.layout(vectors(spark, sf), "id", "embedding", min_dist=MIN_DIST, spread=SPREAD, epochs=40)
+
+
 @Q("pca_projection", "M4", None)
 def pca_projection(spark, sf):
     return C.project(C.with_unit_vectors(vectors(spark, sf))).select("id", F.get("x", 0).alias("x"), F.get("x", 1).alias("y"))
