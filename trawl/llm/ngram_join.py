@@ -8,10 +8,12 @@ up to the lesser end are known for both, and those that only one of them has cou
 only if it meets in a prefix of the first order and no order shows more differing elements than a link allows. Candidates
 are verified by their whole sets.
 
-Equal sets are one node. In each bucket (a shingle of the first order's prefixes) the members are paired with one hub, the
+Equal sets are one node. A bucket holds the nodes that have a shingle in their prefixes under the first order and whose
+sizes are of one class or the one below; buckets with the same members are one. The members are paired with one hub, the
 same for all buckets that hold it, so that groups are linked by stars. Buckets that then still hold several components are
-searched for links that no hub saw: by classes of size, the members outside the bucket's largest component meet all others
-block by block inside tasks, which return only pairs of different components that pass the filters of all orders.
+searched for links that no hub saw: the members outside the bucket's largest component meet all others block by block
+inside tasks, which return only pairs of different components that pass the filters of all orders. The prefixes of the
+other orders are made for the members of buckets only.
 
 Shingles are known by 64-bit hashes. Defined cases: a text of fewer words than a shingle has is one shingle; a text without
 words (null too) has an empty set, links with nothing and is its own component; rows whose id is null are linked as all
@@ -35,8 +37,8 @@ from trawl.llm.shared import bounded_batches, documents, mix64, salted_join, sli
 from trawl.scratch import Scratch, materialise
 
 WORDS, PERCENT = 3, 90
-#: Counters of the sketch: at most this many rows and bytes reach the driver.
-SLOTS = 1 << 20
+#: Counters of the sketch: at most this many rows reach the driver.
+SLOTS = 1 << 18
 ORDERS = ("rare", "second", "third")
 _SEEDS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -93,8 +95,9 @@ def ranks(elements: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
     return [first, *(mix64(elements ^ seed) for seed in _SEEDS)]
 
 
-def _prefixed(levels, words: int, percent: int):
-    """doc_id, mark, text -> the size of the set, a digest of it and its prefixes, each ascending."""
+def _prefixed(levels, words: int, percent: int, orders: int, named: bool):
+    """The first two columns, text -> the same columns, the digest of the set (where named), its size and its prefixes under
+    the first orders, each ascending."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
@@ -105,15 +108,16 @@ def _prefixed(levels, words: int, percent: int):
                     n = np.diff(bounds)
                     owner, p = np.repeat(np.arange(to - at), n), prefix_sizes(n, percent)
                     digests = np.zeros((to - at, 2), np.uint64)
-                    for j in range(2):
+                    for j in range(2 * named):
                         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(elements * np.uint64(2 * j + 1) + np.uint64(j + 1)), dtype=np.uint64)])
                         digests[:, j] = mix64(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64))
                     lists = []
-                    for rank in ranks(elements, level):
+                    for rank in ranks(elements, level)[:orders]:
                         order = np.lexsort((rank, owner))
                         kept = np.arange(len(order)) - bounds[owner] < p[owner]
                         lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(rank[order][kept].view(np.int64))))
-                    yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(n), *lists], ["doc_id", "mark", "digest", "size", *ORDERS])
+                    digest = [pa.array([d.tobytes() for d in digests], pa.binary())] if named else []
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), *digest, pa.array(n), *lists], [*batch.schema.names[:2], *["digest"] * named, "size", *ORDERS[:orders]])
 
     return work
 
@@ -122,7 +126,7 @@ def _set_rows(words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with trimmed():
             for batch in batches:
-                for at, to, data, offsets in slices(batch.column(1)):
+                for at, to, data, offsets in slices(batch.column(2)):
                     elements, bounds = sets(data, offsets, words)
                     own = [elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(own, pa.binary())], ["node", "cells"])
@@ -201,39 +205,60 @@ def block_candidates(size: np.ndarray, prefixes: list[list[np.ndarray]], left: n
     return fine
 
 
-def _candidates_between(table: pa.Table, percent: int) -> pa.Table:
-    """(u, v): candidates of different parts within a block pair, each in the bucket of its first common shingle and larger class."""
-    us, vs = [], []
-    if table.num_rows:
-        i, j, kind = (table[c][0].as_py() for c in ("i", "j", "kind"))
-        shingle = np.int64(table["shingle"][0].as_py()).view(np.uint64)
-        sub, part, size, own, member = (np.asarray(table[c].combine_chunks()) for c in ("sub", "part", "size", "own_kind", "member"))
-        prefixes = [_lists(table[c]) for c in ORDERS]
-        left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
-        if len(left) and len(right):
-            fine = (part[left][:, None] != part[right][None, :]) & (np.maximum.outer(own[left], own[right]) == kind)
-            fine &= block_candidates(size, prefixes, left, right, percent)
-            for x, y in zip(*np.nonzero(fine), strict=True):
-                m, n = left[x], right[y]
-                if (i != j or m < n) and np.intersect1d(prefixes[0][m], prefixes[0][n])[0] == shingle:
-                    us.append(min(member[m], member[n]))
-                    vs.append(max(member[m], member[n]))
-    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-
-def candidates_left(labelled: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(u, v): candidates between different parts of a bucket; labelled is a written table (shingle, node, part) without hubs."""
-    spread = labelled.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    spread = scratch.write(spread.select("shingle", "n"), "spread")
-    members = salted_join(labelled, spread.select("shingle"), "shingle", counts=spread)
-    # sizes of linked sets lie in one class or in two that follow each other, so each member is in its own and the next
-    kind = F.floor(F.log(F.col("size")) / math.log(100 / percent) * 0.999).cast("int")
-    facts = nodes.select("node", F.col("node").alias("member"), "size", kind.alias("own_kind"), *ORDERS)
-    classed = members.join(facts.select("node", "own_kind").hint("merge"), "node").select("shingle", "node", "part", F.explode(F.array("own_kind", F.col("own_kind") + 1)).alias("kind"))
-    classed = scratch.write(classed.withColumn("bucket", F.xxhash64("shingle", "kind")), "classed")
-    counts = classed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    keyed = block_pairs(classed, counts, facts)
-    return keyed.groupBy("bucket", "shingle", "kind", "i", "j").applyInArrow(lambda t: _candidates_between(t, percent), "u long, v long").distinct()
+def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[list[int], list[int]]:
+    """Candidates of different parts within a block pair."""
+    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+    sub, part, size, member = (np.asarray(group.column(c)) for c in ("sub", "part", "size", "member"))
+    left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
+    if not len(left) or not len(right):
+        return [], []
+    fine = part[left][:, None] != part[right][None, :]
+    if i == j:
+        fine &= left[:, None] < right[None, :]
+    a, b = size[left][:, None], size[right][None, :]
+    if not (fine & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))).any():
+        return [], []
+    x, y = np.nonzero(fine & block_candidates(size, [_lists(group.column(c)) for c in ORDERS], left, right, percent))
+    m, n = member[left[x]], member[right[y]]
+    return np.minimum(m, n).tolist(), np.maximum(m, n).tolist()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key out of batches that are sorted by keys, which are integers."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([np.asarray(batch.column(k), np.int64) for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(own[a])
+            if held and key != last:
+                yield whole()
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def candidates_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(u, v): candidates between different parts of a bucket; labelled is a written table (bucket, node, part) without hubs."""
+    keys = ("bucket", "i", "j")
+    keyed = block_pairs(labelled, counts, known.withColumn("member", F.col("node")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            us, vs = _candidates_between(group, percent)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long").distinct()
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -243,37 +268,50 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
     text = F.coalesce(F.col(text_column), F.lit(""))
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     levels = spark.sparkContext.broadcast(rarity(texts, words).tobytes())
-    lists = ", ".join(f"{c} array<long>" for c in ORDERS)
-    rows = materialise(texts.mapInArrow(_prefixed(levels, words, percent), f"doc_id long, mark long, digest binary, size long, {lists}"), "prefixes")
+    lists = [f"{c} array<long>" for c in ORDERS]
+    rows = materialise(texts.mapInArrow(_prefixed(levels, words, percent, 1, True), f"doc_id long, mark long, digest binary, size long, {lists[0]}"), "prefixes")
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
 
     with Scratch(spark) as scratch:
-        nodes = rows.filter("size > 0").groupBy("digest").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", *ORDERS)])
+        nodes = rows.filter("size > 0").groupBy("digest").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", ORDERS[0])])
         # numbers of the nodes, fixed as the table is written
         nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        repeated = not rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
-        def whole(pairs: DataFrame) -> DataFrame:
-            """(node, cells): the sets of the nodes of pairs (u, v)."""
-            wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-            wanted = scratch.write(nodes.select("node", "least").join(wanted.hint("merge"), "node", "left_semi").select("node", "least.doc_id", "least.mark"), "wanted")
-            same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"])
-            own = texts.join(wanted, same).select("node", "text").mapInArrow(_set_rows(words), "node long, cells binary")
-            # rows that repeat id and text give a node its set more than once
-            return scratch.write(own, "sets") if not repeated else scratch.write(own.groupBy("node").agg(F.first("cells").alias("cells")), "sets")
+        def read(wanted: DataFrame, work, columns: str) -> DataFrame:
+            """What work makes of (node, mark, text) of the nodes of wanted, a row a node."""
+            wanted = scratch.write(nodes.select("node", "least").join(wanted.distinct().hint("merge"), "node", "left_semi").select("node", "least.doc_id", "least.mark"), "wanted")
+            own = texts.join(wanted.withColumnRenamed("doc_id", "own_id").withColumnRenamed("mark", "own_mark"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
+            made = own.select("node", "mark", "text").mapInArrow(work, columns)
+            if repeated:  # rows that repeat id and text give a node more than once
+                made = made.groupBy("node").agg(*[F.first(c).alias(c) for c in made.columns if c != "node"])
+            return scratch.write(made, "read")
 
         def verified(pairs: DataFrame) -> DataFrame:
-            return scratch.write(compare(pairs, whole(pairs)).filter(F.col("similarity") >= percent / 100).select("u", "v"), "links")
-
-        repeated = not rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-        buckets = nodes.select(F.explode(ORDERS[0]).alias("shingle"), "node")
-        turn = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
-        hubs = scratch.write(buckets.groupBy("shingle").agg(F.min(turn).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle", F.col("hub.node").alias("hub"), "n"), "hubs")
-        placed = scratch.write(salted_join(buckets, hubs.drop("n"), "shingle", counts=hubs.select("shingle", "n")).filter("node <> hub"), "buckets")
-        stars = scratch.write(placed.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
-        links = verified(scratch.write(likely(stars, nodes, percent), "candidates"))
-        found = components(links)
-        labelled = placed.join(found.hint("merge"), "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("part"))
-        more = scratch.write(candidates_left(scratch.write(labelled, "labelled"), nodes, percent, scratch), "candidates")
+            both = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+            cells = read(both, _set_rows(words), "node long, cells binary")
+            return scratch.write(compare(pairs, cells).filter(F.col("similarity") >= percent / 100).select("u", "v"), "links")
+
+        buckets = nodes.select(F.explode(ORDERS[0]).alias("shingle"), "node", "size")
+        shared = scratch.write(buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+        # sizes of linked sets lie in one class or in two that follow each other, so each member is in its own and the next
+        kind = F.floor(F.log(F.col("size")) / math.log(100 / percent) * 0.999).cast("int")
+        placed = salted_join(buckets, shared.select("shingle"), "shingle", counts=shared)
+        placed = placed.select("shingle", "node", "size", kind.alias("kind")).select(F.explode(F.array(F.xxhash64("shingle", "kind"), F.xxhash64("shingle", F.col("kind") + 1))).alias("bucket"), "node", "size")
+        placed = scratch.write(placed, "placed")
+        turn = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("size").alias("size"))
+        hubs = placed.groupBy("bucket").agg(F.min(turn).alias("hub"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).filter("n > 1")
+        hubs = hubs.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.first("hub").alias("hub"))
+        hubs = scratch.write(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), "n"), "hubs")
+        counts = hubs.select("bucket", "n")
+        members = scratch.write(salted_join(placed, hubs.drop("n"), "bucket", counts=counts).filter("node <> hub"), "members")
+        fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+        stars = scratch.write(members.filter(fits).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
+        in_buckets = members.select("node").unionByName(hubs.select(F.col("hub").alias("node")))
+        known = read(in_buckets, _prefixed(levels, words, percent, len(ORDERS), False), f"node long, mark long, size long, {', '.join(lists)}").drop("mark")
+        found = components(verified(scratch.write(likely(stars, known, percent), "candidates")))
+        labelled = members.join(found.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        more = scratch.write(candidates_left(scratch.write(labelled, "labelled"), counts, known, percent), "candidates")
         if not more.isEmpty():
             found = components(verified(more).unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         parts = nodes.select("digest", "n", "node", "least").join(found.hint("merge"), "node", "left").select("digest", "n", "least", F.coalesce("component", "node").alias("part"))
