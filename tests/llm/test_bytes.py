@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import os
 import random
 import uuid
 import zlib
@@ -229,8 +230,8 @@ def test_warc_empty(spark, tmp_path):
 # exact dedup
 
 
-def test_exact_dedup_edges(spark, make, edges):
-    index = exact_dedup.DigestIndex(spark, f"index_{uuid.uuid4().hex}", 4)
+def test_exact_dedup_edges(spark, make, edges, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
     got = exact_dedup.dedup(make(edges), index).collect()
     assert len(got) == len(edges)
     keep = {}
@@ -245,30 +246,90 @@ def test_exact_dedup_edges(spark, make, edges):
     index.drop()
 
 
-def test_exact_dedup_persists(spark, make):
-    name = f"index_{uuid.uuid4().hex}"
-    index = exact_dedup.DigestIndex(spark, name, 4)
+def test_exact_dedup_persists(spark, make, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
     exact_dedup.dedup(make([(5, "a b"), (6, "c")]), index)
-    again = exact_dedup.dedup(make([(1, "a  b"), (2, "d"), (3, "d")]), exact_dedup.DigestIndex(spark, name, 4))
+    again = exact_dedup.dedup(make([(1, "a  b"), (2, "d"), (3, "d")]), exact_dedup.DigestIndex(spark, path, 4))
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.collect()} == {1: (5, False), 2: (2, True), 3: (2, False)}
     exact_dedup.dedup(make([(1, "a  b"), (2, "d")]), index)
     assert index.rows().count() == 3
     assert exact_dedup.dedup(make([]), index).count() == 0
     index.drop()
+    assert not (tmp_path / "index").exists()
 
 
-def test_exact_dedup_index_is_compacted(spark, make, monkeypatch):
+IN_A_NEW_PROCESS = """
+import sys
+from trawl.llm import exact_dedup
+from trawl.session import build_session
+spark = build_session("again", cores=2, shuffle_partitions=2, memory="1g")
+docs = spark.createDataFrame([(1, "a  b"), (9, "new")], "doc_id long, text string")
+index = exact_dedup.DigestIndex(spark, sys.argv[1], 7)
+found = exact_dedup.dedup(docs, index).collect()
+print("FOUND", index.buckets, *sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in found))
+"""
+
+
+def test_exact_dedup_index_opens_in_a_new_process(spark, make, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    exact_dedup.dedup(make([(5, "a b"), (6, "c")]), index)
+    said = subprocess.run([sys.executable, "-c", IN_A_NEW_PROCESS, path], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2])}, capture_output=True, text=True, timeout=300, check=False)
+    assert "FOUND 4 (1, 5, False) (9, 9, True)" in said.stdout, said.stderr[-2000:]
+    spark.catalog.refreshTable(index._table(index.generation, 4))
+    assert {r["keep_id"] for r in index.rows().collect()} == {5, 6, 9}
+    index.drop()
+
+
+def test_exact_dedup_index_is_compacted(spark, make, monkeypatch, tmp_path):
     monkeypatch.setattr(exact_dedup, "COMPACT_AFTER", 3)
-    name = f"index_{uuid.uuid4().hex}"
-    index = exact_dedup.DigestIndex(spark, name, 2)
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 2)
+    first = index.generation
     for k in range(7):
         exact_dedup.dedup(make([(10 * k, f"text {k}"), (10 * k + 1, "common"), (10 * k + 2, f"text {k - 1}")]), index)
     assert {r["keep_id"] for r in index.rows().collect()} == {0, 1, 2, 10, 20, 30, 40, 50, 60}
-    assert len(spark.table(name).inputFiles()) <= 2 * 2
+    assert index.generation != first and not (tmp_path / "index" / first).exists()
+    assert len(index.known().inputFiles()) <= 2 * 2
     plan = index.rows()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     index.drop()
-    assert not spark.catalog.tableExists(name)
+
+
+@pytest.mark.parametrize("step", ["_write", "_point", "_make", "remove"])
+def test_exact_dedup_index_survives_a_crash(spark, make, monkeypatch, tmp_path, step):
+    """A compaction that dies at any step leaves all digests, to this session and the next."""
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 2)
+    exact_dedup.dedup(make([(1, "a"), (2, "b")]), index)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    def half(self, name, content):
+        self._files.create(self._paths(f"{self.path}/{name}"), False).close()
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        if step == "remove":
+            m.setattr(exact_dedup, "remove", die)
+        else:
+            m.setattr(exact_dedup.DigestIndex, step, half if step == "_make" else die)
+        with pytest.raises(RuntimeError):
+            index.compact()
+    for opened in (index, exact_dedup.DigestIndex(spark, path)):
+        assert {r["keep_id"] for r in opened.rows().collect()} == {1, 2}
+    again = exact_dedup.DigestIndex(spark, path)
+    got = exact_dedup.dedup(make([(7, "a"), (8, "c")]), again).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in got} == {7: 1, 8: 8}
+    again.compact()
+    assert {r["keep_id"] for r in again.rows().collect()} == {1, 2, 8}
+    assert [x.name for x in (tmp_path / "index").glob("generation-*")] == [again.generation]
+    again.drop()
 
 
 # shards

@@ -2,7 +2,9 @@
 
 A batch of documents is reduced to one row per digest (pre-aggregated before its only exchange), anti-joined by sort-merge
 with the index, and the new digests are appended to it. Running a batch again adds nothing, so a job that died half-way
-can be repeated. Only digests and ids are shuffled, never texts.
+can be repeated. Only digests and ids are shuffled, never texts. The index lives at a path that all executors share and is
+opened from there by any session; which of its generations counts is said by a pointer that is written last, so a
+compaction that dies at any step leaves the old or the new one whole.
 
 Defined cases: a null text counts as the empty text; of equal texts the row with the smallest doc_id stays; rows that
 repeat one doc_id and text share its fate, as do rows whose doc_id is null where no other id exists (keep_id is null then
@@ -20,11 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.shared import documents, first_rows, salted_join
-from trawl.scratch import Scratch, materialise
+from trawl.scratch import Scratch, fresh_path, materialise, remove
 
 #: Appends after which the index is rewritten.
 COMPACT_AFTER = 16
-APPENDS = "trawl.appends"
 INDEX_SCHEMA = "digest binary, keep_id long, batch long"
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -35,57 +36,116 @@ def normalised_digest(text) -> F.Column:
 
 
 class DigestIndex:
-    """The table (digest binary, keep_id long, batch long), bucketed and sorted by digest, in the session's warehouse.
+    """Rows (digest binary, keep_id long, batch long), bucketed and sorted by digest, below a path.
 
-    Batches are numbered by appends; where two jobs that ran at once both appended a digest, `rows` takes the earlier batch,
-    then the smaller id. After COMPACT_AFTER appends the table is rewritten with one sorted file a bucket; nothing else may
-    use the index meanwhile.
-    """
-
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None) -> None:
-        self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(table):
-            self._append(spark.createDataFrame([], INDEX_SCHEMA))
-
-    def _append(self, rows: DataFrame) -> None:
-        self._write(rows, self.table, "append")
-
-    def _write(self, rows: DataFrame, table: str, mode: str) -> None:
-        dealt = rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest")
-        dealt.write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
+    The path holds generations, folders of bucketed files that appends add to, and pointers `_current-<number>` that are
+    made once and never changed: the highest one that is whole names the generation that counts and its buckets. A session
+    reads a generation as an external table, which it declares anew where its catalog does not know it.
 
-    def _appends(self) -> int:
-        found = self.spark.sql(f"SHOW TBLPROPERTIES {self.table}").filter(f"key = '{APPENDS}'").first()
-        return int(found["value"]) if found else 0
+    An append takes the next number of its generation first. If it dies half-way, the rows that it left are right by
+    themselves, and running the batch again keeps what it kept. Where two jobs that ran at once both appended a digest,
+    `rows` takes the earlier batch, then the smaller id. After COMPACT_AFTER appends a new generation is written with one
+    sorted file a bucket; nothing else may add to the index meanwhile. Generations that no pointer names any more, those of
+    broken compactions too, are removed by the next compaction.
+    """
 
-    def _count(self, appends: int) -> None:
-        self.spark.sql(f"ALTER TABLE {self.table} SET TBLPROPERTIES ('{APPENDS}' = '{appends}')")
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._paths = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._paths(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._current() is None:
+            self._commit(0, spark.createDataFrame([], INDEX_SCHEMA), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _, self.generation, self.buckets = self._current()
+
+    # files
+
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        at = self._paths(folder)
+        found = self._files.listStatus(at) if self._files.exists(at) else ()
+        return sorted(n for n in (f.getPath().getName() for f in found) if n.startswith(prefix))
+
+    def _make(self, name: str, content: str) -> None:
+        """A file that was not there, else an error."""
+        out = self._files.create(self._paths(f"{self.path}/{name}"), False)
+        out.write(bytearray(content.encode()))
+        out.close()
+
+    def _current(self) -> tuple[int, str, int] | None:
+        """(number, generation, buckets) of the highest pointer that is whole."""
+        for name in reversed(self._names(self.path, "_current-")):
+            stream = self._files.open(self._paths(f"{self.path}/{name}"))
+            said = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if said.endswith("\n"):
+                generation, buckets = said.split()
+                return int(name.rpartition("-")[2]), generation, int(buckets)
+        return None
+
+    def _pointers(self) -> int:
+        return max((int(n.rpartition("-")[2]) for n in self._names(self.path, "_current-")), default=0)
+
+    # tables
+
+    def _table(self, generation: str, buckets: int) -> str:
+        """The name of a generation's table in this session's catalog."""
+        folder = f"{self.path}/{generation}"
+        table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}"
+        if not self.spark.catalog.tableExists(table) and self._files.exists(self._paths(folder)):
+            self.spark.sql(f"CREATE TABLE {table} ({INDEX_SCHEMA.replace(' long', ' bigint')}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'")
+        return table
+
+    def _write(self, rows: DataFrame, generation: str, buckets: int) -> None:
+        table = self._table(generation, buckets)
+        dealt = rows.select("digest", "keep_id", "batch").repartition(buckets, "digest")
+        dealt.write.mode("append").format("parquet").bucketBy(buckets, "digest").sortBy("digest").option("path", f"{self.path}/{generation}").saveAsTable(table)
+
+    def _commit(self, number: int, rows: DataFrame, buckets: int) -> None:
+        """Write rows as a new generation, then the pointer after number."""
+        generation = f"generation-{uuid.uuid4().hex}"
+        self._write(rows, generation, buckets)
+        self._point(number + 1, generation, buckets)
+
+    def _point(self, number: int, generation: str, buckets: int) -> None:
+        self._make(f"_current-{number:010d}", f"{generation} {buckets}\n")
+
+    # rows
+
+    def known(self) -> DataFrame:
+        return self.spark.table(self._table(self.generation, self.buckets))
 
     def rows(self) -> DataFrame:
         """(digest, keep_id), one row a digest; buckets are read in place, without an exchange."""
         first = F.min(F.struct("batch", "keep_id"))
-        return self.spark.table(self.table).groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.keep_id").alias("keep_id"))
+        return self.known().groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.keep_id").alias("keep_id"))
 
     def add(self, groups: DataFrame) -> None:
         """Append the digests of groups (digest, keep_id) that the index does not hold yet."""
-        known, appends = self.spark.table(self.table), self._appends()
-        batch = F.lit(appends).cast("long").alias("batch")
-        self._append(groups.hint("merge").join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id", batch))
-        self._count(appends + 1)
-        if (appends + 1) % COMPACT_AFTER == 0:
+        appends = self._appends()
+        number = appends + 1
+        # a number is taken by a file; rows of a compaction have number 0
+        self._make(f"{self.generation}/_append-{number:010d}", "")
+        batch = F.lit(number).cast("long").alias("batch")
+        self._write(groups.hint("merge").join(self.known().hint("merge"), "digest", "left_anti").select("digest", "keep_id", batch), self.generation, self.buckets)
+        if number >= COMPACT_AFTER:
             self.compact()
 
+    def _appends(self) -> int:
+        return max((int(n.rpartition("-")[2]) for n in self._names(f"{self.path}/{self.generation}", "_append-")), default=0)
+
     def compact(self) -> None:
-        """Rewrite the table with one sorted file a bucket, under a new name that then takes the old one's place."""
-        appends, fresh = self._appends(), f"{self.table}_{uuid.uuid4().hex}"
-        self._write(self.rows().withColumn("batch", F.lit(0).cast("long")), fresh, "error")
-        self.drop()
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.table}")
-        self._count(appends)
+        """Write a new generation with one sorted file a bucket, point to it, and remove all others."""
+        self._commit(self._pointers(), self.rows().withColumn("batch", F.lit(0).cast("long")), self.buckets)
+        _, self.generation, _ = self._current()
+        for name in self._names(self.path, "generation-"):
+            if name != self.generation:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name, self.buckets)}")
+                remove(self.spark, f"{self.path}/{name}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        """Remove the index and its files."""
+        for name in self._names(self.path, "generation-"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name, self.buckets)}")
+        remove(self.spark, self.path)
 
 
 def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -130,7 +190,7 @@ def unique_rows(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id",
 
 def _own_index(spark: SparkSession, work: Callable[[DigestIndex], DataFrame]) -> DataFrame:
     """The result of work with an index of its own that starts empty and goes again."""
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    index = DigestIndex(spark, fresh_path(spark, "digest-index"))
     try:
         return work(index)
     finally:
