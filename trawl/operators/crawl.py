@@ -46,6 +46,49 @@ def delay_schedule(requests: DataFrame, domain: str, order: str, delay: str, buc
     return joined.withColumn("start", F.col("_before") + F.col("_in")).select(*requests.columns, "start")
 
 
+def slot_schedule(requests: DataFrame, domain: str, arrival: str, order: str, delay: str, bucket: Column) -> DataFrame:
+    """requests with `start`, the slot of each: the later of its arrival and its domain's next free time, which then moves to
+    start + delay. arrival and delay are whole numbers of one unit; requests are served in order of arrival, then `order`.
+
+    With D the delays summed up before a request, start = D + max over all requests up to it of (arrival - D): a prefix scan
+    in (max, +). bucket does not fall as arrival rises; a domain is scanned bucket by bucket in as many tasks as it has
+    buckets, and only one row a bucket (its sum and its maximum) goes through the scan over buckets.
+    """
+    with Scratch(requests.sparkSession) as scratch:
+        rows = requests.withColumn("_b", bucket)
+        inside = W.partitionBy(domain, "_b").orderBy(arrival, order)
+        before = F.coalesce(F.sum(delay).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+        ahead = rows.withColumn("_d", before).withColumn("_m", F.max(F.col(arrival) - F.col("_d")).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        ahead = scratch.write(ahead, "slots")
+        sums = ahead.groupBy(F.col(domain).alias("_k"), F.col("_b").alias("_n")).agg(F.sum(delay).alias("_s"), F.max("_m").alias("_top"))
+        over = W.partitionBy("_k").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
+        placed = sums.withColumn("_before", F.coalesce(F.sum("_s").over(over), F.lit(0)).cast("long"))
+        placed = placed.select("_k", "_n", "_before", F.max(F.col("_top") - F.col("_before")).over(over).alias("_most"))
+        joined = ahead.join(placed, F.col(domain).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_n")))
+        start = F.col("_before") + F.col("_d") + F.greatest(F.col("_most"), F.col("_m") - F.col("_before"))
+        return materialise(joined.withColumn("start", start).select(*requests.columns, "start"), "slots")
+
+
+def within_budget(pages: DataFrame, order: list[str], budget: int, bucket: Column) -> DataFrame:
+    """pages with `number` (from 1, in order of completion), those that a crawl with this budget completes: a worker looks at
+    the count only after a page, so each of them may complete one more, as many above the budget as there are workers at most.
+
+    Pages have a `worker` from 0. The count rises with each page until it is the budget; from then on a worker's next page is
+    its last, and is not counted. bucket does not fall in this order, so that numbering is spread over tasks.
+    """
+    with Scratch(pages.sparkSession) as scratch:
+        inside = W.partitionBy("_b").orderBy(*order)
+        rows = scratch.write(pages.withColumn("_b", bucket).withColumn("_i", F.row_number().over(inside)), "pages")
+        sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+        starts = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_start"))
+        numbered = rows.join(starts, "_b").withColumn("number", F.col("_start") + F.col("_i"))
+        over = numbered.filter(F.col("number") > budget)
+        # workers are a set number, so this has as many rows
+        last = over.groupBy("worker").agg(F.min("number").alias("_last"))
+        done = numbered.join(F.broadcast(last), "worker", "left").filter((F.col("number") <= budget) | (F.col("number") == F.col("_last")))
+        return materialise(done.select(*pages.columns, "number"), "crawled")
+
+
 def rules(text: str) -> RobotFileParser:
     out = RobotFileParser()
     out.parse(text.splitlines())

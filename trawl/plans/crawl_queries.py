@@ -16,6 +16,7 @@ from trawl.registry import REGISTRY
 from trawl.schema import surrogate, table
 from trawl.scratch import fresh_path, hand_out, materialise
 from trawl.streaming import frontier as S
+from trawl.streaming import workers as WK
 
 Q = REGISTRY.query
 
@@ -37,6 +38,68 @@ def crawl_delay_schedule(spark, sf):
     return C.delay_schedule(rows, "event_type", "event_id", "delay", F.floor(F.col("event_id") / 4096)).select("event_id", "start")
 
 
+#: A site's delay in microseconds, by its name; the sites are the event types, whose events come in real time.
+DELAY_SQL = "(100000000 * length(event_type))"
+SLOTS_SQL = f"""
+r AS (SELECT event_id, event_type AS site, event_type || '/' || CAST(user_id AS VARCHAR) AS url, epoch_us(ts) AS arrival, {DELAY_SQL} AS delay, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT event_id, site, i, arrival, arrival AS start, arrival + delay AS free FROM r WHERE i = 1
+      UNION ALL SELECT r.event_id, r.site, r.i, r.arrival, greatest(r.arrival, s.free), greatest(r.arrival, s.free) + r.delay FROM s JOIN r ON r.site = s.site AND r.i = s.i + 1)
+"""
+
+
+def requests(spark, sf):
+    """(event_id, site, url, arrival, delay) of each event, times in microseconds."""
+    return table(spark, sf, "events").select("event_id", F.col("event_type").alias("site"), F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("url"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"), (F.length("event_type") * 100_000_000).cast("long").alias("delay"))
+
+
+@Q("crawl_slots", "C3", f"WITH RECURSIVE {SLOTS_SQL} SELECT event_id, site, start AS start_us, start - arrival AS wait_us FROM s")
+def crawl_slots(spark, sf):
+    """The slot that each request reserves: not before it comes, and a delay after the one before it on its site."""
+    day = F.floor(F.col("arrival") / 86_400_000_000)
+    rows = C.slot_schedule(requests(spark, sf), "site", "arrival", "event_id", "delay", day)
+    return rows.select("event_id", "site", F.col("start").alias("start_us"), (F.col("start") - F.col("arrival")).alias("wait_us"))
+
+
+#: Microseconds without an entry after which a site's worker ends: the reference waits three seconds, the events come slower.
+IDLE = 2 * 3_600_000_000
+
+
+@Q("worker_stream", "C1 C3 W7", f"""
+WITH RECURSIVE {SLOTS_SQL},
+v AS (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY arrival, event_id) - 1 AS version, arrival - lag(arrival) OVER (PARTITION BY site ORDER BY i) > {IDLE} AS fresh,
+        lead(arrival) OVER (PARTITION BY site ORDER BY i) AS later FROM r),
+n AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY site ORDER BY i) AS worker FROM v)
+SELECT 'entry' AS kind, n.site, n.event_id, url, version, worker, s.start AS at_us FROM n JOIN s ON s.event_id = n.event_id
+UNION ALL
+SELECT 'ended', site, NULL, NULL, NULL, worker, arrival + {IDLE} FROM n WHERE coalesce(later - arrival > {IDLE}, (arrival + {IDLE}) // 1000 + 1 <= (SELECT max(epoch_ms(ts)) FROM events))
+""")
+def worker_stream(spark, sf):
+    """Entries of each site in the order that they come, in four micro-batches or more, with their versions, slots and workers."""
+    root = hand_out(spark, fresh_path(spark, "workers"))
+    WK.write_in_order(requests(spark, sf), f"{root}/source", "arrival", 4)
+    return WK.run(spark, f"{root}/source", f"{root}/table", f"{root}/checkpoint", IDLE)
+
+
+#: The budget of pages and the workers of the reference's settings.
+BUDGET, WORKERS = 150, 4
+
+
+@Q("crawl_budget", "C2", f"""
+WITH RECURSIVE p AS (SELECT event_id, user_id % {WORKERS} AS worker, row_number() OVER (ORDER BY ts, event_id) AS number FROM events),
+w AS (SELECT event_id, worker, number, CAST(0 AS BIGINT) AS counted, CAST([] AS BIGINT[]) AS ended, false AS done FROM p WHERE false
+      UNION ALL SELECT NULL, NULL, 0, 0, [], false WHERE (SELECT count(*) FROM p) > 0
+      UNION ALL SELECT p.event_id, p.worker, p.number, CASE WHEN w.counted >= {BUDGET} THEN w.counted ELSE w.counted + 1 END,
+             CASE WHEN w.counted >= {BUDGET} AND NOT list_contains(w.ended, p.worker) THEN list_append(w.ended, p.worker) ELSE w.ended END, NOT list_contains(w.ended, p.worker)
+      FROM w JOIN p ON p.number = w.number + 1 WHERE len(w.ended) < {WORKERS})
+SELECT event_id, worker, number FROM w WHERE done
+""")
+def crawl_budget(spark, sf):
+    """Pages by the time that they are done, dealt to workers by user: those that a crawl with a budget completes."""
+    pages = table(spark, sf, "events").select("event_id", (F.col("user_id") % WORKERS).alias("worker"), "ts")
+    done = C.within_budget(pages, ["ts", "event_id"], BUDGET, F.to_date("ts"))
+    return done.select("event_id", "worker", "number")
+
+
 QUESTION = "the para nicht and for une the"
 MODEL = M.HashedEmbedder(64)
 #: The embedder in SQL: signed counts of words by the first eight hex digits of their digest.
