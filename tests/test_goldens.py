@@ -254,6 +254,29 @@ def test_merged_links_of_a_page(spark):
     assert got["https://e.com/spored/x"]["containers"] == ["spored"] and got["https://e.com/k"]["keywords"] == ["one"]
 
 
+def test_boxes_replace_containers():
+    """Each rule of the boxes, on a page whose addresses are canonical and on one whose are not."""
+    page = """<a onclick="location.href='/a/x.html'"><p class="summary">late</p></a><ul class="menu__items"><li><b><a href="/a/x.html"><p class="summary">early</p></a></b></li></ul>
+    <div id="related-articles"><a href="/a/x.html">1</a><a href="/a/y.html">2</a><a href="/a/z.html?utm=1">3</a></div><a class="read-more" href="/a/y.html">more</a><a class="read-more">none</a>
+    <div id="proad"><a href="/vsebine/oglasevanje">ads</a><a href="https://e.com/spored/q">q</a></div>"""
+
+    def merged(base):
+        out = {}
+        for a in html.anchors(page, base):
+            own = out.setdefault(a["url"], (a["summary"], []))
+            own[1].extend(a["containers"])
+        return out
+
+    assert merged("https://e.com/p") == {
+        "https://e.com/a/x.html": ("early", ["related-articles"]), "https://e.com/a/y.html": (None, ["read-more"]), "https://e.com/a/z.html": (None, []),
+        "https://e.com/vsebine/oglasevanje": (None, []), "https://e.com/spored/q": (None, ["proad"]),
+    }
+    # joined addresses of this page are not canonical, so only the absolute one is found
+    assert {k: v[1] for k, v in merged("https://www.e.com/p").items()} == {
+        "https://e.com/a/x.html": ["menu"], "https://e.com/a/y.html": [], "https://e.com/a/z.html": [], "https://e.com/vsebine/oglasevanje": [], "https://e.com/spored/q": ["proad"],
+    }
+
+
 def test_upserts_over_several_batches(spark, tmp_path):
     """A source of five files, one a micro-batch, folded every second batch; counts of changed windows likewise."""
     for k in range(5):

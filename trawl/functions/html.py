@@ -159,34 +159,51 @@ def page_object(html: str | None, url: str) -> dict:
     }
 
 
+#: Fixed value: a link of the advertisement box that does not count as one of it.
+NOT_AN_ADVERT = "/vsebine/oglasevanje"
+
+
 def anchors(html: str | None, url: str) -> list[dict]:
-    """Every anchor with its metadata: summary, label, page keywords and the containers that it stands in."""
+    """Every link with its metadata: all hrefs of the page in order, then all links of onclick code.
+
+    containers are the places that the link itself stands in. Where a box (related articles, then read-more links, then
+    advertisements, of which the last counts) has a link whose joined address is that of the canonical key, the box
+    replaces the containers of all links of that key; it then stands with the first of them.
+    """
     root = parse(html, close_paragraphs=False)
     box = root.by_id("article-keywords")
     keywords = [a.text().rstrip() for a in box.find_all("a")] if box is not None else []
-    marked: dict[int, str] = {}
-    for name, found in (("related-articles", root.by_id("related-articles")), ("proad", root.by_id("proad"))):
-        for a in found.find_all("a") if found is not None else []:
-            marked[id(a)] = name
-    out = []
-    for a in root.find_all("a"):
-        targets = ([a.attributes["href"]] if a.attributes.get("href") else []) + onclick_targets(a.attributes.get("onclick"))
+    links = root.find_all("a")
+    targets = [(a, a.attributes["href"] or "") for a in links if "href" in a.attributes]
+    targets += [(a, t) for a in links for t in onclick_targets(a.attributes.get("onclick"))]
+    out, first = [], {}
+    for a, t in targets:
+        key = canonical_url(urljoin(url, t))
         summary = a.find("p", "span", where=lambda e: "summary" in e.classes)
         label = a.find("span", where=lambda e: "label" in e.classes)
         two = a.parent.parent if a.parent is not None else None
         three = two.parent if two is not None else None
-        for t in targets:
-            key = canonical_url(urljoin(url, t))
-            first = urlsplit(key).path.split("/")[1:2]
-            containers = [c for c in ("kljucna-beseda", "spored") if first == [c]]
-            if three is not None and "menu__items" in three.classes:
-                containers.append("menu")
-            elif three is not None and "submenu" in three.classes:
-                containers.append("submenu")
-            if two is not None and two.attributes.get("id") == "footer-bottom":
-                containers.append("footer")
-            special = marked.get(id(a)) or ("read-more" if "read-more" in a.classes else None)
-            out.append({"url": key, "summary": summary.text() if summary is not None else None, "label": label.text() if label is not None else None, "keywords": keywords, "containers": [special] if special else containers})
+        section = urlsplit(key).path.split("/")[1:2]
+        containers = [c for c in ("kljucna-beseda", "spored") if section == [c]]
+        if three is not None and "menu__items" in three.classes:
+            containers.append("menu")
+        elif three is not None and "submenu" in three.classes:
+            containers.append("submenu")
+        if two is not None and two.attributes.get("id") == "footer-bottom":
+            containers.append("footer")
+        first.setdefault(key, len(out))
+        out.append({"url": key, "summary": summary.text() if summary is not None else None, "label": label.text() if label is not None else None, "keywords": keywords, "containers": containers})
+    inside = lambda name: e.find_all("a") if (e := root.by_id(name)) is not None else []
+    boxes = [("related-articles", inside("related-articles")), ("read-more", [a for a in links if "read-more" in a.classes]), ("proad", inside("proad"))]
+    over: dict[str, str] = {}
+    for name, found in boxes:
+        for a in found:
+            href = a.attributes.get("href")
+            if href is not None and not (name == "proad" and href == NOT_AN_ADVERT) and (key := urljoin(url, href)) in first:
+                over[key] = name
+    for i, x in enumerate(out):
+        if x["url"] in over:
+            x["containers"] = [over[x["url"]]] if first[x["url"]] == i else []
     return out
 
 

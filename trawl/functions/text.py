@@ -171,3 +171,15 @@ def bow_cosine(a: Column, b: Column) -> Column:
     size = lambda t: F.sqrt(F.aggregate(counts(t), F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
     dot = F.aggregate(counts(a), F.lit(0.0), lambda s, x: s + x["n"] * F.size(F.filter(b, lambda y: y == x["w"])))
     return F.coalesce(F.try_divide(dot, size(a) * size(b)), F.lit(0.0))
+
+
+def bow_priority(query: str, texts: list[Column]) -> Column:
+    """The sum of the cosines of the query and each text by word counts; a null text has no words.
+
+    A vocabulary over all the texts at once gives the same cosines, since words that neither of two texts has add nothing.
+    """
+    asked = tokens(F.lit(query))
+    out = F.lit(0.0)
+    for text in texts:
+        out = out + bow_cosine(tokens(F.coalesce(text, F.lit(""))), asked)
+    return out

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from trawl.functions import fuzzy, html as H
 from trawl.functions import urls as U
 from trawl.operators import likeness, wrapper
-from trawl.plans.crawl_stats import LINKS_SQL
-from trawl.plans.url_queries import CANON_SQL
+from trawl.plans.url_queries import CANON_SQL, MARKED_SQL, marked_pages
 from trawl.registry import REGISTRY
 from trawl.schema import table
 from trawl.scratch import materialise
@@ -60,13 +59,13 @@ def page_objects(spark, sf):
     return found.select("page_id", "p.url", "p.page_type_code", F.size("p.links").cast("long").alias("link_count"), F.transform("p.images", lambda i: i["content_type"]).alias("images"), data.alias("data"))
 
 
-@Q("anchor_metadata", "F8", LINKS_SQL + f"""
-, k AS (SELECT page_id, {CANON_SQL.replace("url", "target")} AS url FROM links), p AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS path FROM k)
-SELECT page_id, url, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS keywords, CAST([] AS VARCHAR[]) AS containers, split_part(path, '/', 2) AS section,
-       CASE WHEN contains(url, '.html') THEN left(replace(split_part(path, '/', -1), '-', ' '), greatest(length(split_part(path, '/', -1)) - 5, 0)) ELSE '' END AS link_title FROM p
+@Q("anchor_metadata", "F8", MARKED_SQL + """
+SELECT page_id, url, summary, label, keywords, containers, split_part(path, '/', 2) AS section,
+       CASE WHEN contains(url, '.html') THEN left(replace(split_part(path, '/', -1), '-', ' '), greatest(length(split_part(path, '/', -1)) - 5, 0)) ELSE '' END AS link_title
+FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS path FROM marked)
 """)
 def anchor_metadata(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", F.explode(H.anchors_column(F.col("html"), F.col("url"))).alias("a"))
+    found = marked_pages(spark, sf).select("page_id", F.explode(H.anchors_column(F.col("html"), F.col("url"))).alias("a"))
     return found.select("page_id", "a.*", U.section(F.col("a.url")).alias("section"), U.link_title(F.col("a.url")).alias("link_title"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.functions import html as H
+from trawl.functions import text as X
 from trawl.functions import urls as U
 from trawl.plans.crawl_stats import LINKS_SQL
 from trawl.operators.ranking import numbered
@@ -76,15 +77,48 @@ def link_metadata(spark, sf):
     )
 
 
-@Q("link_metadata_merge", "D7", LINKS_SQL + f"""
-, k AS (SELECT page_id, {CANON_SQL.replace("url", "target")} AS url FROM links)
-SELECT page_id, url, count(*) AS seen, 0 AS containers, CAST(NULL AS VARCHAR) AS summary FROM k GROUP BY page_id, url
-""")
+#: Links in boxes, which the pages of the test tables lack, put in at the start of each body with the page's number.
+BOXES = (
+    """<body><a onclick="window.open('https://example.com/a/x-""", """.html')"><span class="summary">late</span></a><div id="article-keywords"><a href="https://example.com/kljucna-beseda/w-""", """">word """,
+    """ </a></div><div class="menu__items"><ul><li><a href="https://example.com/a/x-""", """.html"><span class="summary">first """, """</span><span class="label">label """,
+    """</span></a></li></ul></div><div id="footer-bottom"><p><a href="https://example.com/a/x-""", """.html">again</a></p></div><div class="submenu"><p><b><a href="https://example.com/spored/s-""",
+    """">s</a></b></p></div><div id="related-articles"><a href="https://example.com/a/r-""", """.html">r</a><a href="https://example.com/a/b-""", """.html">b</a></div><a class="read-more" href="https://example.com/a/b-""",
+    """.html">more</a><div id="proad"><a href="/vsebine/oglasevanje">ads</a><a href="https://example.com/spored/p-""", """">p</a></div>""",
+)
+#: What the rules make of these boxes (two patterns find the address in the code): (page_id, url, place, summary, label, keywords, containers) of each link.
+MARKED_SQL = LINKS_SQL + f"""
+, k AS (SELECT page_id, {CANON_SQL.replace("url", "target")} AS url FROM links),
+m AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, {CANON_SQL.replace("url", "(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/vsebine/oglasevanje')")} AS advert FROM pages WHERE contains(html, '<body>')),
+boxes AS (SELECT page_id, v.* FROM m, LATERAL (VALUES
+  ('https://example.com/kljucna-beseda/w-' || n, 1, NULL, NULL, ['kljucna-beseda']), ('https://example.com/a/x-' || n || '.html', 2, 'first ' || n, 'label ' || n, ['menu']),
+  ('https://example.com/a/x-' || n || '.html', 3, NULL, NULL, ['footer']), ('https://example.com/spored/s-' || n, 4, NULL, NULL, ['spored', 'submenu']),
+  ('https://example.com/a/r-' || n || '.html', 5, NULL, NULL, ['related-articles']), ('https://example.com/a/b-' || n || '.html', 6, NULL, NULL, ['read-more']),
+  ('https://example.com/a/b-' || n || '.html', 7, NULL, NULL, CAST([] AS VARCHAR[])), (advert, 8, NULL, NULL, CAST([] AS VARCHAR[])),
+  ('https://example.com/spored/p-' || n, 9, NULL, NULL, ['proad']), ('https://example.com/a/x-' || n || '.html', 10, 'late', NULL, CAST([] AS VARCHAR[])),
+  ('https://example.com/a/x-' || n || '.html', 11, 'late', NULL, CAST([] AS VARCHAR[]))) v(url, place, summary, label, containers)),
+every AS (SELECT page_id, url, 9 AS place, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS containers FROM k UNION ALL SELECT page_id, url, place, summary, label, containers FROM boxes),
+marked AS (SELECT every.*, CASE WHEN m.n IS NULL THEN CAST([] AS VARCHAR[]) ELSE ['word ' || m.n] END AS keywords FROM every LEFT JOIN m ON m.page_id = every.page_id),
+merged AS (SELECT page_id, url, count(*) AS seen, arg_min(coalesce(summary, ''), place) AS summary, arg_min(coalesce(label, ''), place) AS label, any_value(keywords) AS keywords, flatten(list(containers ORDER BY place)) AS containers FROM marked GROUP BY page_id, url)
+"""
+
+
+def marked_pages(spark, sf):
+    """The pages with BOXES in their bodies."""
+    number = F.col("page_id").cast("string")
+    block = F.concat(*[x for part in BOXES for x in (F.lit(part), number)][:-1])
+    return table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("<body>"), block))
+
+
+@Q("link_metadata_merge", "D7", MARKED_SQL + "SELECT page_id, url, seen, summary, label, keywords, containers FROM merged")
 def link_metadata_merge(spark, sf):
-    """One row a link and page: metadata of its first anchor, containers of all; containers and summaries are tested on made-up pages."""
-    found = table(spark, sf, "pages").select("page_id", F.posexplode(H.anchors_column(F.col("html"), F.col("url"))).alias("at", "a"))
-    merged = merge_anchors(found)
-    return merged.select("page_id", "url", "seen", F.size("containers").alias("containers"), "summary")
+    """One row a link and page: metadata of its first link, containers of all but where a box replaces them."""
+    merged = merged_links(spark, sf)
+    return merged.select("page_id", "url", "seen", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("label", F.lit("")).alias("label"), "keywords", "containers")
+
+
+def merged_links(spark, sf):
+    found = marked_pages(spark, sf).select("page_id", F.posexplode(H.anchors_column(F.col("html"), F.col("url"))).alias("at", "a"))
+    return merge_anchors(found)
 
 
 def merge_anchors(found):
@@ -96,6 +130,38 @@ def merge_anchors(found):
     return merged.select("page_id", "url", "seen", "f.*", F.flatten(F.transform("l", lambda x: x["c"])).alias("containers"))
 
 
+ASKED = "The first word of a label and 7"
+
+
+def _bow_sql(text: str) -> str:
+    """The cosine of the word counts of a text and ASKED."""
+    words = lambda x: f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+    count = lambda of, w: f"CAST(len(list_filter({of}, lambda y: y = {w})) AS DOUBLE)"
+    a, b = words(text), words(f"'{ASKED}'")
+    square = lambda of: f"sqrt(coalesce(list_sum(list_transform({of}, lambda x: {count(of, 'x')})), 0))"
+    return f"coalesce(list_sum(list_transform({a}, lambda x: {count(b, 'x')})) / nullif({square(a)} * {square(b)}, 0), 0)"
+
+
+@Q("bow_link_priority", "V8", MARKED_SQL + r"""
+, t AS (SELECT m.page_id, m.url, m.summary, m.label, m.keywords, regexp_extract(m.url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+          CASE WHEN contains(p.url, '.html') THEN split_part(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', -1) ELSE '' END AS source FROM merged m JOIN pages p ON p.page_id = m.page_id),
+x AS (SELECT page_id, url, summary, label, source, array_to_string(keywords, ' ') AS words, replace(split_part(path, '/', 2), '-', ' ') || ' ' || replace(split_part(path, '/', 3), '-', ' ') AS place,
+        CASE WHEN contains(url, '.html') THEN left(replace(split_part(path, '/', -1), '-', ' '), greatest(length(split_part(path, '/', -1)) - 5, 0)) ELSE '' END AS title FROM t)
+SELECT url, count(*) AS occurrences, round(avg(""" + " + ".join(_bow_sql(c) for c in ("source", "words", "title", "summary", "place", "label")) + """), 6) AS priority FROM x GROUP BY url
+""")
+def bow_link_priority(spark, sf):
+    """The priority of each link by the words of its metadata, over all pages that have it."""
+    own = merged_links(spark, sf).join(table(spark, sf, "pages").select("page_id", F.col("url").alias("base")), "page_id")
+    spaced = lambda c: F.replace(c, F.lit("-"), F.lit(" "))
+    url, base = F.col("url"), F.col("base")
+    facts = own.select(
+        "url", F.when(F.contains(base, F.lit(".html")), F.element_at(U.parts(base), -1)).alias("source_title"), F.array_join("keywords", " ").alias("keywords"), U.link_title(url).alias("link_title"), "summary",
+        F.concat_ws(" ", spaced(U.section(url)), spaced(U.topic(url))).alias("place"), "label",
+    )
+    score = X.bow_priority(ASKED, [F.col(c) for c in ("source_title", "keywords", "link_title", "summary", "place", "label")])
+    return facts.groupBy("url").agg(F.count("*").alias("occurrences"), F.round(F.avg(score), 6).alias("priority"))
+
+
 @Q("link_filter", "P6", LINKS_SQL + r"""
 SELECT page_id, target FROM links WHERE len(string_split(href, '/')) >= 2 AND split_part(href, '/', 2) <> 's' AND contains(target, 'example.com')
 """)
