@@ -99,7 +99,7 @@ def test_layout_equals_in_memory_run(spark):
         nodes = scratch.write(L.numbered_rows(rows.select("id", F.col("v").alias("vector")), scratch), "nodes")
         assert sorted(r["node"] for r in nodes.collect()) == list(range(2000))
         asked = nodes.select(F.col("node").alias("id"), F.col("vector").alias("embedding"))
-        near = L.nearest_for_all(asked, asked, 15).filter("query_id <> id").select("query_id", "id", "distance")
+        near = L.nearest_by_pivots(asked, asked, 15).filter("query_id <> id").select("query_id", "id", "distance")
         edges = scratch.write(L.fuzzy_graph(near, 15), "edges")
         e = edges.toPandas()
         assert len(e) == len(e[["tail", "head"]].drop_duplicates()) and e.weight.between(0, 1).all()

@@ -60,7 +60,7 @@ def least(d: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return row[kept], column[kept], distance[kept]
 
 
-def _nearest_in(pairs: DataFrame, n: int) -> DataFrame:
+def nearest_in(pairs: DataFrame, n: int) -> DataFrame:
     """The n nearest of all pairs of blocks (qids, qflat, ids, flat); a pair of blocks gives n a query at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def _nearest_in(pairs: DataFrame, n: int) -> DataFrame:
 def nearest_for_all(queries: DataFrame, rows: DataFrame, n: int, key: str = "id", vector: str = "embedding", size: int = BLOCK) -> DataFrame:
     """(query_id, id, distance, rank): the n rows nearest by cosine to each of any number of queries, every row a candidate."""
     asked = blocks(queries, key, vector, size=size).select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
-    return _nearest_in(asked.crossJoin(blocks(rows, key, vector, size=size).select("ids", "flat")), n)
+    return nearest_in(asked.crossJoin(blocks(rows, key, vector, size=size).select("ids", "flat")), n)
 
 
 def nearest_within(queries: DataFrame, rows: DataFrame, group: str, n: int, key: str = "id", vector: str = "embedding", size: int = BLOCK) -> DataFrame:
@@ -94,7 +94,7 @@ def nearest_within(queries: DataFrame, rows: DataFrame, group: str, n: int, key:
         return dealt.groupBy("group", "block").agg(F.collect_list(F.struct("_id", "_v")).alias("_l")).select("group", F.col("_l._id").alias("ids"), F.flatten("_l._v").alias("flat"))
 
     asked = packed(queries).select("group", F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
-    return _nearest_in(asked.join(packed(rows), "group").drop("group"), n)
+    return nearest_in(asked.join(packed(rows), "group").drop("group"), n)
 
 
 def full_silhouettes(rows: DataFrame, key: str, vector: str, labels: str, clusters: list[int], size: int = BLOCK) -> list[float]:

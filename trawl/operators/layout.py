@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import vectors as V
-from trawl.operators.blocks import nearest_for_all
 from trawl.operators.clustering import project, with_unit_vectors
+from trawl.operators.pivots import nearest_by_pivots
 from trawl.scratch import Scratch, materialise
 
 #: Draws are to so many parts of one.
@@ -134,7 +134,7 @@ def layout(rows: DataFrame, key: str, vector: str, k: int = 15, min_dist: float
         if count < 3:
             return materialise(given.join(nodes, "vector").select(F.col("_key").alias(key), F.col("node").cast("double").alias("x"), F.lit(0.0).alias("y")), "layout")
         asked = nodes.select(F.col("node").alias("id"), F.col("vector").alias("embedding"))
-        near = nearest_for_all(asked, asked, k).filter("query_id <> id").filter(F.col("rank") <= k)
+        near = nearest_by_pivots(asked, asked, k).filter("query_id <> id").filter(F.col("rank") <= k)
         edges = scratch.write(fuzzy_graph(near.select("query_id", "id", "distance"), k), "edges")
         positions = scratch.write(started(nodes), "positions")
         for epoch in range(epochs):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from trawl.functions import html as H
 from trawl.functions import text as X
 from trawl.functions import vectors as V
-from trawl.operators import blocks as K
 from trawl.operators import models as M
+from trawl.operators import pivots as P
 from trawl.operators import ranking as R
 from trawl.registry import REGISTRY
 from trawl.schema import table
@@ -23,7 +23,8 @@ def segments(spark, sf):
     parsed = table(spark, sf, "pages").filter(F.col("html").isNotNull() & (F.col("html") != "")).select("page_id", H.cleaned_column(F.col("html")).alias("a"))
     text = F.concat(F.coalesce("a.title", F.lit("")), F.lit(". "), F.col("a.body"))
     chunks = parsed.select("page_id", F.posexplode(X.sentence_chunks(text)).alias("segment_no", "page_segment"))
-    identified = chunks.withColumn("id", F.col("page_id") * 100_000 + F.col("segment_no"))
+    # a number of the page's own up to 2^32 segments, whatever the page's number
+    identified = chunks.withColumn("id", F.shiftleft(F.col("page_id"), 32) + F.col("segment_no"))
     return identified.withColumn("embedding", M.embed_column(F.col("page_segment"), MODEL))
 
 
@@ -37,7 +38,7 @@ def retrieve(spark, sf, candidates: int = 100, n: int = 10):
     """The n best segments for each question: its nearest by cosine, then reranked."""
     V.check_size([0.0] * MODEL.size)
     rows, asked = materialise(segments(spark, sf), "segments"), materialise(questions(spark, sf), "questions")
-    near = K.nearest_for_all(asked, rows, candidates)
+    near = P.nearest_by_pivots(asked, rows, candidates)
     told = near.join(rows.select("id", "page_id", "page_segment"), "id").join(asked.select(F.col("id").alias("query_id"), "query"), "query_id")
     scored = told.withColumn("cross", M.rerank_column(F.col("query"), F.col("page_segment"), M.OverlapReranker()))
     return R.rerank(scored, "cross", "rank", n, by="query_id")

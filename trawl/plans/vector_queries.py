@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import vectors as V
 from trawl.operators import blocks as K
+from trawl.operators import pivots as P
 from trawl.operators import ranking as R
 from trawl.operators import segment_index as SI
 from trawl.registry import REGISTRY
@@ -63,6 +64,13 @@ def batch_knn(spark, sf):
     return nearest_segments(spark, sf).select("query_id", "id", "rank")
 
 
+@Q("pivot_knn", "J8 V2", NEAREST_SQL + "SELECT query_id, id, rank FROM n WHERE rank <= 10")
+def pivot_knn(spark, sf):
+    """As batch_knn, by pivots and bounds in place of all pairs of blocks."""
+    rows = segments(spark, sf)
+    return P.nearest_by_pivots(rows.filter("id % 20 = 0"), rows, 10).select("query_id", "id", "rank")
+
+
 @Q("nearest_to_centroid", "V17", """
 WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT label, list(m ORDER BY i) AS qv FROM (SELECT label, i, avg(v[i]) AS m FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label)
