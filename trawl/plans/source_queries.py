@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trawl.registry import REGISTRY
 from trawl.schema import table
 from trawl.scratch import fresh_path, hand_out
-from trawl.sources import files
+from trawl.sources import files, sqldump
 from trawl.sources.cache import cached
 
 Q = REGISTRY.query
@@ -90,3 +90,24 @@ def migrated_tables(spark, sf):
     first, second = (f"migrated_{k}_{uuid.uuid4().hex}" for k in "ab")
     files.migrate(spark, f"CREATE TEMP VIEW {first} AS SELECT page_id, url FROM parquet.`{path}`; CREATE TEMP VIEW {second} AS SELECT page_id, CAST(length(url) AS BIGINT) AS url_length FROM {first};")
     return spark.table(second)
+
+
+@Q("restored_pages", "S13", "SELECT page_id, url, html FROM pages")
+def restored_pages(spark, sf):
+    """A dump of two tables, written and read back: its pages."""
+    root = _dumped(spark, sf)
+    return sqldump.read_dump(spark, root, "public.pages")
+
+
+@Q("restored_documents", "S13", "SELECT doc_id, lang, length(text) AS length, md5(text) AS digest FROM documents WHERE source = 'src0'")
+def restored_documents(spark, sf):
+    """Three columns of the documents of one source out of the dump."""
+    rows = sqldump.read_dump(spark, _dumped(spark, sf), "public.documents", ("doc_id", "lang", "text", "source")).filter("source = 'src0'")
+    return rows.select("doc_id", "lang", F.length("text").cast("long").alias("length"), F.md5(F.encode("text", "utf-8")).alias("digest"))
+
+
+def _dumped(spark, sf):
+    root = _root(spark)
+    sqldump.write_dump(table(spark, sf, "pages"), f"{root}/dump", "public.pages", {"page_id": "bigint", "url": "character varying(3000)", "html": "text"})
+    sqldump.write_dump(table(spark, sf, "documents"), f"{root}/dump", "public.documents", {"doc_id": "bigint", "text": "text", "lang": "text", "source": "text", "n_chars": "bigint"})
+    return f"{root}/dump"
