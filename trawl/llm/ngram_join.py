@@ -13,7 +13,9 @@ sizes are of one class or the one below; buckets with the same members are one.
 same for all buckets that hold it, so that groups are linked by stars. Buckets that then still hold several components are
 searched for links that no hub saw: the members outside the bucket's largest component meet all others block by block
 inside tasks, which return only pairs of different components that pass the filters of all orders. The prefixes of the
-other orders are made for the members of buckets only.
+other orders are made for the members of buckets only. A pair is looked at in the bucket of its first common shingle alone,
+where the elements that either has before it differ; the hub is the member with the fewest of them, as of near
+copies the one with the fewest edits of its own links most.
 
 Shingles are known by 64-bit hashes. Defined cases: a text of fewer words than a shingle has is one shingle; a text without
 words (null too) has an empty set, links with nothing and is its own component; rows whose id is null are linked as all
@@ -206,9 +208,10 @@ def block_candidates(size: np.ndarray, prefixes: list[list[np.ndarray]], left: n
 
 
 def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[list[int], list[int]]:
-    """Candidates of different parts within a block pair."""
+    """Candidates of different parts within a block pair whose first common shingle is the bucket's."""
     i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
     sub, part, size, member = (np.asarray(group.column(c)) for c in ("sub", "part", "size", "member"))
+    shingle = np.asarray(group.column("shingle"), np.int64)[:1].view(np.uint64)[0]
     left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
     if not len(left) or not len(right):
         return [], []
@@ -216,9 +219,28 @@ def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[list[int],
     if i == j:
         fine &= left[:, None] < right[None, :]
     a, b = size[left][:, None], size[right][None, :]
-    if not (fine & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))).any():
+    fine &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    if not fine.any():
         return [], []
-    x, y = np.nonzero(fine & block_candidates(size, [_lists(group.column(c)) for c in ORDERS], left, right, percent))
+    rare = _lists(group.column(ORDERS[0]))
+    ahead = [x[: np.searchsorted(x, shingle)] for x in rare]
+    before = np.array([len(x) for x in ahead])
+    fine &= before[left][:, None] + before[right][None, :] <= differences_allowed(a, b, percent)
+    if fine.any():
+        fine &= _common([ahead[k] for k in left], [ahead[k] for k in right]) == 0
+    # rows and columns without a pair need no look at their prefixes
+    rows, columns = np.flatnonzero(fine.any(axis=1)), np.flatnonzero(fine.any(axis=0))
+    if not len(rows):
+        return [], []
+    left, right, fine = left[rows], right[columns], fine[np.ix_(rows, columns)]
+    prefixes = [rare, *(_lists(group.column(c)) for c in ORDERS[1:])]
+    if fine.sum() * 8 > fine.size:
+        x, y = np.nonzero(fine & block_candidates(size, prefixes, left, right, percent))
+    else:
+        x, y = np.nonzero(fine)
+        allowed = differences_allowed(size[left[x]], size[right[y]], percent)
+        kept = np.array([all(differing(lists[m], lists[n]) <= d for lists in prefixes) for m, n, d in zip(left[x], right[y], allowed, strict=True)], bool)
+        x, y = x[kept], y[kept]
     m, n = member[left[x]], member[right[y]]
     return np.minimum(m, n).tolist(), np.maximum(m, n).tolist()
 
@@ -248,7 +270,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 
 def candidates_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(u, v): candidates between different parts of a bucket; labelled is a written table (bucket, node, part) without hubs."""
+    """(u, v): candidates between different parts of a bucket; labelled is a written table (bucket, shingle, node,
+    part) without hubs."""
     keys = ("bucket", "i", "j")
     keyed = block_pairs(labelled, counts, known.withColumn("member", F.col("node")))
 
@@ -292,16 +315,17 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
             cells = read(both, _set_rows(words), "node long, cells binary")
             return scratch.write(compare(pairs, cells).filter(F.col("similarity") >= percent / 100).select("u", "v"), "links")
 
-        buckets = nodes.select(F.explode(ORDERS[0]).alias("shingle"), "node", "size")
+        buckets = nodes.select(F.posexplode(ORDERS[0]).alias("place", "shingle"), "node", "size")
         shared = scratch.write(buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
         # sizes of linked sets lie in one class or in two that follow each other, so each member is in its own and the next
         kind = F.floor(F.log(F.col("size")) / math.log(100 / percent) * 0.999).cast("int")
         placed = salted_join(buckets, shared.select("shingle"), "shingle", counts=shared)
-        placed = placed.select("shingle", "node", "size", kind.alias("kind")).select(F.explode(F.array(F.xxhash64("shingle", "kind"), F.xxhash64("shingle", F.col("kind") + 1))).alias("bucket"), "node", "size")
+        placed = placed.select("shingle", "place", "node", "size", kind.alias("kind")).select(F.explode(F.array(F.xxhash64("shingle", "kind"), F.xxhash64("shingle", F.col("kind") + 1))).alias("bucket"), "shingle", "place", "node", "size")
         placed = scratch.write(placed, "placed")
-        turn = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("size").alias("size"))
-        hubs = placed.groupBy("bucket").agg(F.min(turn).alias("hub"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).filter("n > 1")
-        hubs = hubs.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"), F.first("hub").alias("hub"))
+        turn = F.struct("place", F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("size").alias("size"))
+        hubs = placed.groupBy("bucket").agg(F.first("shingle").alias("shingle"), F.min(turn).alias("hub"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).filter("n > 1")
+        # of buckets with the same members the one first in order is kept, as it has the pairs' first common shingle
+        hubs = hubs.groupBy("n", "x1", "x2").agg(F.min_by(F.struct("bucket", "hub"), F.struct(F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), "bucket")).alias("k")).select("n", "k.*")
         hubs = scratch.write(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), "n"), "hubs")
         counts = hubs.select("bucket", "n")
         members = scratch.write(salted_join(placed, hubs.drop("n"), "bucket", counts=counts).filter("node <> hub"), "members")
@@ -310,7 +334,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
         in_buckets = members.select("node").unionByName(hubs.select(F.col("hub").alias("node")))
         known = read(in_buckets, _prefixed(levels, words, percent, len(ORDERS), False), f"node long, mark long, size long, {', '.join(lists)}").drop("mark")
         found = components(verified(scratch.write(likely(stars, known, percent), "candidates")))
-        labelled = members.join(found.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        labelled = members.join(found.hint("merge"), "node", "left").select("bucket", "shingle", "node", F.coalesce("component", "node").alias("part"))
         more = scratch.write(candidates_left(scratch.write(labelled, "labelled"), counts, known, percent), "candidates")
         if not more.isEmpty():
             found = components(verified(more).unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
