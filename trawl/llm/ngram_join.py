@@ -12,8 +12,8 @@ Equal sets are one node. A bucket holds the nodes that have a shingle in their p
 sizes are of one class or the one below; buckets with the same members are one. The members are paired with one hub, the
 same for all buckets that hold it, so that groups are linked by stars. Buckets that then still hold several components are
 searched for links that no hub saw: the members outside the bucket's largest component meet all others block by block
-inside tasks, which return only pairs of different components that pass the filters of all orders. The prefixes of the
-other orders are made for the members of buckets only. A pair is looked at in the bucket of its first common shingle alone,
+inside tasks, which return only links of different components, verified there. The prefixes of the other orders are made
+for the members of buckets only, and whole sets for those of candidates only. A pair is looked at in the bucket of its first common shingle alone,
 where the elements that either has before it differ; the hub is the member with the fewest of them, as of near
 copies the one with the fewest edits of its own links most.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.near_dedup import block_pairs, compare, shingles
+from trawl.llm.near_dedup import block_pairs, compare, shingles, similarity
 from trawl.llm.shared import bounded_batches, documents, mix64, salted_join, slices, trimmed
 from trawl.scratch import Scratch, materialise
 
@@ -207,21 +207,22 @@ def block_candidates(size: np.ndarray, prefixes: list[list[np.ndarray]], left: n
     return fine
 
 
-def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[list[int], list[int]]:
-    """Candidates of different parts within a block pair whose first common shingle is the bucket's."""
+def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of candidates of different parts within a block pair whose first common shingle is the bucket's."""
     i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
-    sub, part, size, member = (np.asarray(group.column(c)) for c in ("sub", "part", "size", "member"))
+    sub, part, size = (np.asarray(group.column(c)) for c in ("sub", "part", "size"))
+    none = np.zeros(0, np.int64)
     shingle = np.asarray(group.column("shingle"), np.int64)[:1].view(np.uint64)[0]
     left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
     if not len(left) or not len(right):
-        return [], []
+        return none, none
     fine = part[left][:, None] != part[right][None, :]
     if i == j:
         fine &= left[:, None] < right[None, :]
     a, b = size[left][:, None], size[right][None, :]
     fine &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     if not fine.any():
-        return [], []
+        return none, none
     rare = _lists(group.column(ORDERS[0]))
     ahead = [x[: np.searchsorted(x, shingle)] for x in rare]
     before = np.array([len(x) for x in ahead])
@@ -231,7 +232,7 @@ def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[list[int],
     # rows and columns without a pair need no look at their prefixes
     rows, columns = np.flatnonzero(fine.any(axis=1)), np.flatnonzero(fine.any(axis=0))
     if not len(rows):
-        return [], []
+        return none, none
     left, right, fine = left[rows], right[columns], fine[np.ix_(rows, columns)]
     prefixes = [rare, *(_lists(group.column(c)) for c in ORDERS[1:])]
     if fine.sum() * 8 > fine.size:
@@ -241,8 +242,20 @@ def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[list[int],
         allowed = differences_allowed(size[left[x]], size[right[y]], percent)
         kept = np.array([all(differing(lists[m], lists[n]) <= d for lists in prefixes) for m, n, d in zip(left[x], right[y], allowed, strict=True)], bool)
         x, y = x[kept], y[kept]
-    m, n = member[left[x]], member[right[y]]
-    return np.minimum(m, n).tolist(), np.maximum(m, n).tolist()
+    return left[x], right[y]
+
+
+def _links_between(group: pa.RecordBatch, percent: int) -> tuple[list[int], list[int]]:
+    """A link for each two parts that are linked within one block pair, verified by whole sets."""
+    us, vs, known = [], [], set()
+    part, member, cells = np.asarray(group.column("part")), np.asarray(group.column("member")), group.column("cells")
+    for m, n in zip(*_candidates_between(group, percent), strict=True):
+        between = (min(part[m], part[n]), max(part[m], part[n]))
+        if between not in known and similarity(*(np.frombuffer(cells[int(k)].as_buffer(), np.uint64) for k in (m, n))) >= percent / 100:
+            known.add(between)
+            us.append(min(member[m], member[n]))
+            vs.append(max(member[m], member[n]))
+    return us, vs
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -269,19 +282,33 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield whole()
 
 
-def candidates_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(u, v): candidates between different parts of a bucket; labelled is a written table (bucket, shingle, node,
-    part) without hubs."""
+def in_block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame, work, columns: str) -> DataFrame:
+    """What work makes of each block pair of the buckets that hold several parts; labelled is a written table (bucket,
+    shingle, node, part) without hubs, known has facts by node."""
     keys = ("bucket", "i", "j")
     keyed = block_pairs(labelled, counts, known.withColumn("member", F.col("node")))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, keys):
-            us, vs = _candidates_between(group, percent)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in columns.split(", ")]
+        with trimmed():
+            for group in _groups(batches, keys):
+                made = work(group)
+                if len(made[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names)
 
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long").distinct()
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, columns).distinct()
+
+
+def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, percent: int, sets_of, scratch: Scratch) -> DataFrame:
+    """(u, v), written: links between different parts of a bucket. Pairs stay inside tasks, which first name the nodes that
+    are in a candidate pair at all; sets_of gives the whole sets of these, with which the tasks then verify."""
+    def named(group: pa.RecordBatch) -> tuple[np.ndarray]:
+        return (np.asarray(group.column("member"))[np.unique(np.concatenate(_candidates_between(group, percent)))],)
+
+    wanted = scratch.write(in_block_pairs(labelled, counts, known, named, "node long"), "candidates")
+    full = known.join(sets_of(wanted).hint("merge"), "node")
+    few = scratch.write(labelled.join(wanted.hint("merge"), "node", "left_semi"), "labelled")
+    return scratch.write(in_block_pairs(few, counts, full, lambda g: _links_between(g, percent), "u long, v long"), "links")
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -310,10 +337,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
                 made = made.groupBy("node").agg(*[F.first(c).alias(c) for c in made.columns if c != "node"])
             return scratch.write(made, "read")
 
+        def sets_of(wanted: DataFrame) -> DataFrame:
+            return read(wanted, _set_rows(words), "node long, cells binary")
+
         def verified(pairs: DataFrame) -> DataFrame:
             both = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-            cells = read(both, _set_rows(words), "node long, cells binary")
-            return scratch.write(compare(pairs, cells).filter(F.col("similarity") >= percent / 100).select("u", "v"), "links")
+            return scratch.write(compare(pairs, sets_of(both)).filter(F.col("similarity") >= percent / 100).select("u", "v"), "links")
 
         buckets = nodes.select(F.posexplode(ORDERS[0]).alias("place", "shingle"), "node", "size")
         shared = scratch.write(buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
@@ -335,9 +364,9 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
         known = read(in_buckets, _prefixed(levels, words, percent, len(ORDERS), False), f"node long, mark long, size long, {', '.join(lists)}").drop("mark")
         found = components(verified(scratch.write(likely(stars, known, percent), "candidates")))
         labelled = members.join(found.hint("merge"), "node", "left").select("bucket", "shingle", "node", F.coalesce("component", "node").alias("part"))
-        more = scratch.write(candidates_left(scratch.write(labelled, "labelled"), counts, known, percent), "candidates")
+        more = links_left(scratch.write(labelled, "labelled"), counts, known, percent, sets_of, scratch)
         if not more.isEmpty():
-            found = components(verified(more).unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+            found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         parts = nodes.select("digest", "n", "node", "least").join(found.hint("merge"), "node", "left").select("digest", "n", "least", F.coalesce("component", "node").alias("part"))
         parts = scratch.write(parts, "parts")
         tops = parts.groupBy("part").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("n"))
