@@ -91,12 +91,15 @@ _SPACED = re.compile(r"\S+", re.ASCII)
 
 def chunked(text: str | None, max_words: int, compat: bool) -> list[str] | None:
     """The chunks of one text, in one pass."""
-    if text is None:
-        return None
+    return None if text is None else gathered(_SENTENCE_END.split(text.strip(" ")), max_words, compat)
+
+
+def gathered(parts: list[str], max_words: int, compat: bool = False) -> list[str]:
+    """Sentences put together in order while they have max_words words at most."""
     done: list[str] = []
     now: list[str] = []
     size = 0
-    for s in _SENTENCE_END.split(text.strip(" ")):
+    for s in parts:
         if not s:
             continue
         n = sum(1 for _ in _SPACED.finditer(s))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import text as X
 from trawl.operators import models as M
+from trawl.operators import sentences as SE
 from trawl.operators import textstats as S
 from trawl.registry import REGISTRY
 from trawl.schema import table
@@ -151,6 +152,33 @@ def keyword_window_priority(spark, sf):
     )
 
 
+WORDS_SQL = r"""
+w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: regexp_replace(regexp_replace(x, '^[("''\[«„“]+', ''), '[)"''\]»”,;:]+$', '')), lambda x: x <> '') AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS word, unnest(list_concat([''], l[1:-2])) AS before FROM w),
+k AS (SELECT lower(regexp_replace(word, '\.$', '')) AS kind, CASE WHEN ends_with(word, '.') THEN 1 ELSE 0 END AS ended, before, lower(regexp_replace(before, '\.$', '')) AS previous FROM e)
+"""
+SHORT_SQL = "WITH " + WORDS_SQL + r"""
+, c AS (SELECT kind, sum(ended) AS ended, sum(1 - ended) AS open FROM k GROUP BY kind), n AS (SELECT sum(ended) / sum(ended + open) AS p FROM c),
+r AS (SELECT kind, CAST(ended AS BIGINT) AS ended, CAST(open AS BIGINT) AS open, length(kind) - length(replace(kind, '.', '')) AS inner_periods, least(greatest(p, 1e-9), 1 - 1e-9) AS p FROM c, n WHERE ended > 0 AND regexp_matches(kind, '\p{L}')),
+s AS (SELECT kind, ended, open, -2 * (ended * ln(p) + open * ln(1 - p) - ended * ln(0.99) - open * ln(0.01)) * exp(-(length(kind) - inner_periods)) * (inner_periods + 1) * exp(greatest(-open * ln(length(kind) - inner_periods), -700)) AS score FROM r)
+"""
+
+
+@Q("abbreviation_scores", "F19", SHORT_SQL + "SELECT kind, ended, open, round(score, 6) + 0.0 AS score FROM s")
+def abbreviation_scores(spark, sf):
+    """How much each word of the documents looks like an abbreviation."""
+    scores = SE.abbreviation_scores(SE.period_counts(table(spark, sf, "documents"), "text"))
+    return scores.select("kind", "ended", "open", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@Q("learned_chunks", "F19", None)
+def learned_chunks(spark, sf):
+    """Chunks of the documents by sentences of a splitter that has learnt from all of them."""
+    docs = table(spark, sf, "documents")
+    model = SE.learn(docs, "text")
+    return docs.select("doc_id", F.posexplode(SE.chunks_column(F.col("text"), model)).alias("chunk_no", "chunk"))
+
+
 @Q("tfidf_terms", "V10", f"""
 WITH w AS (SELECT item_id, unnest({TOKEN_SQL}) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
 v AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM c GROUP BY 1 ORDER BY cf DESC, term LIMIT 200),
