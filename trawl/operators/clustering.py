@@ -27,22 +27,6 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return model.transform(rows)
 
 
-def simplified_silhouette(rows: DataFrame, cluster: str = "cluster", vector: str = "unit") -> DataFrame:
-    """(cluster, silhouette, size) by Euclidean distances to cluster means, linear in the rows.
-
-    An approximation by centres; `exact_silhouette` has the exact one by cosine, `blocks.full_silhouettes` by Euclidean distance.
-    """
-    dims = rows.select(F.col(cluster).alias("c"), F.posexplode(vector)).groupBy("c", "pos").agg(F.avg("col").alias("m"))
-    centres = dims.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centre"))
-    # as many centres as clusters
-    pairs = rows.join(F.broadcast(centres), F.lit(True)).withColumn("_d", V.l2_distance(F.col(vector), F.col("centre")))
-    own = F.min(F.when(F.col(cluster) == F.col("c"), F.col("_d")))
-    other = F.min(F.when(F.col(cluster) != F.col("c"), F.col("_d")))
-    points = pairs.groupBy("id", cluster).agg(own.alias("a"), other.alias("b"))
-    s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return points.groupBy(cluster).agg(F.avg(s).alias("silhouette"), F.count("*").alias("size"))
-
-
 def exact_silhouette(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
     """(id, cluster, silhouette) by the cosine distances of all pairs, in linear work; noise (-1) is left out.
 

@@ -23,15 +23,6 @@ def nearest_then_filter(rows: DataFrame, query: Column, metric: str, key: str, n
     return candidates.filter(condition).orderBy("distance", key).limit(n)
 
 
-def nearest_for_each(queries: DataFrame, rows: DataFrame, metric: str, n: int, query_key: str = "query_id", key: str = "id") -> DataFrame:
-    """The n nearest rows of each of a bounded set of queries (columns query_id, query_vector); the queries are broadcast
-    if they are few, else each meets each row in blocks of a nested loop. Top n is cut per partition before the exchange."""
-    few = queries.limit(10_001).count() <= 10_000
-    pairs = rows.join(F.broadcast(queries) if few else queries, F.lit(True)).withColumn("distance", V.distance(metric, F.col("embedding"), F.col("query_vector")))
-    best = W.partitionBy(query_key).orderBy("distance", key)
-    return pairs.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= n)
-
-
 def rerank(candidates: DataFrame, score: str, position: str, n: int, by: str | None = None) -> DataFrame:
     """Highest score first, ties in input order, n kept; per group if `by` is given."""
     if by is None:

@@ -31,6 +31,8 @@ def tfidf(counts: DataFrame, key: str, n_docs: int, max_features: int) -> DataFr
 
 #: (query, term) rows up to which bm25 hands the queries to every task.
 MOST_ASKED = 2_000_000
+#: Contributions of a term of a document to a query that are summed at once.
+PIECE = 1 << 21
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, best: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -59,12 +61,13 @@ def bm25_by_join(docs: DataFrame, queries: DataFrame, key: str, text: str, query
     return rows.groupBy(query_key, key).agg(F.sum(idf * tf).alias("score"))
 
 
-def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, best: int | None = None, k1: float = K1, b: float = B, width: int = 512) -> DataFrame:
+def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, best: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """As bm25: all documents with a term of the query, or of each batch the `best` highest by rounded score with all ties, which
     hold the best of the whole.
 
     Documents are reduced to the queries' terms once, as a written table; then each batch of them is scored by sparse sums
-    over blocks of `width` queries. Keys are long, and unique in docs; only the queries are held by the tasks.
+    over the lists of queries that ask for a term, PIECE entries at a time. Keys are long, and unique in docs; only the queries
+    are held by the tasks.
     """
     import numpy as np
     import pyarrow as pa
@@ -95,8 +98,12 @@ def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query
     for r in small.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         idf[r["t"]] = np.log(1.0 + (size["n"] - r["count"] + 0.5) / (r["count"] + 0.5))
     average = float(size["a"] or 1.0)
+    order = np.argsort(at[:, 0], kind="stable")
+    # the queries of each term, one list after the other
+    lists = docs.sparkSession.sparkContext.broadcast((np.searchsorted(at[order, 0], np.arange(len(vocabulary) + 1)), at[order, 1], np.array(names, np.int64), idf))
 
     def scored(batches):
+        starts, asking, queries, idf = lists.value
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -106,20 +113,26 @@ def bm25_for_all(docs: DataFrame, queries: DataFrame, key: str, text: str, query
                     continue
                 doc, length = batch.column(0).to_numpy(), batch.column(1).to_numpy()[parent]
                 weight = idf[terms] * tf / (tf + k1 * (1.0 - b + b * length / average))
-                firsts = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
-                for low in range(0, len(names), width):
-                    n = min(width, len(names) - low)
-                    has = np.zeros((len(vocabulary), n))
-                    mine = at[(at[:, 1] >= low) & (at[:, 1] < low + n)]
-                    has[mine[:, 0], mine[:, 1] - low] = 1.0
-                    score = np.empty((len(firsts), n))
-                    for i, (x, y) in enumerate(zip(firsts, np.r_[firsts[1:], len(terms)], strict=True)):
-                        score[i] = weight[x:y] @ has[terms[x:y]]
-                    kept = score > 0
-                    if best is not None and len(firsts) > best:
-                        kept &= score >= np.partition(score, len(firsts) - best, axis=0)[len(firsts) - best] - 2e-9
-                    i, j = np.nonzero(kept)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[low + q] for q in j], pa.int64()), pa.array(doc[parent[firsts[i]]]), pa.array(score[i, j])], [query_key, key, "score"])
+                many = starts[terms + 1] - starts[terms]
+                ends, low, keys, sums = np.cumsum(many), 0, [], []
+                while low < len(terms):
+                    high = max(low + 1, int(np.searchsorted(ends, ends[low] - many[low] + PIECE, "right")))
+                    own = np.repeat(np.arange(low, high), many[low:high])
+                    nth = np.arange(len(own)) - np.repeat(np.cumsum(many[low:high]) - many[low:high], many[low:high])
+                    part, inverse = np.unique(parent[own] * len(queries) + asking[starts[terms[own]] + nth], return_inverse=True)
+                    keys.append(part)
+                    sums.append(np.bincount(inverse, weights=weight[own], minlength=len(part)))
+                    low = high
+                pair, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                score = np.bincount(inverse, weights=np.concatenate(sums), minlength=len(pair))
+                row, query = pair // len(queries), pair % len(queries)
+                kept = score > 0
+                if best is not None:
+                    place = np.lexsort((-score, query))
+                    firsts = np.searchsorted(query[place], query)
+                    last = np.minimum(firsts + best, np.searchsorted(query[place], query, "right")) - 1
+                    kept &= score >= score[place][last] - 2e-9
+                yield pa.RecordBatch.from_arrays([pa.array(queries[query[kept]]), pa.array(doc[row[kept]]), pa.array(score[kept])], [query_key, key, "score"])
 
     return small.mapInArrow(scored, f"{query_key} long, {key} long, score double")
 

@@ -179,11 +179,12 @@ def crawl_rounds(spark, sf):
 
 @Q("event_stream_counts", "C5", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def event_stream_counts(spark, sf):
-    """The stream of the events file, drained once in any order; the counts of changed windows are written batch by batch."""
+    """The stream of the events; the counts of changed windows are written batch by batch, and a window that the watermark has
+    passed leaves the state. Within a micro-batch, as which the file is read, nothing is late."""
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
     root = hand_out(spark, fresh_path(spark, "counts"))
-    S.run_counts(S.event_counts(source, late=None), f"{root}/checkpoint", f"{root}/table")
+    S.run_counts(S.event_counts(source), f"{root}/checkpoint", f"{root}/table")
     return S.latest_counts(spark, f"{root}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

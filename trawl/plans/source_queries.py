@@ -89,7 +89,10 @@ def migrated_tables(spark, sf):
     path = f"{sf}/pages.parquet"
     first, second = (f"migrated_{k}_{uuid.uuid4().hex}" for k in "ab")
     files.migrate(spark, f"CREATE TEMP VIEW {first} AS SELECT page_id, url FROM parquet.`{path}`; CREATE TEMP VIEW {second} AS SELECT page_id, CAST(length(url) AS BIGINT) AS url_length FROM {first};")
-    return spark.table(second)
+    out = spark.table(second)
+    for name in (second, first):  # out is resolved, so it does not need the names any more
+        spark.catalog.dropTempView(name)
+    return out
 
 
 @Q("restored_pages", "S13", "SELECT page_id, url, html FROM pages")

@@ -17,5 +17,6 @@ def cached(spark: SparkSession, root: str, name: str, parameters: dict, make: Ca
     try:
         return spark.read.parquet(path)
     except AnalysisException:
-        make().write.parquet(path)
+        # a write that died may have left a folder without data
+        make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
