@@ -1,7 +1,8 @@
 """Links between fuzzy hashes: how many others each is alike to, and which most.
 
 Two hashes can only be alike if signatures of one block size have a 7-gram in common. Hashes therefore meet by block size and
-gram; a gram that very many have is cut into blocks that meet in pairs. A pair is compared at the first of its common grams
+gram, and grams that the same hashes have are one: the first of them is kept. Only numbers are sent to find these, the
+hashes themselves go to the grams that are left. A gram that very many have is cut into blocks that meet in pairs. A pair is compared at the first of its common grams
 alone, and inside a task, so that pairs never become rows: what leaves a task is a count and a best partner a hash.
 """
 
@@ -41,11 +42,11 @@ def grams(h: str) -> frozenset[int]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h) -> (key, id, h) for each gram of h."""
+    """(id, h) -> (key, id) for each gram of h."""
     for batch in batches:
         found = [grams(h) for h in batch.column(1).to_pylist()]
         own = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
-        yield pa.RecordBatch.from_arrays([pa.array([k for g in found for k in g], pa.int64()), batch.column(0).take(own), batch.column(1).take(own)], ["key", "id", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for g in found for k in g], pa.int64()), batch.column(0).take(own)], ["key", "id"])
 
 
 def first_here(key: int, own: list[frozenset[int]], left: list[int], right: list[int], same: bool) -> Iterator[tuple[int, int]]:
@@ -111,12 +112,16 @@ def links(hashes: DataFrame) -> DataFrame:
     """(id, links, other, likeness) of the rows of hashes (id, h; both distinct) that are alike to any other: how many, and the
     one with the highest likeness, the smaller id on ties."""
     with Scratch(hashes.sparkSession) as scratch:
-        rows = scratch.write(hashes.select("id", "h").mapInArrow(_keys, "key long, id long, h string"), "grams")
-        common = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        dealt = rows.join(common, "key").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = scratch.write(hashes.select("id", "h").mapInArrow(_keys, "key long, id long"), "grams")
+        members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        common = rows.groupBy("key").agg(F.count("*").alias("n"), *members).filter("n > 1")
+        # the least of the grams with the same members is the first common one of all pairs that have any of them
+        common = common.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        met = scratch.write(rows.join(common.hint("merge"), "key"), "members")
+        dealt = met.join(hashes.select("id", "h").hint("merge"), "id").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         paired = dealt.select("key", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "id", "h")
-        met = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = met.mapInArrow(_compare, "id long, links long, other long, likeness int")
+        paired = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = paired.mapInArrow(_compare, "id long, links long, other long, likeness int")
         best = F.min(F.struct((-F.col("likeness")).alias("less"), "other"))
         return materialise(found.groupBy("id").agg(F.sum("links").alias("links"), best.alias("best")).select("id", "links", "best.other", (-F.col("best.less")).alias("likeness")), "links")
