@@ -57,14 +57,15 @@ class HashedEmbedder:
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size))
-        for row, t in zip(out, texts, strict=True):
-            for w in words(t):
-                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
-                row[(h >> 1) % self.size] += 1 - 2 * (h & 1)
-            n = np.linalg.norm(row)
-            if n:
-                row /= n
-        return out
+        found = [words(t) for t in texts]
+        # a word is hashed once, however often it occurs
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for ws in found for w in ws))}
+        hashes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in number], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in found])
+        own = hashes[[number[w] for ws in found for w in ws]] if number else hashes
+        np.add.at(out, (row, (own >> 1) % self.size), 1.0 - 2 * (own & 1))
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, n, out=out, where=n > 0)
 
 
 #: The universal parts of speech that the lemma pipeline keeps.
