@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -13,9 +14,10 @@ from trawl.scratch import materialise
 
 
 def open_fs(path: str):
-    """(file system, path) for a URI or a local path."""
+    """(file system, path) for a URI, as Spark writes it, or a local path."""
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]:", "s3:", path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
