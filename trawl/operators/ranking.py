@@ -36,9 +36,28 @@ def minmax(score: str, by: str) -> Column:
     return F.try_divide(F.col(score) - F.min(score).over(own), F.max(score).over(own) - F.min(score).over(own))
 
 
-def zscore(score: str, by: str) -> Column:
-    own = W.partitionBy(by)
-    return (F.col(score) - F.avg(score).over(own)) / (F.stddev_pop(score).over(own) + 1e-8)
+def _with_group(rows: DataFrame, by: str, **figures: Column) -> DataFrame:
+    """rows with figures of their group, summed up where they lie and joined back, so that no group meets in a task."""
+    stats = rows.groupBy(F.col(by).alias("_by")).agg(*[c.alias(n) for n, c in figures.items()])
+    return rows.join(stats, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
+def minmax_by(rows: DataFrame, score: str, by: str, name: str) -> DataFrame:
+    """rows with `name`, as minmax has it, for groups of any size."""
+    told = _with_group(rows, by, _low=F.min(score), _high=F.max(score))
+    return told.withColumn(name, F.try_divide(F.col(score) - F.col("_low"), F.col("_high") - F.col("_low"))).drop("_low", "_high")
+
+
+def zscore_by(rows: DataFrame, score: str, by: str, name: str) -> DataFrame:
+    """rows with `name`, (score - mean) / (population standard deviation + 1e-8), for groups of any size."""
+    told = _with_group(rows, by, _mean=F.avg(score), _std=F.stddev_pop(score))
+    return told.withColumn(name, (F.col(score) - F.col("_mean")) / (F.col("_std") + 1e-8)).drop("_mean", "_std")
+
+
+def pseudo_by(rows: DataFrame, by: str, order: str, bucket: Column, name: str) -> DataFrame:
+    """rows with `name`, (n - rank) / n with ranks from 1 in a group of n, for groups of any size; bucket as in `numbered`."""
+    told = numbered(rows, by, order, bucket, "_number")
+    return told.withColumn(name, (F.col("group_size") - F.col("_number") - 1) / F.col("group_size")).drop("_number", "group_size")
 
 
 def pseudo_score(by: str, order: list) -> Column:

@@ -119,17 +119,17 @@ def rerank_topk(spark, sf):
 
 @Q("minmax_scores", "W5", S_SQL + "SELECT q, id, round((score - min(score) OVER (PARTITION BY q)) / nullif(max(score) OVER (PARTITION BY q) - min(score) OVER (PARTITION BY q), 0), 6) AS scaled FROM s")
 def minmax_scores(spark, sf):
-    return scored(spark, sf).select("q", "id", F.round(R.minmax("score", "q"), 6).alias("scaled"))
+    return R.minmax_by(scored(spark, sf), "score", "q", "scaled").select("q", "id", F.round("scaled", 6).alias("scaled"))
 
 
 @Q("zscore_scores", "W6 M6", S_SQL + "SELECT q, id, round((score - avg(score) OVER (PARTITION BY q)) / (stddev_pop(score) OVER (PARTITION BY q) + 1e-8), 5) AS z FROM s")
 def zscore_scores(spark, sf):
-    return scored(spark, sf).select("q", "id", F.round(R.zscore("score", "q"), 5).alias("z"))
+    return R.zscore_by(scored(spark, sf), "score", "q", "z").select("q", "id", F.round("z", 5).alias("z"))
 
 
 @Q("pseudo_scores", "W4", S_SQL + "SELECT q, id, round(CAST(count(*) OVER (PARTITION BY q) - row_number() OVER (PARTITION BY q ORDER BY id) AS DOUBLE) / count(*) OVER (PARTITION BY q), 6) AS pseudo FROM s")
 def pseudo_scores(spark, sf):
-    return scored(spark, sf).select("q", "id", F.round(R.pseudo_score("q", ["id"]), 6).alias("pseudo"))
+    return R.pseudo_by(scored(spark, sf), "q", "id", F.floor(F.col("id") / 4096), "pseudo").select("q", "id", F.round("pseudo", 6).alias("pseudo"))
 
 
 def _ndcg_sql(k, ideal_all):
