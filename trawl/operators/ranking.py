@@ -60,12 +60,6 @@ def pseudo_by(rows: DataFrame, by: str, order: str, bucket: Column, name: str) -
     return told.withColumn(name, (F.col("group_size") - F.col("_number") - 1) / F.col("group_size")).drop("_number", "group_size")
 
 
-def pseudo_score(by: str, order: list) -> Column:
-    own = W.partitionBy(by)
-    n = F.count("*").over(own)
-    return (n - F.row_number().over(own.orderBy(*order))) / n
-
-
 def ndcg(rows: DataFrame, by: str, score: str, gain: str, k: int, ideal_over_all: bool = False) -> DataFrame:
     """(by, ndcg): discounted gains at k. Tied scores share their mean gain; all-zero gains give 0.
 
