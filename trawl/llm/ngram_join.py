@@ -207,8 +207,8 @@ def block_candidates(size: np.ndarray, prefixes: list[list[np.ndarray]], left: n
     return fine
 
 
-def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of candidates of different parts within a block pair whose first common shingle is the bucket's."""
+def _candidates_between(group: pa.RecordBatch, percent: int, orders: tuple[str, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of candidates of different parts, by these orders, within a block pair whose first common shingle is the bucket's."""
     i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
     sub, part, size = (np.asarray(group.column(c)) for c in ("sub", "part", "size"))
     none = np.zeros(0, np.int64)
@@ -234,7 +234,7 @@ def _candidates_between(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray
     if not len(rows):
         return none, none
     left, right, fine = left[rows], right[columns], fine[np.ix_(rows, columns)]
-    prefixes = [rare, *(_lists(group.column(c)) for c in ORDERS[1:])]
+    prefixes = [rare, *(_lists(group.column(c)) for c in orders[1:])]
     if fine.sum() * 8 > fine.size:
         x, y = np.nonzero(fine & block_candidates(size, prefixes, left, right, percent))
     else:
@@ -300,14 +300,17 @@ def in_block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame, wor
 
 
 def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, percent: int, sets_of, scratch: Scratch) -> DataFrame:
-    """(u, v), written: links between different parts of a bucket. Pairs stay inside tasks, which first name the nodes that
-    are in a candidate pair at all; sets_of gives the whole sets of these, with which the tasks then verify."""
-    def named(group: pa.RecordBatch) -> tuple[np.ndarray]:
-        return (np.asarray(group.column("member"))[np.unique(np.concatenate(_candidates_between(group, percent)))],)
-
-    wanted = scratch.write(in_block_pairs(labelled, counts, known, named, "node long"), "candidates")
-    full = known.join(sets_of(wanted).hint("merge"), "node")
-    few = scratch.write(labelled.join(wanted.hint("merge"), "node", "left_semi"), "labelled")
+    """(u, v), written: links between different parts of a bucket. Pairs stay inside tasks, which first name the members of a
+    bucket that are in a pair which the first order lets pass. Only these are sent again, with the prefixes under the other
+    orders and the whole sets that sets_of gives, and verified where all orders let them pass."""
+
+    def named(group: pa.RecordBatch) -> tuple[list[int], np.ndarray]:
+        held = np.unique(np.concatenate(_candidates_between(group, percent, ORDERS[:1])))
+        return [group.column("bucket")[0].as_py()] * len(held), np.asarray(group.column("member"))[held]
+
+    wanted = scratch.write(in_block_pairs(labelled, counts, known.select("node", "size", ORDERS[0]), named, "bucket long, node long"), "candidates")
+    full = known.join(sets_of(wanted.select("node")).hint("merge"), "node")
+    few = scratch.write(labelled.join(wanted.hint("merge"), ["bucket", "node"], "left_semi"), "labelled")
     return scratch.write(in_block_pairs(few, counts, full, lambda g: _links_between(g, percent), "u long, v long"), "links")
 
 
