@@ -190,7 +190,7 @@ def truncated_svd(rows: DataFrame, terms: int, k: int, documents: int, more: int
     mean[np.asarray(sums["c"])] = np.asarray(sums["s"]) / max(documents, 1)
     total = float(np.asarray(sums["q"]).sum()) / max(documents, 1) - float(mean @ mean)
     held = (s**2 / max(documents, 1)).sum() - float(((mean @ components) ** 2).sum())
-    return Decomposition(s, components, held / total if total > 0 else 0.0)
+    return Decomposition(s, components, float(held / total) if total > 0 else 0.0)
 
 
 def term_space(docs: DataFrame, key: str, text: str, features: int = 15_000) -> tuple[DataFrame, int]:
