@@ -272,17 +272,18 @@ def _links_between(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame) -> DataFrame:
+def block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame, size: int | None = None) -> DataFrame:
     """The members of buckets that hold several parts, once for each pair (i, j) of blocks of their bucket that they are in,
     sub being their own block: labelled's columns but node, i, j, sub and known's columns but node.
 
     labelled is a written table (bucket, node, part), counts has at least the members n of each bucket, known is by node.
-    The members of a bucket's largest part are cut into blocks that meet only the blocks of the others.
+    The members of a bucket's largest part are cut into blocks (of `size`, else BLOCK) that meet only the blocks of the others.
     """
+    size = size or BLOCK
     parts = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m"))
     largest = F.max(F.struct("m", "part"))
     mixed = parts.groupBy("bucket").agg(largest.alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n")).filter("parts > 1")
-    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    blocks = lambda rows: F.ceil(rows / size).cast("int")
     mixed = mixed.select("bucket", F.col("top.part").alias("main"), blocks(F.col("n") - F.col("top.m")).alias("minor"), blocks(F.col("top.m")).alias("major"))
     members = salted_join(labelled, mixed, "bucket", counts=counts)
     own = F.col("part") == F.col("main")

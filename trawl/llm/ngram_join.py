@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.llm import near_dedup
 from trawl.llm.components import components
 from trawl.llm.near_dedup import block_pairs, compare, shingles, similarity
 from trawl.llm.shared import bounded_batches, documents, mix64, salted_join, slices, trimmed
@@ -286,7 +287,7 @@ def in_block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame, wor
     """What work makes of each block pair of the buckets that hold several parts; labelled is a written table (bucket,
     shingle, node, part) without hubs, known has facts by node."""
     keys = ("bucket", "i", "j")
-    keyed = block_pairs(labelled, counts, known.withColumn("member", F.col("node")))
+    keyed = block_pairs(labelled, counts, known.withColumn("member", F.col("node")), 2 * near_dedup.BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in columns.split(", ")]
@@ -358,7 +359,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
         hubs = placed.groupBy("bucket").agg(F.first("shingle").alias("shingle"), F.min(turn).alias("hub"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).filter("n > 1")
         # of buckets with the same members the one first in order is kept, as it has the pairs' first common shingle
         hubs = hubs.groupBy("n", "x1", "x2").agg(F.min_by(F.struct("bucket", "hub"), F.struct(F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), "bucket")).alias("k")).select("n", "k.*")
-        hubs = scratch.write(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), "n"), "hubs")
+        hubs = scratch.write(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.place").alias("hub_place"), "n"), "hubs")
         counts = hubs.select("bucket", "n")
         members = scratch.write(salted_join(placed, hubs.drop("n"), "bucket", counts=counts).filter("node <> hub"), "members")
         fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
@@ -366,7 +367,10 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
         in_buckets = members.select("node").unionByName(hubs.select(F.col("hub").alias("node")))
         known = read(in_buckets, _prefixed(levels, words, percent, len(ORDERS), False), f"node long, mark long, size long, {', '.join(lists)}").drop("mark")
         found = components(verified(scratch.write(likely(stars, known, percent), "candidates")))
-        labelled = members.join(found.hint("merge"), "node", "left").select("bucket", "shingle", "node", F.coalesce("component", "node").alias("part"))
+        # in the bucket of a pair's first common shingle what is before it differs, and the hub has the least before it
+        largest = F.floor(100 * F.col("size") / percent)
+        able = F.col("place") + F.col("hub_place") <= F.floor((100 - percent) * (F.col("size") + largest) / (100 + percent))
+        labelled = members.filter(able).join(found.hint("merge"), "node", "left").select("bucket", "shingle", "node", F.coalesce("component", "node").alias("part"))
         more = links_left(scratch.write(labelled, "labelled"), counts, known, percent, sets_of, scratch)
         if not more.isEmpty():
             found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
