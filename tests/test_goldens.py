@@ -176,6 +176,14 @@ def test_signature():
     assert html.signature_text("<p>nothing</p>") == ""
 
 
+def test_references_end_with_a_semicolon():
+    cut = "<title>A&amp;&amp</title><body><div id='article-body'>x &lt y &#233; &lt;</div><!-- <script> --><article>b &nbsp;c&amp</article>"
+    assert html.article(cut) == {"title": "A&&amp", "article_content": "x &lt y é <"}
+    assert html.signature_text(cut) == "b c&amp"
+    assert html.element_text("<div class='k'><script>a &amp b && c</script></div>", "div", "k") == ["a &amp b && c"]
+    assert html.anchors('<a href="/a?e=1&copy=2&amp;e=3">t</a>', "https://e.com/")[0]["url"] == "https://e.com/a?e=1&e=3"
+
+
 def test_first_best():
     assert clustering.first_best([(35, 0.1), (36, 0.4), (37, 0.2), (38, 0.4)]) == 36
 
