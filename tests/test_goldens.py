@@ -176,6 +176,13 @@ def test_signature():
     assert html.signature_text("<p>nothing</p>") == ""
 
 
+def test_length_is_computed_once_a_vector(spark):
+    frame = spark.createDataFrame([([3.0, -4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(vectors.normalised(F.col("v")).alias("u"))
+    assert [r["u"] for r in frame.collect()] == [[0.6, -0.8], [0.0, 0.0], None]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_references_end_with_a_semicolon():
     cut = "<title>A&amp;&amp</title><body><div id='article-body'>x &lt y &#233; &lt;</div><!-- <script> --><article>b &nbsp;c&amp</article>"
     assert html.article(cut) == {"title": "A&&amp", "article_content": "x &lt y é <"}

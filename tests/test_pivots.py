@@ -32,6 +32,21 @@ def test_equal_to_all_pairs_with_fewer_comparisons(spark, size):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("at_once", [1, 1 << 20])
+def test_few_queries_equal_to_all_pairs_and_write_no_vectors(spark, monkeypatch, at_once):
+    monkeypatch.setattr(P, "AT_ONCE", at_once)
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((700, 8))
+    vectors[100:160] = 2 * vectors[100]
+    vectors[[3, 40]] = 0
+    rows, asked = table(spark, vectors), table(spark, vectors).filter("id % 20 = 0")
+    for n in (7, 900):
+        assert pairs(P.nearest_of_few(asked, rows, n)) == pairs(K.nearest_for_all(asked, rows.filter("id NOT IN (3, 40)"), n).filter("query_id <> 40"))
+    assert P.nearest_of_few(asked, rows.limit(0), 3).count() == 0 == P.nearest_of_few(asked.limit(0), rows, 3).count()
+    monkeypatch.setattr(P, "FEW_QUERIES", 10)
+    assert P.nearest_of_few(asked, rows, 7) is None
+
+
 def test_few_rows_and_vectors_without_length(spark):
     rows = table(spark, [[1, 0], [0, 1], [1, 1], [0, 0], None])
     got = pairs(P.nearest_by_pivots(rows, rows, 10))

@@ -54,9 +54,10 @@ def resize(v: Column, size: int) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    """Unit length; a zero vector stays. The length is bound once: named inside the inner function it would be computed anew for
+    every component."""
+    unit = F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v)))
+    return F.when(v.isNotNull(), F.get(unit, 0))
 
 
 def literal(v: list[float]) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.scratch import materialise
+from trawl.scratch import bounded_batches, materialise  # noqa: F401  the operators have it from here
 
 
 def open_fs(path: str):
@@ -73,21 +73,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows that a Python worker holds at once; rows are whole texts.
-BATCH_ROWS = 1000
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a worker's memory does not grow with the rows of its partition.
-
-    Results are evaluated after a call has returned, so the session's setting, if it is larger, stays lowered.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 @contextmanager
 def trimmed(end: Callable[[], None] | None = None) -> Iterator[None]:
     """A Python worker's work on a partition: at its end `end` is called and memory that is free goes back to the system, as

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.functions import vectors as V
-from trawl.operators.blocks import BLOCK, nearest_in
+from trawl.operators.blocks import BLOCK, DIGITS, least, nearest_in
 from trawl.scratch import Scratch, materialise
 
 MOST_PIVOTS, RINGS, SALTS = 4096, 4, 32
@@ -96,6 +96,48 @@ def _cells_of(queries: DataFrame, pivots: np.ndarray, cells: dict[str, np.ndarra
     return queries.select("id", "unit", "reach").mapInArrow(work, "id long, unit array<double>, cell int")
 
 
+#: Queries that go to every task at most, bytes of their vectors at most, and distances that a task computes at once.
+FEW_QUERIES, FEW_BYTES, AT_ONCE = 2048, 1 << 24, 1 << 20
+
+
+def nearest_of_few(queries: DataFrame, rows: DataFrame, n: int, key: str = "id", vector: str = "embedding") -> DataFrame | None:
+    """As nearest_by_pivots, for few queries: they go to every task, which reads its rows once and hands on the n nearest of
+    them for each query, so neither rows nor their vectors are written or sent. None where there are too many queries."""
+    asked = with_length(queries, key, vector).limit(FEW_QUERIES + 1).toArrow()
+    units = _matrix(asked["unit"].combine_chunks()) if asked.num_rows else np.zeros((0, 1))
+    if len(units) > FEW_QUERIES or units.nbytes > FEW_BYTES:
+        return None
+    given = rows.sparkSession.sparkContext.broadcast((np.asarray(asked["id"]), units))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, units = given.value
+        if not len(qids):
+            return
+        query, ids, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        reach, step = np.full(len(qids), np.inf), max(16, AT_ONCE // len(qids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                own = np.asarray(part.column(0))
+                d = 1.0 - units @ _matrix(part.column(1)).T
+                d[d > reach[:, None] + 2 * 10.0**-DIGITS] = np.nan
+                row, column, distance = least(d, own, n)
+                fine = np.isfinite(distance)
+                query, ids, far = np.r_[query, row[fine]], np.r_[ids, own[column[fine]]], np.r_[far, distance[fine]]
+                order = np.lexsort((ids, far, query))
+                query, ids, far = query[order], ids[order], far[order]
+                kept = np.arange(len(query)) - np.searchsorted(query, query) < n
+                query, ids, far = query[kept], ids[kept], far[kept]
+                last = np.flatnonzero(np.r_[query[1:] != query[:-1], True]) if len(query) else query
+                full = np.bincount(query, minlength=len(qids))[query[last]] == n
+                reach[query[last[full]]] = far[last[full]]
+        yield pa.RecordBatch.from_arrays([pa.array(qids[query]), pa.array(ids), pa.array(far)], ["query_id", "id", "distance"])
+
+    best = W.partitionBy("query_id").orderBy("distance", "id")
+    found = with_length(rows, key, vector).mapInArrow(work, "query_id long, id long, distance double")
+    return materialise(found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= n), "nearest")
+
+
 def nearest_by_pivots(queries: DataFrame, rows: DataFrame, n: int, key: str = "id", vector: str = "embedding", size: int = BLOCK, tell: Callable[[int], None] | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the n rows nearest by cosine to each query, ties to smaller ids, as nearest_for_all has
     them; vectors without a length take no part. tell is given the number of pairs that are compared."""

@@ -12,20 +12,29 @@ from trawl.operators import pivots as P
 from trawl.operators import ranking as R
 from trawl.registry import REGISTRY
 from trawl.schema import table
-from trawl.scratch import materialise
+from trawl.scratch import bounded_batches, materialise
 
 Q = REGISTRY.query
 MODEL = M.HashedEmbedder(384)
 
 
-def segments(spark, sf):
-    """(id, page_id, segment_no, page_segment, embedding) of all pages; parsing, chunking and embedding stay in one stage."""
+def chunks(spark, sf):
+    """(id, page_id, segment_no, page_segment) of all pages; parsing and chunking stay in one stage."""
+    bounded_batches(spark)
     parsed = table(spark, sf, "pages").filter(F.col("html").isNotNull() & (F.col("html") != "")).select("page_id", H.cleaned_column(F.col("html")).alias("a"))
     text = F.concat(F.coalesce("a.title", F.lit("")), F.lit(". "), F.col("a.body"))
-    chunks = parsed.select("page_id", F.posexplode(X.sentence_chunks(text)).alias("segment_no", "page_segment"))
+    found = parsed.select("page_id", F.posexplode(X.sentence_chunks(text)).alias("segment_no", "page_segment"))
     # a number of the page's own up to 2^32 segments, whatever the page's number
-    identified = chunks.withColumn("id", F.shiftleft(F.col("page_id"), 32) + F.col("segment_no"))
-    return identified.withColumn("embedding", M.embed_column(F.col("page_segment"), MODEL))
+    return found.withColumn("id", F.shiftleft(F.col("page_id"), 32) + F.col("segment_no"))
+
+
+def segments(spark, sf):
+    """(id, page_id, segment_no, page_segment, embedding) of all pages."""
+    return embedded(chunks(spark, sf))
+
+
+def embedded(rows):
+    return rows.withColumn("embedding", M.embed_column(F.col("page_segment"), MODEL))
 
 
 def questions(spark, sf):
@@ -37,8 +46,11 @@ def questions(spark, sf):
 def retrieve(spark, sf, candidates: int = 100, n: int = 10):
     """The n best segments for each question: its nearest by cosine, then reranked."""
     V.check_size([0.0] * MODEL.size)
-    rows, asked = materialise(segments(spark, sf), "segments"), materialise(questions(spark, sf), "questions")
-    near = P.nearest_by_pivots(asked, rows, candidates)
+    # texts are written, vectors only where the questions are too many to meet the segments as these are embedded
+    rows, asked = materialise(chunks(spark, sf), "segments"), materialise(questions(spark, sf), "questions")
+    near = P.nearest_of_few(asked, embedded(rows), candidates)
+    if near is None:
+        near = P.nearest_by_pivots(asked, embedded(rows), candidates)
     told = near.join(rows.select("id", "page_id", "page_segment"), "id").join(asked.select(F.col("id").alias("query_id"), "query"), "query_id")
     scored = told.withColumn("cross", M.rerank_column(F.col("query"), F.col("page_segment"), M.OverlapReranker()))
     return R.rerank(scored, "cross", "rank", n, by="query_id")

@@ -65,6 +65,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return _written(df, hand_out(df.sparkSession, fresh_path(df.sparkSession, name)))
 
 
+#: Rows of text that a Python worker holds at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a worker's memory does not grow with the rows of its partition.
+
+    Results are evaluated after a call has returned, so the session's setting, if it is larger, stays lowered.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables in the shared folder that are only read until the end of a with block, which deletes them."""
 
