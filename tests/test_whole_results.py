@@ -197,3 +197,15 @@ def test_titles_and_unit_vectors_as_in_sql(spark, tmp_path):
         found = con.sql(load().oracles()[name])
         got = QUERIES[name](spark, str(tmp_path)).select(*found.columns).orderBy(of).collect()
         assert [repr(tuple(r)) for r in got] == [repr(r) for r in found.order(of).fetchall()]
+
+
+@pytest.mark.parametrize("name", ["lemma_words", "article_clean", "index_segments", "learned_chunks", "content_signature", "anchor_metadata", "fuzzy_similar"])
+def test_workers_hold_few_texts_at_once(spark, sf, name):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        assert QUERIES[name](spark, sf).columns
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)

@@ -14,7 +14,7 @@ from trawl.plans.crawl_stats import LINKS_SQL, PAGE_SQL
 from trawl.plans.url_queries import CANON_SQL
 from trawl.registry import REGISTRY
 from trawl.schema import surrogate, table
-from trawl.scratch import fresh_path, hand_out, materialise
+from trawl.scratch import bounded_batches, fresh_path, hand_out, materialise
 from trawl.streaming import frontier as S
 from trawl.streaming import workers as WK
 
@@ -119,6 +119,7 @@ FROM m LEFT JOIN n ON n.url = m.url LEFT JOIN d ON d.url = m.url
 
 def anchors(spark, sf):
     """(page_id, url, section, topic, link_title, summary, label, keywords) of each link of each page, canonical."""
+    bounded_batches(spark)
     found = table(spark, sf, "pages").select("page_id", F.explode(H.anchors_column(F.col("html"), F.col("url"))).alias("a"))
     url = F.col("a.url")
     return found.select("page_id", url.alias("url"), U.section(url).alias("section"), U.topic(url).alias("topic"), U.link_title(url).alias("link_title"), "a.summary", "a.label", "a.keywords")

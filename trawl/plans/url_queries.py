@@ -11,6 +11,7 @@ from trawl.plans.crawl_stats import LINKS_SQL
 from trawl.operators.ranking import numbered
 from trawl.registry import REGISTRY
 from trawl.schema import table
+from trawl.scratch import bounded_batches
 
 Q = REGISTRY.query
 
@@ -106,6 +107,7 @@ def marked_pages(spark, sf):
     """The pages with BOXES in their bodies."""
     number = F.col("page_id").cast("string")
     block = F.concat(*[x for part in BOXES for x in (F.lit(part), number)][:-1])
+    bounded_batches(spark)
     return table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("<body>"), block))
 
 
