@@ -209,3 +209,14 @@ def test_workers_hold_few_texts_at_once(spark, sf, name):
         assert spark.conf.get(key) == "1000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_sums_of_silhouettes_leave_few_tasks(spark, monkeypatch):
+    """A row's sums are sent once for each part of the right side, not once for each of its blocks."""
+    v = vectors_of(1200)
+    frame = spark.createDataFrame([(i, x.tolist(), [i % 4]) for i, x in enumerate(v)], "id long, u array<double>, labels array<int>").repartition(16)
+    sides, seen = [], type(frame).crossJoin
+    monkeypatch.setattr(type(frame), "crossJoin", lambda self, other: sides.append(other) or seen(self, other))
+    d = np.linalg.norm(v[:, None] - v[None, :], axis=2)
+    assert blocks.full_silhouettes(frame, "id", "u", "labels", [4], size=20) == pytest.approx([silhouettes(d, np.arange(1200) % 4).mean()], abs=1e-6)
+    assert sides[0].rdd.getNumPartitions() <= blocks.SIDES

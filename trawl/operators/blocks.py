@@ -11,11 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.functions import vectors as V
+from trawl.scratch import materialise
 
 #: Rows of a block.
 BLOCK = 2048
 #: Queries of a block that are looked at at once.
 PART = 128
+#: Parts of the right side in `full_silhouettes`: a row's sums leave a task once for each, however many rows there are.
+SIDES = 8
 #: Digits to which distances are compared, so that equal vectors tie.
 DIGITS = 12
 
@@ -100,14 +103,15 @@ def nearest_within(queries: DataFrame, rows: DataFrame, group: str, n: int, key:
 def full_silhouettes(rows: DataFrame, key: str, vector: str, labels: str, clusters: list[int], size: int = BLOCK) -> list[float]:
     """The mean silhouette over all rows by Euclidean distances of all pairs, for each of several labellings: labels is an
     array with one label below clusters[j] for each j. A row that is alone in its cluster counts 0."""
-    packed = blocks(rows, key, vector, labels, size)
+    packed = materialise(blocks(rows, key, vector, labels, size), "blocks")
     starts = np.concatenate([[0], np.cumsum(clusters)]).astype(np.int64)
     count, width = len(clusters), int(starts[-1])
     sizes = np.zeros(width)
     for r in rows.select(F.posexplode(labels).alias("j", "c")).groupBy("j", "c").count().collect():
         sizes[starts[r["j"]] + r["c"]] = r["count"]
     left = packed.select(F.col("block").alias("b"), F.col("ids").alias("aids"), F.col("flat").alias("aflat"), F.col("marks").alias("amarks"))
-    pairs = left.crossJoin(packed.select("ids", "flat", "marks"))
+    # a task meets one part of the right side, block after block, and adds up
+    pairs = left.repartition("b").crossJoin(packed.select("ids", "flat", "marks").repartition(SIDES))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total, told = None, None, None
