@@ -21,8 +21,9 @@ from trawl.functions.text import gathered
 ABBREVIATION, STARTER = 0.3, 30.0
 #: Words of either kind that a model has at most.
 LIMIT = 10_000
-#: White space between words, and what stands around a word without being part of it.
-SPACE, LEAD, TRAIL = r"[ \t\n\x0B\f\r]+", r"""^[("'\[«„“]+""", r"""[)"'\]»”,;:]+$"""
+#: White space between words, the characters that stand around a word without being part of it, and patterns of these.
+SPACE, BEFORE, AFTER = r"[ \t\n\x0B\f\r]+", "(\"'[«„“", ")\"']»”,;:"
+LEAD, TRAIL = f"^[{re.escape(BEFORE)}]+", f"[{re.escape(AFTER)}]+$"
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,13 @@ class Model:
 
 def words(text: Column) -> Column:
     """The words of a text, without what stands around them."""
-    bare = F.transform(F.split(text, SPACE), lambda w: F.regexp_replace(F.regexp_replace(w, LEAD, ""), TRAIL, ""))
+    bare = F.transform(F.split(text, SPACE), lambda w: F.rtrim(F.ltrim(w, F.lit(BEFORE)), F.lit(AFTER)))
     return F.filter(bare, lambda w: w != "")
 
 
 def kind_of(word: Column) -> Column:
     """A word in lower case without its last period."""
-    return F.lower(F.regexp_replace(word, r"\.$", ""))
+    return F.lower(F.when(F.endswith(word, F.lit(".")), F.left(word, F.length(word) - 1)).otherwise(word))
 
 
 def _safe(p: Column) -> Column:
@@ -97,7 +98,7 @@ def learn(docs: DataFrame, text: str) -> Model:
     return Model(abbreviations, best(starter_scores(starter_counts(docs, text, abbreviations)), STARTER))
 
 
-_WORD, _LEAD, _TRAIL = re.compile(r"[^ \t\n\x0B\f\r]+"), re.compile(LEAD), re.compile(TRAIL)
+_WORD = re.compile(r"[^ \t\n\x0B\f\r]+")
 
 
 def split(text: str | None, model: Model) -> list[str]:
@@ -106,22 +107,22 @@ def split(text: str | None, model: Model) -> list[str]:
     `!` and `?` end one, and so does a period, but after an abbreviation, a single letter or a number only where a capital
     starts a word that starts sentences, and after an ellipsis only before a capital.
     """
-    found = [(m.start(), m.end(), _TRAIL.sub("", _LEAD.sub("", m[0]))) for m in _WORD.finditer(text or "")]
+    found = [(m.start(), m.end(), m[0].lstrip(BEFORE).rstrip(AFTER)) for m in _WORD.finditer(text or "")]
     out, start = [], None
     for k, (a, b, word) in enumerate(found):
         start = a if start is None else start
-        after = next((w for _, _, w in found[k + 1 : k + 2]), "")
+        if not word.endswith(("!", "?", ".")):
+            continue
+        after = found[k + 1][2] if k + 1 < len(found) else ""
         capital = after[:1].isupper()
         kind = word[:-1].lower()
         if word.endswith(("!", "?")):
             ends = True
         elif word.endswith("..."):
             ends = capital
-        elif word.endswith("."):
+        else:
             short = kind in model.abbreviations or (len(kind) == 1 and kind.isalpha()) or kind.isdigit()
             ends = not short or (capital and after.removesuffix(".").lower() in model.starters)
-        else:
-            ends = False
         if ends:
             out.append(text[start:b])
             start = None
