@@ -139,3 +139,14 @@ def test_layout_of_copies_and_little(spark):
 def test_curve_fits():
     for shape, known in (((0.1, 1.0), (1.577, 0.895)), ((0.5, 1.0), (0.583, 1.334))):
         assert np.abs(np.array(L.curve(*shape)) - known).max() < 0.01
+
+
+def test_decomposition_takes_few_passes(spark, monkeypatch):
+    """Singular values that fall slowly: all blocks together hold the space after six passes, and no cycle starts anew."""
+    dense = np.random.default_rng(3).standard_normal((420, 300))
+    rows = spark.createDataFrame([(list(range(300)), r.tolist()) for r in dense], "cols array<int>, vals array<double>")
+    calls, times = [], A.gram_times
+    monkeypatch.setattr(A, "gram_times", lambda *a: calls.append(1) or times(*a))
+    found = A.truncated_svd(rows, 300, 40, 420)
+    assert found.values == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:40], rel=1e-6)
+    assert len(calls) <= 7

@@ -2,8 +2,8 @@
 
 The matrix is a written table of sparse rows. A pass multiplies it by a thin dense block and the result by its transpose:
 tasks sum their own part as (terms x width), the parts are added by term in Spark, and only the sum of this size reaches the
-driver, whatever the rows; terms are bounded by the vocabulary. After some passes the best subspace of all blocks so far is
-taken (Rayleigh and Ritz) and iterated on until the singular values stand still. The singular values are those of a
+driver, whatever the rows; terms are bounded by the vocabulary. After each pass the best values of all blocks so far are
+taken (Rayleigh and Ritz), until these stand still. The singular values are those of a
 tall-skinny QR of the projected rows, reduced from triangle to triangle.
 """
 
@@ -58,13 +58,18 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def _summed(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Rows of values added by index."""
+    """Rows of values added by index, which rises."""
     out = np.zeros((size, values.shape[1]))
     if len(index):
-        order = np.argsort(index, kind="stable")
-        ordered = index[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+        first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+        out[index[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
+def _times(rows: np.ndarray, at: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """rows[at], each times its number."""
+    out = rows[at]
+    out *= by[:, None]
     return out
 
 
@@ -81,8 +86,13 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
         dense, total = _dense(given, terms), np.zeros((terms, width))
         for batch in batches:
             for at, to, cols, vals, row in _pieces(batch):
-                image = _summed(row, dense[cols] * vals[:, None], to - at)
-                total += _summed(cols, image[row] * vals[:, None], terms)
+                image = _summed(row, _times(dense, cols, vals), to - at)
+                # few terms sort by their digits
+                order = np.argsort(cols.astype(np.uint16) if terms <= 1 << 16 else cols, kind="stable")
+                cols = cols[order]
+                first = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else cols
+                if len(first):
+                    total[cols[first]] += np.add.reduceat(_times(image, row[order], vals[order]), first, axis=0)
         held = np.flatnonzero(total.any(axis=1))
         for k in range(0, len(held), 1024):
             own = held[k : k + 1024]
@@ -105,7 +115,7 @@ def projected(rows: DataFrame, key: str, components: np.ndarray) -> DataFrame:
         dense = _dense(given, terms)
         for batch in batches:
             for at, to, cols, vals, row in _pieces(batch):
-                image = _summed(row, dense[cols] * vals[:, None], to - at)
+                image = _summed(row, _times(dense, cols, vals), to - at)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (to - at) * width + 1, width, dtype=np.int32)), pa.array(image.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], [key, "vector"])
 
@@ -157,28 +167,31 @@ def _beside(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return np.linalg.qr(u)[0] if u.shape[1] else u
 
 
-def truncated_svd(rows: DataFrame, terms: int, k: int, documents: int, more: int = 10, passes: int = 4, tolerance: float = 1e-9, cycles: int = 12, seed: int = 42) -> Decomposition:
+def truncated_svd(rows: DataFrame, terms: int, k: int, documents: int, more: int = 10, passes: int = 16, tolerance: float = 1e-9, cycles: int = 3, seed: int = 42) -> Decomposition:
     """The first k singular values and right vectors of rows (cols, vals), a written table of at most `documents` rows, the
-    rest being zero; not centred. Ends as no square of a singular value moves by more than tolerance times the largest."""
+    rest being zero; not centred. Ends as no square of a singular value has moved by more than tolerance times the largest in two
+    passes one after the other. All blocks so far are one subspace, which gains far more from a pass than one that starts anew
+    after a few; after `passes` its best part is what the next cycle starts with."""
     k = min(k, terms)
     start = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, min(k + more, terms))))[0]
-    last = None
+    last, calm = None, 0
     for _ in range(cycles):
         basis, images = [start], []
-        for p in range(passes):
+        while True:
             images.append(gram_times(rows, basis[-1]))
-            fresh = _beside(images[-1], np.hstack(basis))
-            if not fresh.shape[1] or p == passes - 1:
+            whole = np.hstack(basis)
+            inner = whole.T @ np.hstack(images)
+            values, mixed = np.linalg.eigh((inner + inner.T) / 2)
+            best = np.argsort(-values)[: basis[0].shape[1]]
+            now = np.maximum(values[best[:k]], 0.0)
+            calm = calm + 1 if last is not None and np.abs(now - last).max(initial=0.0) <= tolerance * max(now.max(initial=0.0), 1e-300) else 0
+            last, fresh = now, _beside(images[-1], whole)
+            if calm >= 2 or not fresh.shape[1] or len(images) == passes:
                 break
             basis.append(fresh)
-        whole = np.hstack(basis)
-        inner = whole.T @ np.hstack(images)
-        values, mixed = np.linalg.eigh((inner + inner.T) / 2)
-        best = np.argsort(-values)[: start.shape[1]]
-        start, now = whole @ mixed[:, best], np.maximum(values[best[:k]], 0.0)
-        if not fresh.shape[1] or (last is not None and np.abs(now - last).max(initial=0.0) <= tolerance * max(now.max(initial=0.0), 1e-300)):
+        start = whole @ mixed[:, best]
+        if calm >= 2 or not fresh.shape[1]:
             break
-        last = now
     first = start[:, :k]
     _, s, turned = np.linalg.svd(triangle(projected(rows.withColumn("_k", F.lit(0)), "_k", first), first.shape[1]), full_matrices=False)
     components = first @ turned.T
@@ -194,5 +207,7 @@ def truncated_svd(rows: DataFrame, terms: int, k: int, documents: int, more: int
 
 
 def term_space(docs: DataFrame, key: str, text: str, features: int = 15_000) -> tuple[DataFrame, int]:
-    """Sparse TF-IDF rows of docs and the number of terms."""
-    return sparse_rows(S.tfidf(S.term_counts(docs, key, text), key, docs.count(), features), key)
+    """Sparse TF-IDF rows of docs and the number of terms. Words are counted once, and counts and weights are written, as several
+    sums read each of them."""
+    counts = materialise(S.term_counts(docs, key, text), "counts")
+    return sparse_rows(materialise(S.tfidf(counts, key, docs.count(), features), "weights"), key)
