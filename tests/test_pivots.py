@@ -52,3 +52,19 @@ def test_few_rows_and_vectors_without_length(spark):
     got = pairs(P.nearest_by_pivots(rows, rows, 10))
     assert [x[:3] for x in got] == [(0, 1, 0), (0, 2, 2), (0, 3, 1), (1, 1, 1), (1, 2, 2), (1, 3, 0), (2, 1, 2), (2, 2, 0), (2, 3, 1)]
     assert P.nearest_by_pivots(rows, rows.limit(0), 3).count() == 0 == P.nearest_by_pivots(rows.limit(0), rows, 3).count()
+
+
+def test_vectors_without_clusters_are_not_sent_to_each_open_cell(spark, monkeypatch):
+    """Every cell is open to every query here, so what is written must not go with the cells."""
+    rows = table(spark, np.random.default_rng(10).standard_normal((1200, 24)))
+    written, write = {}, P.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(P.Scratch, "write", counted)
+    got = P.nearest_by_pivots(rows, rows, 5, size=256)
+    assert written["visits"] < 5 * 1200
+    assert pairs(got) == pairs(K.nearest_for_all(rows, rows, 5))

@@ -26,6 +26,8 @@ from trawl.scratch import Scratch, materialise
 PARTS = 1 << 24
 #: A single pull or push is at most this long, and a start lies within this distance.
 CLIP, EXTENT = 4.0, 10.0
+#: Epochs after which the shuffle files of those before are given back.
+GIVEN_BACK = 4
 
 
 def curve(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
@@ -139,4 +141,7 @@ def layout(rows: DataFrame, key: str, vector: str, k: int = 15, min_dist: float
         positions = scratch.write(started(nodes), "positions")
         for epoch in range(epochs):
             positions = scratch.replace(positions, epoch_moves(positions, edges, count, epoch, epochs, a, b, negatives, seed), "positions")
+            if epoch % GIVEN_BACK == GIVEN_BACK - 1:
+                # shuffle files go when the driver's JVM collects what refers to them, which it has no other reason to do
+                rows.sparkSession.sparkContext._jvm.System.gc()
         return materialise(given.join(nodes, "vector").join(positions, "node").select(F.col("_key").alias(key), "x", "y"), "layout")
