@@ -141,6 +141,21 @@ def test_keywords_go_on_until_enough_are_accepted(spark):
     assert {(r["label"], r["keyword_rank"], r["term"]) for r in got} == {(label, n, t) for label in (0, 1) for n, t in enumerate("abcdef")}
 
 
+@pytest.mark.parametrize("most", [3, 8, 40, 10_000])
+def test_keywords_without_terms_that_cannot_matter(spark, sf, most):
+    """The same keywords as from all n-grams, from fewer counts where the vocabulary is full."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 5 = 0").withColumn("label", F.pmod(F.hash("lang"), F.lit(97)))
+    docs = docs.unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(9).withColumn("label", F.lit(-1)))
+    clusters = docs.select("label").filter("label <> -1").distinct().count()
+    every = textstats.cluster_term_counts(docs, "label", "text").cache()
+    few = textstats.keyword_term_counts(docs, "label", "text", clusters, max_features=most)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(textstats.cluster_keywords(few, "label", clusters, max_features=most)) == rows(textstats.cluster_keywords(every, "label", clusters, max_features=most))
+    assert few.exceptAll(every).isEmpty()
+    assert few.count() < 0.7 * every.count() or most == 10_000
+    every.unpersist()
+
+
 def silhouettes(d, labels):
     out = []
     for i, c in enumerate(labels):

@@ -159,13 +159,109 @@ def cluster_term_counts(docs: DataFrame, label: str, text: str, longest: int = 3
     return exploded.groupBy(label, "term").agg(F.count("*").alias("tf"))
 
 
+#: Places in the table that says which terms are frequent; it has a byte for each, whatever the terms, and errs to yes only.
+PLACES = 1 << 21
+
+
+def _chained(hashes, word):
+    """The hash of a gram from that of its words but the last, and the last one's."""
+    import numpy as np
+
+    x = (hashes * np.uint64(0x9E3779B97F4A7C15)) ^ word
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _frequent_places(terms: DataFrame, n: int):
+    """The table of PLACES for terms, n-grams of n words each."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.array([t.split(" ") for t in batch.column(0).to_pylist()], object).reshape(-1, n)
+            hashes = pd.util.hash_array(words[:, 0])
+            for k in range(1, n):
+                hashes = _chained(hashes, pd.util.hash_array(words[:, k]))
+            yield pa.RecordBatch.from_arrays([pa.array((hashes % np.uint64(PLACES)).astype(np.int32))], ["place"])
+
+    out = np.zeros(PLACES, bool)
+    out[terms.select("term").mapInArrow(work, "place int").distinct().toArrow()["place"].to_numpy()] = True
+    return out
+
+
+def _gram_counts(words: DataFrame, label: str, n: int, frequent) -> DataFrame:
+    """(label, term, tf) of the n-grams of words (label, _w) both of whose n-1-grams are frequent, if frequent is given."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    given = words.sparkSession.sparkContext.broadcast(frequent)
+
+    def work(batches):
+        table = given.value
+        for batch in batches:
+            kinds, lists = batch.column(0).dictionary_encode(), batch.column(1)
+            flat, owner = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            if len(flat) < n:
+                continue
+            known, at = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+            starts = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+            if table is not None and n > 1:
+                word = pd.util.hash_array(np.array(known.to_pylist(), object))[at]
+                hashes, m = word, len(word)
+                for k in range(1, n - 1):
+                    hashes = _chained(hashes[: m - k], word[k:])
+                fine = table[hashes % np.uint64(PLACES)]
+                starts = starts[fine[starts] & fine[starts + 1]]
+            # a column of numbers for each word of the gram; equal rows are counted once
+            kind = kinds.indices.to_numpy()[owner[starts]].astype(np.int64)
+            inverse = np.unique(kind * len(known) + at[starts], return_inverse=True)[1]
+            for k in range(1, n):
+                inverse = np.unique(inverse * len(known) + at[starts + k], return_inverse=True)[1]
+            where = starts[np.unique(inverse, return_index=True)[1]]
+            tf = np.bincount(inverse, minlength=len(where))
+            texts = [known.take(pa.array(at[where + k])) for k in range(n)]
+            term = texts[0] if n == 1 else pc.binary_join_element_wise(*texts, " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[where])), term, pa.array(tf.astype(np.int64))], [label, "term", "tf"])
+
+    kind = words.schema[label].dataType.simpleString()
+    return words.mapInArrow(work, f"`{label}` {kind}, term string, tf long").groupBy(label, "term").agg(F.sum("tf").alias("tf"))
+
+
+def _eligible(counts: DataFrame, clusters: int, min_df: int, max_df: float) -> DataFrame:
+    terms = counts.groupBy("term").agg(F.count("*").alias("_df"), F.sum("tf").alias("_cf"))
+    return terms.filter((F.col("_df") >= min_df) & (F.col("_df") <= max_df * clusters))
+
+
+def keyword_term_counts(docs: DataFrame, label: str, text: str, clusters: int, longest: int = 3, min_df: int = 2, max_df: float = 0.85, max_features: int = 15_000) -> DataFrame:
+    """As cluster_term_counts, but without n-grams that cannot be in the vocabulary of cluster_keywords (of the same arguments).
+
+    An n-gram occurs at most as often as each of the shorter ones in it. Once there are max_features terms that may be in the
+    vocabulary, one with a part that is rarer than all of these has no place there, and is not made. Counts of the others are
+    exact, and as long as there are fewer terms everything is counted.
+    """
+    words = docs.filter(F.col(label) != -1).select(label, F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")).alias("_w"))
+    found, frequent = None, None
+    for n in range(1, longest + 1):
+        own = materialise(_gram_counts(words, label, n, frequent), "grams")
+        found = own if found is None else found.unionByName(own)
+        if n < longest:
+            top = _eligible(found, clusters, min_df, max_df).orderBy(F.desc("_cf")).limit(max_features).agg(F.count("*").alias("n"), F.min("_cf").alias("least")).first()
+            rare = top["n"] < max_features
+            frequent = None if rare else _frequent_places(own.groupBy("term").agg(F.sum("tf").alias("_cf")).filter(F.col("_cf") >= top["least"]), n)
+    return found
+
+
 def cluster_keywords(counts: DataFrame, label: str, clusters: int, top: int = 6, min_df: int = 2, max_df: float = 0.85, max_features: int = 15_000) -> DataFrame:
     """(label, keyword_rank, term): best TF-IDF terms, dropping those that hold or are held by an accepted one.
 
     A label's terms are gone through in order until `top` are accepted; there are max_features of them at most.
     """
-    df = counts.groupBy("term").agg(F.count("*").alias("_df"), F.sum("tf").alias("_cf")).filter((F.col("_df") >= min_df) & (F.col("_df") <= max_df * clusters))
-    vocabulary = df.orderBy(F.desc("_cf"), "term").limit(max_features)
+    vocabulary = _eligible(counts, clusters, min_df, max_df).orderBy(F.desc("_cf"), "term").limit(max_features)
     scored = counts.join(vocabulary, "term").withColumn("_s", F.col("tf") * (F.log((1.0 + clusters) / (1.0 + F.col("_df"))) + 1.0))
     ordered = scored.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("s"), "term"))), lambda s: s["term"]).alias("_terms"))
     none = F.array().cast("array<string>")

@@ -230,6 +230,7 @@ def cluster_docs(spark, sf):
 
 @Q("cluster_keywords", "V11", None)
 def cluster_keywords(spark, sf):
+    bounded_batches(spark)
     docs = table(spark, sf, "documents").withColumn("label", F.pmod(F.hash("lang"), F.lit(97)))
     clusters = docs.select("label").distinct().count()
-    return S.cluster_keywords(S.cluster_term_counts(docs, "label", "text"), "label", clusters)
+    return S.cluster_keywords(S.keyword_term_counts(docs, "label", "text", clusters), "label", clusters)
