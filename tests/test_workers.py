@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trawl.operators import crawl as C
@@ -88,3 +89,50 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert [r for r in whole if r[0] == "ended"] == [r for r in again if r[0] == "ended"] == sorted(ended, key=repr)
     # nothing new changes nothing
     assert entries(WK.run(spark, f"{twice}/source", f"{twice}/table", f"{twice}/checkpoint", idle)) == again
+
+
+class Kept:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def exists(self):
+        return () in self.held
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.held[()] = value
+
+    def registerTimer(self, at):
+        pass
+
+    def deleteTimer(self, at):
+        pass
+
+
+def test_state_is_asked_once_a_url_and_batch():
+    rows = sorted(made(3000, 3, ("a",)), key=lambda r: (r[3], r[0]))
+    worker, got = WK.Workers(300), []
+    worker.handle, worker.site, worker.found = Kept(), Kept(), Kept()
+    for at in range(0, len(rows), 500):
+        batch = pd.DataFrame(rows[at : at + 500], columns=["event_id", "site", "url", "arrival", "delay"])
+        for frame in worker.handleInputRows(("a",), iter([batch[:200], batch[200:]]), None):
+            got += [tuple(None if pd.isna(x) else x for x in r) for r in frame.itertuples(index=False)]
+    expected, ended = by_loop(rows, 300)
+    assert sorted(got, key=repr) == sorted(expected + ended, key=repr) and ended
+    assert worker.found.calls <= 3 * 12 * -(-len(rows) // 500)
