@@ -192,31 +192,79 @@ def _frequent_places(terms: DataFrame, n: int):
     return out
 
 
-def _gram_counts(words: DataFrame, label: str, n: int, frequent) -> DataFrame:
-    """(label, term, tf) of the n-grams of words (label, _w) both of whose n-1-grams are frequent, if frequent is given."""
+def _spots(lists, n: int, table):
+    """(known, at, owner, starts, hashes) of lists of words: the different words, each word's place in them and list, and where
+    the n-grams start both of whose n-1-grams are in table, if it is given, with their hashes (for n > 1)."""
     import numpy as np
     import pandas as pd
-    import pyarrow as pa
     import pyarrow.compute as pc
 
+    flat, owner = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    known, at = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    starts = np.flatnonzero(owner[: max(len(owner) - n + 1, 0)] == owner[n - 1 :])
+    if table is None or n == 1:
+        return known, at, owner, starts, None
+    word = pd.util.hash_array(np.array(known.to_pylist(), object))[at]
+    hashes, m = word, len(word)
+    for k in range(1, n - 1):
+        hashes = _chained(hashes[: m - k], word[k:])
+    fine = table[hashes % np.uint64(PLACES)]
+    starts = starts[fine[starts] & fine[starts + 1]]
+    return known, at, owner, starts, _chained(hashes[starts], word[starts + n - 1])
+
+
+#: Places of a table that leave a task in a row.
+CHUNK = 1 << 12
+
+
+def _possible_places(words: DataFrame, n: int, frequent, least: int):
+    """The table of PLACES that n-grams with frequent parts fall on `least` times or more: an n-gram that occurs as often is in it."""
+    import numpy as np
+    import pyarrow as pa
+
     given = words.sparkSession.sparkContext.broadcast(frequent)
 
+    def counted(batches):
+        hits = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            hits += np.bincount((_spots(batch.column(1), n, given.value)[4] % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
+        rows = hits.reshape(-1, CHUNK)
+        some = np.flatnonzero(rows.any(axis=1))
+        for at in range(0, len(some), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 64].astype(np.int32)), pa.array([rows[k].tobytes() for k in some[at : at + 64]], pa.binary())], ["chunk", "hits"])
+
+    def added(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[chunk] = held.get(chunk, 0) + np.frombuffer(hits, np.int64)
+        for chunk, hits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array((np.flatnonzero(hits >= least) + chunk * CHUNK).astype(np.int32))], ["place"])
+
+    out = np.zeros(PLACES, bool)
+    found = words.select(F.lit(0).alias("_"), "_w").mapInArrow(counted, "chunk int, hits binary").repartition("chunk").mapInArrow(added, "place int")
+    out[found.toArrow()["place"].to_numpy()] = True
+    return out
+
+
+def _gram_counts(words: DataFrame, label: str, n: int, frequent, possible=None) -> DataFrame:
+    """(label, term, tf) of the n-grams of words (label, _w) both of whose n-1-grams are frequent, and which are possible, if
+    these tables are given."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    given = words.sparkSession.sparkContext.broadcast((frequent, possible))
+
     def work(batches):
-        table = given.value
+        table, own = given.value
         for batch in batches:
-            kinds, lists = batch.column(0).dictionary_encode(), batch.column(1)
-            flat, owner = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-            if len(flat) < n:
+            kinds = batch.column(0).dictionary_encode()
+            known, at, owner, starts, hashes = _spots(batch.column(1), n, table)
+            if own is not None and hashes is not None:
+                starts = starts[own[hashes % np.uint64(PLACES)]]
+            if not len(starts):
                 continue
-            known, at = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
-            starts = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
-            if table is not None and n > 1:
-                word = pd.util.hash_array(np.array(known.to_pylist(), object))[at]
-                hashes, m = word, len(word)
-                for k in range(1, n - 1):
-                    hashes = _chained(hashes[: m - k], word[k:])
-                fine = table[hashes % np.uint64(PLACES)]
-                starts = starts[fine[starts] & fine[starts + 1]]
             # a column of numbers for each word of the gram; equal rows are counted once
             kind = kinds.indices.to_numpy()[owner[starts]].astype(np.int64)
             inverse = np.unique(kind * len(known) + at[starts], return_inverse=True)[1]
@@ -245,14 +293,19 @@ def keyword_term_counts(docs: DataFrame, label: str, text: str, clusters: int, l
     exact, and as long as there are fewer terms everything is counted.
     """
     words = docs.filter(F.col(label) != -1).select(label, F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")).alias("_w"))
-    found, frequent = None, None
+    words = materialise(words, "words")  # read in each pass
+    found, frequent, least = None, None, 0
     for n in range(1, longest + 1):
-        own = materialise(_gram_counts(words, label, n, frequent), "grams")
+        # a table of counters first, so that of grams with frequent parts only those that may be frequent too are counted by name
+        possible = None if frequent is None else _possible_places(words, n, frequent, least)
+        own = materialise(_gram_counts(words, label, n, frequent, possible), "grams")
         found = own if found is None else found.unionByName(own)
         if n < longest:
             top = _eligible(found, clusters, min_df, max_df).orderBy(F.desc("_cf")).limit(max_features).agg(F.count("*").alias("n"), F.min("_cf").alias("least")).first()
-            rare = top["n"] < max_features
-            frequent = None if rare else _frequent_places(own.groupBy("term").agg(F.sum("tf").alias("_cf")).filter(F.col("_cf") >= top["least"]), n)
+            frequent = None
+            if top["n"] >= max_features:
+                least = top["least"]
+                frequent = _frequent_places(own.groupBy("term").agg(F.sum("tf").alias("_cf")).filter(F.col("_cf") >= least), n)
     return found
 
 
