@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import LOWER, bounded_batches, documents, first_rows, mix64, powers, salted_join, slices, trimmed
+from trawl.llm.shared import LOWER, bounded_batches, documents, first_rows, made_of, mix64, powers, salted_join, slices, trimmed
 from trawl.scratch import Scratch, materialise
 
 WORDS = 5
@@ -180,10 +180,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with trimmed():
         for batch in batches:
-            for at, to, data, offsets in slices(batch.column(1)):
+            for at, to, data, offsets in slices(batch.column(2)):
                 keys, bounds, _ = cells(data, offsets)
                 own = [np.sort(keys[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(own, pa.binary())], ["node", "cells"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), pa.array(own, pa.binary())], ["doc_id", "mark", "cells"])
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -324,10 +324,8 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, id_column: str
         placed = scratch.write(salted_join(buckets, hubs.drop("n"), "bucket", counts=counts), "buckets")
         pairs = scratch.write(placed.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
         known = worded.select("node", "bands", "least").join(placed.select("node").distinct().hint("merge"), "node", "left_semi")
-        # written, so that its size is known: a few wanted texts are picked by a broadcast, many by a sort-merge join
         wanted = scratch.write(known.select("node", "least.doc_id", "least.mark"), "wanted")
-        same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"])
-        cells = texts.join(wanted, same).select("node", "text").mapInArrow(_cell_rows, "node long, cells binary")
+        cells = made_of(texts, wanted, _cell_rows, "cells binary")
         if not sketched.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
             # rows that repeat id and text give a node its cells more than once
             cells = cells.groupBy("node").agg(F.first("cells").alias("cells"))
