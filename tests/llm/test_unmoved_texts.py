@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.llm import near_dedup
+from trawl.llm import near_dedup, ngram_join
 from trawl.llm.shared import made_of
 from trawl.scratch import Scratch
 
@@ -17,7 +17,7 @@ def texts_of(count):
     return [(k, " ".join(f"w{k - (k % 3 == 2)}x{i}" for i in range(59)) + f" end{k}") for k in range(count)]
 
 
-@pytest.mark.parametrize(("operator", "result"), [(near_dedup.near_classes, "class_id")])
+@pytest.mark.parametrize(("operator", "result"), [(near_dedup.near_classes, "class_id"), (ngram_join.joined, "component_id")])
 def test_no_shuffle_of_texts(spark, make, monkeypatch, operator, result):
     """The sides that texts were joined with are too large for a broadcast here, as they are in large tables."""
     plans, write = [], Scratch.write

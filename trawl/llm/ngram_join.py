@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from trawl.llm import near_dedup
 from trawl.llm.components import components
 from trawl.llm.near_dedup import block_pairs, compare, shingles, similarity
-from trawl.llm.shared import bounded_batches, documents, mix64, salted_join, slices, trimmed
+from trawl.llm.shared import bounded_batches, documents, made_of, mix64, salted_join, slices, trimmed
 from trawl.scratch import Scratch, materialise
 
 WORDS, PERCENT = 3, 90
@@ -132,7 +132,7 @@ def _set_rows(words: int):
                 for at, to, data, offsets in slices(batch.column(2)):
                     elements, bounds = sets(data, offsets, words)
                     own = [elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(own, pa.binary())], ["node", "cells"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), pa.array(own, pa.binary())], [*batch.schema.names[:2], "cells"])
 
     return work
 
@@ -333,16 +333,15 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
         repeated = not rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
         def read(wanted: DataFrame, work, columns: str) -> DataFrame:
-            """What work makes of (node, mark, text) of the nodes of wanted, a row a node."""
+            """node and what work makes of (doc_id, mark, text) for the nodes of wanted, a row a node."""
             wanted = scratch.write(nodes.select("node", "least").join(wanted.distinct().hint("merge"), "node", "left_semi").select("node", "least.doc_id", "least.mark"), "wanted")
-            own = texts.join(wanted.withColumnRenamed("doc_id", "own_id").withColumnRenamed("mark", "own_mark"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
-            made = own.select("node", "mark", "text").mapInArrow(work, columns)
+            made = made_of(texts, wanted, work, columns)
             if repeated:  # rows that repeat id and text give a node more than once
                 made = made.groupBy("node").agg(*[F.first(c).alias(c) for c in made.columns if c != "node"])
             return scratch.write(made, "read")
 
         def sets_of(wanted: DataFrame) -> DataFrame:
-            return read(wanted, _set_rows(words), "node long, cells binary")
+            return read(wanted, _set_rows(words), "cells binary")
 
         def verified(pairs: DataFrame) -> DataFrame:
             both = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
@@ -365,7 +364,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
         fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
         stars = scratch.write(members.filter(fits).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
         in_buckets = members.select("node").unionByName(hubs.select(F.col("hub").alias("node")))
-        known = read(in_buckets, _prefixed(levels, words, percent, len(ORDERS), False), f"node long, mark long, size long, {', '.join(lists)}").drop("mark")
+        known = read(in_buckets, _prefixed(levels, words, percent, len(ORDERS), False), f"size long, {', '.join(lists)}")
         found = components(verified(scratch.write(likely(stars, known, percent), "candidates")))
         # in the bucket of a pair's first common shingle what is before it differs, and the hub has the least before it
         largest = F.floor(100 * F.col("size") / percent)
