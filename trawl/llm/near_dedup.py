@@ -203,12 +203,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["u", "v", "similarity"])
 
 
-def compare(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """(u, v, similarity) of each pair (u, v) of a written table, exact over the whole texts; a hub may be in many pairs."""
+def compare(pairs: DataFrame, cells: DataFrame, work=_compare, columns: str = "u long, v long, similarity double") -> DataFrame:
+    """(u, v, similarity), or what else work makes, of each pair (u, v) of a written table, exact over the whole texts; a hub may
+    be in many pairs."""
     left, right = cells.select(F.col("node").alias("u"), F.col("cells").alias("cu")), cells.select(F.col("node").alias("v"), F.col("cells").alias("cv"))
     half = salted_join(pairs, left, "u")
     both = salted_join(half, right, "v", counts=pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    return both.select("u", "v", "cu", "cv").mapInArrow(_compare, "u long, v long, similarity double")
+    return both.select("u", "v", "cu", "cv").mapInArrow(work, columns)
 
 
 def bitmaps(cells: list[np.ndarray], bits: int) -> np.ndarray:

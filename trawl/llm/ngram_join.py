@@ -12,10 +12,14 @@ Equal sets are one node. A bucket holds the nodes that have a shingle in their p
 sizes are of one class or the one below; buckets with the same members are one. The members are paired with one hub, the
 same for all buckets that hold it, so that groups are linked by stars. Buckets that then still hold several components are
 searched for links that no hub saw: the members outside the bucket's largest component meet all others block by block
-inside tasks, which return only links of different components, verified there. The prefixes of the other orders are made
-for the members of buckets only, and whole sets for those of candidates only. A pair is looked at in the bucket of its first common shingle alone,
-where the elements that either has before it differ; the hub is the member with the fewest of them, as of near
-copies the one with the fewest edits of its own links most.
+inside tasks, which return only links of different components, verified there. A pair is looked at in the bucket of its first
+common shingle alone, where the elements that either has before it differ; the hub is the member with the fewest of them, as
+of near copies the one with the fewest edits of its own links most.
+
+Most pairs that meet in a prefix share a rare shingle by chance, and the larger the corpus the more of them. They are told apart
+by bitmaps: an element that only one of two sets has changes one parity, so a pair whose bitmaps differ in more bits than a
+link allows is none. A bitmap is about a fortieth of a set, so little is sent of the nodes whatever the pairs. Whole sets are sent
+for what the bitmaps leave, and the prefixes under all orders are made of these where they have arrived.
 
 Shingles are known by 64-bit hashes. Defined cases: a text of fewer words than a shingle has is one shingle; a text without
 words (null too) has an empty set, links with nothing and is its own component; rows whose id is null are linked as all
@@ -36,13 +40,15 @@ from pyspark.sql import functions as F
 from trawl.llm import near_dedup
 from trawl.llm.components import components
 from trawl.llm.near_dedup import block_pairs, compare, shingles, similarity
-from trawl.llm.shared import bounded_batches, documents, made_of, mix64, salted_join, slices, trimmed
+from trawl.llm.shared import bounded_batches, documents, made_of, marked_rows, mix64, salted_join, slices, trimmed
 from trawl.scratch import Scratch, materialise
 
 WORDS, PERCENT = 3, 90
 #: Counters of the sketch: at most this many rows reach the driver.
 SLOTS = 1 << 18
 ORDERS = ("rare", "second", "third")
+#: Bits of a bitmap, within which they follow the size of the set.
+LEAST_BITS, MOST_BITS = 1 << 6, 1 << 17
 _SEEDS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -98,9 +104,55 @@ def ranks(elements: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
     return [first, *(mix64(elements ^ seed) for seed in _SEEDS)]
 
 
-def _prefixed(levels, words: int, percent: int, orders: int, named: bool):
-    """The first two columns, text -> the same columns, the digest of the set (where named), its size and its prefixes under
-    the first orders, each ascending."""
+def prefixed(elements: np.ndarray, bounds: np.ndarray, levels: np.ndarray, percent: int, orders: int = len(ORDERS)) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(bounds, a list for each of the first orders): the prefixes of sets, each ascending."""
+    n = np.diff(bounds)
+    owner, p = np.repeat(np.arange(len(n)), n), prefix_sizes(n, percent)
+    out = []
+    for rank in ranks(elements, levels)[:orders]:
+        order = np.lexsort((rank, owner))
+        out.append(rank[order][np.arange(len(order)) - bounds[owner] < p[owner]])
+    return np.concatenate([[0], np.cumsum(p)]), out
+
+
+def parities(elements: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A bitmap for each set: the parities of the numbers of its elements with a hash in each of its places, which are a power
+    of two and as many as elements, within bounds. An element that only one of two sets has changes one bit."""
+    n = np.diff(bounds)
+    bits = np.int64(1) << np.ceil(np.log2(np.clip(n, LEAST_BITS, MOST_BITS))).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(bits)])
+    place = (elements >> np.uint64(20)).astype(np.int64) & np.repeat(bits - 1, n)
+    odd = np.bincount(np.repeat(starts[:-1], n) + place, minlength=starts[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip(starts[:-1] >> 3, starts[1:] >> 3, strict=True)]
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ: at most as many as elements that only one of the two sets has."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, words)) ^ np.bitwise_xor.reduce(y.reshape(-1, words))).sum())
+
+
+def bits_allow(x: list[np.ndarray], y: list[np.ndarray], fine: np.ndarray, allowed: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The matrix fine (of x by y) without the pairs whose bitmaps differ in more bits than allowed."""
+    out, wide, high = np.zeros_like(fine), np.array([len(b) for b in x]), np.array([len(b) for b in y])
+    for a in np.unique(wide):
+        for b in np.unique(high):
+            rows, columns, words = np.flatnonzero(wide == a), np.flatnonzero(high == b), min(a, b)
+            if not fine[np.ix_(rows, columns)].any():
+                continue
+            left, right = (np.bitwise_xor.reduce(np.stack([z[k] for k in own]).reshape(len(own), -1, words), axis=1) for z, own in ((x, rows), (y, columns)))
+            most = max(1, step // right.size)
+            for k in range(0, len(rows), most):
+                at = np.ix_(rows[k : k + most], columns)
+                differ = np.bitwise_count(left[k : k + most, None, :] ^ right[None, :, :]).sum(axis=2, dtype=np.int64)
+                out[at] = fine[at] & (differ <= allowed[at])
+    return out
+
+
+def _prefixed(levels, words: int, percent: int):
+    """The first two columns, text -> the same columns, the digest of the set, its size, its prefix under the first order and its
+    bitmap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
@@ -109,18 +161,14 @@ def _prefixed(levels, words: int, percent: int, orders: int, named: bool):
                 for at, to, data, offsets in slices(batch.column(2)):
                     elements, bounds = sets(data, offsets, words)
                     n = np.diff(bounds)
-                    owner, p = np.repeat(np.arange(to - at), n), prefix_sizes(n, percent)
                     digests = np.zeros((to - at, 2), np.uint64)
-                    for j in range(2 * named):
+                    for j in range(2):
                         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(elements * np.uint64(2 * j + 1) + np.uint64(j + 1)), dtype=np.uint64)])
                         digests[:, j] = mix64(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64))
-                    lists = []
-                    for rank in ranks(elements, level)[:orders]:
-                        order = np.lexsort((rank, owner))
-                        kept = np.arange(len(order)) - bounds[owner] < p[owner]
-                        lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(rank[order][kept].view(np.int64))))
-                    digest = [pa.array([d.tobytes() for d in digests], pa.binary())] if named else []
-                    yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), *digest, pa.array(n), *lists], [*batch.schema.names[:2], *["digest"] * named, "size", *ORDERS[:orders]])
+                    ends, (rare,) = prefixed(elements, bounds, level, percent, 1)
+                    rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare.view(np.int64)))
+                    digest, bits = pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(parities(elements, bounds), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:2]), digest, pa.array(n), rare, bits], [*batch.schema.names[:2], "digest", "size", ORDERS[0], "bits"])
 
     return work
 
@@ -152,6 +200,11 @@ def differing(x: np.ndarray, y: np.ndarray) -> int:
     return len(both) - 2 * int((both[1:] == both[:-1]).sum())
 
 
+def _words(column) -> list[np.ndarray]:
+    """The rows of an Arrow column of binaries, as unsigned numbers."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
 def _likely(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +212,9 @@ def _likely(percent: int):
             a, b = np.asarray(columns["size_u"]), np.asarray(columns["size_v"])
             fine = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
             allowed = differences_allowed(a, b, percent)
-            for order in ORDERS:
-                xs, ys = _lists(columns[f"{order}_u"]), _lists(columns[f"{order}_v"])
-                for k in np.flatnonzero(fine):
-                    fine[k] = differing(xs[k], ys[k]) <= allowed[k]
+            xs, ys = _words(columns["bits_u"]), _words(columns["bits_v"])
+            for k in np.flatnonzero(fine):
+                fine[k] = bits_apart(xs[k], ys[k]) <= allowed[k]
             mask = pa.array(fine)
             yield pa.RecordBatch.from_arrays([columns["u"].filter(mask), columns["v"].filter(mask)], ["u", "v"])
 
@@ -170,13 +222,39 @@ def _likely(percent: int):
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of a written table that no order tells apart; a hub may be in many pairs."""
-    facts = ("size", *ORDERS)
+    """The pairs (u, v) of a written table that sizes and bitmaps do not tell apart; a hub may be in many pairs."""
+    facts = ("size", "bits")
     side = lambda at: nodes.select(F.col("node").alias(at), *[F.col(c).alias(f"{c}_{at}") for c in facts])
     half = salted_join(pairs, side("u"), "u")
     return salted_join(half, side("v"), "v", counts=pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))).mapInArrow(_likely(percent), "u long, v long")
 
 
+def _orders_of(cells: list[np.ndarray], levels: np.ndarray, percent: int) -> list[list[np.ndarray]]:
+    """For each order the prefixes of these whole sets."""
+    bounds = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int64)
+    ends, lists = prefixed(np.concatenate(cells), bounds, levels, percent)
+    return [[flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] for flat in lists]
+
+
+def _linked(levels, percent: int, rows: int = 64):
+    """(u, v, cu, cv) -> (u, v) of the linked: pairs that no order tells apart and whose whole sets are near enough."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(levels.value, np.uint8)
+        with trimmed():
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    xs, ys = _words(part.column(2)), _words(part.column(3))
+                    allowed = [differences_allowed(len(x), len(y), percent) for x, y in zip(xs, ys, strict=True)]
+                    both = list(zip(_orders_of(xs, level, percent), _orders_of(ys, level, percent), strict=True))
+                    fine = [all(differing(x[k], y[k]) <= allowed[k] for x, y in both) and similarity(xs[k], ys[k]) >= percent / 100 for k in range(part.num_rows)]
+                    mask = pa.array(fine, pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["u", "v"])
+
+    return work
+
+
 def _common(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 2048) -> np.ndarray:
     """Numbers of elements that each of xs has in common with each of ys."""
     out = np.zeros((len(xs), len(ys)), np.float32)
@@ -208,34 +286,45 @@ def block_candidates(size: np.ndarray, prefixes: list[list[np.ndarray]], left: n
     return fine
 
 
-def _candidates_between(group: pa.RecordBatch, percent: int, orders: tuple[str, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of candidates of different parts, by these orders, within a block pair whose first common shingle is the bucket's."""
+def _near_between(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, fine): the rows of a block pair, and a matrix that says of which the parts differ while sizes, places of the
+    bucket's shingle and, where there are some, bitmaps let them be linked."""
     i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
-    sub, part, size = (np.asarray(group.column(c)) for c in ("sub", "part", "size"))
-    none = np.zeros(0, np.int64)
-    shingle = np.asarray(group.column("shingle"), np.int64)[:1].view(np.uint64)[0]
+    sub, part, size, place = (np.asarray(group.column(c)) for c in ("sub", "part", "size", "place"))
     left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
-    if not len(left) or not len(right):
-        return none, none
     fine = part[left][:, None] != part[right][None, :]
     if i == j:
         fine &= left[:, None] < right[None, :]
     a, b = size[left][:, None], size[right][None, :]
     fine &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    allowed = differences_allowed(a, b, percent)
+    # in the bucket of the first common shingle all that is before it differs
+    fine &= place[left][:, None] + place[right][None, :] <= allowed
+    at = group.schema.get_field_index("bits")
+    if at >= 0 and fine.any():
+        bits = _words(group.column(at))
+        rows, columns = np.flatnonzero(fine.any(axis=1)), np.flatnonzero(fine.any(axis=0))
+        left, right, fine, allowed = left[rows], right[columns], fine[np.ix_(rows, columns)], allowed[np.ix_(rows, columns)]
+        fine = bits_allow([bits[k] for k in left], [bits[k] for k in right], fine, allowed)
+    return left, right, fine
+
+
+def _candidates_between(group: pa.RecordBatch, percent: int, prefixes: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of candidates of different parts, by the prefixes under the first orders, within a block pair whose first common
+    shingle is the bucket's."""
+    none = np.zeros(0, np.int64)
+    left, right, fine = _near_between(group, percent)
     if not fine.any():
         return none, none
-    rare = _lists(group.column(ORDERS[0]))
+    size, rare = np.asarray(group.column("size")), prefixes[0]
+    shingle = np.asarray(group.column("shingle"), np.int64)[:1].view(np.uint64)[0]
     ahead = [x[: np.searchsorted(x, shingle)] for x in rare]
-    before = np.array([len(x) for x in ahead])
-    fine &= before[left][:, None] + before[right][None, :] <= differences_allowed(a, b, percent)
-    if fine.any():
-        fine &= _common([ahead[k] for k in left], [ahead[k] for k in right]) == 0
+    fine &= _common([ahead[k] for k in left], [ahead[k] for k in right]) == 0
     # rows and columns without a pair need no look at their prefixes
     rows, columns = np.flatnonzero(fine.any(axis=1)), np.flatnonzero(fine.any(axis=0))
     if not len(rows):
         return none, none
     left, right, fine = left[rows], right[columns], fine[np.ix_(rows, columns)]
-    prefixes = [rare, *(_lists(group.column(c)) for c in orders[1:])]
     if fine.sum() * 8 > fine.size:
         x, y = np.nonzero(fine & block_candidates(size, prefixes, left, right, percent))
     else:
@@ -246,13 +335,16 @@ def _candidates_between(group: pa.RecordBatch, percent: int, orders: tuple[str,
     return left[x], right[y]
 
 
-def _links_between(group: pa.RecordBatch, percent: int) -> tuple[list[int], list[int]]:
+def _links_between(group: pa.RecordBatch, percent: int, levels: np.ndarray) -> tuple[list[int], list[int]]:
     """A link for each two parts that are linked within one block pair, verified by whole sets."""
     us, vs, known = [], [], set()
-    part, member, cells = np.asarray(group.column("part")), np.asarray(group.column("member")), group.column("cells")
-    for m, n in zip(*_candidates_between(group, percent), strict=True):
+    part, member = np.asarray(group.column("part")), np.asarray(group.column("member"))
+    if not _near_between(group, percent)[2].any():
+        return us, vs
+    cells = _words(group.column("cells"))
+    for m, n in zip(*_candidates_between(group, percent, _orders_of(cells, levels, percent)), strict=True):
         between = (min(part[m], part[n]), max(part[m], part[n]))
-        if between not in known and similarity(*(np.frombuffer(cells[int(k)].as_buffer(), np.uint64) for k in (m, n))) >= percent / 100:
+        if between not in known and similarity(cells[m], cells[n]) >= percent / 100:
             known.add(between)
             us.append(min(member[m], member[n]))
             vs.append(max(member[m], member[n]))
@@ -285,7 +377,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 def in_block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame, work, columns: str) -> DataFrame:
     """What work makes of each block pair of the buckets that hold several parts; labelled is a written table (bucket,
-    shingle, node, part) without hubs, known has facts by node."""
+    shingle, node, place, part) without hubs, known has facts by node."""
     keys = ("bucket", "i", "j")
     keyed = block_pairs(labelled, counts, known.withColumn("member", F.col("node")), 2 * near_dedup.BLOCK)
 
@@ -300,19 +392,50 @@ def in_block_pairs(labelled: DataFrame, counts: DataFrame, known: DataFrame, wor
     return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, columns).distinct()
 
 
-def links_left(labelled: DataFrame, counts: DataFrame, known: DataFrame, percent: int, sets_of, scratch: Scratch) -> DataFrame:
-    """(u, v), written: links between different parts of a bucket. Pairs stay inside tasks, which first name the members of a
-    bucket that are in a pair which the first order lets pass. Only these are sent again, with the prefixes under the other
-    orders and the whole sets that sets_of gives, and verified where all orders let them pass."""
+def links_left(labelled: DataFrame, counts: DataFrame, nodes: DataFrame, percent: int, sets_of, levels, scratch: Scratch) -> DataFrame:
+    """(u, v), written: links between different parts of a bucket. Pairs stay inside tasks, and what is sent grows as fewer
+    members are left: bitmaps first; for the members of a bucket that are in a pair which these let pass, prefixes under the first
+    order; for those in a pair that still passes in the bucket of its first common shingle, the whole sets that sets_of gives. Of
+    these the prefixes under all orders are made inside the task, and what passes is verified."""
 
-    def named(group: pa.RecordBatch) -> tuple[list[int], np.ndarray]:
-        held = np.unique(np.concatenate(_candidates_between(group, percent, ORDERS[:1])))
-        return [group.column("bucket")[0].as_py()] * len(held), np.asarray(group.column("member"))[held]
+    def members(group: pa.RecordBatch, rows: np.ndarray) -> tuple[list[int], np.ndarray]:
+        return [group.column("bucket")[0].as_py()] * len(rows), np.asarray(group.column("member"))[rows]
 
-    wanted = scratch.write(in_block_pairs(labelled, counts, known.select("node", "size", ORDERS[0]), named, "bucket long, node long"), "candidates")
-    full = known.join(sets_of(wanted.select("node")).hint("merge"), "node")
-    few = scratch.write(labelled.join(wanted.hint("merge"), ["bucket", "node"], "left_semi"), "labelled")
-    return scratch.write(in_block_pairs(few, counts, full, lambda g: _links_between(g, percent), "u long, v long"), "links")
+    def near(group: pa.RecordBatch) -> tuple[list[int], np.ndarray]:
+        left, right, fine = _near_between(group, percent)
+        return members(group, np.unique(np.concatenate([left[fine.any(axis=1)], right[fine.any(axis=0)]])))
+
+    def named(group: pa.RecordBatch) -> tuple[list[int], np.ndarray]:
+        return members(group, np.unique(np.concatenate(_candidates_between(group, percent, [_lists(group.column(ORDERS[0]))]))))
+
+    def linked(group: pa.RecordBatch) -> tuple[list[int], list[int]]:
+        return _links_between(group, percent, np.frombuffer(levels.value, np.uint8))
+
+    def left_by(work, of: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        wanted = scratch.write(in_block_pairs(of, counts, known, work, "bucket long, node long"), "candidates")
+        return wanted, scratch.write(of.join(wanted.hint("merge"), ["bucket", "node"], "left_semi"), "labelled")
+
+    wanted, few = left_by(near, labelled, nodes.select("node", "size", "bits"))
+    marked = nodes.select("node", "size", "bits", ORDERS[0], F.xxhash64("node").alias("mark"))
+    wanted, few = left_by(named, few, marked_rows(marked, wanted.select(F.xxhash64("node").alias("mark")), "mark").drop("mark"))
+    full = sets_of(wanted.select("node")).select("node", F.floor(F.length("cells") / 8).alias("size"), "cells")
+    return scratch.write(in_block_pairs(few, counts, full, linked, "u long, v long"), "links")
+
+
+def bucketed(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """members (place, shingle, node, size) with the bucket of their shingle and class of size and that of the next class, since
+    sizes of linked sets lie in one class or in two that follow each other; most rows that would be alone in a bucket are left out."""
+    kind = F.floor(F.log(F.col("size")) / math.log(100 / percent) * 0.999).cast("int")
+    members = members.withColumn("kind", kind)
+    bit = "shiftleft(CAST(1 AS BIGINT), (kind + {}) & 63)".format
+    # the classes of a shingle's members as bits, and those with an odd number of members
+    shared = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.expr(f"bit_or({bit(0)})").alias("kinds"), F.expr(f"bit_xor({bit(0)})").alias("odd"))
+    shared = scratch.write(shared.filter("n > 1"), "shared")
+    placed = salted_join(members, shared.withColumnRenamed("n", "total"), "shingle", counts=shared)
+    # others of one's class there may be where it has an even number of members, or where more are there than ones and twos explain
+    twice = F.expr(f"total - bit_count(kinds) > bit_count(kinds & ~odd) OR (kinds & ~odd & {bit(0)}) <> 0")
+    own, following = (F.when(twice | F.expr(f"(kinds & {bit(side)}) <> 0"), F.xxhash64("shingle", F.col("kind") + k)) for k, side in ((0, 63), (1, 1)))
+    return placed.select(F.explode(F.array_compact(F.array(own, following))).alias("bucket"), "shingle", "place", "node", "size")
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -322,38 +445,29 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
     text = F.coalesce(F.col(text_column), F.lit(""))
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     levels = spark.sparkContext.broadcast(rarity(texts, words).tobytes())
-    lists = [f"{c} array<long>" for c in ORDERS]
-    rows = materialise(texts.mapInArrow(_prefixed(levels, words, percent, 1, True), f"doc_id long, mark long, digest binary, size long, {lists[0]}"), "prefixes")
+    rows = materialise(texts.mapInArrow(_prefixed(levels, words, percent), f"doc_id long, mark long, digest binary, size long, {ORDERS[0]} array<long>, bits binary"), "prefixes")
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
 
     with Scratch(spark) as scratch:
-        nodes = rows.filter("size > 0").groupBy("digest").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", ORDERS[0])])
+        nodes = rows.filter("size > 0").groupBy("digest").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", ORDERS[0], "bits")])
         # numbers of the nodes, fixed as the table is written
         nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         repeated = not rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
-        def read(wanted: DataFrame, work, columns: str) -> DataFrame:
-            """node and what work makes of (doc_id, mark, text) for the nodes of wanted, a row a node."""
+        def sets_of(wanted: DataFrame) -> DataFrame:
+            """(node, cells), written: the whole sets of the nodes of wanted, out of the texts, a row a node."""
             wanted = scratch.write(nodes.select("node", "least").join(wanted.distinct().hint("merge"), "node", "left_semi").select("node", "least.doc_id", "least.mark"), "wanted")
-            made = made_of(texts, wanted, work, columns)
+            made = made_of(texts, wanted, _set_rows(words), "cells binary")
             if repeated:  # rows that repeat id and text give a node more than once
-                made = made.groupBy("node").agg(*[F.first(c).alias(c) for c in made.columns if c != "node"])
+                made = made.groupBy("node").agg(F.first("cells").alias("cells"))
             return scratch.write(made, "read")
 
-        def sets_of(wanted: DataFrame) -> DataFrame:
-            return read(wanted, _set_rows(words), "cells binary")
-
         def verified(pairs: DataFrame) -> DataFrame:
             both = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-            return scratch.write(compare(pairs, sets_of(both)).filter(F.col("similarity") >= percent / 100).select("u", "v"), "links")
+            return scratch.write(compare(pairs, sets_of(both), _linked(levels, percent), "u long, v long"), "links")
 
         buckets = nodes.select(F.posexplode(ORDERS[0]).alias("place", "shingle"), "node", "size")
-        shared = scratch.write(buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
-        # sizes of linked sets lie in one class or in two that follow each other, so each member is in its own and the next
-        kind = F.floor(F.log(F.col("size")) / math.log(100 / percent) * 0.999).cast("int")
-        placed = salted_join(buckets, shared.select("shingle"), "shingle", counts=shared)
-        placed = placed.select("shingle", "place", "node", "size", kind.alias("kind")).select(F.explode(F.array(F.xxhash64("shingle", "kind"), F.xxhash64("shingle", F.col("kind") + 1))).alias("bucket"), "shingle", "place", "node", "size")
-        placed = scratch.write(placed, "placed")
+        placed = scratch.write(bucketed(buckets, percent, scratch), "placed")
         turn = F.struct("place", F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("size").alias("size"))
         hubs = placed.groupBy("bucket").agg(F.first("shingle").alias("shingle"), F.min(turn).alias("hub"), F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).filter("n > 1")
         # of buckets with the same members the one first in order is kept, as it has the pairs' first common shingle
@@ -363,14 +477,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_colum
         members = scratch.write(salted_join(placed, hubs.drop("n"), "bucket", counts=counts).filter("node <> hub"), "members")
         fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
         stars = scratch.write(members.filter(fits).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs")
-        in_buckets = members.select("node").unionByName(hubs.select(F.col("hub").alias("node")))
-        known = read(in_buckets, _prefixed(levels, words, percent, len(ORDERS), False), f"size long, {', '.join(lists)}")
-        found = components(verified(scratch.write(likely(stars, known, percent), "candidates")))
+        found = components(verified(scratch.write(likely(stars, nodes, percent), "candidates")))
         # in the bucket of a pair's first common shingle what is before it differs, and the hub has the least before it
         largest = F.floor(100 * F.col("size") / percent)
         able = F.col("place") + F.col("hub_place") <= F.floor((100 - percent) * (F.col("size") + largest) / (100 + percent))
-        labelled = members.filter(able).join(found.hint("merge"), "node", "left").select("bucket", "shingle", "node", F.coalesce("component", "node").alias("part"))
-        more = links_left(scratch.write(labelled, "labelled"), counts, known, percent, sets_of, scratch)
+        labelled = members.filter(able).join(found.hint("merge"), "node", "left").select("bucket", "shingle", "node", "place", F.coalesce("component", "node").alias("part"))
+        more = links_left(scratch.write(labelled, "labelled"), counts, nodes, percent, sets_of, levels, scratch)
         if not more.isEmpty():
             found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         parts = nodes.select("digest", "n", "node", "least").join(found.hint("merge"), "node", "left").select("digest", "n", "least", F.coalesce("component", "node").alias("part"))

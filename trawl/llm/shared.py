@@ -49,6 +49,16 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", c
 MOST_WORDS = 1 << 19
 
 
+def marked_rows(rows: DataFrame, wanted: DataFrame, mark: str) -> DataFrame:
+    """The rows whose mark, a column of hashes, is among the marks of wanted, a written table, and few others: a bitmap of these is
+    broadcast, so that no row is shuffled."""
+    words = min(MOST_WORDS, 1 << max(8, (wanted.count() // 4).bit_length()))
+    word = F.col(mark).bitwiseAND(F.lit(words - 1))
+    bit = f"CAST(shiftrightunsigned({mark}, 40) & 63 AS INT)"
+    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(CAST(1 AS BIGINT), {bit})")).alias("_bits"))
+    return rows.join(F.broadcast(bits), word == F.col("_word")).filter(F.expr(f"shiftrightunsigned(_bits, {bit}) & 1 = 1")).select(*rows.columns)
+
+
 def made_of(texts: DataFrame, wanted: DataFrame, work, columns: str) -> DataFrame:
     """node and what work makes of (doc_id, mark, text), for the rows of texts that wanted, a written table (node, doc_id, mark),
     names. work hands on its first two columns; columns says the others.
@@ -56,12 +66,7 @@ def made_of(texts: DataFrame, wanted: DataFrame, work, columns: str) -> DataFram
     Texts are not shuffled, whatever the number of wanted rows: a bitmap of their marks is broadcast and leaves few others, and
     what work makes of those that pass is joined with wanted, which settles the rest.
     """
-    words = min(MOST_WORDS, 1 << max(8, (wanted.count() // 4).bit_length()))
-    word = F.col("mark").bitwiseAND(F.lit(words - 1))
-    bit = "CAST(shiftrightunsigned(mark, 40) & 63 AS INT)"
-    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(CAST(1 AS BIGINT), {bit})")).alias("_bits"))
-    near = texts.join(F.broadcast(bits), word == F.col("_word")).filter(F.expr(f"shiftrightunsigned(_bits, {bit}) & 1 = 1"))
-    made = near.select("doc_id", "mark", "text").mapInArrow(work, f"doc_id long, mark long, {columns}")
+    made = marked_rows(texts, wanted, "mark").select("doc_id", "mark", "text").mapInArrow(work, f"doc_id long, mark long, {columns}")
     own = wanted.select("node", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).hint("merge")
     joined = made.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     return joined.drop("doc_id", "mark", "_id", "_mark")
