@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -100,3 +101,25 @@ def test_abbreviations_are_not_split(learnt, spark):
     rows = spark.createDataFrame([(1, "Danes je dr. Novak tu. Potem gre."), (2, None)], "id int, text string")
     got = {r["id"]: r["c"] for r in rows.select("id", S.chunks_column(F.col("text"), model, 5).alias("c")).collect()}
     assert got == {1: ["Danes je dr. Novak tu.", "Potem gre."], 2: None}
+
+
+def test_models_are_whole(spark, tmp_path, monkeypatch):
+    """More abbreviations than 10,000 all count, and a model that tasks don't carry gives the same chunks by joins."""
+    from trawl.functions.text import gathered
+    from trawl.plans import text_queries
+
+    kinds = ["".join(c) for c in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3), 10_400)]
+    texts = [" ".join(f"{'vsebina ' * 40}{k}. drugi" for k in kinds[i : i + 20]) for i in range(0, len(kinds), 20)]
+    texts += [" ".join(s) for s in corpus(60)] + ["", " . "]
+    short, abbreviations, starters = model_by_loops(texts)
+    assert len(abbreviations) > 10_000 and "danes" in starters
+    model = S.Model(frozenset(abbreviations), frozenset(starters))
+    want = sorted((i, k, c) for i, t in enumerate(texts) for k, c in enumerate(gathered(S.split(t, model), 128)))
+    rows = [*enumerate(texts), (len(texts), None), (None, texts[-3]), (None, texts[-3])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for most in (S.CARRIED, 100):
+        monkeypatch.setattr(S, "CARRIED", most)
+        got = [tuple(r) for r in text_queries.learned_chunks(spark, str(tmp_path)).collect()]
+        assert sorted(r for r in got if r[0] is not None) == want
+        copies = [r[1:] for r in got if r[0] is None]
+        assert sorted(copies) == sorted(2 * [r[1:] for r in want if r[0] == len(texts) - 3])

@@ -178,9 +178,8 @@ def abbreviation_scores(spark, sf):
 def learned_chunks(spark, sf):
     """Chunks of the documents by sentences of a splitter that has learnt from all of them."""
     bounded_batches(spark)
-    docs = table(spark, sf, "documents")
-    model = SE.learn(docs, "text")
-    return docs.select("doc_id", F.posexplode(SE.chunks_column(F.col("text"), model)).alias("chunk_no", "chunk"))
+    docs = SE.with_chunks(table(spark, sf, "documents").select("doc_id", "text"), "text", "chunks")
+    return docs.select("doc_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
 
 
 @Q("tfidf_terms", "V10", f"""
