@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import itertools
 import math
+import threading
 from collections import Counter
 
 import duckdb
@@ -235,3 +236,25 @@ def test_sums_of_silhouettes_leave_few_tasks(spark, monkeypatch):
     d = np.linalg.norm(v[:, None] - v[None, :], axis=2)
     assert blocks.full_silhouettes(frame, "id", "u", "labels", [4], size=20) == pytest.approx([silhouettes(d, np.arange(1200) % 4).mean()], abs=1e-6)
     assert sides[0].rdd.getNumPartitions() <= blocks.SIDES
+
+
+def test_silhouettes_count_rows_not_ids(spark):
+    """Rows with one id, or none, are rows of their own; blocks are smaller than clusters, and larger."""
+    v = vectors_of(300, copies=3).astype(float)
+    labels = np.stack([np.arange(300) % 3, np.arange(300) // 5 % 7], axis=1)
+    frame = spark.createDataFrame([(None if i % 3 else 1, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(v, labels, strict=True))], "id long, u array<double>, labels array<int>")
+    d = np.linalg.norm(v[:, None] - v[None, :], axis=2)
+    want = [silhouettes(d, labels[:, j]).mean() for j in (0, 1)]
+    for size in (33, 1000):
+        assert blocks.full_silhouettes(frame, "id", "u", "labels", [4, 7], size=size) == pytest.approx(want, abs=1e-6)
+
+
+def test_fits_of_a_scan_run_side_by_side(spark, sf, monkeypatch):
+    every, fit = threading.Barrier(10), clustering.KMeans.fit
+
+    def waiting(self, *args):
+        every.wait(60)
+        return fit(self, *args)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", waiting)
+    assert QUERIES["best_k"](spark, sf).count() == 10

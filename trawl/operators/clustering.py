@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,6 +30,18 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return model.transform(rows)
 
 
+def kmeans_scan(rows: DataFrame, ks: list[int]) -> DataFrame:
+    """rows with the clusters of kmeans for each k as c<k>; rows is persisted. The fits run side by side, since the jobs of one
+    are too short to fill a cluster."""
+    rows.count()
+    estimators = [KMeans(k=k, seed=42, distanceMeasure="euclidean", featuresCol="features", predictionCol=f"c{k}") for k in ks]
+    with ThreadPool(len(ks)) as pool:
+        fit = inheritable_thread_target(rows.sparkSession)(lambda e: e.fit(rows))
+        for model in pool.map(fit, estimators):
+            rows = model.transform(rows)
+    return rows
+
+
 def exact_silhouette(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
     """(id, cluster, silhouette) by the cosine distances of all pairs, in linear work; noise (-1) is left out.
 

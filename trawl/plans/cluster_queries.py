@@ -67,9 +67,7 @@ def kmeans_labels(spark, sf):
 def best_k(spark, sf):
     """Mean silhouette by Euclidean distances of all pairs for each k of the reference's scan, and the first best."""
     rows = C.with_unit_vectors(vectors(spark, sf)).withColumn("unit", V.normalised(F.col("embedding"))).select("id", "features", "unit").persist()
-    labelled = rows
-    for k in SCAN:
-        labelled = C.kmeans(labelled, k).withColumnRenamed("cluster", f"c{k}")
+    labelled = C.kmeans_scan(rows, list(SCAN))
     labelled = labelled.select("id", "unit", F.array(*[f"c{k}" for k in SCAN]).alias("labels")).persist()
     scores = list(zip(SCAN, K.full_silhouettes(labelled, "id", "unit", "labels", list(SCAN)), strict=True))
     labelled.unpersist()
